@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, packing, toxicity, url_filter, warc
+from . import ann, bpe, line_dedup, ngram_join, packing, toxicity, url_filter, warc
 from .common import table, workspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN, capacity=1024, end_id=0, with_ids=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label is learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
@@ -65,6 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_ann": op5_ann,

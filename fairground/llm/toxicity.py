@@ -31,6 +31,7 @@ COMMON = {
     "fr": ("le", "la", "les", "et", "des", "du", "est", "une", "pour", "qui", "dans", "sur"),
 }
 LANGUAGES = tuple(COMMON)
+COMMON_SETS = {k: frozenset(v) for k, v in COMMON.items()}
 PREFIXES = (3, 4, 5, 6)
 #: Words that are convolved at a time; a longer text is taken in overlapping runs.
 RUN = 65_536
@@ -117,6 +118,59 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+class Reader:
+    """Scores texts with a model; remembers what words add to the filters, up to a number of words."""
+
+    def __init__(self, model: Model, remembered: int = 150_000) -> None:
+        self.model, self.remembered = model, remembered
+        self.widths = [len(k) for k in model.kernels]
+        self.forget()
+
+    def forget(self) -> None:
+        n = self.model.settings.filters
+        self.numbers: dict[str, int] = {}
+        self.adds = [np.zeros((1024, n), np.float32) for w in self.widths for _ in range(w)]
+        self.common = np.zeros((1024, len(LANGUAGES)), np.int32)
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.numbers.get, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, k in zip(words, found) if k is None))
+            first, need = len(self.numbers), len(self.numbers) + len(new)
+            if need > len(self.common):
+                grown = lambda a: np.concatenate([a, np.zeros((max(need, 2 * len(a)) - len(a), a.shape[1]), a.dtype)])
+                self.adds, self.common = [grown(a) for a in self.adds], grown(self.common)
+            vectors = self.model.embed(np.array([word_hashes(w, self.model.settings.buckets) for w in new], np.int64))
+            rows = [x for projected in self.model.projected(vectors) for x in projected]
+            for a, x in zip(self.adds, rows):
+                a[first:need] = x
+            self.common[first:need] = [[w in COMMON_SETS[k] for k in LANGUAGES] for w in new]
+            self.numbers.update(zip(new, range(first, need)))
+            found = list(map(self.numbers.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def score(self, text: str) -> float:
+        words = WORD.findall(text.lower())
+        best = [np.zeros(self.model.settings.filters, np.float32) for _ in self.widths]
+        counts, overlap = np.zeros(len(LANGUAGES), np.int64), max(self.widths) - 1
+        for start in range(0, len(words), RUN):
+            if len(self.numbers) > self.remembered:
+                self.forget()
+            codes = self.codes(words[start : start + RUN + overlap])
+            counts += self.common[codes[:RUN]].sum(0)
+            at = 0
+            for k, width in enumerate(self.widths):
+                m = len(codes) - width + 1
+                if m > 0:
+                    r = self.adds[at][codes[:m]]
+                    for j in range(1, width):
+                        r += self.adds[at + j][codes[j : j + m]]
+                    best[k] = np.maximum(best[k], r.max(0) + self.model.bias[k])
+                at += width
+        told = int(counts.argmax()) if counts.any() else -1
+        return float(self.model.score(self.model.logit(np.concatenate(best)[None, :]), np.array([told]))[0])
+
+
 class Lexicon:
     """Gives words numbers; keeps each number's hashes."""
 
@@ -271,26 +325,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
+        reader = Reader(shared.value)
         for texts in batches:
-            out = np.empty(len(texts))
-            # Some texts at a time, so that the words held are few.
-            sizes = texts.str.len().fillna(0).to_numpy().cumsum() // 2_000_000
-            values = texts.to_numpy()
-            for group in np.unique(sizes):
-                at = np.flatnonzero(sizes == group)
-                words = [WORD.findall((values[i] or "").lower()) for i in at]
-                languages = np.array([language(w) for w in words])
-                codes, unique = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-                if len(unique):
-                    vectors = m.embed(np.array([word_hashes(w, m.settings.buckets) for w in unique], np.int64))
-                else:
-                    vectors = np.zeros((1, m.settings.dims), np.float32)
-                parts = np.split(codes, np.cumsum([len(w) for w in words])[:-1])
-                projected = m.projected(vectors)
-                x = np.stack([m.pooled(p, projected)[0] for p in parts])
-                out[at] = m.score(m.logit(x), languages)
-            yield pd.Series(out)
+            yield pd.Series([reader.score(t or "") for t in texts], dtype="float64")
 
     score = packed(docs, text=F.col(f"`{text_col}`")).withColumn("score", scores("text"))
     predicted = F.when(F.col("score") >= model.settings.cut, 1).otherwise(0)
