@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, packing, toxicity, url_filter, warc
+from . import ann, bpe, line_dedup, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
 from .common import table, workspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -60,6 +60,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.span_report(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "warc")
     warc.write_archives(warc.to_chunks(table(spark, sf_dir, "pages"), min_revisit=100), path)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_url_filters": op6_url_filters,
     "op8_bpe": op8_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
 
