@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,8 +118,13 @@ ATTRIBUTED = r"(cc[\s_-]*by|creative[\s_-]+commons[\s_-]+(attribution|by)|creati
 CURRENCIES = {"CH": "CHF", "GB": "GBP", "US": "USD", "CA": "CAD", "AU": "AUD", "NZ": "NZD", "JP": "JPY", "PL": "PLN", "CZ": "CZK", "HU": "HUF", "SE": "SEK", "NO": "NOK", "DK": "DKK"}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(pattern), name) for name, pattern in rules]))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(pattern), name) for name, pattern in rules])))
 
 
 def genres(text: Column) -> Column:
@@ -134,16 +141,18 @@ def facets(text: Column, category: Column, has_genres: Column) -> Column:
 
 def category(text: Column, default: Column) -> Column:
     """The first category whose pattern the folded text matches."""
-    folded = fold(text)
-    return F.coalesce(*[F.when(folded.rlike(p), c) for c, p in CATEGORIES], default)
+    return F.coalesce(let(fold(text), lambda t: F.coalesce(*[F.when(t.rlike(p), c) for c, p in CATEGORIES])), default)
 
 
 def weighted_category(title: Column, supplied: Column, text: Column, least: int = 2) -> Column:
     """The category with most points: 3 for the title, 4 for what was supplied, 1 for the text; null under ``least``."""
-    points = lambda p: F.when(fold(title).rlike(p), 3).otherwise(0) + F.when(fold(supplied).rlike(p), 4).otherwise(0) + F.when(fold(text).rlike(p), 1).otherwise(0)
-    ranked = F.array(*[F.struct((-points(p)).alias("minus"), F.lit(i).alias("place"), F.lit(c).alias("name")) for i, (c, p) in enumerate(CATEGORIES)])
-    best = F.array_min(ranked)
-    return F.when(best["minus"] <= -least, best["name"])
+
+    def best(t: Column) -> Column:
+        points = lambda p: F.when(t["title"].rlike(p), 3).otherwise(0) + F.when(t["supplied"].rlike(p), 4).otherwise(0) + F.when(t["text"].rlike(p), 1).otherwise(0)
+        return F.array_min(F.array(*[F.struct((-points(p)).alias("minus"), F.lit(i).alias("place"), F.lit(c).alias("name")) for i, (c, p) in enumerate(CATEGORIES)]))
+
+    folded = F.struct(fold(title).alias("title"), fold(supplied).alias("supplied"), fold(text).alias("text"))
+    return let(let(folded, best), lambda b: F.when(b["minus"] <= -least, b["name"]))
 
 
 def reusable(licence: Column, attribution: Column) -> Column:
