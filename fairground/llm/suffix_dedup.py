@@ -121,7 +121,7 @@ def trie_order(strings: list[bytes], members: list[int]) -> list[int]:
             parent, key = node, at(s, node.depth)
             node = node.kids[key]
         if isinstance(node, _Branch) and node.depth == shared:
-            node.kids[at(s, shared)] = [m]
+            node.kids.setdefault(at(s, shared), []).append(m)  # there already only if the strings are equal
         elif isinstance(node, list) and len(s) == len(other) == shared:
             node.append(m)
         else:
