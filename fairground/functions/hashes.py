@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def fnv1a(x: Column) -> Column:
     """32-bit FNV-1a over a text's code points."""
-    points = F.transform(F.split(x, ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * 16777619 % 4294967296)
 
 

@@ -94,12 +94,17 @@ def followed(posts: DataFrame, authors: DataFrame, places: DataFrame) -> DataFra
 def personal_matches(preferences: DataFrame, events: DataFrame, k: int) -> DataFrame:
     """Each user's ``k`` best events of a category the user likes or with a liked genre.
 
-    min(99, 55 + 13 x genres in common + 16 for the category). Candidates come from equi joins on
-    genre and on category, so no user meets all events.
+    min(99, 55 + 13 x genres in common + 16 for the category). Users with the same taste have the
+    same matches, so each taste is matched once and its ``k`` events are joined back. Candidates
+    come from equi joins on genre and on category; no taste meets all events.
     """
-    by_genre = preferences.select("user_id", F.explode("genres").alias("g")).join(events.select("event_id", F.explode("genres").alias("g")), "g").groupBy("user_id", "event_id").agg(F.count_distinct("g").alias("shared"), F.lit(0).alias("own"))
-    by_category = preferences.join(events.select("event_id", "category_slug"), F.col("category") == F.col("category_slug")).select("user_id", "event_id", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("own"))
+    taste = F.xxhash64(F.array_sort(F.array_distinct("genres")), "category")
+    people = preferences.select("user_id", F.array_sort(F.array_distinct("genres")).alias("genres"), "category", taste.alias("taste"))
+    tastes = people.select("taste", "genres", "category").distinct()
+    by_genre = tastes.select("taste", F.explode("genres").alias("g")).join(events.select("event_id", F.explode("genres").alias("g")), "g").groupBy("taste", "event_id").agg(F.count_distinct("g").alias("shared"), F.lit(0).alias("own"))
+    by_category = tastes.join(events.select("event_id", "category_slug"), F.col("category") == F.col("category_slug")).select("taste", "event_id", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("own"))
     score = F.least(F.lit(99), 55 + 13 * F.max("shared") + 16 * F.max("own")).cast("int")
-    scored = by_genre.unionByName(by_category).groupBy("user_id", "event_id").agg(score.alias("match_score"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("match_score"), "event_id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    scored = by_genre.unionByName(by_category).groupBy("taste", "event_id").agg(score.alias("match_score"))
+    order = Window.partitionBy("taste").orderBy(F.desc("match_score"), "event_id")
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return people.select("user_id", "taste").join(best, "taste").drop("taste")

@@ -104,7 +104,7 @@ def merge_records(records: DataFrame, key: str) -> DataFrame:
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct("rank", "id")))
     return records.groupBy(key).agg(
         F.count("*").alias("n_records"),
-        F.min_by("text", F.struct(-F.length("text"), F.col("rank"), F.col("id"))).alias("text"),
+        F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(-F.length("text"), F.col("rank"), F.col("id")))).alias("text"),
         first("venue_id").alias("venue_id"),
         F.max("capacity").alias("capacity"),
         F.bool_or("verified").alias("verified"),

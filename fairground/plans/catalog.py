@@ -223,7 +223,7 @@ FOLD_SQL = "replace(replace(replace(translate(lower({0}), 'àáâãäåçèéê
 
 @query(f"select doc_id, array_to_string({_rules_sql(taxonomy.GENRES, 'lower(text)')}, ',') as genres from documents")
 def op_f15_j14_s07_genres(d):
-    return d.table("documents").select("doc_id", F.array_join(taxonomy.genres(F.col("text")), ",").alias("genres"))
+    return d.spread("documents").select("doc_id", F.array_join(taxonomy.genres(F.col("text")), ",").alias("genres"))
 
 
 _FACET_DEFAULTS = "case lang when 'en' then ['music'] when 'fr' then ['culture', 'exhibitions'] when 'de' then ['sport'] else []::varchar[] end"
@@ -232,7 +232,7 @@ _FACET_DEFAULTS = "case lang when 'en' then ['music'] when 'fr' then ['culture',
 @query(f"select doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat({_FACET_DEFAULTS}, case when doc_id % 2 = 0 then ['music'] else []::varchar[] end), {_rules_sql(taxonomy.FACETS, FOLD_SQL.format('text'))}))), ',') as facets from documents")
 def op_f16_a14_u04_n02_facets(d):
     category = F.when(F.col("lang") == "en", "concerts").when(F.col("lang") == "fr", "expositions").when(F.col("lang") == "de", "sports-outdoor")
-    return d.table("documents").select("doc_id", F.array_join(taxonomy.facets(F.col("text"), category, F.col("doc_id") % 2 == 0), ",").alias("facets"))
+    return d.spread("documents").select("doc_id", F.array_join(taxonomy.facets(F.col("text"), category, F.col("doc_id") % 2 == 0), ",").alias("facets"))
 
 
 _CATEGORY_CASE = "case " + " ".join(f"when regexp_matches(f, '{p}') then '{c}'" for c, p in taxonomy.CATEGORIES) + " else source end"
@@ -240,7 +240,7 @@ _CATEGORY_CASE = "case " + " ".join(f"when regexp_matches(f, '{p}') then '{c}'"
 
 @query(f"select doc_id, {_CATEGORY_CASE} as category from (select doc_id, source, {FOLD_SQL.format('text')} as f from documents)")
 def op_f17_category(d):
-    return d.table("documents").select("doc_id", taxonomy.category(F.col("text"), F.col("source")).alias("category"))
+    return d.spread("documents").select("doc_id", taxonomy.category(F.col("text"), F.col("source")).alias("category"))
 
 
 _POINTS = ", ".join(f"{{'minus': -(case when regexp_matches(t, '{p}') then 3 else 0 end + case when regexp_matches(x, '{p}') then 1 else 0 end), 'place': {i}, 'name': '{c}'}}" for i, (c, p) in enumerate(taxonomy.CATEGORIES))
@@ -251,7 +251,7 @@ select doc_id, case when best.minus <= -1 then best.name end as category
 from (select doc_id, list_min([{_POINTS}]) as best from (select doc_id, {FOLD_SQL.format('left(text, 120)')} as t, {FOLD_SQL.format('text')} as x from documents))""")
 def op_f18_weighted_category(d):
     title, whole = F.left("text", F.lit(120)), F.col("text")
-    return d.table("documents").select("doc_id", taxonomy.weighted_category(title, F.lit(""), whole, 1).alias("category"))
+    return d.spread("documents").select("doc_id", taxonomy.weighted_category(title, F.lit(""), whole, 1).alias("category"))
 
 
 _NULLS = ", ".join(f"'{t}'" for t in text.NULL_TOKENS)

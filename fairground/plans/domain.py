@@ -22,6 +22,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy for each row: dealt to all cores if its files are fewer."""
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     def countries(self) -> DataFrame:
         return self.table("region").select(F.col("r_regionkey").alias("country_id"), F.col("r_name").alias("country_name"))
 
