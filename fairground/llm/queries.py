@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, line_dedup, media, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
-from .common import table, workspace
+from .common import spread, table, workspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Domains on the block list; a url on one of them or on a subdomain is blocked.
@@ -19,7 +19,7 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN, capacity=1024, end_id=0, with_ids=False)
+    return packing.pack(spread(table(spark, sf_dir, "documents")), RANKS, PATTERN, capacity=1024, end_id=0, with_ids=False)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    scored = toxicity.score_documents(spread(table(spark, sf_dir, "documents")), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -62,7 +62,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), RANKS, PATTERN)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
