@@ -12,14 +12,18 @@ from pyspark.sql.window import Window
 FREE_WORDS = r"(?i)\b(gratuit|gratuite|free|entrée libre)\b"
 TONIGHT_WORDS = r"(?i)\b(ce soir|tonight|soirée)\b"
 
+#: Campaigns that are sent to every executor, at most.
+MAX_BROADCAST = 10_000
+
 
 def eligible(profiles: DataFrame, campaigns: DataFrame, asof: datetime) -> DataFrame:
     """(user_id, campaign_id) of profiles that a campaign may address.
 
-    Campaigns are few and a profile must fit each by several open-ended tests, so they are
-    broadcast if their size allows (``campaigns`` is bounded by the caller); empty arrays and
-    nulls don't restrict.
+    A profile must fit a campaign by several open-ended tests, so this is no equi join. Campaigns
+    are broadcast if they are counted to be at most MAX_BROADCAST; more of them are met by Spark's
+    partitioned nested loop. Empty arrays and nulls don't restrict.
     """
+    few = campaigns.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     today = F.lit(asof).cast("timestamp_ntz")
     age = F.year(today) - F.col("birth_year")
     open_array = lambda c: F.cardinality(F.col(c)) == 0
@@ -32,7 +36,7 @@ def eligible(profiles: DataFrame, campaigns: DataFrame, asof: datetime) -> DataF
         F.col("max_age").isNull() | (age <= F.col("max_age")),
         open_array("interests") | F.arrays_overlap("interests", "likes"),
     ]
-    joined = profiles.crossJoin(F.broadcast(campaigns))
+    joined = profiles.crossJoin(F.broadcast(campaigns) if few else campaigns)
     for t in tests:
         joined = joined.where(t)
     return joined.select("user_id", "campaign_id")
