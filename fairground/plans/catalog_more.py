@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, hashes, text, times
-from ..operators import discovery, maps, scores, taxonomy
+from ..operators import discovery, ingest, scores, taxonomy
 from ..streaming import runs
 from .catalog import RANGE, YEAR, query
 from .catalog_work import _JOBS, NOW, _jobs
@@ -211,3 +211,78 @@ def op_f02_f12_normal_ratio(d):
     v = d.venues().select("venue_id", "venue_name")
     w = v.select((F.col("venue_id") - 1).alias("venue_id"), F.col("venue_name").alias("next_name"))
     return v.join(w, "venue_id").select("venue_id", hashes.nfc(F.col("venue_name")).alias("name"), hashes.block_ratio(F.col("venue_name"), F.col("next_name")).alias("ratio"))
+
+
+_WORDS = "' ' || trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || ' '"
+_ALIASES = ", ".join(f"case when contains(w, ' {a} ') then '{g}' end" for a, g in ingest.GENRE_ALIASES)
+
+
+@query(f"""
+with t as (select p_partkey, p_name || case p_partkey % 5 when 0 then ' Hip-Hop / RAP & house' when 1 then ' drum and bass, afro beat' when 2 then ' opera: classique jazz blues rock metal punk indie pop' else '' end as x from part),
+l as (select p_partkey, list_filter([{_ALIASES}], lambda v: v is not null) as g from (select p_partkey, {_WORDS} as w from t))
+select p_partkey, array_to_string(list_slice(list_filter(g, lambda v, i: list_position(g, v) = i), 1, 8), ',') as genres from l""")
+def op_f19_alias_genres(d):
+    k = F.col("p_partkey") % 5
+    extra = F.when(k == 0, " Hip-Hop / RAP & house").when(k == 1, " drum and bass, afro beat").when(k == 2, " opera: classique jazz blues rock metal punk indie pop").otherwise("")
+    return d.table("part").select("p_partkey", F.array_join(ingest.alias_genres(F.concat("p_name", extra)), ",").alias("genres"))
+
+
+@query(sql("""++
+p as (select venue_id, case when venue_id % 2 = 0 then 'es ' else 'FR' end as country, case venue_id % 5 when 0 then null when 1 then 40.4 when 2 then -3.7 when 3 then 28.1 else 95.0 end::double as lat, case venue_id % 5 when 0 then 1.0 when 1 then -3.7 when 2 then 40.4 when 3 then -15.4 else 0.0 end::double as lon from venue),
+f as (select *, upper(trim(country)) = 'ES' as spain, coalesce((lat between 35 and 44.5 and lon between -10 and 5) or (lat between 27 and 30 and lon between -19 and -13), false) as ok, coalesce((lon between 35 and 44.5 and lat between -10 and 5) or (lon between 27 and 30 and lat between -19 and -13), false) as turned, coalesce(lat between -90 and 90 and lon between -180 and 180, false) as global from p)
+select venue_id, case when (spain and ok) or (not spain and global) then lat when spain and turned then lon end as latitude, case when (spain and ok) or (not spain and global) then lon when spain and turned then lat end as longitude, spain and not ok and turned as swapped, case when spain then ok or turned else global end as valid from f"""))
+def op_m20_axis_swap(d):
+    v, k = d.venues(), F.col("venue_id") % 5
+    lat = F.when(k == 0, None).when(k == 1, 40.4).when(k == 2, -3.7).when(k == 3, 28.1).otherwise(95.0)
+    lon = F.when(k == 0, 1.0).when(k == 1, -3.7).when(k == 2, 40.4).when(k == 3, -15.4).otherwise(0.0)
+    country = F.when(F.col("venue_id") % 2 == 0, "es ").otherwise("FR")
+    return v.select("venue_id", ingest.spanish_pair(country, lat.cast("double"), lon).alias("p")).select("venue_id", "p.*")
+
+
+@query("""
+with c as (select o_orderkey as id, case o_orderkey % 6 when 0 then ' x ' when 1 then 'Menu' else 'Jazz festival ' || o_orderkey end as title,
+  case o_orderkey % 5 when 0 then 'soon' when 1 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') end as start, o_orderdate as d, o_orderkey % 5 as k, o_orderkey % 4 as m, o_orderkey % 3 as n from orders),
+s as (select *, least(100, 44 + case when (k = 1) or (k > 1 and m = 1) then 10 else 0 end + case when m <> 0 then 12 else 0 end + case when n <> 0 then 8 else 0 end + case when m = 2 then 8 else 0 end + 4) as base,
+  trim(title) as t from c),
+q as (select *, greatest(0, least(100, case when t in ('x', 'Menu') then base - 4 else base end + case when m = 3 then 3 else 0 end - case when n = 1 then 8 else 0 end - case when m = 1 then 4 else 0 end))::int as quality from s)
+select id, quality, case when length(t) < 3 then 'invalid_title' when t = 'Menu' then 'navigation_or_commerce' when k = 0 then 'invalid_start_date'
+  when d < timestamp '1998-05-30' or d > timestamp '1998-06-01' + interval 730 day then 'outside_ingestion_window' when quality < 48 then 'quality_below_threshold:' || quality end as reason,
+  case when k <> 0 then d end as starts_at, case when k = 1 then d + interval 1 day when k > 1 and m = 1 then d + interval 2 hour end as ends_at from q""")
+def op_c08_normalise_candidates(d):
+    key = F.col("o_orderkey")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    k, m, n, at = key % 5, key % 4, key % 3, F.col("o_orderdate")
+    rows = d.table("orders").select(
+        key.alias("id"),
+        F.when(key % 6 == 0, " x ").when(key % 6 == 1, "Menu").otherwise(F.concat(F.lit("Jazz festival "), key.cast("string"))).alias("title"),
+        F.when(k == 0, "soon").when(k == 1, F.date_format(at, "yyyy-MM-dd")).otherwise(iso(at)).alias("start"),
+        F.when((k > 1) & (m == 1), iso(at + F.expr("interval 2 hours"))).when((k > 1) & (m == 2), iso(at - F.expr("interval 2 hours"))).alias("end"),
+        F.when(m != 0, "hall").alias("venue"), F.when(n == 1, "Génève").when(n == 2, "ZÜRICH").alias("city"), F.lit("zurich").alias("source_city"),
+        F.when(m == 2, "a description of forty characters or so, really").otherwise("short").alias("description"),
+        F.when(m == 1, "https://other.net/x").alias("url"), F.lit("https://site.org/list").alias("page_url"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("tickets"), F.lit("").alias("category"), F.lit(None).cast("string").alias("status"), F.lit(1.0).alias("latitude"), F.lit(None).cast("double").alias("longitude"), (m == 3).alias("structured"),
+    )
+    return ingest.normalise(rows, datetime(1998, 6, 1)).select("id", "quality", "reason", "starts_at", "ends_at")
+
+
+@query("""
+with t(category, event_categories, defaults, child, child_values) as (values ('music', ['concerts', 'festivals'], ['music'], 'jazz', ['jazz', 'blues']), ('music', ['concerts', 'festivals'], ['music'], 'rock', ['rock']), ('food', ['gastronomy'], ['food', 'markets'], 'wine', ['wine'])),
+s as (select c_custkey as user, case c_custkey % 2 when 0 then 'music' else 'food' end as category, case c_custkey % 4 when 0 then ['jazz', 'wine'] when 1 then ['wine'] else []::varchar[] end as children from customer)
+select "user", array_to_string(list_sort(any_value(event_categories)), ',') as categories,
+  array_to_string(list_sort(case when count(*) filter (where list_contains(children, child)) > 0 then flatten(list(child_values) filter (where list_contains(children, child))) else any_value(defaults) end), ',') as "values"
+from s join t using (category) group by 1""")
+def op_c03_c04_taxonomy_filters(d):
+    rows = [("music", ["concerts", "festivals"], ["music"], "jazz", ["jazz", "blues"]), ("music", ["concerts", "festivals"], ["music"], "rock", ["rock"]), ("food", ["gastronomy"], ["food", "markets"], "wine", ["wine"])]
+    tree = d.spark.createDataFrame(rows, "category string, event_categories array<string>, defaults array<string>, child string, child_values array<string>")
+    k = F.col("c_custkey")
+    chosen = d.table("customer").select(k.alias("user"), F.when(k % 2 == 0, "music").otherwise("food").alias("category"), F.when(k % 4 == 0, F.array(F.lit("jazz"), F.lit("wine"))).when(k % 4 == 1, F.array(F.lit("wine"))).otherwise(F.array().cast("array<string>")).alias("children"))
+    out = ingest.expanded_filters(chosen, tree)
+    return out.select("user", F.array_join("categories", ",").alias("categories"), F.array_join("values", ",").alias("values"))
+
+
+@query("""select p_partkey as event_id, case when p_partkey % 3 <> 2 and (p_partkey % 10 = 0 or p_partkey % 7 = 1) then 'stale' else case p_partkey % 3 when 0 then 'machine' when 1 then 'reviewed' else 'missing' end end as translation_status from part""")
+def op_t16_stale_translations(d):
+    p = F.col("p_partkey")
+    before = d.table("part").select(p.alias("event_id"), F.col("p_name").alias("title"), F.when(p % 7 != 1, p).alias("venue"))
+    after = d.table("part").select(p.alias("event_id"), F.when(p % 10 == 0, "new").otherwise(F.col("p_name")).alias("title"), p.alias("venue"))
+    told = d.table("part").select(p.alias("event_id"), F.when(p % 3 == 0, "machine").when(p % 3 == 1, "reviewed").otherwise("missing").alias("translation_status"))
+    return ingest.stale_translations(told, before, after, ["title", "venue"])
