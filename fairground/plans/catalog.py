@@ -248,9 +248,9 @@ _POINTS = ", ".join(f"{{'minus': -(case when regexp_matches(t, '{p}') then 3 els
 
 @query(f"""
 select doc_id, case when best.minus <= -1 then best.name end as category
-from (select doc_id, list_min([{_POINTS}]) as best from (select doc_id, {FOLD_SQL.format('left(text, 120)')} as t, {FOLD_SQL.format('text')} as x from documents))""")
+from (select doc_id, list_min([{_POINTS}]) as best from (select doc_id, {FOLD_SQL.format("split_part(text, chr(10), 1)")} as t, {FOLD_SQL.format('text')} as x from documents))""")
 def op_f18_weighted_category(d):
-    title, whole = F.left("text", F.lit(120)), F.col("text")
+    title, whole = F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")
     return d.spread("documents").select("doc_id", taxonomy.weighted_category(title, F.lit(""), whole, 1).alias("category"))
 
 
@@ -274,12 +274,12 @@ def op_f09_canonical_url(d):
 
 
 @query(f"""
-select doc_id, left(trim(regexp_replace({FOLD_SQL.format("left(text, 200)")}, '[^a-z0-9]+', '-', 'g'), '-'), 60) as slug,
-  left(regexp_replace({FOLD_SQL.format("text")}, '[^a-z0-9]+', '', 'g'), 80) as key, left(nullif(trim(text), ''), 40) as short
+select doc_id, left(trim(regexp_replace({FOLD_SQL.format("text")}, '[^a-z0-9]+', '-', 'g'), '-'), 100) as slug,
+  regexp_replace({FOLD_SQL.format("text")}, '[^a-z0-9]+', '', 'g') as key, left(nullif(trim(text), ''), 40) as short
 from documents""")
 def op_f03_f04_f05_keys(d):
     t = F.col("text")
-    return d.table("documents").select("doc_id", text.slugify(F.left(t, F.lit(200)), 60).alias("slug"), F.left(text.alnum_key(t), F.lit(80)).alias("key"), text.trimmed(t, 40).alias("short"))
+    return d.table("documents").select("doc_id", text.slugify(t).alias("slug"), text.alnum_key(t).alias("key"), text.trimmed(t, 40).alias("short"))
 
 
 @query(f"""
