@@ -205,6 +205,8 @@ def repeated_windows(frame: pd.DataFrame, s: Settings) -> list[np.ndarray]:
         classes = np.empty((2, n), np.int64)
         classes[0, l_order], classes[1, r_order] = np.cumsum(l_lcp < r), np.cumsum(r_lcp < s.length - r)
         rows = np.flatnonzero(on)
+        if len(rows) < 2:
+            continue
         key = classes[0, rows] * (n + 1) + classes[1, rows]
         by = np.argsort(key, kind="stable")
         equal = key[by][1:] == key[by][:-1]

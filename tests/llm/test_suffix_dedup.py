@@ -81,6 +81,15 @@ def test_very_long_text(spark):
     assert run(spark, rows) == brute(rows, 40)
 
 
+def test_windows_that_no_run_owns():
+    import pandas as pd
+
+    s = S.Settings(length=8, seed=3, shallow=8)
+    frame = pd.DataFrame({"group": ["a", "b"], "own": [1, 5], "bytes": [b"abcdefgh", b"12345678"]})
+    assert [h.tolist() for h in S.repeated_windows(frame, s)] == [[False], [False]]
+    assert S.repeated_windows(frame[:0], s) == []
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
