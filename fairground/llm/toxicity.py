@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -78,7 +79,10 @@ class Model:
     thresholds: dict[int, float] = field(default_factory=dict)  #: of the logit, by language
 
     def embed(self, hashes: np.ndarray) -> np.ndarray:
-        return self.table[hashes].sum(1)
+        out = self.table[hashes[:, 0]]
+        for j in range(1, hashes.shape[1]):
+            out += self.table[hashes[:, j]]
+        return out
 
     def projected(self, vectors: np.ndarray) -> list[list[np.ndarray]]:
         """What each word adds to each filter, for each width and place in the filter."""
@@ -175,19 +179,19 @@ class Lexicon:
     """Gives words numbers; keeps each number's hashes."""
 
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.numbers, self.hashes = buckets, {}, []
+        self.buckets, self.numbers, self.hashes = buckets, {}, array("i")
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), np.int64)
+        out = np.empty(len(words), np.int32)
         for i, w in enumerate(words):
             if (k := self.numbers.get(w)) is None:
-                k = self.numbers[w] = len(self.hashes)
-                self.hashes.append(word_hashes(w, self.buckets))
+                k = self.numbers[w] = len(self.numbers)
+                self.hashes.extend(word_hashes(w, self.buckets))
             out[i] = k
         return out
 
     def table(self) -> np.ndarray:
-        return np.array(self.hashes, np.int64).reshape(-1, 1 + len(PREFIXES))
+        return np.array(self.hashes, np.int32).reshape(-1, 1 + len(PREFIXES))
 
 
 def _first_table(texts: list[np.ndarray], hashes: np.ndarray, y: np.ndarray, s: Settings, rng: np.random.Generator) -> np.ndarray:
@@ -281,9 +285,13 @@ def fit_model(texts: list[str], labels: list[int], settings: Settings = Settings
                 adam("table", m.table, grad, step, buckets)
     m.out_bias = float(out_bias[0])
 
-    all_vectors = m.embed(hashes) if len(hashes) else np.zeros((1, s.dims), np.float32)
-    projections = m.projected(all_vectors)
-    logits = np.array([m.logit(m.pooled(r, projections)[0]) for r in rows])
+    logits = np.empty(len(rows))
+    for start in range(0, len(rows), 64):  # the words of some texts at a time
+        part = rows[start : start + 64]
+        used, index = np.unique(np.concatenate(part), return_inverse=True)
+        projections = m.projected(m.embed(hashes[used]) if len(used) else np.zeros((1, s.dims), np.float32))
+        for i, words in enumerate(np.split(index, np.cumsum([len(r) for r in part])[:-1])):
+            logits[start + i] = m.logit(m.pooled(words, projections)[0])
     check = held_back if 8 <= y[held_back].sum() < held_back.sum() else np.ones(len(y), bool)
     m.thresholds[-1] = best_threshold(logits[check], y[check])
     for k in range(len(LANGUAGES)):
