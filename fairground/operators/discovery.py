@@ -190,3 +190,23 @@ def search_cities(d: Domain, query: str, limit: int) -> DataFrame:
     needle, name = fold(F.lit(query)), fold(F.col("city_name"))
     rank = F.when(name == needle, 0).when(F.startswith(name, needle), 1).otherwise(2)
     return d.cities().where(F.contains(name, needle)).withColumn("match_rank", rank).orderBy("match_rank", "city_name", "city_id").limit(limit)
+
+
+#: Fixed values: (least, most) of the bands that users pick.
+PRICE_BANDS = {"under-20": (None, 20.0), "under-40": (None, 40.0), "over-40": (40.0, None)}
+CAPACITY_BANDS = {"intimate": (None, 200), "club": (201, 800), "large": (801, 5000), "festival": (5001, None)}
+
+
+def from_bands(f: Filters, price: str = "all", capacity: str = "all") -> Filters:
+    """``f`` with the bounds of a price and a capacity band."""
+    low, high = PRICE_BANDS.get(price, (None, None))
+    least, most = CAPACITY_BANDS.get(capacity, (None, None))
+    return replace(f, free_only=price == "free", priced_only=price not in ("all", "free"), price_min=low, price_max=high, capacity_min=least, capacity_max=most, capacity_unknown=capacity == "unknown")
+
+
+def any_column_matches(query: str, columns: list[str]) -> Column:
+    """The query, in any case, as a part of one of the columns; nulls are empty."""
+    test = F.lit(False)
+    for c in columns:
+        test = test | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.strip().lower()))
+    return test

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -286,3 +287,51 @@ def op_t16_stale_translations(d):
     after = d.table("part").select(p.alias("event_id"), F.when(p % 10 == 0, "new").otherwise(F.col("p_name")).alias("title"), p.alias("venue"))
     told = d.table("part").select(p.alias("event_id"), F.when(p % 3 == 0, "machine").when(p % 3 == 1, "reviewed").otherwise("missing").alias("translation_status"))
     return ingest.stale_translations(told, before, after, ["title", "venue"])
+
+
+@query(sql("select occurrence_id, title, starts_at from point where status in ('published', 'cancelled', 'postponed', 'sold_out') and starts_at between timestamp '1997-02-07 18:00:00' and timestamp '1997-02-09 23:59:59.999999' order by starts_at, occurrence_id limit 50"))
+def op_d07_l01_l02_quick_range(d):
+    start, end = times.quick_range("weekend", datetime(1997, 2, 5, 9))
+    return discovery.discover(d, discovery.Filters(start=start, end=end, limit=50)).select("occurrence_id", "title", "starts_at")
+
+
+@query(sql("select occurrence_id, price_from, capacity from point where status in ('published', 'cancelled', 'postponed', 'sold_out') and starts_at between timestamp '1997-01-01' and timestamp '1997-12-31' and (is_free or price_from is not null) and price_from >= 40 and capacity between 201 and 800 order by starts_at, occurrence_id limit 1500"))
+def op_m23_c05_m12_bands(d):
+    return discovery.discover(d, discovery.from_bands(replace(YEAR, limit=9999), "over-40", "club")).select("occurrence_id", "price_from", "capacity")
+
+
+@query(sql("""select v.venue_id, venue_name from venue v join city on venue_city_id = city_id where contains(lower(coalesce(venue_name, '')), '_1') or contains(lower(coalesce(city_name, '')), '_1') or contains(lower(coalesce(case when venue_capacity is not null then 'hall_1' end, '')), '_1x')"""))
+def op_p22_any_column(d):
+    v = d.venues().join(d.cities(), F.col("venue_city_id") == F.col("city_id")).withColumn("note", F.when(F.col("venue_capacity").isNotNull(), "hall_1"))
+    return v.where(discovery.any_column_matches(" _1", ["venue_name", "city_name"]) | discovery.any_column_matches("_1X", ["note"])).select("venue_id", "venue_name")
+
+
+@query(sql("""select e.event_id, round((('0x' || substr(md5(e.event_id::varchar), 1, 2))::int / 255.0::double - 0.5) * 0.012, 9) as d_lat, round((('0x' || substr(md5(e.event_id::varchar), 3, 2))::int / 255.0::double - 0.5) * 0.018, 9) as d_lon, coalesce(s.offer_tickets, false) as tickets from event e left join offer_summary s using (event_id)"""))
+def op_m03_m13_a05_jitter(d):
+    rows = d.events().join(discovery.offer_summary(d.offers()), "event_id", "left")
+    return rows.select("event_id", F.round(geo.jitter(F.col("event_id"), 0, 0.012), 9).alias("d_lat"), F.round(geo.jitter(F.col("event_id"), 1, 0.018), 9).alias("d_lon"), F.coalesce("offer_tickets", F.lit(False)).alias("tickets"))
+
+
+@query(sql(f"++ p as (select * from point where {RANGE} and latitude between -50.625 and 50.625 and longitude between -22.5 and 112.5) select count(*) as n, count(distinct city_id) as cities, (select max(n) from (select count(*) as n from p group by city_id)) as busiest from p"))
+def op_m10_m11_p29_p30_w07_snapped_viewport(d):
+    """A moved viewport asks for the same whole cells; a held box that contains it can answer it."""
+    box = geo.Viewport(-20.0, -50.0, geo.wrap_longitude(470.0), 50.0).snapped(6)
+    assert box.contains(geo.Viewport(-22.0, -50.0, 111.0, 49.0))
+    p = discovery.points(d, discovery.Filters()).where(box.holds(F.col("latitude"), F.col("longitude")))
+    busiest = p.groupBy("city_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("busiest"))
+    return p.agg(F.count("*").alias("n"), F.count_distinct("city_id").alias("cities")).crossJoin(F.broadcast(busiest))
+
+
+@query("""select c_custkey, '{"name":"' || c_name || '","segment":"' || c_mktsegment || '"' || case when c_acctbal > 0 then ',"rating":' || (c_custkey % 5) else '' end || '}' as details from customer""")
+def op_n11_n09_whitelist(d):
+    """Only listed fields of a JSON document are let through; absent ones are left out."""
+    c = d.table("customer")
+    raw = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("secret").alias("password"), F.when(F.col("c_acctbal") > 0, F.col("c_custkey") % 5).alias("rating"), F.lit("x").alias("tracker")))
+    listed = F.from_json("raw", "name string, segment string, rating bigint")
+    return c.select("c_custkey", raw.alias("raw")).select("c_custkey", F.to_json(listed).alias("details"))
+
+
+@query(None)
+def op_t17_stream_sessions(d):
+    """Sessions of users, 30 minutes apart: an extension, as the ids are otherwise given."""
+    return runs.latest(runs.drain(runs.user_sessions(_stream(d)), "append").withColumn("batch", F.lit(0)), ["user_id", "start"])
