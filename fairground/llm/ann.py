@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors that the centroids are fitted on, at most; every vector is indexed.
-SAMPLE = 16_384
+#: Vectors, and numbers in them, that the centroids are fitted on, at most; every vector is indexed.
+SAMPLE, SAMPLE_VALUES = 16_384, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         return spark.createDataFrame([], empty)
     dims, n, n_queries = widths[0]["w"], widths[0]["n"], widths[0]["q"]
     valid = raw.where(usable(F.col("vector"), dims))
-    sample = np.array([r["vector"] for r in valid.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]).reshape(-1, dims)
+    sample = np.array([r["vector"] for r in valid.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(max(1_024, min(SAMPLE, SAMPLE_VALUES // dims))).collect()]).reshape(-1, dims)
     if not len(sample):
         return spark.createDataFrame([], empty)
     s = settings
