@@ -150,7 +150,7 @@ def deep_shallow_sort(strings: list[bytes], group: np.ndarray, known: int, shall
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(x) for x in strings])
-    width = -(-int(max(sizes.max(), known + shallow)) // 8) * 8
+    width = -(-int(max(sizes.max(), known + shallow, 8)) // 8) * 8
     table = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), np.uint8).reshape(n, width)
     words = np.ascontiguousarray(table).view(">u8")
     order = np.argsort(group, kind="stable")
