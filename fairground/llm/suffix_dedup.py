@@ -265,7 +265,8 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     long_enough = docs.where(F.octet_length("text") >= s.length)
     all_runs = long_enough.mapInPandas(found, f"id {kind}, text_hash long, owner long, f1 long, f2 long, at long, first long, last long")
-    counted = all_runs.groupBy("owner", "f1", "f2").agg(F.count("*").alias("n"))
+    # Stored, as it is read twice and texts would be fingerprinted for each.
+    counted = stored(all_runs.groupBy("owner", "f1", "f2").agg(F.count("*").alias("n")), "run-counts")
     owners = counted.groupBy("owner").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("total > 1")
     marks = counted.join(owners, "owner").select("owner", "f1", "f2", "n", F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("kinds")).otherwise(0).alias("kinds")).where("n > 1 or kinds > 0")
     known = stored(all_runs.join(marks, ["owner", "f1", "f2"]), "runs")
