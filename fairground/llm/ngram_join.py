@@ -25,6 +25,8 @@ from .common import packed, stored, unpacked
 from .graph import components
 
 WORD = re.compile(r"\w+")
+#: Whether a text has any of WORD's characters, for Java: its own \w has marks and joiners, too.
+HAS_WORD = r"[\p{L}\p{N}_]"
 
 
 @dataclass(frozen=True)
@@ -299,7 +301,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     """
     found = link(docs, id_col, text_col, settings)
     first = found.rows.where("c is not null").join(found.links, "c", "left").groupBy(F.coalesce("root", "c").alias("g")).agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    rows = packed(docs, id=F.col(f"`{id_col}`"), text_hash=F.xxhash64(F.col(f"`{text_col}`")), worded=F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"(?U)\w"))
+    rows = packed(docs, id=F.col(f"`{id_col}`"), text_hash=F.xxhash64(F.col(f"`{text_col}`")), worded=F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(HAS_WORD))
     keys = first.select(F.col("first.id").alias("k"), F.col("first.text_hash").alias("h"))
     kept = rows.where("worded").join(keys, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["id", "text_hash"])
     return unpacked(kept.select("row").unionByName(rows.where("not worded").select("row")), docs)

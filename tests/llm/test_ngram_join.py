@@ -89,6 +89,12 @@ def test_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
 
 
+def test_keep_one_tells_words_as_the_shingles_do(spark):
+    rows = [(1, "\u200d"), (2, "\u200d"), (3, "\u0301!"), (4, "\u00b2"), (5, "\u00b2"), (6, "\u5b57"), (7, ""), (8, None), (9, "_"), (10, "_")]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
+
+
 def test_bayesian_bounds():
     s = N.Settings()
     bounds = N.fewest_matches(s)
