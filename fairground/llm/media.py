@@ -1,9 +1,9 @@
 """Copies among images by local descriptors.
 
 Corners are found at several scales; around each, intensity comparisons turned to the patch's
-own orientation give 256 bits. Equal 64-bit parts of descriptors (Hamming tables) join images
-that may be copies; what they connect is compared block by block, where descriptors are matched
-and a similarity transform must agree on enough of them. That holds for crops and edits.
+own orientation give 256 bits. Equal 40-bit parts of descriptors (Hamming tables) are counted for
+each pair of images; pairs that share enough are compared block by block, where descriptors are
+matched and a similarity transform must agree on enough of them. That holds for crops and edits.
 Images are 8-bit grey PGM (P5) bytes.
 """
 
@@ -28,14 +28,14 @@ class Settings:
     scales: tuple[float, ...] = (1.0, 0.5)
     corners: int = 32  #: strongest corners at a scale
     radius: int = 14  #: of a patch
-    shared_parts: int = 6  #: parts that an image shares with the first of their tables' entries
+    shared_parts: int = 6  #: parts that a pair of images shares
     distance: int = 48  #: bits in which matched descriptors may differ
     agreeing: int = 7  #: matches that one transform must explain
     block: int = 512
     seed: int = 3
 
 
-PARTS, BITS, ANGLES = 4, 256, 32
+PARTS, PART_BYTES, BITS, ANGLES = 8, 5, 256, 32
 
 
 def pgm(pixels: np.ndarray) -> bytes:
@@ -126,10 +126,14 @@ def describe(pixels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts_of(bits: np.ndarray) -> np.ndarray:
-    """A key for each of the 64-bit parts of descriptors, other for each table."""
+    """A key for each of the overlapping 40-bit parts of descriptors, other for each table."""
+    octets = np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), BITS // 8)
+    at = (np.arange(PARTS)[:, None] * (BITS // 8 // PARTS) + np.arange(PART_BYTES)) % (BITS // 8)
+    x = np.zeros((len(bits), PARTS, 8), np.uint8)
+    x[:, :, :PART_BYTES] = octets[:, at]
     with np.errstate(over="ignore"):
-        x = (bits ^ np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ x >> np.uint64(31)).view(np.int64)
+        y = (x.view(np.uint64)[:, :, 0] ^ np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (y ^ y >> np.uint64(31)).view(np.int64)
 
 
 def agreeing(pa: np.ndarray, ba: np.ndarray, pb: np.ndarray, bb: np.ndarray, s: Settings) -> int:
@@ -197,6 +201,20 @@ def compare(a: pd.DataFrame, b: pd.DataFrame | None, s: Settings) -> pd.DataFram
     return pd.DataFrame({"c": [names[i] for i in on], "links": [links[i] for i in on], "other": [names[top(i)] for i in on]})
 
 
+def sharing_pairs(parts: DataFrame, least: int, block: int) -> DataFrame:
+    """Pairs (u < v) of images that have at least ``least`` parts in common, counted for each pair.
+
+    ``parts`` has ``part`` and ``no``, each once. An entry of over ``block`` images is split, and
+    its blocks meet one another in tasks of their own.
+    """
+    entries = parts.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    dealt = parts.join(entries, "part").withColumn("mine", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    one = dealt.select("part", F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("hi"), F.col("no").alias("a"))
+    two = dealt.select("part", F.explode(F.sequence(F.lit(0), "mine")).alias("lo"), F.col("mine").alias("hi"), F.col("no").alias("b"))
+    met = one.join(two, ["part", "lo", "hi"]).where("lo < hi or a < b")
+    return met.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("u", "v")
+
+
 def find_copies(images: DataFrame, id_col: str, image: Column, settings: Settings = Settings()) -> DataFrame:
     """A row for each row: the id, ``class_id``, ``copy_id``, ``n_corners`` and ``n_links``.
 
@@ -222,19 +240,17 @@ def find_copies(images: DataFrame, id_col: str, image: Column, settings: Setting
             yield pd.DataFrame({"id": b.id, "c": [r[0] for r in rows], "n": [r[1] for r in rows], "places": [r[2] for r in rows], "bits": [r[3] for r in rows]})
 
     seen = stored(images.select(F.col(f"`{id_col}`").alias("id"), image.alias("image")).mapInPandas(described, f"id {kind}, c binary, n long, places binary, bits binary"), "corners")
-    classes = stored(seen.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("bits").alias("bits")), "images")
+    classes = stored(seen.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("bits").alias("bits")).withColumn("no", F.monotonically_increasing_id()), "images")
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [np.unique(parts_of(np.frombuffer(x, "<u8").reshape(-1, 4))) for x in b.bits]
-            yield pd.DataFrame({"part": np.concatenate(keys) if keys else [], "c": np.repeat(b.c.to_numpy(), [len(k) for k in keys])})
-
-    parts = classes.where("n > 0").select("c", "bits").mapInPandas(tables, "part long, c binary")
-    first = parts.groupBy("part").agg(F.min("c").alias("least"), F.count("*").alias("m")).where("m > 1").select("part", "least")
-    edges = parts.join(first, "part").where(F.col("c") != F.col("least")).groupBy("c", "least").agg(F.count("*").alias("n")).where(F.col("n") >= s.shared_parts)
-    near = components(edges.select(F.col("c").alias("u"), F.col("least").alias("v")))
-    sized = near.join(near.groupBy("root").agg(F.count("*").alias("m")), "root").select(F.col("node").alias("c"), F.col("root").alias("near"), F.ceil(F.col("m") / s.block).cast("int").alias("blocks"))
-    dealt = classes.join(sized, "c").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            yield pd.DataFrame({"part": np.concatenate(keys) if keys else [], "no": np.repeat(b.no.to_numpy(), [len(k) for k in keys])})
+
+    parts = stored(classes.where("n > 0").select("no", "bits").mapInPandas(tables, "part long, no long"), "image-parts")
+    near = components(sharing_pairs(parts, s.shared_parts, s.block))
+    sized = near.join(near.groupBy("root").agg(F.count("*").alias("m")), "root").select(F.col("node").alias("no"), F.col("root").alias("near"), F.ceil(F.col("m") / s.block).cast("int").alias("blocks"))
+    dealt = classes.join(sized, "no").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("near", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "c", "copies", "places", "bits")
 
     def compared(frame: pd.DataFrame) -> pd.DataFrame:

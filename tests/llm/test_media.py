@@ -50,3 +50,22 @@ def test_mosaic_of_odd_vectors():
     assert M.mosaic(None) is None and M.mosaic([1.0, 2.0, 3.0]) is None and M.mosaic([1.0, None, 2.0, 3.0]) is None
     assert M.mosaic([float("nan")] * 4) is None
     assert M.read_pgm(M.mosaic([0.0, 1.0, 2.0, 3.0])).shape == (16, 16)
+
+
+def test_pairs_are_counted_for_themselves(spark):
+    # Each part that 10 and 11 share is held by another image with a smaller number, too.
+    rows = [(p, no) for p in range(6) for no in (p, 10, 11)] + [(p, 12) for p in range(5)]
+    parts = spark.createDataFrame(rows, "part long, no long")
+    for block in (512, 1):
+        assert sorted(map(tuple, M.sharing_pairs(parts, 6, block).collect())) == [(10, 11)]
+        assert sorted(map(tuple, M.sharing_pairs(parts, 5, block).collect())) == [(10, 11), (10, 12), (11, 12)]
+
+
+def test_strong_edits_are_found_as_by_all_pairs(spark):
+    s, own = M.Settings(), np.random.default_rng(5)
+    images = [y for x in PHOTOS for y in (x, np.clip(x + own.normal(0, 15, x.shape), 0, 255), np.clip(x * 0.5 + own.normal(0, 6, x.shape), 0, 255))]
+    images = [np.asarray(x).astype(np.uint8) for x in images]
+    seen = [M.describe(x, s) for x in images]
+    n_links = [sum(i != j and M.agreeing(*seen[min(i, j)], *seen[max(i, j)], s) >= s.agreeing for j in range(len(seen))) for i in range(len(seen))]
+    got = run(spark, [(i, M.pgm(x)) for i, x in enumerate(images)])
+    assert min(n_links) >= 1 and [got[i].n_links for i in range(len(images))] == n_links
