@@ -40,14 +40,58 @@ def nearby_pairs(left: DataFrame, right: DataFrame, block: list[str], minutes: i
     return a.join(b, [*block, "bucket"]).withColumn("gap_s", gap).where(F.col("gap_s") <= width).drop("bucket")
 
 
+def numbered_bigrams(key: Column) -> Column:
+    """The bigrams of a text, each with its number among equal ones, so that a set of them is a multiset."""
+    grams = F.when(F.length(key) < 2, F.array().cast("array<string>")).when(key.isNotNull(), F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2))))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def numbered_dice(a: str, b: str, x: str, y: str) -> Column:
+    """``bigram_dice`` of the texts ``a`` and ``b`` from their numbered bigrams ``x`` and ``y``."""
+    total = F.size(x) + F.size(y)
+    return F.when(F.col(a) == F.col(b), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)
+
+
+def similar_titles(keys: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs (key, key_2) of the distinct, non-null ``key`` with their bigrams' Dice coefficient ``titles`` of at least ``least``, both ways and with itself.
+
+    Exact: tokens are bigrams numbered within their text. Two texts that reach ``least`` share
+    one of the rarest tokens of each, as many as may be missed plus one; only those are joined.
+    """
+    each = keys.select("key").where("key is not null").distinct().withColumn("grams", numbered_bigrams(F.col("key")))
+    tokens = each.select("key", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("key").orderBy("m", "token")
+    # With x and y tokens, least / 2 (x + y) are shared at least, so y >= least / (2 - least) x.
+    needed = F.greatest(F.lit(1), F.ceil(least / (2 - least) * F.col("n") - 1e-9))
+    rare = tokens.join(seen, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - needed + 1).select("key", "token")
+    met = rare.join(rare.withColumnRenamed("key", "key_2"), "token").where("key < key_2").select("key", "key_2").distinct()
+    both = met.join(each, "key").join(each.select(F.col("key").alias("key_2"), F.col("grams").alias("grams_2")), "key_2")
+    close = both.select("key", "key_2", numbered_dice("key", "key_2", "grams", "grams_2").alias("titles")).where(F.col("titles") >= least)
+    own = keys.select("key").where("key is not null").distinct()
+    return close.unionByName(close.select(F.col("key_2").alias("key"), F.col("key").alias("key_2"), "titles")).unionByName(own.select("key", F.col("key").alias("key_2"), F.lit(1.0).alias("titles")))
+
+
+def duplicate_candidates(rows: DataFrame, minutes: int = 240, least: float = 0.7) -> DataFrame:
+    """Pairs (id < id_2) of any cities whose times differ by at most ``minutes`` and whose titles are similar to ``least``.
+
+    Columns of ``rows``: id, title, venue, at; of the pairs: the same, those of the second with
+    ``_2``, gap_s and the similarities ``titles`` and ``venues``. Titles are compared once for each two that are distinct.
+    """
+    keyed = rows.select("id", "title", "venue", "at", alnum_key(F.col("title")).alias("key"), alnum_key(F.col("venue")).alias("place")).withColumn("grams", numbered_bigrams(F.col("place")))
+    left = keyed.join(similar_titles(rows.select("title").distinct().select(alnum_key(F.col("title")).alias("key")), least), "key").drop("key").withColumnRenamed("key_2", "key")
+    met = nearby_pairs(left, keyed, ["key"], minutes).where("id < id_2")
+    return met.withColumn("venues", numbered_dice("place", "place_2", "grams", "grams_2")).drop("key", "place", "place_2", "grams", "grams_2")
+
+
 def duplicate_score(pairs: DataFrame) -> DataFrame:
     """0.55 title, 0.25 date, 0.20 venue (0.7 and 0.3 without venues); merge from 0.92 within 15 minutes, review from 0.78.
 
-    Expects title, title_2, venue, venue_2 and gap_s.
+    Expects title, title_2, venue, venue_2 and gap_s, or their similarities titles and venues.
     """
-    titles = bigram_dice(alnum_key(F.col("title")), alnum_key(F.col("title_2")))
+    titles = F.col("titles") if "titles" in pairs.columns else bigram_dice(alnum_key(F.col("title")), alnum_key(F.col("title_2")))
     dates = F.greatest(F.lit(0.0), 1 - F.col("gap_s") / F.lit(14400.0))
-    venues = bigram_dice(alnum_key(F.col("venue")), alnum_key(F.col("venue_2")))
+    venues = F.col("venues") if "venues" in pairs.columns else bigram_dice(alnum_key(F.col("venue")), alnum_key(F.col("venue_2")))
     both = F.col("venue").isNotNull() & F.col("venue_2").isNotNull()
     score = F.when(both, 0.55 * titles + 0.25 * dates + 0.2 * venues).otherwise(0.7 * titles + 0.3 * dates)
     verdict = F.when((F.col("score") >= 0.92) & (F.col("gap_s") <= 900), "merge").when(F.col("score") >= 0.78, "review").otherwise("distinct")

@@ -55,6 +55,14 @@ def op_r05_r07_f11_duplicate_pairs(d):
     return identity.duplicate_score(_near_pairs(d)).select("id", "id_2", "score", "verdict")
 
 
+@query(None)
+def op_r07_duplicate_candidates(d):
+    """All pairs within four hours and with similar titles, of any city, date and status; without SQL, as that would compare all pairs."""
+    p = discovery.points(d)
+    rows = p.select(F.col("occurrence_id").alias("id"), "title", F.col("venue_name").alias("venue"), (F.col("starts_at") + F.make_dt_interval(mins=(F.col("occurrence_id") % 40).cast("int"))).alias("at"))
+    return identity.duplicate_score(identity.duplicate_candidates(rows)).select("id", "id_2", "score", "verdict")
+
+
 @query(sql("""++
 asked as (select s_suppkey as id, s_nationkey as city_id, replace(s_name, '0000', '00') as name from supplier),
 names as (select name from asked union select venue_name from venue),

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fairground.functions import text
 from fairground.operators import engagement, identity, queues, scores, taxonomy, writes
 from fairground.sources import web
 from fairground.streaming import runs
@@ -39,6 +40,19 @@ def test_duplicate_verdicts(spark):
     assert [r[0] for r in got] == ["merge", "merge", "distinct", "review"]
 
 
+def test_duplicate_candidates_equal_all_pairs(spark):
+    names = ["Jazz Night", "Jazz nights!", "jazz by night", "Rock Day", "Rock days", "aaaa", "aaa", "x", "X", "", "!", None, "Night of Jazz", "Jazz Knight", "Rock a day"]
+    rows = [(i, names[i * 7 % len(names)], None if i % 4 == 0 else ["Hall", "hall 2"][i % 2], datetime(2024, 1, 1, i * 5 % 24, i * 11 % 60)) for i in range(90)]
+    df = spark.createDataFrame([*rows, (90, "Jazz Night", None, datetime(2024, 2, 1, 8)), (91, "Jazz Night", None, datetime(2024, 2, 1, 12)), (93, "Jazz night", None, datetime(2024, 2, 1, 8, 5)), (92, "Jazz Night", None, None)], "id int, title string, venue string, `at` timestamp_ntz")
+    both = df.crossJoin(df.select(*[F.col(c).alias(f"{c}_2") for c in df.columns])).where("id < id_2")
+    both = both.withColumn("gap_s", F.abs(F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.col("at_2").cast("timestamp"))))
+    near = both.where("gap_s <= 14400").where(text.bigram_dice(text.alnum_key(F.col("title")), text.alnum_key(F.col("title_2"))) >= 0.7)
+    columns = ("id", "id_2", "score", "verdict")
+    got = pairs(identity.duplicate_score(identity.duplicate_candidates(df)), *columns)
+    assert got == pairs(identity.duplicate_score(near), *columns)
+    assert {"review", "merge", "distinct"} == {r[3] for r in got} and any(r[:2] == (90, 91) for r in got)
+
+
 def test_greedy_keeps_the_better_and_chains_apart(spark):
     rows = [("CH", "x", 1, 10.0, 46.0, 6.0), ("CH", "x", 2, 9.0, 46.04, 6.0), ("CH", "x", 3, 8.0, 46.08, 6.0), ("CH", "y", 4, 1.0, 46.0, 6.0)]
     df = spark.createDataFrame(rows, "country string, key string, id int, quality double, lat double, lon double")
