@@ -334,4 +334,4 @@ def op_n11_n09_whitelist(d):
 @query(None)
 def op_t17_stream_sessions(d):
     """Sessions of users, 30 minutes apart: an extension, as the ids are otherwise given."""
-    return runs.latest(runs.drain(runs.user_sessions(_stream(d)), "append").withColumn("batch", F.lit(0)), ["user_id", "start"])
+    return runs.last_batch(runs.drain(runs.user_sessions(_stream(d), delay=None), "complete"))

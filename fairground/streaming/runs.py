@@ -54,6 +54,11 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "v.*")
 
 
+def last_batch(rows: DataFrame) -> DataFrame:
+    """The whole result of a drained complete stream, for keys that may change between batches."""
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
+
+
 def signed_counter(events: DataFrame, key: str) -> DataFrame:
     """Running sum of +1 and -1 for each key, never told as less than 0."""
     delta = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
@@ -69,8 +74,9 @@ def sliding_errors(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "90 minutes", "15 minutes").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("w.start").alias("window_start"), "n", "errors")
 
 
-def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
+    """Sessions with their number of events; without ``delay`` there is no watermark, for complete mode, which tells those still open, too."""
+    return (events.withWatermark("ts", delay) if delay else events).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
 FAILURES, GAP_S, OPEN_S = 3, 15 * 60, 2 * 3600

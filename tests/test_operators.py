@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairground.functions import text
 from fairground.operators import engagement, identity, queues, scores, taxonomy, writes
+from fairground.plans import catalog, catalog_more  # noqa: F401  (registers its queries)
 from fairground.sources import web
 from fairground.streaming import runs
 
@@ -153,6 +154,17 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert first.count() == e.select("user_id", "event_type", F.to_date("ts")).distinct().count()
 
 
+def test_stream_sessions_include_the_last(spark, tmp_path):
+    e = _events(spark)
+    for i in (1, 0, 2):  # the first file comes late: sessions of an earlier batch are joined
+        e.where((F.col("event_id") >= 140 * i) & (F.col("event_id") < 140 * (i + 1))).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    batch = pairs(runs.user_sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), delay=None), "user_id", "start", "n")
+    stream = runs.source(spark, f"{tmp_path}/in", e)
+    assert pairs(runs.last_batch(runs.drain(runs.user_sessions(stream, delay=None), "complete")), "user_id", "start", "n") == batch
+    assert pairs(catalog.QUERIES["op_t17_stream_sessions"](spark, str(tmp_path)), "user_id", "start", "n") == batch
+
+
 def test_spacing_equals_the_sequential_rule(spark):
     e = _events(spark, 120)
     got = {r.event_id: r.slot_s for r in runs.spaced_requests(e, 900).collect()}
