@@ -167,5 +167,7 @@ def judge_urls(urls: DataFrame, listed: DataFrame, rules: dict[str, str], url_co
         at, path = parse_rule(text)
         fits = ((F.col("host") == at) | F.endswith("host", F.lit("." + at))) & F.startswith("path", F.lit(path))
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, rules[text]).otherwise(verdict)
-    by_list = F.when(any_listed(F.transform(host_keys(F.col("host")), pair)), "block").otherwise("allow")
+    # The empty key is not in the universe, so the cascade must not be asked for it.
+    asked = F.filter(host_keys(F.col("host")), lambda k: k != "")
+    by_list = F.when(any_listed(F.transform(asked, pair)), "block").otherwise("allow")
     return rows.select("row", "host", "path", rule.alias("rule"), verdict.alias("ruled"), by_list.alias("listing")).select("row", "host", "path", "rule", F.coalesce("ruled", "listing").alias("verdict"))

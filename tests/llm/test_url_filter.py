@@ -37,6 +37,15 @@ def test_verdicts(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute(r.url, {"bad.example.org", "été.example.com"})
 
 
+def test_the_empty_key_is_never_asked_for(spark):
+    # As many hosts are listed as not, so the first filter's rate is a half and it lets many an unknown key pass.
+    odd = [(1, None), (2, "http://a.x./p"), (3, "http://"), (4, "no scheme")]
+    for i in range(5):
+        pages = spark.createDataFrame(odd + [(5, f"http://bad{i}-{k}/") for k in range(60)] + [(6, f"http://good{k}/") for k in range(40)], "page_id long, url string")
+        got = U.judge_urls(pages, spark.createDataFrame([(f"bad{i}-{k}",) for k in range(60)], "key string"), {}).select("row.page_id", "verdict").distinct().collect()
+        assert sorted(map(tuple, got)) == [(n, "block" if n == 5 else "allow") for n in range(1, 7)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     listed = spark.createDataFrame([], "key string")
