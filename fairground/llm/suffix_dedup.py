@@ -3,7 +3,7 @@
 Every window of ``length`` bytes is owned by the smallest of the fingerprints of its
 ``seed``-byte substrings, which equal windows have at the same place. So windows that follow
 each other with one owner form a run, and equal windows lie in runs with equal owners: only
-there suffixes need sorting. Runs equal as a whole are counted by digests; of the rest, each
+there suffixes need sorting. Runs equal as a whole are counted by 128-bit digests; of the rest, each
 kind is taken once, and what stands to the right of the owner, and mirrored to the left of it,
 is sorted: multikey quicksort to a shallow depth, then blind tries for groups with longer common
 prefixes. Two windows are equal if both neighbours' prefixes reach over the window.
@@ -33,7 +33,7 @@ class Settings:
     chunk: int = 16_384  #: rows that are sorted at a time
 
 
-ODD, PLACE = np.uint64(0x9E3779B97F4A7C15), 20
+PLACE = 20
 RUN_WINDOWS = 1 << 19  #: windows of a text that are looked at together
 
 
@@ -45,20 +45,24 @@ def _inverse(odd: int) -> int:
 
 
 class Fingerprints:
-    """Polynomial hashes of all substrings of a text, by prefix sums modulo 2^64."""
+    """Polynomial hashes of all substrings of a text, by prefix sums modulo 2^64.
 
-    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    They choose owners only. Different substrings may share one, which costs time and no
+    right result: runs are told apart by digests of their bytes.
+    """
+
+    _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def __init__(self, data: np.ndarray, base: int) -> None:
-        if base not in self._tables:
-            rng = np.random.default_rng(base)
+    def __init__(self, data: np.ndarray) -> None:
+        if Fingerprints._tables is None:
+            rng = np.random.default_rng(1)
             values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
             odd = int(rng.integers(0, 1 << 62)) * 2 + 1
             n = RUN_WINDOWS + (1 << 16)
             with np.errstate(over="ignore"):
                 powers = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (odd, _inverse(odd))]
-            self._tables[base] = values, *powers
-        values, powers, self.undo = self._tables[base]
+            Fingerprints._tables = values, *powers
+        values, powers, self.undo = Fingerprints._tables
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * powers[: len(data)], out=self.sums[1:])
 
@@ -70,14 +74,13 @@ class Fingerprints:
 
 
 def runs(data: bytes, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
-    """(owner's fingerprint, two digests of the run's bytes, owner's place, first and last window) of a text's runs."""
+    """(owner's fingerprint, two halves of a digest of the run's bytes and its owner's place, owner's place, first and last window) of a text's runs."""
     x = np.frombuffer(data, np.uint8)
     width = s.length - s.seed + 1
     for begin in range(0, len(x) - s.length + 1, RUN_WINDOWS):
         part = x[begin : begin + RUN_WINDOWS + s.length - 1]
-        one, two = Fingerprints(part, 1), Fingerprints(part, 2)
         at = np.arange(len(part) - s.seed + 1)
-        owners = one(at, at + s.seed)
+        owners = Fingerprints(part)(at, at + s.seed)
         keys = owners >> np.uint64(PLACE) << np.uint64(PLACE) | at.astype(np.uint64)
         blocks = np.concatenate([keys, np.full(-len(keys) % width, ~np.uint64(0))]).reshape(-1, width)
         up, down = np.minimum.accumulate(blocks, 1).ravel(), np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
@@ -85,8 +88,11 @@ def runs(data: bytes, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
         own = (np.minimum(down[:n], up[width - 1 : width - 1 + n]) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         last = np.concatenate([first[1:], [n]]) - 1
-        ends = last + s.length
-        yield owners[own[first]], one(first, ends) ^ (own[first] - first).astype(np.uint64), two(first, ends), begin + own[first], begin + first, begin + last
+        digest = hashlib.blake2b
+        spans = zip((begin + first).tolist(), (begin + last + s.length).tolist(), (own[first] - first).tolist())
+        both = b"".join([digest(data[a:b], digest_size=16, salt=place.to_bytes(8, "little")).digest() for a, b, place in spans])
+        digests = np.frombuffer(both, "<u8").reshape(-1, 2)
+        yield owners[own[first]], digests[:, 0], digests[:, 1], begin + own[first], begin + first, begin + last
 
 
 def common_prefix(a: bytes, b: bytes) -> int:

@@ -122,3 +122,30 @@ def test_deep_shallow_order(items, shallow):
 def test_blind_trie_sorts(strings):
     order = S.trie_order(strings, list(range(len(strings))))
     assert [strings[i] for i in order] == sorted(strings)
+
+
+def test_thue_morse_texts(spark):
+    """Strings on which polynomial hashes modulo a power of two collide, whatever their base."""
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    one, two = t[:512], t[512:1024]
+    rows = [(1, "x" + one + "y"), (2, "z" + two + "w"), (3, "q" + one), (4, "r" + two + two)]
+    for length in (500, 512, 600):
+        assert run(spark, rows, length=length, seed=200) == brute(rows, length)
+
+
+def test_the_pipelines_length(spark):
+    """Passages of over 50 words go at the pipeline's length, those of some words stay."""
+    from corpus_pipeline import REPEATS
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (51, 55, 60, 80)] + [prose(12)]
+    rows = [(i, " ".join([prose(30), p, prose(r.randint(0, 40))])) for i, p in enumerate(passages * 3)] + [(99, prose(300))]
+    got = run(spark, rows, length=REPEATS.length, seed=REPEATS.seed, shallow=REPEATS.shallow)
+    assert got == brute(rows, REPEATS.length)
+    removed = {i: n for i, _, n, _, _ in got}
+    assert all(removed[i] >= len(passages[i % 5]) for i in range(15) if i % 5 < 4)
+    assert all(removed[i] == 0 for i in range(15) if i % 5 == 4) and removed[99] == 0
