@@ -9,15 +9,18 @@ by common words, and the score is shifted so that one cut holds for all.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ RUN = 65_536
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 6_000  #: labelled rows that the fit sees, at most
-    train_words: int = 1_024  #: words of a text that one training step sees, at most
+    sample_words: int = 20_000_000  #: words of those rows in all, at most
     buckets: int = 1 << 16
     dims: int = 12
     filters: int = 8  #: of each width
@@ -207,17 +210,25 @@ def _first_table(texts: list[np.ndarray], hashes: np.ndarray, y: np.ndarray, s:
     return table
 
 
-def fit_model(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
-    """Fits on texts and labels of 0 or 1. Without texts, or with one label only, scores are constant."""
+def fit_model(texts: Iterable[str], labels: Iterable[int], settings: Settings = Settings()) -> Model:
+    """Fits on texts and labels of 0 or 1. Without texts, or with one label only, scores are constant.
+
+    Texts are taken one by one and kept as word numbers, four bytes a word; one that would bring
+    them over ``sample_words`` is passed over.
+    """
     s = settings
     rng = np.random.default_rng(s.seed)
     lexicon = Lexicon(s.buckets)
-    rows, languages = [], []
-    for t in texts:
+    rows, kept, languages, held = [], [], [], 0
+    for t, label in zip(texts, labels):
         words = WORD.findall((t or "").lower())
+        if held + len(words) > s.sample_words:
+            continue
+        held += len(words)
         languages.append(language(words))
         rows.append(lexicon(words))
-    hashes, y, languages = lexicon.table(), np.array(labels, np.float64), np.array(languages)
+        kept.append(label)
+    hashes, y, languages = lexicon.table(), np.array(kept, np.float64), np.array(languages)
     held_back = rng.random(len(rows)) < s.validation
     train = np.flatnonzero(~held_back)
     table = _first_table([rows[i] for i in train], hashes, y[train], s, rng) if len(train) else np.zeros((s.buckets, s.dims), np.float32)
@@ -245,12 +256,8 @@ def fit_model(texts: list[str], labels: list[int], settings: Settings = Settings
         for start in range(0, len(order), s.batch):
             step += 1
             batch = order[start : start + s.batch]
-            crops = []
-            for i in batch:
-                first = int(rng.integers(0, max(1, len(rows[i]) - s.train_words + 1)))
-                crops.append(rows[i][first : first + s.train_words])
-            used, index = np.unique(np.concatenate(crops), return_inverse=True)
-            parts = np.split(index, np.cumsum([len(c) for c in crops])[:-1])
+            used, index = np.unique(np.concatenate([rows[i] for i in batch]), return_inverse=True)
+            parts = np.split(index, np.cumsum([len(rows[i]) for i in batch])[:-1])
             vectors = m.embed(hashes[used]) if len(used) else np.zeros((1, s.dims), np.float32)
             projections = m.projected(vectors)
             pooled = [m.pooled(p, projections) for p in parts]
@@ -314,13 +321,28 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
     """Fits on at most ``settings.sample_rows`` labelled rows, those whose id has the smallest hash.
 
-    Ids and hashes only choose rows. Null labels and ids take no part.
+    Ids and hashes only choose rows. Null labels and ids take no part. The rows are read by one
+    task, which fits; only the model comes to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = known.join(docs.select(F.col(f"`{id_col}`").alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(settings.sample_rows)
-    rows = texts.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text").limit(settings.sample_rows).collect()
-    return fit_model([r["text"] for r in rows], [r["label"] for r in rows], settings)
+    rows = texts.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text").limit(settings.sample_rows)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels_: list[int] = []
+
+        def texts_() -> Iterator[str]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    labels_.append(b.column("label")[i].as_py())
+                    yield b.column("text")[i].as_py()
+
+        model = fit_model(texts_(), (labels_[-1] for _ in count()), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.select("text", "label").coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else fit_model([], [], settings)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

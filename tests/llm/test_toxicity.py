@@ -83,3 +83,43 @@ def test_spark_fit_and_scores(spark):
     assert auc(np.array([got[i].score for i, *_ in rows]), y) > 0.97
     assert T.score_documents(docs.limit(0), m).count() == 0
     assert T.fit(docs.limit(0), labels, settings=SMALL).thresholds == {}
+
+
+def plain_score(m, text):
+    """The convolution over all places, written out."""
+    words = T.WORD.findall(text.lower())
+    vectors = [m.table[T.word_hashes(w, m.settings.buckets)].sum(0) for w in words]
+    features = []
+    for kernel, bias in zip(m.kernels, m.bias):
+        for f in range(m.settings.filters):
+            at = [sum(vectors[i + j] @ kernel[j][:, f] for j in range(len(kernel))) + bias[f] for i in range(len(words) - len(kernel) + 1)]
+            features.append(max([0.0, *at]))
+    z = np.array(features) @ m.out + m.out_bias
+    return m.score(np.array([z]), np.array([T.language(words)]))[0]
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    train = corpus(200, 7)
+    m = T.fit_model([t for _, t, _ in train], [y for *_, y in train], SMALL)
+    reader = T.Reader(m)
+    for text in ["", "one", "two words", *[t for _, t, _ in corpus(40, 8)]]:
+        assert abs(reader.score(text) - plain_score(m, text)) < 1e-5
+
+
+def test_fit_learns_from_all_of_a_long_text():
+    """Toxic words stand late in long texts; no clean words of such texts are learned as toxic."""
+    r = random.Random(9)
+    words = "the of and to in is garden river stone".split()
+    rows = [(" ".join([*(r.choice(words) for _ in range(3_000)), *(["nastix"] * (i % 4 == 0))]), int(i % 4 == 0)) for i in range(80)]
+    m = T.fit_model([t for t, _ in rows], [y for _, y in rows], SMALL)
+    reader = T.Reader(m)
+    clean, late = [reader.score(" ".join(r.choice(words) for _ in range(5_000)) + x) for x in ("", " nastix")]
+    assert clean < 0.3 <= late
+
+
+def test_sample_is_bounded_in_words():
+    s = T.Settings(epochs=1, buckets=1 << 10, sample_words=100)
+    long = ["nastix " * 90, "word " * 90, "word " * 5]
+    m = T.fit_model(long, [1, 0, 0], s)  # the second would go over the bound
+    n = T.fit_model([long[0], long[2]], [1, 0], s)
+    assert np.array_equal(m.out, n.out) and m.thresholds == n.thresholds
