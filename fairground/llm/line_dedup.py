@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, stored, unpacked
 
 #: The white space that a line's key loses at both ends: space and \x09 to \x0D.
 EDGE = " \t\n\x0b\x0c\r"
+#: A line is hot if it is more than this part of what is joined.
+HOT = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +43,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = keys.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
     # Two exchanges: a line that stands in most documents is counted in parts.
-    frequent = hashed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    dropped = hashed.join(frequent, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
+    counted = hashed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("id").alias("keeper"))
+    frequent = stored(counted.where(F.col("n") >= min_docs), "frequent-lines")
+    # A line that holds over 1/HOT of all documents' frequent lines is dealt to several tasks. There
+    # are fewer than HOT such lines, whatever the table's size, so they can be broadcast.
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    salted = frequent.withColumn("salts", F.when(F.col("n") * HOT > total, F.ceil(F.col("n") * HOT / F.lit(max(total, 1)))).otherwise(1).cast("int"))
+    hot = salted.where("salts > 1").select("h1", "h2", "salts")
+    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0))
+    dealt = hashed.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", salt).drop("salts")
+    keepers = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("h1", "h2", "salt", "keeper")
+    dropped = dealt.join(keepers, ["h1", "h2", "salt"]).where(F.col("id") != F.col("keeper"))
     # Rows with one id and one text lose the same lines, so a set of positions is theirs in common.
     places = dropped.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("places"))
 

@@ -69,3 +69,15 @@ def test_sql_says_the_same(spark):
 def test_native_plan(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame(CASES, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_hot_lines_are_dealt(spark, monkeypatch):
+    from fairground.llm import line_dedup as L
+
+    rows = [(i, f"a line that stands in all documents\nown line of number {i}, which stays\na line of some documents {i % 20}") for i in range(120)]
+    want = sorted((i, n, d, t) for i, n, d, t in brute(rows))
+    for hot in (2, 1_000):
+        monkeypatch.setattr(L, "HOT", hot)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in L.dedup_lines(df).collect())
+        assert got == want
