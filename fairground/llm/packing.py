@@ -19,6 +19,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Windows in a block, and tokens in a block that stay free so that windows can be uneven.
 BLOCK_WINDOWS, SLACK = 32, 16
@@ -130,6 +131,7 @@ class Packer:
 
 
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
+_tokenizers: dict[str, tuple[Tokenizer, list[str]]] = {}
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -140,7 +142,28 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return _encodings[path, pattern]
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
+    """The tokenizer of a file, and the strings of its added tokens."""
+    if path not in _tokenizers:
+        found = Tokenizer.from_file(path)
+        _tokenizers[path] = found, [t.content for t in found.get_added_tokens_decoder().values()]
+    return _tokenizers[path]
+
+
+def ids_of(text: str, ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> np.ndarray:
+    """The ids that the tokenizer of the file gives, without tokens added around the text.
+
+    They are taken from the same vocabulary's ranks, which is faster, unless the text holds
+    the string of an added token.
+    """
+    if tokenizer_path:
+        full, added = tokenizer(tokenizer_path)
+        if any(a in text for a in added):
+            return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoding(ranks_path, pattern).encode_to_numpy(text)
+
+
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, tokenizer_path: str | None = None) -> DataFrame:
     """A row for each piece of each document, with the sequence and the offset it stands at.
 
     Each scan partition packs its own rows block by block: no shuffle, and a worker holds
@@ -149,11 +172,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
     number and a count, so a task that runs again gives the same), ``offset`` and, if
     ``with_ids``, ``ids``. Each row is a document, also if ids repeat or are null; null text
     is empty and has only the end id. Other columns are not read. An empty table has no
-    pieces. Only a sequence shorter than ``capacity`` that is no power of two needs padding.
+    pieces. With ``tokenizer_path``, strings of that tokenizer's added tokens in a text have its
+    ids; without, they are ordinary text. Only a sequence shorter than ``capacity`` that is no power of two needs padding.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, packer = encoding(ranks_path, pattern), Packer(capacity)
+        packer = Packer(capacity)
         count, base = 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         out: list[tuple] = []
 
@@ -171,7 +195,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         for b in batches:
             for doc, text in zip(b.id.tolist(), b.text.tolist()):
-                ids = np.append(enc.encode_to_numpy(text), np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids_of(text, ranks_path, pattern, tokenizer_path), np.uint32(end_id)).astype("<u4")
                 placed(packer.add((None if pd.isna(doc) else doc, ids, len(ids), 0), len(ids)))
             if out:
                 yield pd.DataFrame(out, columns=names)

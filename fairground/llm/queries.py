@@ -12,6 +12,7 @@ from . import ann, bpe, line_dedup, media, ngram_join, packing, suffix_dedup, to
 from .common import spread, table, workspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Domains on the block list; a url on one of them or on a subdomain is blocked.
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
@@ -19,7 +20,7 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spread(table(spark, sf_dir, "documents")), RANKS, PATTERN, capacity=1024, end_id=0, with_ids=False)
+    return packing.pack(spread(table(spark, sf_dir, "documents")), RANKS, PATTERN, capacity=1024, end_id=0, with_ids=False, tokenizer_path=TOKENIZER)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fairground.llm import packing
-from fairground.llm.queries import PATTERN, RANKS
+from fairground.llm.queries import PATTERN, RANKS, TOKENIZER
 
 SCHEMA = "doc_id long, text string, start string, `offset` string"
 
@@ -18,9 +18,7 @@ def frame(spark, rows):
 
 
 def tokenizer():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 @given(st.lists(st.integers(1, 400), max_size=40), st.integers(1, 6))
@@ -44,7 +42,7 @@ def test_windows_rise_when_capacity_is_exceeded():
 
 
 def check(spark, rows, capacity=64):
-    out = packing.pack(frame(spark, rows).repartition(2), RANKS, PATTERN, capacity=capacity, end_id=0).collect()
+    out = packing.pack(frame(spark, rows).repartition(2), RANKS, PATTERN, capacity=capacity, end_id=0, tokenizer_path=TOKENIZER).collect()
     t = tokenizer()
     texts = defaultdict(list)
     for i, x in rows:
@@ -71,7 +69,7 @@ def check(spark, rows, capacity=64):
 
 def test_pack_matches_the_tokenizer(spark):
     rows = [(i, "The quick brown fox, no. %d!\n\n" % i * (i % 37)) for i in range(200)]
-    rows += [(500, None), (501, ""), (502, "é" * 5000), (503, "same"), (503, "same"), (None, "no id <|endoftext|> 日本語"), (504, "a" * 30000)]
+    rows += [(500, None), (501, ""), (502, "é" * 5000), (503, "same"), (503, "same"), (None, "no id <|endoftext|> 日本語"), (505, "x <|endoftext|> y"), (504, "a" * 30000)]
     padding, total = check(spark, rows)
     assert padding <= 0.1 * total
 
@@ -84,3 +82,8 @@ def test_little_padding(spark):
     rows = [(i, "word " * (13 * i % 700)) for i in range(600)]
     padding, total = check(spark, rows, 1024)
     assert padding < 0.03 * total
+
+
+def test_special_tokens_have_their_ids():
+    assert packing.ids_of("x <|endoftext|> y", RANKS, PATTERN, TOKENIZER).tolist() == [87, 220, 50256, 331]
+    assert len(packing.ids_of("x <|endoftext|> y", RANKS, PATTERN)) == 9
