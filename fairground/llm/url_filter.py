@@ -51,6 +51,10 @@ def _mixed(h1: np.ndarray, h2: np.ndarray, level: int, i: int) -> np.ndarray:
     return x
 
 
+class TooLarge(ValueError):
+    """A cascade would take more memory than it may."""
+
+
 class Cascade:
     """Bitmaps of the levels, each with its number of bits and hash functions."""
 
@@ -85,8 +89,8 @@ def build_cascade(keys: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade:
 
     The first level's rate is listed / (1.41 x others) and later ones' is a half, so its bits
     are about 1.44 x listed x log2(others / listed) plus a few for each listed key. It grows
-    with the listed keys that occur; beyond ``max_bytes`` ValueError is raised before a
-    bitmap is gathered.
+    with the listed keys that occur; beyond ``max_bytes`` TooLarge is raised before a bitmap
+    is gathered.
     """
     cascade = Cascade()
     n = {bool(r["listed"]): r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
@@ -112,7 +116,7 @@ def build_cascade(keys: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade:
             return cascade
         bits, hashes = _bits(count, min(0.5, listed / (1.41 * max(others, 1))) if level == 0 else 0.5)
         if cascade.size() + bits / 8 > max_bytes:
-            raise ValueError(f"the cascade would take over {max_bytes} bytes; join the list instead")
+            raise TooLarge(f"the cascade would take over {max_bytes} bytes")
 
         def positions(batches: Iterator[pd.DataFrame], level=level, bits=bits, hashes=hashes) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -138,7 +142,8 @@ def judge_urls(urls: DataFrame, listed: DataFrame, rules: dict[str, str], url_co
     ``rules`` maps ``host/path`` to allow or block: a rule fits its host and all subdomains if
     the path starts with the rule's, and the longest wins. Without a rule, a url is blocked if
     its host or a domain above it is among ``listed`` (column ``key``; nulls and repeats are
-    ignored), else allowed. Null urls and urls without ``://`` have empty host and path, which
+    ignored), else allowed. A cascade of over ``max_bytes`` isn't built; the list is then joined, with
+    the same result. Null urls and urls without ``://`` have empty host and path, which
     no rule fits. Rows that repeat stay; an empty table gives an empty table.
     """
     spark = urls.sparkSession
@@ -148,26 +153,32 @@ def judge_urls(urls: DataFrame, listed: DataFrame, rules: dict[str, str], url_co
     pair = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
 
     hosts = rows.select("host").distinct()
+    names = listed.select(F.translate(key, UPPER, LOWER).alias("key"), F.lit(True).alias("listed")).where("key is not null and key <> ''").distinct()
     universe = hosts.select(F.explode(host_keys(F.col("host"))).alias("key")).where("key <> ''").distinct()
-    marked = universe.join(listed.select(F.translate(key, UPPER, LOWER).alias("key"), F.lit(True).alias("listed")).where("key is not null").distinct(), "key", "left")
+    marked = universe.join(names, "key", "left")
     marked = stored(marked.select(pair(key).alias("p"), F.coalesce("listed", F.lit(False)).alias("listed")).select("p.*", "listed"), "url-keys")
-    cascade = spark.sparkContext.broadcast(build_cascade(marked, max_bytes))
-
-    @F.pandas_udf("boolean")
-    def any_listed(pairs: pd.Series) -> pd.Series:
-        sizes = pairs.map(len).to_numpy()
-        flat = [p for ps in pairs for p in ps]
-        h1, h2 = (np.array([p[k] for p in flat], np.int64) for k in ("h1", "h2"))
-        hit = cascade.value.holds(h1, h2)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        return pd.Series(np.bincount(of, weights=hit, minlength=len(sizes)) > 0)
+    # The empty key is not in the universe, so the cascade must not be asked for it.
+    asked = F.filter(host_keys(F.col("host")), lambda k: k != "")
+    try:
+        cascade = spark.sparkContext.broadcast(build_cascade(marked, max_bytes))
+    except TooLarge:
+        blocked = hosts.select("host", F.explode(host_keys(F.col("host"))).alias("key")).join(names, "key", "left_semi").select("host", F.lit(True).alias("is_listed")).distinct()
+        rows, is_listed = rows.join(blocked, "host", "left"), F.col("is_listed")
+    else:
+
+        @F.pandas_udf("boolean")
+        def any_listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            sizes = h1.map(len).to_numpy()
+            flat = [np.concatenate([np.zeros(0, np.int64), *h]).astype(np.int64) for h in (h1, h2)]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            return pd.Series(np.bincount(of, weights=cascade.value.holds(*flat), minlength=len(sizes)) > 0)
+
+        is_listed = any_listed(F.transform(asked, lambda k: F.xxhash64(k)), F.transform(asked, lambda k: F.xxhash64(F.lit(1), k)))
 
     rule = verdict = F.lit(None).cast("string")
     for text in sorted(rules, key=len):  # later ones, the longer, come first
         at, path = parse_rule(text)
         fits = ((F.col("host") == at) | F.endswith("host", F.lit("." + at))) & F.startswith("path", F.lit(path))
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, rules[text]).otherwise(verdict)
-    # The empty key is not in the universe, so the cascade must not be asked for it.
-    asked = F.filter(host_keys(F.col("host")), lambda k: k != "")
-    by_list = F.when(any_listed(F.transform(asked, pair)), "block").otherwise("allow")
+    by_list = F.when(is_listed, "block").otherwise("allow")
     return rows.select("row", "host", "path", rule.alias("rule"), verdict.alias("ruled"), by_list.alias("listing")).select("row", "host", "path", "rule", F.coalesce("ruled", "listing").alias("verdict"))

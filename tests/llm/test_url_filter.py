@@ -64,3 +64,11 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert c.size() < 3000 * 2 * 8
     with pytest.raises(ValueError):
         U.build_cascade(df, max_bytes=100)
+
+
+def test_a_list_too_long_for_a_cascade_is_joined(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in URLS], "page_id long, url string")
+    listed = spark.createDataFrame([("bad.example.org",), (None,), ("",), ("été.example.com",)], "key string")
+    columns = ("row.page_id", "row.url", "host", "path", "rule", "verdict")
+    plain, joined = (sorted(map(tuple, U.judge_urls(pages, listed, RULES, max_bytes=n).select(*columns).collect()), key=str) for n in (U.MAX_BYTES, 1))
+    assert plain == joined and len(joined) == len(URLS)
