@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -48,11 +49,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Characters from which on a text is split piece by piece.
+LONG = 1 << 20
+
+
 class BpeCodec:
     """Encodes and decodes by a rank table. ``pattern`` splits a text into pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token in ranks:
@@ -157,7 +162,7 @@ class BpeCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
+        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
 
     def piece(self, piece: str) -> tuple[str, bytes]:
         """A piece's ids as decimals joined by blanks, and the bytes that they decode to."""
@@ -167,17 +172,27 @@ class BpeCodec:
             self.pieces.put(piece, found)
         return found
 
+    def runs(self, text: str, run: int) -> Iterator[list[str]]:
+        """The pieces of a text, some thousand at a time; those of a long text are not all held."""
+        if len(text) <= LONG:
+            pieces = self.pattern.findall(text)
+            yield from (pieces[i : i + run] for i in range(0, len(pieces), run))
+            return
+        found = self.pattern.finditer(text)
+        while part := [m.group() for m in islice(found, run)]:
+            yield part
+
     def digest(self, text: str, run: int = 8192) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids joined by blanks, SHA-256 of the decoded bytes."""
         n, ids_hash, byte_hash = 0, hashlib.sha256(), hashlib.sha256()
-        pieces = self.split(text)
-        for i in range(0, len(pieces), run):
-            recent = self.pieces.new.get
-            decimals, decoded = zip(*[recent(p) or self.piece(p) for p in pieces[i : i + run]])
-            line = (" " if i else "") + " ".join(decimals)
-            n += line.count(" ") + (not i)
+        recent = self.pieces.new.get
+        for pieces in self.runs(text, run):
+            decimals, decoded = zip(*[recent(p) or self.piece(p) for p in pieces])
+            line = (" " if n else "") + " ".join(decimals)
+            n += line.count(" ") + (not n)
             ids_hash.update(line.encode())
             byte_hash.update(b"".join(decoded))
+            recent = self.pieces.new.get
         return n, ids_hash.hexdigest(), byte_hash.hexdigest()
 
 
@@ -192,7 +207,7 @@ def codec(path: str, pattern: str) -> BpeCodec:
 
 
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (array<int>); null texts have no ids."""
+    """``docs`` with ``token_ids`` (array<int>); null texts have no ids. A column of that name is replaced."""
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -203,7 +218,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with ``decoded`` (binary), the bytes of the ids."""
+    """``docs`` with ``decoded`` (binary), the bytes of the ids; a column of that name is replaced."""
 
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
