@@ -25,8 +25,6 @@ from .common import packed, stored, unpacked
 from .graph import components
 
 WORD = re.compile(r"\w+")
-#: Whether a text has any of WORD's characters, for Java: its own \w has marks and joiners, too.
-HAS_WORD = r"[\p{L}\p{N}_]"
 
 
 @dataclass(frozen=True)
@@ -38,6 +36,7 @@ class Settings:
     tolerance: float = 1e-6  #: posterior probability under which a pair is dropped
     step: int = 40  #: MinHash values compared at a time
     block: int = 1_024  #: classes of a block
+    block_bytes: int = 32 << 20  #: bytes of text of a block, unless one text is longer
     seed: int = 5
 
     @property
@@ -218,12 +217,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
             rows = []
             for text in b.text:
                 g = shingles(text, s.words)
-                rows.append((hashlib.blake2b(g.tobytes(), digest_size=16).digest(), len(g), signature(g, s).tobytes()) if len(g) else (None, 0, None))
-            yield pd.DataFrame({"id": b.id, "text_hash": b.text_hash, "c": [r[0] for r in rows], "n": [r[1] for r in rows], "sig": [r[2] for r in rows]})
+                rows.append((hashlib.blake2b(g.tobytes(), digest_size=16).digest(), len(g), len(text), signature(g, s).tobytes()) if len(g) else (None, 0, 0, None))
+            yield pd.DataFrame({"id": b.id, "text_hash": b.text_hash, "c": [r[0] for r in rows], "n": [r[1] for r in rows], "bytes": [r[2] for r in rows], "sig": [r[3] for r in rows]})
 
-    signs = stored(base.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(signed, f"id {kind}, text_hash long, c binary, n long, sig binary"), "signatures")
+    signs = stored(base.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(signed, f"id {kind}, text_hash long, c binary, n long, bytes long, sig binary"), "signatures")
     worded = signs.where("c is not null")
-    classes = worded.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = worded.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +236,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     edges = bands.join(shared, "band").where(F.col("c") != F.col("least")).select(F.col("c").alias("u"), F.col("least").alias("v"))
     near = components(edges)
 
-    sized = near.join(near.groupBy("root").agg(F.count("*").alias("m")), "root").select(F.col("node").alias("c"), F.col("root").alias("near"), F.ceil(F.col("m") / s.block).cast("int").alias("blocks"))
+    # Blocks are bounded in classes and in bytes of text.
+    weighed = near.join(classes.select(F.col("c").alias("node"), "bytes"), "node")
+    sizes = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / s.block, F.sum("bytes") / s.block_bytes)).cast("int").alias("blocks"))
+    sized = near.join(sizes, "root").select(F.col("node").alias("c"), F.col("root").alias("near"), "blocks")
     wanted = classes.join(sized, "c")
 
     def compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +303,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     """
     found = link(docs, id_col, text_col, settings)
     first = found.rows.where("c is not null").join(found.links, "c", "left").groupBy(F.coalesce("root", "c").alias("g")).agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    rows = packed(docs, id=F.col(f"`{id_col}`"), text_hash=F.xxhash64(F.col(f"`{text_col}`")), worded=F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(HAS_WORD))
-    keys = first.select(F.col("first.id").alias("k"), F.col("first.text_hash").alias("h"))
-    kept = rows.where("worded").join(keys, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["id", "text_hash"])
-    return unpacked(kept.select("row").unionByName(rows.where("not worded").select("row")), docs)
+    wordless = found.rows.where("c is null").select("id", "text_hash").distinct()
+    keys = first.select(F.col("first.id").alias("k"), F.col("first.text_hash").alias("h"), F.lit(True).alias("worded")).unionByName(wordless.select(F.col("id").alias("k"), F.col("text_hash").alias("h"), F.lit(False).alias("worded")))
+    rows = packed(docs, id=F.col(f"`{id_col}`"), text_hash=F.xxhash64(F.col(f"`{text_col}`")), place=F.monotonically_increasing_id())
+    kept = rows.join(keys, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
+    one = kept.withColumn("place", F.when(F.col("worded"), -1).otherwise(F.col("place"))).dropDuplicates(["id", "text_hash", "place"])
+    return unpacked(one.select("row"), docs)
