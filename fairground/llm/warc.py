@@ -4,7 +4,7 @@ A payload becomes rows of record identifier and chunk number, each with the dige
 payload so far. Each row is one WARC record: the first chunk a response, later ones
 continuations (segments, as the standard has them), equal payloads revisits. Spark's text
 writer and reader carry the archives, so any store that Spark reaches will do, and a reader
-splits them at record boundaries. No step holds more than one chunk of a payload beside what
+splits archives that are not compressed at record boundaries. No step holds more than one chunk of a payload beside what
 the source's row itself is.
 """
 

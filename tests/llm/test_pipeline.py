@@ -87,3 +87,20 @@ def test_held_out_fold(spark):
     got = spark.range(200).select("id", held_out(F.col("id"))).collect()
     assert [r[1] for r in got] == [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in got]
     assert 20 < np.sum([r[1] for r in got]) < 80
+
+
+def test_empty_repeated_and_very_long(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60_000))
+    tables = {"empty": [], "odd": [(1, long, None, None, None), (2, "same text " * 30, None, None, None), (2, "same text " * 30, None, None, None), (3, None, None, None, None), (4, "", None, None, None)]}
+    for name, rows in tables.items():
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        ids = {x.doc_id for x in got}
+        assert ids == {i for i, *_ in rows}
+        whole = sum(x.length for x in got if x.doc_id == 1)
+        assert whole == max([x.doc_tokens for x in got if x.doc_id == 1], default=0)
+    assert corpus_pipeline.run(spark, at).where("doc_id = 1").agg(F.max("doc_tokens")).first()[0] > 60_000
