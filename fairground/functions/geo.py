@@ -82,8 +82,8 @@ def wrap_longitude(lon: float) -> float:
 
 
 def radius_for_population(population: Column) -> Column:
-    """Kilometres to search around a city."""
-    return F.when(population >= 5_000_000, 35).when(population >= 1_000_000, 25).when(population >= 250_000, 18).when(population >= 50_000, 12).otherwise(8)
+    """Kilometres to search around a city; the least where its population isn't known."""
+    return F.when(population >= 5_000_000, 18).when(population >= 1_000_000, 15).when(population >= 250_000, 12).when(population >= 50_000, 10).otherwise(8)
 
 
 def checked_pair(lat: Column, lon: Column, city_lat: Column, city_lon: Column, max_km: float) -> Column:

@@ -67,17 +67,24 @@ def url_host(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(x, "^[a-zA-Z]+://([^/?#:]+)", 1)), "^www[.]", "")
 
 
-#: Query parameters that only track.
-TRACKING = "utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref"
+#: Query parameters that only track, beside those that begin with utm_.
+TRACKING = ("fbclid", "gclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "ref", "source")
+ABSOLUTE = r"(?i)^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?"
 
 
 def canonical_url(x: Column) -> Column:
-    """Without fragment, tracking parameters and a last slash; scheme and host in lower case."""
-    plain = F.regexp_replace(x, "#.*$", "")
-    plain = F.regexp_replace(plain, f"([?&])(?:{TRACKING})=[^&]*", "$1")
-    plain = F.regexp_replace(F.regexp_replace(plain, "[?&]+$", ""), "([?&])&+", "$1")
-    start = F.regexp_extract(plain, "^([a-zA-Z]+://[^/?#]*)", 1)
-    return F.regexp_replace(F.concat(F.lower(start), F.substr(plain, F.length(start) + 1)), "/$", "")
+    """An absolute http or https url without fragment and tracking parameters; null for others.
+
+    Scheme and host are in lower case, a port that the scheme has anyway goes, an empty path is a slash.
+    """
+    part = lambda i: F.regexp_extract(F.trim(x), ABSOLUTE, i)
+    scheme, path, query = F.lower(part(1)), part(3), part(4)
+    host = F.concat(F.regexp_extract(part(2), "^(.*@)?", 0), F.lower(F.regexp_replace(part(2), "^.*@", "")))
+    host = F.regexp_replace(host, F.when(scheme == "http", ":80$").otherwise(":443$"), F.lit(""))
+    key = lambda q: F.lower(F.split_part(q, F.lit("="), F.lit(1)))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda q: ~F.startswith(key(q), F.lit("utm_")) & ~key(q).isin(*TRACKING)), "&")
+    url = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    return F.when(scheme != "", url)
 
 
 def trigrams(x: Column) -> Column:

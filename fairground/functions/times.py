@@ -38,9 +38,15 @@ def backoff_seconds(attempts: Column, base: int = 5, cap: int = 300) -> Column:
     return F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))).cast("int")
 
 
-def retry_minutes(error: Column, cadence_minutes: Column) -> Column:
-    """Delay after a failure: long for what won't mend, short for what may, else the source's cadence."""
-    return F.when(error.rlike("(?i)robots|forbidden|403|not found|404|410"), 1440).when(error.rlike("(?i)429|rate limit|too many"), 60).when(error.rlike("(?i)timeout|timed out|5[0-9][0-9]|network"), 15).otherwise(cadence_minutes)
+#: Errors that need a change of the catalogue, and errors that pass.
+LASTING = r"(?i)direct_http_(?:401|403|404|410)\b|direct_off_domain_url|direct_response_too_large|invalid peer certificate|failed to lookup address information"
+PASSING = r"(?i)direct_timeout|direct_http_(?:429|5\d\d)\b|error sending request"
+
+
+def retry_minutes(error: Column, weekly: Column) -> Column:
+    """Delay after a failure of a source, longer for sources that are read weekly: a day or a week, two hours or a day, else half an hour or six hours."""
+    by_cadence = lambda other, week: F.when(F.coalesce(weekly, F.lit(False)), week * 60).otherwise(other)
+    return F.when(error.rlike(LASTING), by_cadence(24 * 60, 7 * 24)).when(error.rlike(PASSING), by_cadence(2 * 60, 24)).otherwise(by_cadence(30, 6))
 
 
 def week_number(day: Column) -> Column:
@@ -48,21 +54,24 @@ def week_number(day: Column) -> Column:
 
 
 def quick_range(name: str, asof: datetime) -> tuple[datetime, datetime]:
-    """Start and end of the ranges that users pick by name."""
-    day = datetime.combine(asof.date(), time())
-    end_of = lambda d: d + timedelta(days=1) - timedelta(microseconds=1)
-    if name == "now":
-        return asof, asof + timedelta(hours=2)
-    if name == "today":
-        return asof, end_of(day)
-    if name == "tonight":
-        return max(asof, day + timedelta(hours=18)), day + timedelta(days=1, hours=6)
-    if name == "tomorrow":
-        return day + timedelta(days=1), end_of(day + timedelta(days=1))
-    if name == "weekend":
-        friday = day + timedelta(days=(4 - day.weekday()) % 7 if day.weekday() < 5 else 4 - day.weekday())
-        return max(asof, friday + timedelta(hours=18)), end_of(friday + timedelta(days=2))
-    spans = {"week": 7, "month": 30, "year": 365}
-    if name not in spans:
+    """Start and end of the ranges that users pick by name.
+
+    A night runs from 18:00 to 6:00, and until 6:00 it is still the last one. The weekend is that
+    of the next Friday (today, if it is one) from 18:00 to Sunday 23:59.
+    """
+    day, one = datetime.combine(asof.date(), time()), timedelta(days=1)
+    evening, morning = day + timedelta(hours=18), timedelta(hours=6)
+    friday = evening + one * ((4 - day.weekday()) % 7)
+    ranges = {
+        "now": (asof, asof + timedelta(hours=2)),
+        "today": (asof, day + one),
+        "tonight": (evening - one if asof.hour < 6 else max(asof, evening), day + one + morning),
+        "tomorrow": (day + one, day + 2 * one),
+        "weekend": (friday, friday + 2 * one + timedelta(hours=5, minutes=59)),
+        "week": (asof, asof + 7 * one),
+        "month": (asof, asof + 30 * one),
+        "year": (asof, asof + 365 * one),
+    }
+    if name not in ranges:
         raise ValueError(f"no range {name!r}")
-    return asof, asof + timedelta(days=spans[name])
+    return ranges[name]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import Viewport, haversine_km, jitter
-from ..functions.text import fold, tokens
+from ..functions.text import fold, similarity, tokens
 from ..plans.domain import PUBLIC_STATUSES, Domain
 
 
@@ -50,32 +50,55 @@ def offer_summary(offers: DataFrame) -> DataFrame:
     )
 
 
-def points(d: Domain, f: Filters | None = None) -> DataFrame:
+def points(d: Domain, f: Filters | None = None, *, venues: bool = True, offers: bool = True, public_venues: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Occurrences with event, venue, city, offers and a location.
 
-    The date range is applied to the occurrences before any join.
+    The date range is applied to the occurrences before any join. What isn't asked for isn't
+    joined: without ``venues`` there is neither venue, city nor location, without ``offers`` no
+    price. ``only`` (occurrence_id, event_id) names the rows of a page; order lines of other events
+    are then passed over where they are scanned. With ``public_venues``, other venues are unknown.
     """
-    occurrences, events = d.occurrences(), d.events()
+    ids = only.select("event_id").distinct() if only is not None else None
+    occurrences, events = d.occurrences(ids), d.events(ids, hosts=venues)
     if f is not None:
         occurrences = occurrences.where(F.col("starts_at").between(F.lit(f.start).cast("timestamp_ntz"), F.lit(f.end).cast("timestamp_ntz")))
         events = events.where(F.col("status").isin(*PUBLIC_STATUSES))
-    e = occurrences.join(events, "event_id").join(d.venues(), F.col("event_venue_id") == F.col("venue_id"), "left")
-    e = e.join(d.cities(), F.coalesce("venue_city_id", "event_city_id") == F.col("city_id"), "left").join(offer_summary(d.offers()), "event_id", "left")
-    free = F.when(F.col("is_free"), 0.0)
-    exact, at_venue = F.col("occ_lat").isNotNull() & F.col("occ_lon").isNotNull(), F.col("venue_lat").isNotNull() & F.col("venue_lon").isNotNull()
-    return e.select(
-        "occurrence_id", "event_id", "slug", "title", "category_slug", "genres", "starts_at", "ends_at", "venue_id", "venue_name", "is_public", "city_id", "city_name", "country_id", "is_free", "is_verified", "is_demo", "status",
-        F.coalesce("offer_from", free).alias("price_from"),
-        F.coalesce("offer_to", free).alias("price_to"),
-        (F.coalesce("offer_tickets", F.lit(False)) | F.col("is_free")).alias("has_tickets"),
-        F.coalesce("occ_capacity", "venue_capacity").alias("capacity"),
-        F.coalesce("wheelchair", F.lit(False)).alias("wheelchair"),
-        F.when(exact, "exact").when(at_venue, "venue").otherwise("city").alias("location_precision"),
-        F.coalesce("occ_lat", "venue_lat", "city_lat").alias("plain_lat"),
-        F.coalesce("occ_lon", "venue_lon", "city_lon").alias("plain_lon"),
-        F.coalesce("occ_lat", "venue_lat", F.col("city_lat") + jitter(F.col("event_id"), 0, 0.012)).alias("latitude"),
-        F.coalesce("occ_lon", "venue_lon", F.col("city_lon") + jitter(F.col("event_id"), 1, 0.018)).alias("longitude"),
-    )
+    if only is not None:
+        occurrences = occurrences.join(F.broadcast(only.select("occurrence_id")), "occurrence_id", "left_semi")
+    e = occurrences.join(events, "event_id")
+    columns = ["occurrence_id", "event_id", "slug", "title", "category_slug", "genres", "starts_at", "ends_at", "is_free", "is_verified", "is_demo", "status", F.coalesce("wheelchair", F.lit(False)).alias("wheelchair")]
+    if venues:
+        known = d.venues().where("is_public") if public_venues else d.venues()
+        e = e.join(known, F.col("event_venue_id") == F.col("venue_id"), "left").join(d.cities(), F.coalesce("venue_city_id", "event_city_id") == F.col("city_id"), "left")
+        exact, at_venue = F.col("occ_lat").isNotNull() & F.col("occ_lon").isNotNull(), F.col("venue_lat").isNotNull() & F.col("venue_lon").isNotNull()
+        columns += [
+            "venue_id", "venue_name", "is_public", "city_id", "city_name", "country_id",
+            F.coalesce("occ_capacity", "venue_capacity").alias("capacity"),
+            F.when(exact, "exact").when(at_venue, "venue").otherwise("city").alias("location_precision"),
+            F.coalesce("occ_lat", "venue_lat", "city_lat").alias("plain_lat"),
+            F.coalesce("occ_lon", "venue_lon", "city_lon").alias("plain_lon"),
+            F.coalesce("occ_lat", "venue_lat", F.col("city_lat") + jitter(F.col("event_id"), 0, 0.012)).alias("latitude"),
+            F.coalesce("occ_lon", "venue_lon", F.col("city_lon") + jitter(F.col("event_id"), 1, 0.018)).alias("longitude"),
+        ]
+    if offers:
+        e = e.join(offer_summary(d.offers(ids)), "event_id", "left")
+        free = F.when(F.col("is_free"), 0.0)
+        columns += [F.coalesce("offer_from", free).alias("price_from"), F.coalesce("offer_to", free).alias("price_to"), (F.coalesce("offer_tickets", F.lit(False)) | F.col("is_free")).alias("has_tickets")]
+    return e.select(*columns)
+
+
+def needs(f: Filters) -> dict[str, bool]:
+    """What ``filtered`` needs ``points`` to join for the filters that are set."""
+    given = lambda *xs: any(x is not None and x is not False for x in xs)
+    return {
+        "venues": given(f.city_id, f.country_id, f.capacity_min, f.capacity_max, f.capacity_unknown, f.venue_only, f.latitude, f.longitude, f.query),
+        "offers": given(f.free_only, f.priced_only, f.price_min, f.price_max, f.tickets_only),
+    }
+
+
+def described(d: Domain, ids: DataFrame, f: Filters) -> DataFrame:
+    """The rows of a page (occurrence_id, event_id) with all that ``points`` tells of them, in order."""
+    return points(d, f, only=ids).orderBy("starts_at", "occurrence_id")
 
 
 def text_matches(query: str, title: Column, venue: Column) -> Column:
@@ -127,41 +150,46 @@ def page(rows: DataFrame, f: Filters) -> DataFrame:
 
 
 def discover(d: Domain, f: Filters) -> DataFrame:
-    """A page of events, with the distance where a centre is given."""
-    rows = filtered(points(d, f), f)
+    """A page of events, with the distance where a centre is given.
+
+    The page is cut on what the filters need; names, prices and places are joined to its rows alone.
+    """
+    ids = page(filtered(points(d, f, **needs(f)), f).select("occurrence_id", "event_id", "starts_at"), f)
+    rows = described(d, ids, f)
     if f.latitude is not None and f.longitude is not None:
         rows = rows.withColumn("distance_km", F.round(haversine_km(f.latitude, f.longitude, F.col("plain_lat"), F.col("plain_lon")), 2))
-    return page(rows, f)
+    return rows
 
 
 def discover_city(d: Domain, f: Filters) -> DataFrame:
     """City path: events at a venue of the city, and those without a venue city in the city itself."""
-    rows = filtered(points(d, f), replace(f, city_id=None))
+    rows = filtered(points(d, f, venues=True, offers=needs(f)["offers"]), replace(f, city_id=None)).select("occurrence_id", "event_id", "starts_at", "venue_id", "city_id")
     own = rows.where(F.col("venue_id").isNotNull() & (F.col("city_id") == f.city_id))
     loose = rows.where(F.col("venue_id").isNull() & (F.col("city_id") == f.city_id))
-    return page(own.unionByName(loose), f)
+    return described(d, page(own.unionByName(loose), f), f)
 
 
 def discover_country(d: Domain, f: Filters) -> DataFrame:
     """Country path: cities of the country first, then a semi join."""
     scoped = d.cities().where(F.col("country_id") == f.country_id).select("city_id")
-    return page(filtered(points(d, f), replace(f, country_id=None)).join(scoped, "city_id", "left_semi"), f)
+    rows = filtered(points(d, f, venues=True, offers=needs(f)["offers"]), replace(f, country_id=None)).join(scoped, "city_id", "left_semi")
+    return described(d, page(rows.select("occurrence_id", "event_id", "starts_at"), f), f)
 
 
 def discover_viewport(d: Domain, box: Viewport, f: Filters) -> DataFrame:
     """Early-limit page: ids and times are cut to the page before titles and names join in."""
-    rows = points(d, f).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
+    rows = points(d, f, offers=False).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
     narrow = page(rows.select("occurrence_id", "event_id", "starts_at", "venue_id", "city_id", "latitude", "longitude"), f)
-    return narrow.join(d.events().select("event_id", "slug", "title"), "event_id").join(d.venues().select("venue_id", "venue_name"), "venue_id", "left").join(d.cities().select("city_id", "city_name"), "city_id", "left")
+    return narrow.join(d.events(hosts=False).select("event_id", "slug", "title"), "event_id").join(d.venues().select("venue_id", "venue_name"), "venue_id", "left").join(d.cities().select("city_id", "city_name"), "city_id", "left")
 
 
 def stats(d: Domain, f: Filters) -> DataFrame:
-    return filtered(points(d, f), f).agg(F.count("*").alias("total_count"), F.count_if("is_free").alias("free_count"), F.count_if("is_verified").alias("verified_count"))
+    return filtered(points(d, f, **needs(f)), f).agg(F.count("*").alias("total_count"), F.count_if("is_free").alias("free_count"), F.count_if("is_verified").alias("verified_count"))
 
 
 def home_shelves(d: Domain, f: Filters, k: int) -> DataFrame:
     """Top-k shelves from one candidate scan: (shelf, position, ...)."""
-    rows = points(d, f).where(~F.col("is_demo"))
+    rows = points(d, f, venues=False, offers=False).where(~F.col("is_demo"))
     shelf = F.array_compact(F.array(F.lit("top"), F.when(F.col("is_free"), "free"), F.when(F.col("category_slug").isin("small", "medium"), "nightlife"), F.when(F.col("category_slug").isin("promo", "large"), "festivals")))
     spread = rows.select("occurrence_id", "title", "starts_at", "is_verified", F.explode(shelf).alias("shelf"))
     best_top = F.when((F.col("shelf") == "top") & F.col("is_verified"), 0).otherwise(1)
@@ -192,6 +220,17 @@ def search_cities(d: Domain, query: str, limit: int) -> DataFrame:
     return d.cities().where(F.contains(name, needle)).withColumn("match_rank", rank).orderBy("match_rank", "city_name", "city_id").limit(limit)
 
 
+def search_venues(d: Domain, query: str, limit: int = 8) -> DataFrame:
+    """Public venues whose name, address or city holds the query: names that begin with it first, then the most similar by trigrams, then by name; 1 to 12 rows."""
+    asked = query.strip()
+    v = d.venues().where("is_public").join(d.cities(), F.col("venue_city_id") == F.col("city_id"), "left")
+    columns = ["venue_name", "address", "city_name"] if "address" in v.columns else ["venue_name", "city_name"]
+    rows = v.where(any_column_matches(asked, columns) if asked else F.lit(False))
+    prefix = F.when(F.startswith(F.lower("venue_name"), F.lit(asked.lower())), 0).otherwise(1)
+    ranked = rows.withColumn("prefix", prefix).withColumn("score", F.round(similarity(F.col("venue_name"), F.lit(asked)), 6))
+    return ranked.orderBy("prefix", F.desc("score"), "venue_name", "venue_id").limit(max(1, min(12, limit)))
+
+
 #: Fixed values: (least, most) of the bands that users pick.
 PRICE_BANDS = {"under-20": (None, 20.0), "under-40": (None, 40.0), "over-40": (40.0, None)}
 CAPACITY_BANDS = {"intimate": (None, 200), "club": (201, 800), "large": (801, 5000), "festival": (5001, None)}

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 FREE_WORDS = r"(?i)\b(gratuit|gratuite|free|entrée libre)\b"
 TONIGHT_WORDS = r"(?i)\b(ce soir|tonight|soirée)\b"
 
+#: Why an event is proposed.
+REASONS = {"genres": "Tes goûts : ", "category": "Une catégorie que tu apprécies", "search": ("Inspiré par ta recherche « ", " »"), "budget": "Dans ton budget", "verified": "Événement vérifié", "none": "Populaire près de toi"}
+
 #: Campaigns that are sent to every executor, at most.
 MAX_BROADCAST = 10_000
 
@@ -70,10 +73,12 @@ def engagement(views: DataFrame, likes: DataFrame, comments: DataFrame, key: str
     return out.select(key, zero("views").alias("views"), zero("likes").alias("likes"), zero("comments").alias("comments"), (zero("views") + 3 * zero("likes") + 4 * zero("comments")).alias("score"))
 
 
-def feed_score(age_hours: Column, likes: Column, comments: Column, saves: Column, text: Column, intent: str, has_event: Column, verified: Column, located: Column) -> Column:
+def feed_score(age_hours: Column, likes: Column, comments: Column, saves: Column, text: Column, intent: str, has_event: Column, verified: Column, located: Column, event_free: Column | None = None, event_today: Column | None = None) -> Column:
+    """Freshness, activity and what the reader looks for: a free or an evening event is told by the event itself or by the text."""
+    told = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
     fresh = F.greatest(F.lit(0.0), 36 - F.greatest(age_hours, F.lit(0.0))) / 6
     busy = F.log2(1.0 + likes * 2 + comments * 3 + saves * 2)
-    boost = {"free": F.when(text.rlike(FREE_WORDS), 14.0).otherwise(0.0), "nearby": F.when(located, 10.0).otherwise(0.0), "popular": busy * 2, "tonight": F.when(text.rlike(TONIGHT_WORDS), 14.0).otherwise(0.0)}.get(intent, F.lit(0.0))
+    boost = {"free": F.when(told(event_free) | text.rlike(FREE_WORDS), 14.0).otherwise(0.0), "nearby": F.when(located, 10.0).otherwise(0.0), "popular": busy * 2, "tonight": F.when(told(event_today) | text.rlike(TONIGHT_WORDS), 14.0).otherwise(0.0)}.get(intent, F.lit(0.0))
     return fresh + busy + boost + F.when(has_event, 2).otherwise(0) + F.when(verified, 1).otherwise(0)
 
 
@@ -95,20 +100,41 @@ def followed(posts: DataFrame, authors: DataFrame, places: DataFrame) -> DataFra
     return posts.join(authors, "author_id", "left_semi").unionByName(posts.join(places, "place", "left_semi")).distinct()
 
 
-def personal_matches(preferences: DataFrame, events: DataFrame, k: int) -> DataFrame:
-    """Each user's ``k`` best events of a category the user likes or with a liked genre.
+def personal_matches(profiles: DataFrame, favorites: DataFrame, searches: DataFrame, candidates: DataFrame, k: int = 8) -> DataFrame:
+    """Each user's ``k`` best events among the next ones of the home city (of any, without one): user_id, event, score, reasons, place.
 
-    min(99, 55 + 13 x genres in common + 16 for the category). Users with the same taste have the
-    same matches, so each taste is matched once and its ``k`` events are joined back. Candidates
-    come from equi joins on genre and on category; no taste meets all events.
+    min(99, 55 + 13 x liked genres + 16 for a liked category + 10 if the text holds one of the last 12
+    searches). Genres and categories of up to 50 favourites are liked, too. Ties go to the earlier event.
+    The next 24 events (3 x ``k``, if more) are taken for each city once, then users are joined to them.
+    ``profiles``: user_id, genres, categories, home_city_id, preferred_price; ``favorites``: user_id, event_id, genres,
+    category_slug; ``searches``: user_id, value, at; ``candidates``: occurrence_id, title, genres, category_slug, city_id, is_free, is_verified, starts_at.
     """
-    taste = F.xxhash64(F.array_sort(F.array_distinct("genres")), "category")
-    people = preferences.select("user_id", F.array_sort(F.array_distinct("genres")).alias("genres"), "category", taste.alias("taste"))
-    tastes = people.select("taste", "genres", "category").distinct()
-    by_genre = tastes.select("taste", F.explode("genres").alias("g")).join(events.select("event_id", F.explode("genres").alias("g")), "g").groupBy("taste", "event_id").agg(F.count_distinct("g").alias("shared"), F.lit(0).alias("own"))
-    by_category = tastes.join(events.select("event_id", "category_slug"), F.col("category") == F.col("category_slug")).select("taste", "event_id", F.lit(0).cast("long").alias("shared"), F.lit(1).alias("own"))
-    score = F.least(F.lit(99), 55 + 13 * F.max("shared") + 16 * F.max("own")).cast("int")
-    scored = by_genre.unionByName(by_category).groupBy("taste", "event_id").agg(score.alias("match_score"))
-    order = Window.partitionBy("taste").orderBy(F.desc("match_score"), "event_id")
-    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return people.select("user_id", "taste").join(best, "taste").drop("taste")
+    numbered = lambda df, order, n: df.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("place") <= n)
+    liked = numbered(favorites, ["event_id"], 50).groupBy("user_id").agg(F.flatten(F.collect_list("genres")).alias("more_genres"), F.collect_set("category_slug").alias("more_categories"))
+    recent = numbered(searches, [F.desc("at"), "value"], 12).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("terms"))
+    none = F.array().cast("array<string>")
+    people = profiles.join(liked, "user_id", "left").join(recent, "user_id", "left").select(
+        "user_id", "home_city_id", F.coalesce(F.col("preferred_price") == "free", F.lit(False)).alias("free_only"), F.coalesce("preferred_price", F.lit("")).alias("price"),
+        F.array_union(F.coalesce("genres", none), F.coalesce("more_genres", none)).alias("likes"),
+        F.array_union(F.coalesce("categories", none), F.coalesce("more_categories", none)).alias("kinds"), F.coalesce("terms", none).alias("terms"),
+    )
+    anywhere = candidates.withColumn("home", F.explode(F.array(F.col("city_id").cast("long"), F.lit(-1).cast("long")))).where("home is not null")
+    both = anywhere.withColumn("free_only", F.explode(F.when(F.col("is_free"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    next_ = Window.partitionBy("home", "free_only").orderBy("starts_at", "occurrence_id")
+    soon = both.withColumn("turn", F.row_number().over(next_)).where(F.col("turn") <= max(24, 3 * k))
+    met = people.withColumn("home", F.coalesce(F.col("home_city_id").cast("long"), F.lit(-1).cast("long"))).join(soon, ["home", "free_only"])
+    shared = F.filter("genres", lambda g: F.array_contains("likes", g))
+    text = F.lower("title")
+    term = F.get(F.filter("terms", lambda t: F.contains(text, t)), F.lit(0))
+    kind = F.coalesce(F.array_contains("kinds", F.col("category_slug")), F.lit(False))
+    scored = met.withColumns({"shared": shared, "term": term, "kind": kind})
+    score = F.least(F.lit(99), 55 + 13 * F.size("shared") + F.when(F.col("kind"), 16).otherwise(0) + F.when(F.col("term").isNotNull(), 10).otherwise(0)).cast("int")
+    reasons = F.array_compact(F.array(
+        F.when(F.size("shared") > 0, F.concat(F.lit(REASONS["genres"]), F.array_join(F.slice("shared", 1, 2), ", "))), F.when(F.col("kind"), REASONS["category"]),
+        F.when(F.col("term").isNotNull(), F.concat(F.lit(REASONS["search"][0]), F.col("term"), F.lit(REASONS["search"][1]))),
+        F.when(F.col("is_free") & (F.col("price") != "premium"), REASONS["budget"]), F.when(F.col("is_verified"), REASONS["verified"]),
+    ))
+    told = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(REASONS["none"])))
+    ranked = scored.select("user_id", "occurrence_id", "starts_at", score.alias("match_score"), told.alias("reasons"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("match_score"), "starts_at", "occurrence_id")
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_km
-from ..functions.text import alnum_key, bigram_dice, fold, similarity
+from ..functions.hashes import block_ratio
+from ..functions.text import alnum_key, bigram_dice, fold, similarity, trigrams
 from ..functions.times import minute_key
+from ..sources.shared import stored
 
 
 def fingerprint(title: Column, start: Column, place: Column) -> Column:
@@ -105,10 +107,137 @@ def best_match(candidates: DataFrame, key: list[str], score: Column, tie: list[C
     return scored.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, name_2, names): folded names of two tables whose trigrams' Jaccard similarity is at least ``least``.
+
+    Both have ``name``, distinct and folded. Exact: two names that reach ``least`` share one of the rarest
+    trigrams of each, as many as may be missed plus one; only those are joined.
+    """
+    each = lambda df: df.select("name").where("name is not null").distinct().withColumn("grams", trigrams(F.col("name")))
+    one, two = each(left), each(right)
+    tokens = lambda df: df.select("name", F.size("grams").alias("n"), F.explode("grams").alias("token"))
+    seen = tokens(one).unionByName(tokens(two)).groupBy("token").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("name").orderBy("m", "token")
+    rare = lambda df: tokens(df).join(seen, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("name", "token")
+    met = rare(one).join(rare(two).withColumnRenamed("name", "name_2"), "token").select("name", "name_2").distinct()
+    both = met.join(one, "name").join(two.select(F.col("name").alias("name_2"), F.col("grams").alias("grams_2")), "name_2")
+    union = F.size(F.array_union("grams", "grams_2"))
+    return both.select("name", "name_2", (F.size(F.array_intersect("grams", "grams_2")) / union).alias("names")).where(F.col("names") >= least)
+
+
 def match_venues(asked: DataFrame, venues: DataFrame, least: float = 0.84) -> DataFrame:
     """``asked`` (id, city_id, name) with the most similar venue of the city by trigrams."""
-    pairs = asked.join(venues.select(F.col("venue_city_id").alias("city_id"), "venue_id", "venue_name"), "city_id")
-    return best_match(pairs, ["id"], F.round(similarity(fold(F.col("name")), fold(F.col("venue_name"))), 6), [F.col("venue_id")], least)
+    own = asked.withColumn("name", fold(F.col("name")))
+    known = venues.select(F.col("venue_city_id").alias("city_id"), "venue_id", fold(F.col("venue_name")).alias("name_2"))
+    close = similar_names(own, known.select(F.col("name_2").alias("name")), least)
+    pairs = own.join(close, "name").join(known, ["city_id", "name_2"])
+    return best_match(pairs, ["id"], F.round("names", 6), [F.col("venue_id")], 0.0)
+
+
+def resolve_venues(asked: DataFrame, venues: DataFrame, mapping: DataFrame, names: float = 0.88, addresses: float = 0.55) -> DataFrame:
+    """(id, venue_id, matched_by): the venue mapped to the source's id, else one of the city with a similar name and address.
+
+    A venue without address passes the address test. Best name first, then address, then the smaller id.
+    ``asked``: id, city_id, external_id, name, address; ``venues``: venue_id, city_id, name, address; ``mapping``:
+    external_id, venue_id. What matches nothing has nulls.
+    """
+    mapped = mapping.groupBy("external_id").agg(F.min("venue_id").alias("mapped"))
+    own = asked.join(mapped, "external_id", "left").withColumn("name", fold(F.col("name")))
+    open_ = own.where("mapped is null")
+    known = venues.select("venue_id", "city_id", fold(F.col("name")).alias("name_2"), F.col("address").alias("address_2"))
+    close = similar_names(open_, known.select(F.col("name_2").alias("name")), names)
+    pairs = open_.join(close, "name").join(known, ["city_id", "name_2"])
+    street = similarity(fold(F.coalesce("address_2", F.lit(""))), fold(F.coalesce("address", F.lit(""))))
+    fits = pairs.withColumn("streets", F.round(street, 6)).where(F.col("address_2").isNull() | (street >= addresses))
+    order = F.struct(-F.round("names", 6), -F.col("streets"), F.col("venue_id"))
+    found = fits.groupBy("id").agg(F.min_by("venue_id", order).alias("similar"))
+    return own.join(found, "id", "left").select("id", F.coalesce("mapped", "similar").alias("venue_id"), F.when(F.col("mapped").isNotNull(), "id").when(F.col("similar").isNotNull(), "name").alias("matched_by"))
+
+
+def tolerant_pairs(asked: DataFrame, known: DataFrame, minutes: int = 15, least: float = 0.9) -> DataFrame:
+    """Pairs of an asked and a known event with similar titles, at nearly the same time, in the same city and venue where both are known.
+
+    Columns of both: id, title, at, city_id, venue_id; those of ``known`` get ``_2``; added: titles and gap_s. Titles
+    are matched once for each two that are distinct, so a missing city meets no more rows than others.
+    """
+    own, other = (x.withColumn("name", fold(F.col("title"))) for x in (asked, known))
+    close = similar_names(own, other, least)
+    # The names of the known side are the block, in which times meet.
+    left = own.join(close, "name").drop("name").withColumnRenamed("name_2", "name").withColumnRenamed("names", "titles")
+    met = nearby_pairs(left, other, ["name"], minutes).drop("name")
+    alike = lambda c: F.col(c).isNull() | F.col(f"{c}_2").isNull() | (F.col(c) == F.col(f"{c}_2"))
+    return met.where(alike("city_id") & alike("venue_id"))
+
+
+def resolve_events(asked: DataFrame, known: DataFrame, records: DataFrame, minutes: int = 15, least: float = 0.9) -> DataFrame:
+    """(id, event_id, matched_by): the known event that a record means, by the first of three steps that finds one.
+
+    1. The newest record of the source's id, if its event has an occurrence within ``minutes``; 2. the
+    fingerprint; 3. ``tolerant_pairs``, the most similar title first, then the nearest time, then the
+    smaller event. ``asked``: id, source, external_id, fingerprint, title, at, city_id, venue_id; ``known``: id, event_id,
+    fingerprint, title, at, city_id, venue_id (a row for each occurrence); ``records``: source, external_id, event_id, seen.
+    """
+    near = nearby_pairs(
+        asked.join(records, ["source", "external_id"]).select("event_id", "id", "at", "seen"),
+        known.select("event_id", "id", "at"), ["event_id"], minutes,
+    )
+    by_id = near.groupBy("id").agg(F.min_by("event_id", F.struct(-F.unix_timestamp(F.col("seen").cast("timestamp")), F.col("event_id"))).alias("by_id"))
+    prints = known.groupBy("fingerprint").agg(F.min("event_id").alias("by_print"))
+    pairs = tolerant_pairs(asked.select("id", "title", "at", "city_id", "venue_id"), known.select("id", "event_id", "title", "at", "city_id", "venue_id"), minutes, least)
+    by_title = pairs.groupBy("id").agg(F.min_by("event_id_2", F.struct(-F.round("titles", 6), F.col("gap_s"), F.col("event_id_2"))).alias("by_title"))
+    found = asked.join(by_id, "id", "left").join(prints, "fingerprint", "left").join(by_title, "id", "left")
+    step = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_print").isNotNull(), "fingerprint").when(F.col("by_title").isNotNull(), "title")
+    return found.select("id", F.coalesce("by_id", "by_print", "by_title").alias("event_id"), step.alias("matched_by"))
+
+
+def merge_into(canonical: DataFrame, children: DataFrame, key: str, unique: list[str]) -> DataFrame:
+    """A child table whose rows of merged duplicates are given to the event that stays.
+
+    ``canonical``: duplicate, event_id. A child that the event that stays has already, by ``unique``, goes; of
+    several from duplicates the one with the smallest ``key`` stays. Other rows pass unchanged.
+    """
+    moved = children.join(canonical.select(F.col("duplicate").alias("event_id"), F.col("event_id").alias("target")), "event_id", "left")
+    rows = moved.withColumn("own", F.col("target").isNull()).withColumn("event_id", F.coalesce("target", "event_id")).drop("target")
+    touched = canonical.select("event_id").distinct()
+    others = rows.join(touched, "event_id", "left_anti").drop("own")
+    first = Window.partitionBy("event_id", *unique).orderBy(F.desc("own"), key)
+    merged = rows.join(touched, "event_id", "left_semi").withColumn("place", F.row_number().over(first)).where(F.col("own") | (F.col("place") == 1)).drop("own", "place")
+    return others.unionByName(merged)
+
+
+def ratio_duplicates(rows: DataFrame, hours: int = 4, least: float = 0.92, minutes: int = 15) -> DataFrame:
+    """(id, kept): each record and the record that it is merged into, itself if it stays.
+
+    Records of one key and minute are one. Of the rest, a record joins the best earlier one (by id)
+    within ``hours``, 0.55 x title + 0.25 x date + 0.20 x venue by longest blocks, if that reaches ``least``
+    and stands within ``minutes``. Such a score needs titles of (least - 0.45) / 0.55 at least, so only those are compared.
+    Columns: id, key, title, venue, at.
+    """
+    slot = F.date_trunc("minute", "at")
+    first = Window.partitionBy("key", slot).orderBy("id")
+    keyed = rows.withColumn("same", F.first("id").over(first))
+    own = keyed.where("same = id").select("id", F.lower("title").alias("name"), F.lower(F.coalesce("venue", F.lit(""))).alias("place"), "at")
+    names = own.select("name").distinct()
+    # A ratio needs as many equal characters, whatever their order; that is told without Python.
+    letters = F.transform(F.array_sort(F.split("name", "")), lambda c: c)
+    counted = names.withColumn("size", F.length("name")).withColumn("letters", F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda x: x == c)).cast("string"))))
+    floor = (least - 0.45) / 0.55
+    tokens = counted.select("name", "size", F.explode("letters").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("m"))
+    needed = F.ceil(floor / (2 - floor) * F.col("size") - 1e-9)
+    rare = tokens.join(seen, "token").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("m", "token"))).where(F.col("place") <= F.col("size") - needed + 1).select("name", "token")
+    met = rare.join(rare.withColumnRenamed("name", "name_2"), "token").where("name <= name_2").select("name", "name_2").distinct()
+    both = met.join(counted, "name").join(counted.select(F.col("name").alias("name_2"), F.col("letters").alias("letters_2"), F.col("size").alias("size_2")), "name_2")
+    likely = both.where(2 * F.size(F.array_intersect("letters", "letters_2")) >= (floor - 1e-9) * (F.col("size") + F.col("size_2"))).select("name", "name_2")
+    either = likely.unionByName(likely.where("name < name_2").select(F.col("name_2").alias("name"), F.col("name").alias("name_2")))
+    scored = either.withColumn("titles", block_ratio(F.col("name_2"), F.col("name"))).where(F.col("titles") >= floor - 1e-6)
+    left = own.join(scored, "name").drop("name").withColumnRenamed("name_2", "name")
+    pairs = nearby_pairs(left, own, ["name"], 60 * hours).where("id_2 < id")
+    dates = 1 - F.col("gap_s") / F.lit(3600.0 * hours)
+    score = F.round(0.55 * F.col("titles") + 0.25 * dates + 0.2 * block_ratio(F.col("place_2"), F.col("place")), 6)
+    best = pairs.withColumn("score", score).groupBy("id").agg(F.max_by(F.struct("id_2", "score", "gap_s"), F.struct("score", -F.col("id_2"))).alias("best"))
+    joined = best.where((F.col("best.score") >= least) & (F.col("best.gap_s") <= 60 * minutes)).select("id", F.col("best.id_2").alias("into"))
+    return keyed.select("id", "same").join(joined.withColumnRenamed("id", "same"), "same", "left").select("id", F.coalesce("into", "same").alias("kept"))
 
 
 def unique_near_city(asked: DataFrame, cities: DataFrame, km: float = 6) -> DataFrame:
@@ -119,25 +248,28 @@ def unique_near_city(asked: DataFrame, cities: DataFrame, km: float = 6) -> Data
 
 
 def greedy_distinct(rows: DataFrame, block: str, km: float = 6) -> DataFrame:
-    """Keeps a row unless a better one of its block within ``km`` and with its name was kept: best first.
+    """Keeps a row unless a better one of its block within ``km`` and with its name was kept: best first, ties to the smaller id.
 
-    The outcome depends on the order, so a block (country and name) is worked through in one
-    task; names are part of the block to keep it small. Columns: block, key, id, quality, lat, lon.
+    Settled in rounds: rows without a better neighbour stay, their neighbours go, and so on. Neighbours
+    meet in bands of latitude. Columns: block, key, id (unique), quality, lat, lon.
     """
-
-    def keep(frame):
-        import numpy as np
-
-        frame = frame.sort_values(["quality", "id"], ascending=[False, True])
-        lat, lon = np.radians(frame.lat.to_numpy()), np.radians(frame.lon.to_numpy())
-        chosen: list[int] = []
-        for i in range(len(frame)):
-            h = np.sin((lat[i] - lat[chosen]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[chosen]) * np.sin((lon[i] - lon[chosen]) / 2) ** 2
-            if not (2 * 6371 * np.arcsin(np.sqrt(np.minimum(1, h))) <= km).any():
-                chosen.append(i)
-        return frame.iloc[chosen]
-
-    return rows.groupBy(block, "key").applyInPandas(keep, rows.schema)
+    width = km / 111.0
+    band = F.floor(F.col("lat") / width)
+    placed = rows.select(block, "key", "id", F.struct(-F.col("quality"), F.col("id")).alias("rank"), "lat", "lon")
+    other = placed.select(block, "key", *[F.col(c).alias(f"{c}_2") for c in ("id", "rank", "lat", "lon")], F.explode(F.array(*[F.floor(F.col("lat") / width) + i for i in (-1, 0, 1)])).alias("band"))
+    near = placed.withColumn("band", band).join(other, [block, "key", "band"]).where(F.col("rank") < F.col("rank_2")).where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat_2"), F.col("lon_2")) <= km)
+    edges = stored(near.select(F.col("id").alias("better"), F.col("id_2").alias("worse")), "near")
+    gone = None
+    while True:
+        beaten = edges.select(F.col("worse").alias("better")).distinct()
+        first = edges.join(beaten, "better", "left_anti")  # edges from rows that nothing better is near to
+        lost = stored(first.select(F.col("worse").alias("id")).distinct(), "lost")
+        if lost.isEmpty():
+            break
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = edges.join(lost.withColumnRenamed("id", "better"), "better", "left_anti").join(lost.withColumnRenamed("id", "worse"), "worse", "left_anti")
+        edges = stored(left.select("better", "worse"), "near")
+    return rows if gone is None else rows.join(gone, "id", "left_anti").select(*rows.columns)
 
 
 def merge_records(records: DataFrame, key: str) -> DataFrame:

@@ -17,8 +17,8 @@ MAX_CELLS, MAX_POINTS, MAX_PLACES = 8_000, 12_000, 2_500
 
 
 def visible_points(d: Domain, box: Viewport, f: Filters) -> DataFrame:
-    """Occurrences of the viewport; a venue that isn't public gives no location of its own."""
-    rows = points(d, f).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
+    """Occurrences of the viewport; a venue that isn't public gives neither its location nor its city."""
+    rows = points(d, f, offers=False, public_venues=True).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
     return rows.select("occurrence_id", "slug", "category_slug", "is_free", "latitude", "longitude", (F.col("location_precision") == "city").cast("int").alias("approximate"))
 
 
@@ -33,8 +33,8 @@ def grid_markers(d: Domain, box: Viewport, f: Filters, zoom: float, cap: int = M
     cells = visible_points(d, box, f).groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(
         F.count("*").alias("event_count"),
         F.count_if("is_free").alias("free_count"),
-        F.round(F.avg("longitude"), 4).alias("longitude"),
-        F.round(F.avg("latitude"), 4).alias("latitude"),
+        F.round(F.avg("longitude"), 5).alias("longitude"),
+        F.round(F.avg("latitude"), 5).alias("latitude"),
         F.min("category_slug").alias("category_slug"),
         F.bool_or("is_free").alias("has_free"),
         F.max("approximate").alias("approximate"),
@@ -43,9 +43,14 @@ def grid_markers(d: Domain, box: Viewport, f: Filters, zoom: float, cap: int = M
 
 
 def location_markers(d: Domain, box: Viewport, f: Filters, cap: int = MAX_POINTS) -> DataFrame:
-    """One marker for each location of five decimals: the event itself if it is alone."""
-    alone = F.count("*") == 1
-    places = visible_points(d, box, f).groupBy(F.round("longitude", 5).alias("longitude"), F.round("latitude", 5).alias("latitude")).agg(
+    """One marker for each location of five decimals: the event itself if it is alone.
+
+    The map shows the first ``cap`` occurrences by id; the totals count all.
+    """
+    alone, rows = F.count("*") == 1, visible_points(d, box, f)
+    totals = rows.agg(F.count("*").alias("total_count"), F.count_if("is_free").alias("total_free"), (F.count("*") > cap).alias("truncated"))
+    shown = rows.orderBy("occurrence_id").limit(cap)
+    places = shown.groupBy(F.round("longitude", 5).alias("longitude"), F.round("latitude", 5).alias("latitude")).agg(
         F.when(alone, "event").otherwise("cluster").alias("kind"),
         F.when(alone, F.min("occurrence_id")).alias("occurrence_id"),
         F.when(alone, F.min_by("slug", "occurrence_id")).otherwise("").alias("slug"),
@@ -54,7 +59,7 @@ def location_markers(d: Domain, box: Viewport, f: Filters, cap: int = MAX_POINTS
         F.count("*").alias("event_count"),
         F.count_if("is_free").alias("free_count"),
     )
-    return _with_totals(places, cap, [F.col("longitude"), F.col("latitude")])
+    return places.crossJoin(F.broadcast(totals))
 
 
 def marker_tuples(markers: DataFrame) -> DataFrame:

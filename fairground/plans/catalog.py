@@ -94,7 +94,7 @@ def op_p15_m01_m02_list_radius(d):
 
 @query(sql(f"select occurrence_id, count(*) over () as n from point where {RANGE} and (plain_lat is null or {km('-30.0', '100.0', 'plain_lat', 'plain_lon')} <= 3000) order by starts_at, occurrence_id limit 500"))
 def op_p16_w06_radius_keeps_unknown(d):
-    rows = discovery.points(d, Filters()).where(F.col("plain_lat").isNull() | (geo.haversine_km(-30.0, 100.0, F.col("plain_lat"), F.col("plain_lon")) <= 3000))
+    rows = discovery.points(d, Filters(), offers=False).where(F.col("plain_lat").isNull() | (geo.haversine_km(-30.0, 100.0, F.col("plain_lat"), F.col("plain_lon")) <= 3000))
     total = rows.agg(F.count("*").alias("n"))
     return discovery.page(rows, Filters(limit=500)).crossJoin(F.broadcast(total)).select("occurrence_id", "n")
 
@@ -152,23 +152,30 @@ tri as (select name, list_distinct(flatten(list_transform(list_filter(string_spl
 
 
 @query(sql(f"""++
-names as (select venue_name as name from venue union select 'supplier 0000000012' union select 'Supplier#000000012'),
+names as (select venue_name as name from venue union select 'supplier'),
 {TRIGRAM_SQL},
-q as (select g from tri where name = 'supplier 0000000012')
-select venue_id, venue_name, round(len(list_intersect(t.g, q.g)) / len(list_distinct(list_concat(t.g, q.g)))::double, 6) as score
-from venue join tri t on t.name = venue_name cross join q
-order by score desc, venue_id limit 20"""))
+q as (select g from tri where name = 'supplier')
+select venue_id, venue_name, prefix, round(score, 6) as score from (
+  select v.venue_id, v.venue_name, case when starts_with(lower(v.venue_name), 'supplier') then 0 else 1 end as prefix, round(len(list_intersect(t.g, q.g)) / len(list_distinct(list_concat(t.g, q.g)))::double, 6) as score
+  from venue v join city on venue_city_id = city_id join tri t on t.name = v.venue_name cross join q where is_public and (contains(lower(v.venue_name), 'supplier') or contains(lower(city_name), 'supplier')))
+order by prefix, score desc, venue_name, venue_id limit 12"""))
 def op_f10_l08_venue_search(d):
-    score = F.round(text.similarity(F.col("venue_name"), F.lit("supplier 0000000012")), 6)
-    return d.venues().select("venue_id", "venue_name", score.alias("score")).orderBy(F.desc("score"), "venue_id").limit(20)
+    return discovery.search_venues(d, " Supplier ", 40).select("venue_id", "venue_name", "prefix", "score")
 
 
 BOX = Viewport(-120, -50, 150, 65)
 BOX_SQL = "latitude between -50 and 65 and longitude between -120 and 150"
-PINS = f"++ pins as (select *, (location_precision = 'city')::int as approximate from point where {YEAR_RANGE} and not is_demo and {BOX_SQL})"
+#: A venue that isn't public gives no location; the event's own city stands for it.
+PINS = f"""++
+shown as (select p.occurrence_id, p.slug, p.category_slug, p.is_free, o.occ_lat, o.occ_lon, case when v.venue_lat is not null and v.venue_lon is not null then 1 else 0 end as at_venue,
+  coalesce(o.occ_lat, v.venue_lat, c.city_lat + (('0x' || substr(md5(p.event_id::varchar), 1, 2))::int / 255.0::double - 0.5) * 0.012) as latitude,
+  coalesce(o.occ_lon, v.venue_lon, c.city_lon + (('0x' || substr(md5(p.event_id::varchar), 3, 2))::int / 255.0::double - 0.5) * 0.018) as longitude
+  from point p join occurrence o on o.occurrence_id = p.occurrence_id join event e on e.event_id = p.event_id left join venue v on v.venue_id = e.event_venue_id and v.is_public left join city c on c.city_id = coalesce(v.venue_city_id, e.event_city_id)
+  where p.{YEAR_RANGE.replace("starts_at", "p.starts_at")} and not p.is_demo),
+pins as (select *, (not (occ_lat is not null and occ_lon is not null) and at_venue = 0)::int as approximate from shown where {BOX_SQL})"""
 CELLS = """,
 cells as (select floor((latitude + 90) / (180 / 64.0::double))::int as cell_y, floor((longitude + 180) / (360 / 128.0::double))::int as cell_x, count(*) as event_count,
-  count(*) filter (where is_free) as free_count, round(avg(longitude), 4) as longitude, round(avg(latitude), 4) as latitude, min(category_slug) as category_slug,
+  count(*) filter (where is_free) as free_count, round(avg(longitude), 5) as longitude, round(avg(latitude), 5) as latitude, min(category_slug) as category_slug,
   bool_or(is_free) as has_free, max(approximate) as approximate from pins group by 1, 2),
 totals as (select sum(event_count)::bigint as total_count, sum(free_count)::bigint as total_free, count(*) > 8000 as truncated from cells)
 """
@@ -187,9 +194,9 @@ def op_k08_a13_map_tuples(d):
 @query(sql(PINS + """,
 m as (select round(longitude, 5) as longitude, round(latitude, 5) as latitude, case when count(*) = 1 then 'event' else 'cluster' end as kind,
   case when count(*) = 1 then min(occurrence_id) end as occurrence_id, case when count(*) = 1 then min(slug) else '' end as slug, min(category_slug) as category_slug,
-  max(approximate) as approximate, count(*) as event_count, count(*) filter (where is_free) as free_count from pins group by 1, 2),
-totals as (select sum(event_count)::bigint as total_count, sum(free_count)::bigint as total_free, count(*) > 12000 as truncated from m)
-select m.*, totals.* from m cross join totals order by longitude, latitude limit 12000"""))
+  max(approximate) as approximate, count(*) as event_count, count(*) filter (where is_free) as free_count from (select * from pins order by occurrence_id limit 12000) group by 1, 2),
+totals as (select count(*) as total_count, count(*) filter (where is_free) as total_free, count(*) > 12000 as truncated from pins)
+select m.*, totals.* from m cross join totals"""))
 def op_a09_a10_a07_map_locations(d):
     return maps.location_markers(d, BOX, YEAR)
 
@@ -243,15 +250,25 @@ def op_f17_category(d):
     return d.spread("documents").select("doc_id", taxonomy.category(F.col("text"), F.col("source")).alias("category"))
 
 
-_POINTS = ", ".join(f"{{'minus': -(case when regexp_matches(t, '{p}') then 3 else 0 end + case when regexp_matches(x, '{p}') then 1 else 0 end), 'place': {i}, 'name': '{c}'}}" for i, (c, p) in enumerate(taxonomy.CATEGORIES))
+_HELD = lambda text_, words: f"len(list_filter({words}, lambda k: contains({text_}, k)))"
+_POINTS = ", ".join(
+    f"{{'minus': -(3 * {_HELD('t', w)} + 4 * {_HELD('s', w)} + {_HELD('x', w)}), 'place': {i}, 'name': '{c}'}}"
+    for i, (c, k) in enumerate(taxonomy.CATEGORY_KEYWORDS.items())
+    for w in ["[" + ", ".join(f"' {x.replace('-', ' ')} '" for x in k) + "]::varchar[]"]
+)
+_SPACED = "' ' || regexp_replace({0}, '[^a-z0-9]+', ' ', 'g') || ' '"
+_SUPPLIED = "case doc_id % 5 when 0 then ' Concerts' when 1 then 'Live music' when 2 then 'unheard of' when 3 then 'leisure' else '' end"
 
 
 @query(f"""
-select doc_id, case when best.minus <= -1 then best.name end as category
-from (select doc_id, list_min([{_POINTS}]) as best from (select doc_id, {FOLD_SQL.format("split_part(text, chr(10), 1)")} as t, {FOLD_SQL.format('text')} as x from documents))""")
+with d as (select doc_id, source, {_SUPPLIED} as supplied, {_SPACED.format(FOLD_SQL.format("split_part(text, chr(10), 1)"))} as t, {_SPACED.format(FOLD_SQL.format(_SUPPLIED))} as s, {_SPACED.format(FOLD_SQL.format("text"))} as x from documents),
+b as (select doc_id, source, lower(trim(supplied)) as supplied, list_min([{_POINTS}]) as best from d)
+select doc_id, case when best.minus <= -2 then best.name when supplied in ({', '.join(f"'{c}'" for c in taxonomy.CATEGORY_KEYWORDS)}) then supplied else coalesce(case when doc_id % 2 = 0 then source end, 'other') end as category from b""")
 def op_f18_weighted_category(d):
-    title, whole = F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")
-    return d.spread("documents").select("doc_id", taxonomy.weighted_category(title, F.lit(""), whole, 1).alias("category"))
+    k = F.col("doc_id") % 5
+    supplied = F.when(k == 0, " Concerts").when(k == 1, "Live music").when(k == 2, "unheard of").when(k == 3, "leisure").otherwise("")
+    title, source = F.split_part("text", F.lit("\n"), F.lit(1)), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return d.spread("documents").select("doc_id", taxonomy.weighted_category(title, supplied, F.col("text"), source).alias("category"))
 
 
 _NULLS = ", ".join(f"'{t}'" for t in text.NULL_TOKENS)
@@ -266,11 +283,23 @@ def op_f06_f07_f08_p11_clean_url(d):
     return d.table("pages").select("page_id", text.clean_url(F.col("url")).alias("clean"), text.url_host(F.col("url")).alias("host"))
 
 
-@query(r"""
-select page_id, regexp_replace(lower(regexp_extract(p, '^([a-zA-Z]+://[^/?#]*)', 1)) || substr(p, length(regexp_extract(p, '^([a-zA-Z]+://[^/?#]*)', 1)) + 1), '/$', '') as canonical
-from (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref)=[^&]*', '\1', 'g'), '[?&]+$', ''), '([?&])&+', '\1', 'g') as p from pages)""")
+_TRACKED = ", ".join(f"'{t}'" for t in text.TRACKING)
+_VARIED = "case page_id % 6 when 0 then upper(left(url, 4)) || substr(url, 5) || '?UTM_Source=a&b=1&GCLID=2#top' when 1 then url || '?a=1&source=x&ref=y' when 2 then 'mailto:x@y.z' when 3 then 'https://User@Example.COM:443' when 4 then url || '?gbraid=1' else url end"
+
+
+@query(f"""
+with u as (select page_id, trim({_VARIED}) as u from pages),
+p as (select page_id, lower(regexp_extract(u, '(?i)^(https?)://([^/?#]+)', 1)) as scheme, regexp_extract(u, '(?i)^(https?)://([^/?#]+)', 2) as host, regexp_extract(u, '(?i)^https?://[^/?#]+([^?#]*)', 1) as path, regexp_extract(u, '(?i)^https?://[^/?#]+[^?#]*[?]([^#]*)', 1) as query from u),
+k as (select *, array_to_string(list_filter(string_split(query, '&'), lambda q: not starts_with(lower(split_part(q, '=', 1)), 'utm_') and lower(split_part(q, '=', 1)) not in ({_TRACKED})), '&') as kept,
+  regexp_extract(host, '^(.*@)?', 1) || regexp_replace(lower(regexp_replace(host, '^.*@', '')), case when scheme = 'http' then ':80$' else ':443$' end, '') as own from p)
+select page_id, case when scheme <> '' then scheme || '://' || own || case when path = '' then '/' else path end || case when kept = '' then '' else '?' || kept end end as canonical from k""")
 def op_f09_canonical_url(d):
-    return d.table("pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
+    k, url = F.col("page_id") % 6, F.col("url")
+    varied = (
+        F.when(k == 0, F.concat(F.upper(F.left(url, F.lit(4))), F.substr(url, F.lit(5)), F.lit("?UTM_Source=a&b=1&GCLID=2#top")))
+        .when(k == 1, F.concat(url, F.lit("?a=1&source=x&ref=y"))).when(k == 2, "mailto:x@y.z").when(k == 3, "https://User@Example.COM:443").when(k == 4, F.concat(url, F.lit("?gbraid=1"))).otherwise(url)
+    )
+    return d.table("pages").select("page_id", text.canonical_url(varied).alias("canonical"))
 
 
 @query(f"""
@@ -338,14 +367,17 @@ def op_d04_d05_d08_parse_dates(d):
     return parsed.select("o_orderkey", "p.at", "p.precision", F.col("p.at").between(F.lit(datetime(1998, 5, 30)).cast("timestamp_ntz"), F.lit(datetime(2000, 6, 1)).cast("timestamp_ntz")).alias("in_window"))
 
 
-@query("""
-select event_id, case when msg like '%robots%' then 1440 when msg like '%429%' then 60 when msg like '%timeout%' then 15 else event_id % 100 end::int as delay, floor(epoch(ts))::bigint - 1704067200 as seconds
-from (select event_id, ts, case event_id % 4 when 0 then 'Robots denied: robots' when 1 then 'HTTP 429' when 2 then 'read timeout' else 'odd' end as msg from events)""")
+_ERRORS = ("direct_http_404", "invalid peer certificate: expired", "direct_timeout", "direct_http_503 from host", "direct_http_4041", "odd")
+_ERROR_SQL = "case event_id % 7 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(_ERRORS)) + " end"
+
+
+@query(f"""
+select event_id, (case when event_id % 7 in (0, 1) then case when event_id % 3 = 0 then 168 else 24 end when event_id % 7 in (2, 3) then case when event_id % 3 = 0 then 24 else 2 end when event_id % 7 is not null then case when event_id % 3 = 0 then 6 else 0.5 end end * 60)::int as delay, floor(epoch(ts))::bigint - 1704067200 as seconds, {_ERROR_SQL} as error from events""")
 def op_d14_d16_retry(d):
-    k = F.col("event_id") % 4
-    msg = F.when(k == 0, "Robots denied: robots").when(k == 1, "HTTP 429").when(k == 2, "read timeout").otherwise("odd")
+    k = F.col("event_id") % 7
+    error = F.coalesce(*[F.when(k == i, e) for i, e in enumerate(_ERRORS)])
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)
-    return d.table("events").select("event_id", times.retry_minutes(msg, (F.col("event_id") % 100).cast("int")).alias("delay"), seconds.alias("seconds"))
+    return d.table("events").select("event_id", times.retry_minutes(error, F.col("event_id") % 3 == 0).alias("delay"), seconds.alias("seconds"), error.alias("error"))
 
 
 @query("""
@@ -359,15 +391,15 @@ def op_m14_quality(d):
 
 
 @query(sql(f"""
-select v.venue_id, case when ok then lat end as latitude, case when ok then lon end as longitude, case when population >= 1000000 then 25 when population >= 250000 then 18 when population >= 50000 then 12 else 8 end as radius
-from (select *, lat is not null and lon is not null and lat between -90 and 90 and lon between -180 and 180 and not coalesce({km('city_lat', 'city_lon', 'lat', 'lon')} > 100, false) as ok
+select v.venue_id, case when ok then lat end as latitude, case when ok then lon end as longitude, case when scaled >= 5000000 then 18 when scaled >= 1000000 then 15 when scaled >= 250000 then 12 when scaled >= 50000 then 10 else 8 end as radius
+from (select *, population * (1 + venue_id % 3) as scaled, lat is not null and lon is not null and lat between -90 and 90 and lon between -180 and 180 and not coalesce({km('city_lat', 'city_lon', 'lat', 'lon')} > 100, false) as ok
       from (select venue_id, case when venue_id % 9 = 0 then venue_lat + 200 when venue_id % 9 = 1 then venue_lat + 5 else venue_lat end as lat, case when venue_id % 9 = 2 then null else venue_lon end as lon, city_lat, city_lon, population from venue join city on venue_city_id = city_id)) v"""))
 def op_m20_m21_m22_coordinates(d):
     v = F.col("venue_id") % 9
     rows = d.venues().join(d.cities(), F.col("venue_city_id") == F.col("city_id"))
     lat = F.when(v == 0, F.col("venue_lat") + 200).when(v == 1, F.col("venue_lat") + 5).otherwise(F.col("venue_lat"))
     lon = F.when(v == 2, None).otherwise(F.col("venue_lon"))
-    return rows.select("venue_id", geo.checked_pair(lat, lon, F.col("city_lat"), F.col("city_lon"), 100).alias("p"), geo.radius_for_population(F.col("population")).alias("radius")).select("venue_id", "p.latitude", "p.longitude", "radius")
+    return rows.select("venue_id", geo.checked_pair(lat, lon, F.col("city_lat"), F.col("city_lon"), 100).alias("p"), geo.radius_for_population(F.col("population") * (1 + F.col("venue_id") % 3)).alias("radius")).select("venue_id", "p.latitude", "p.longitude", "radius")
 
 
 KEY_SQL = "regexp_replace({0}, '[^a-z0-9]+', '', 'g')"
@@ -376,9 +408,9 @@ _VENUE_KEY = KEY_SQL.format("lower(venue_name)")
 MINUTE = "strftime(starts_at, '%Y-%m-%dT%H:%M')"
 
 
-@query(sql(f"select occurrence_id, sha256(concat_ws('|', {_TITLE_KEY}, {MINUTE}, coalesce({_VENUE_KEY}, ''))) as fingerprint, sha256(concat_ws('|', 'https://x/' || slug, {MINUTE}, {_TITLE_KEY})) as canonical, coalesce(case when event_id % 3 = 0 then slug end, case when event_id % 3 = 1 then 'src:' || event_id end, md5(title)) as staging from point where {YEAR_RANGE}"))
+@query(sql(f"select occurrence_id, sha256(concat_ws('|', {_TITLE_KEY}, {MINUTE}, coalesce({_VENUE_KEY}, ''))) as fingerprint, sha256(concat_ws('|', 'https://x/' || slug, {MINUTE}, {_TITLE_KEY})) as canonical, coalesce(case when event_id % 3 = 0 then slug end, case when event_id % 3 = 1 then 'src:' || event_id end, md5(title)) as staging from point"))
 def op_r01_r02_r03_r04_m06_fingerprints(d):
-    p = discovery.points(d, YEAR)
+    p = discovery.points(d, offers=False)
     third = F.col("event_id") % 3
     staging = identity.staging_key(F.when(third == 0, F.col("slug")), F.lit("src"), F.when(third == 1, F.col("event_id").cast("string")), F.col("title"))
     return p.select("occurrence_id", identity.fingerprint(F.col("title"), F.col("starts_at"), F.col("venue_name")).alias("fingerprint"), identity.canonical_occurrence(F.concat(F.lit("https://x/"), "slug"), F.col("starts_at"), F.col("title")).alias("canonical"), staging.alias("staging"))

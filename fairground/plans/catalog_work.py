@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, text, times
 from ..operators import discovery, engagement, identity, queues, writes
 from ..sources import web
-from .catalog import ASOF, FOLD_SQL, KEY_SQL, RANGE, YEAR, YEAR_RANGE, km, query
+from .catalog import ASOF, km, query
 from .domain import sql
 
 NOW = "timestamp '1998-06-01'"
@@ -19,20 +19,20 @@ NOW = "timestamp '1998-06-01'"
 # Identity ---------------------------------------------------------------------------------
 
 _NAMES = """++
-a as (select occurrence_id as id, title, venue_name as venue, starts_at + to_minutes(occurrence_id % 40) as at, city_id from point where status = 'published' and starts_at between timestamp '1997-01-01' and timestamp '1997-12-31'),
+a as (select occurrence_id as id, title, venue_name as venue, starts_at + to_minutes(occurrence_id % 40) as at, city_id from point),
 p as (select a.id, b.id as id_2, a.title, b.title as title_2, a.venue, b.venue as venue_2, abs(floor(epoch(a.at))::bigint - floor(epoch(b.at))::bigint) as gap_s
       from a join a b on a.city_id = b.city_id and a.id < b.id and abs(floor(epoch(a.at))::bigint - floor(epoch(b.at))::bigint) <= 900)
 """
 
 
 def _near_pairs(d):
-    p = discovery.points(d, YEAR).where("status = 'published'")
+    p = discovery.points(d, offers=False)
     rows = p.select(F.col("occurrence_id").alias("id"), "title", F.col("venue_name").alias("venue"), (F.col("starts_at") + F.make_dt_interval(mins=(F.col("occurrence_id") % 40).cast("int"))).alias("at"), "city_id")
     return identity.nearby_pairs(rows, rows, ["city_id"], 15).where(F.col("id") < F.col("id_2"))
 
 
 @query(sql(_NAMES + "select id, id_2, gap_s from p"))
-def op_j15_j17_interval_join(d):
+def op_j15_interval_join(d):
     return _near_pairs(d).select("id", "id_2", "gap_s")
 
 
@@ -51,28 +51,28 @@ k as (select *, {_DICE_TEXT.format('title')} as t1, {_DICE_TEXT.format('title_2'
 s as (select *, {_dice('t1', 't2')} as td, greatest(0.0::double, 1 - gap_s / 14400.0::double) as dd, {_dice('v1', 'v2')} as vd from k),
 r as (select id, id_2, gap_s, case when venue is not null and venue_2 is not null then 0.55::double * td + 0.25::double * dd + 0.2::double * vd else 0.7::double * td + 0.3::double * dd end as score from s)
 select id, id_2, round(score, 6) as score, case when round(score, 6) >= 0.92 and gap_s <= 900 then 'merge' when round(score, 6) >= 0.78 then 'review' else 'distinct' end as verdict from r"""))
-def op_r05_r07_f11_duplicate_pairs(d):
+def op_r07_f11_duplicate_pairs(d):
     return identity.duplicate_score(_near_pairs(d)).select("id", "id_2", "score", "verdict")
 
 
 @query(None)
 def op_r07_duplicate_candidates(d):
     """All pairs within four hours and with similar titles, of any city, date and status; without SQL, as that would compare all pairs."""
-    p = discovery.points(d)
+    p = discovery.points(d, offers=False)
     rows = p.select(F.col("occurrence_id").alias("id"), "title", F.col("venue_name").alias("venue"), (F.col("starts_at") + F.make_dt_interval(mins=(F.col("occurrence_id") % 40).cast("int"))).alias("at"))
     return identity.duplicate_score(identity.duplicate_candidates(rows)).select("id", "id_2", "score", "verdict")
 
 
 @query(sql("""++
-asked as (select s_suppkey as id, s_nationkey as city_id, replace(s_name, '0000', '00') as name from supplier),
+asked as (select s_suppkey as id, s_nationkey as city_id, s_name || case when s_suppkey % 3 = 0 then '' else ' x' end as name from supplier),
 names as (select name from asked union select venue_name from venue),
 tri as (select name, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i::int, 3))))) as g from names),
 s as (select a.id, v.venue_id, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::double, 6) as match_score
       from asked a join venue v on v.venue_city_id = a.city_id join tri x on x.name = a.name join tri y on y.name = v.venue_name)
-select id, venue_id, match_score from s where match_score >= 0.5 qualify row_number() over (partition by id order by match_score desc, venue_id) = 1"""))
-def op_j16_r12_venue_match(d):
-    asked = d.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("city_id"), F.replace("s_name", F.lit("0000"), F.lit("00")).alias("name"))
-    return identity.match_venues(asked, d.venues(), 0.5).select("id", "venue_id", "match_score")
+select id, venue_id, match_score from s where match_score >= 0.84 qualify row_number() over (partition by id order by match_score desc, venue_id) = 1"""))
+def op_j16_venue_match(d):
+    asked = d.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("city_id"), F.concat("s_name", F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(" x")).alias("name"))
+    return identity.match_venues(asked, d.venues()).select("id", "venue_id", "match_score")
 
 
 _CUSTOMERS = "select c_custkey as id, country_id, case when c_custkey % 3 = 0 then lower(city_name) else city_name end as name, city_lat + (c_custkey % 10) / 100.0::double as lat, city_lon as lon from customer join city on c_nationkey = city_id"
@@ -87,9 +87,10 @@ def op_j18_r13_city_match(d):
 
 
 @query(None)
-def op_j19_r08_c09_greedy_cities(d):
+def op_j19_c09_greedy_cities(d):
+    """Venues as places: equal names of a country within 6 km are one; without SQL, as the outcome depends on the order."""
     s = F.col("s_suppkey")
-    rows = d.table("supplier").select(F.col("s_nationkey").alias("country"), F.lit("name").alias("key"), s.alias("id"), F.col("s_acctbal").alias("quality"), (s % 4 / F.lit(20.0)).alias("lat"), (s % 3 / F.lit(20.0)).alias("lon"))
+    rows = d.table("supplier").select(F.col("s_nationkey").alias("country"), F.concat(F.lit("place "), (s % 5).cast("string")).alias("key"), s.alias("id"), F.col("s_acctbal").alias("quality"), (s % 4 / F.lit(20.0)).alias("lat"), (s % 3 / F.lit(20.0)).alias("lon"))
     return identity.greedy_distinct(rows, "country").select("country", "id")
 
 
@@ -216,16 +217,35 @@ def op_j24_u02_followed(d):
     return engagement.followed(_posts(d), authors, places).select("post_id")
 
 
-@query(sql("""++
-pref as (select c_custkey as user_id, [split_part('small red blue big', ' ', (c_custkey % 4 + 1)::int), split_part('ring widget bolt gear', ' ', (c_custkey % 3 + 1)::int)] as genres, case c_custkey % 5 when 0 then 'promo' when 1 then 'economy' end as category from customer),
-s as (select user_id, event_id, len(list_intersect(pref.genres, list_distinct(event.genres))) as shared, coalesce(category = category_slug, false) as own from pref, event),
-k as (select user_id, event_id, least(99, 55 + 13 * shared + 16 * own::int)::int as match_score from s where shared > 0 or own)
-select user_id, event_id, match_score, row_number() over (partition by user_id order by match_score desc, event_id) as place from k qualify place <= 5"""))
+_TASTES = """++
+profile as (select c_custkey as user_id, [split_part('small red blue big', ' ', (c_custkey % 4 + 1)::int)] as genres, case when c_custkey % 3 = 0 then ['promo', 'economy'] else []::varchar[] end as categories, case when c_custkey % 4 <> 0 then c_nationkey end as home_city_id, case c_custkey % 5 when 0 then 'free' when 1 then 'premium' end as preferred_price from customer),
+fav as (select o_custkey as user_id, event_id, genres, category_slug from (select distinct o_custkey, o_orderkey % 200 + 1 as e from orders) join event on event_id = e),
+fav50 as (select * from fav qualify row_number() over (partition by user_id order by event_id) <= 50),
+search as (select o_custkey as user_id, case o_orderkey % 3 when 0 then 'brand#1' when 1 then 'green' else 'ring' end as value, o_orderdate as "at", o_orderkey from orders where o_orderkey % 2 = 0),
+term as (select user_id, list(value order by "at" desc, value) as terms from (select * from search qualify row_number() over (partition by user_id order by "at" desc, value) <= 12) group by 1),
+own as (select user_id, list_distinct(list_concat(any_value(p.genres), coalesce(flatten(list(f.genres) filter (where f.genres is not null)), []))) as likes, list_distinct(list_concat(any_value(p.categories), coalesce(list(f.category_slug) filter (where f.category_slug is not null), []))) as kinds, any_value(home_city_id) as home, any_value(preferred_price) as price
+  from profile p left join fav50 f using (user_id) group by 1),
+people as (select own.*, coalesce(terms, []) as terms, coalesce(price = 'free', false) as free_only from own left join term using (user_id)),
+cand as (select p.*, h.home from point p cross join (select city_id as home from city union all select null) h where (h.home is null or h.home = p.city_id) and p.starts_at >= timestamp '1998-06-01' and p.status in ('published', 'cancelled', 'postponed', 'sold_out')),
+soon as (select *, false as free_only from cand qualify row_number() over (partition by home order by starts_at, occurrence_id) <= 24 union all select *, true from cand where is_free qualify row_number() over (partition by home order by starts_at, occurrence_id) <= 24),
+met as (select u.user_id, s.occurrence_id, s.starts_at, list_filter(s.genres, lambda g: list_contains(u.likes, g)) as shared, list_contains(u.kinds, s.category_slug) as kind, list_filter(u.terms, lambda t: contains(lower(s.title), t))[1] as term, s.is_free and coalesce(u.price, '') <> 'premium' as budget, s.is_verified
+  from people u join soon s on s.home is not distinct from u.home and s.free_only = u.free_only),
+scored as (select user_id, occurrence_id, starts_at, least(99, 55 + 13 * len(shared) + case when kind then 16 else 0 end + case when term is not null then 10 else 0 end)::int as match_score,
+  array_to_string(list_filter([case when len(shared) > 0 then 'Tes goûts : ' || array_to_string(shared[1:2], ', ') end, case when kind then 'Une catégorie que tu apprécies' end, case when term is not null then 'Inspiré par ta recherche « ' || term || ' »' end, case when budget then 'Dans ton budget' end, case when is_verified then 'Événement vérifié' end], lambda x: x is not null), '; ') as reasons from met)
+"""
+
+
+@query(sql(_TASTES + "select user_id, occurrence_id, match_score, case when reasons = '' then 'Populaire près de toi' else reasons end as reasons, row_number() over (partition by user_id order by match_score desc, starts_at, occurrence_id) as place from scored qualify place <= 8"))
 def op_m19_c02_u05_personal(d):
-    k = F.col("c_custkey")
-    words = lambda s, n: F.split_part(F.lit(s), F.lit(" "), (k % n + 1).cast("int"))
-    prefs = d.table("customer").select(k.alias("user_id"), F.array(words("small red blue big", 4), words("ring widget bolt gear", 3)).alias("genres"), F.when(k % 5 == 0, "promo").when(k % 5 == 1, "economy").alias("category"))
-    return engagement.personal_matches(prefs, d.events(), 5).select("user_id", "event_id", "match_score", "place")
+    k, c = F.col("c_custkey"), F.col("o_custkey")
+    profiles = d.table("customer").select(k.alias("user_id"), F.array(F.split_part(F.lit("small red blue big"), F.lit(" "), (k % 4 + 1).cast("int"))).alias("genres"), F.when(k % 3 == 0, F.array(F.lit("promo"), F.lit("economy"))).otherwise(F.array().cast("array<string>")).alias("categories"), F.when(k % 4 != 0, F.col("c_nationkey")).alias("home_city_id"), F.when(k % 5 == 0, "free").when(k % 5 == 1, "premium").alias("preferred_price"))
+    o = d.table("orders")
+    favorites = o.select(c.alias("user_id"), (F.col("o_orderkey") % 200 + 1).alias("event_id")).distinct().join(d.events(hosts=False).select("event_id", "genres", "category_slug"), "event_id")
+    n = F.col("o_orderkey") % 3
+    searches = o.where("o_orderkey % 2 = 0").select(c.alias("user_id"), F.when(n == 0, "brand#1").when(n == 1, "green").otherwise("ring").alias("value"), F.col("o_orderdate").alias("at"))
+    year = discovery.Filters(start=ASOF, end=datetime(2999, 1, 1))
+    out = engagement.personal_matches(profiles, favorites, searches, discovery.points(d, year, offers=False))
+    return out.select("user_id", "occurrence_id", "match_score", F.array_join("reasons", "; ").alias("reasons"), "place")
 
 
 # Queues -------------------------------------------------------------------------------------
@@ -406,11 +426,29 @@ def op_s16_p28_robots(d):
     return web.robots_verdicts(urls, web.robots_rules(files), "fairbot").select("url_id", "allowed")
 
 
-@query("""select p_partkey as id, 'n' || p_partkey as name, case when p_size % 4 = 0 then 'culture' when p_size % 4 = 1 then 'nature' when p_size % 4 = 2 then 'heritage' else 'other' end as category, case when p_size % 2 = 0 then 'https://w/' || p_partkey end as website from part""")
+#: Tags of made-up features, and the category and subcategory that each set has.
+_FEATURES = (
+    ({"leisure": "skate_park", "natural": "wood"}, "sports-outdoors", "skate-park"), ({"leisure": "garden"}, "nature", "garden"), ({"waterway": "waterfall"}, "nature", "waterfall"), ({"tourism": "gallery", "historic": "yes"}, "culture", "gallery"),
+    ({"historic": "castle", "amenity": "theatre"}, "culture", "historic-castle"), ({"amenity": "library"}, "culture", "library"), ({"tourism": "zoo"}, "family", "zoo"), ({"leisure": "water_park"}, "family", "water_park"),
+    ({"leisure": "pitch"}, "sports-outdoors", "pitch"), ({"amenity": "marketplace"}, "food-drink", "market"), ({"amenity": "place_of_worship"}, "culture", "religious-site"), ({"man_made": "tower"}, "attraction", "tower"), ({"tourism": "viewpoint"}, "attraction", "viewpoint"), ({"shop": "x"}, "attraction", None),
+)
+_KIND_SQL = lambda k: "case p_partkey % 14 " + " ".join(f"when {i} then '{f[k]}'" for i, f in enumerate(_FEATURES) if f[k]) + " end"
+
+
+@query(f"""select p_partkey as source_id, 'Été ' || p_partkey as name, 'ete-' || p_partkey || '-node-' || p_partkey as slug, {_KIND_SQL(1)} as category, {_KIND_SQL(2)} as subcategory, case when p_size % 2 = 0 then 'https://w/' || p_partkey end as website,
+  case when p_size % 3 = 0 then '5 Main St' end as address, (55 + case when p_size % 2 = 0 then 15 else 0 end + case when p_size % 3 = 0 then 5 else 0 end)::int as quality_score, p_partkey % 90 + case when p_partkey % 2 = 0 then 0.5::double else 0.0 end as latitude from part where p_partkey % 11 <> 0 and p_partkey % 13 <> 0""")
 def op_s15_n13_n14_map_features(d):
-    p, k = F.col("p_partkey").cast("string"), F.col("p_size") % 4
-    tags = F.to_json(F.struct(F.concat(F.lit("n"), p).alias("name:en"), F.when(k == 0, "museum").alias("tourism"), F.when(k == 1, "park").alias("leisure"), F.when(k == 2, "ruin").alias("historic"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://w/"), p)).alias("contact:website")))
-    return web.map_feature_place(d.table("part").select(F.col("p_partkey").alias("id"), tags.alias("tags"))).select("id", "name", "category", "website")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    p = key.cast("string")
+    made = F.coalesce(*[F.when(key % 14 == i, F.create_map(*[F.lit(x) for pair in t.items() for x in pair])) for i, (t, *_) in enumerate(_FEATURES)])
+    named = F.when(key % 11 != 0, F.create_map(F.lit("name"), F.lit("  "), F.lit("name:en"), F.concat(F.lit("Été "), p)))
+    site = F.when(size % 2 == 0, F.create_map(F.lit("contact:website"), F.concat(F.lit("https://w/"), p)))
+    street = F.when(size % 3 == 0, F.create_map(F.lit("addr:housenumber"), F.lit("5"), F.lit("addr:street"), F.lit("Main St")))
+    none = F.create_map().cast("map<string,string>")
+    tags = F.to_json(F.map_concat(made, *[F.coalesce(m, none) for m in (named, site, street)]))
+    lat = (key % 90 + F.when(key % 2 == 0, 0.5).otherwise(0.0)).cast("double")
+    rows = d.table("part").select(key.alias("id"), F.lit("node").alias("type"), F.when(key % 13 != 0, F.when(key % 2 == 0, lat)).alias("lat"), F.lit(1.0).alias("lon"), F.when((key % 13 != 0) & (key % 2 == 1), lat).alias("center_lat"), F.lit(2.0).alias("center_lon"), tags.alias("tags"))
+    return web.map_feature_place(rows).select("source_id", "name", "slug", "category", "subcategory", "website", "address", "quality_score", "latitude")
 
 
 @query(sql(f"++ r as (select page_id, 'https://e/' || page_id as url, page_id % 3 = 0 as has from pages) select page_id, 'E' || page_id as name, '1997-05-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as \"startDate\", case when page_id % 2 = 0 then 'Hall' end as location from r where has"))
@@ -424,12 +462,12 @@ def op_s10_s11_json_ld(d):
 
 @query(sql("select 'all' as k, round(avg(n), 4) as mean_events, max(n) as most, count(*) as cities from (select city_id, count(occurrence_id) as n from city left join point using (city_id) group by 1)"))
 def op_a19_j22_city_signals(d):
-    counts = d.cities().select("city_id").join(discovery.points(d).select("city_id", "occurrence_id"), "city_id", "left").groupBy("city_id").agg(F.count("occurrence_id").alias("n"))
+    counts = d.cities().select("city_id").join(discovery.points(d, offers=False).select("city_id", "occurrence_id"), "city_id", "left").groupBy("city_id").agg(F.count("occurrence_id").alias("n"))
     return counts.agg(F.lit("all").alias("k"), F.round(F.avg("n"), 4).alias("mean_events"), F.max("n").alias("most"), F.count("*").alias("cities"))
 
 
-@query(sql(f"select country_id, city_id, n from (select country_id, city_id, count(*) as n from point where {YEAR_RANGE} group by 1, 2) qualify row_number() over (partition by country_id order by n desc, city_id) = 1"))
+@query(sql("select country_id, city_id, n from (select country_id, city_id, count(*) as n from point group by 1, 2) qualify row_number() over (partition by country_id order by n desc, city_id) = 1"))
 def op_w03_w10_mode_city(d):
-    counts = discovery.points(d, YEAR).groupBy("country_id", "city_id").agg(F.count("*").alias("n"))
+    counts = discovery.points(d, offers=False).groupBy("country_id", "city_id").agg(F.count("*").alias("n"))
     order = Window.partitionBy("country_id").orderBy(F.desc("n"), "city_id")
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

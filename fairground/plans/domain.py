@@ -22,6 +22,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def lines(self, only: DataFrame | None = None) -> DataFrame:
+        """Order lines, or those of the events of ``only`` (event_id; a page's, so few enough to be broadcast)."""
+        rows = self.table("lineitem")
+        return rows if only is None else rows.join(F.broadcast(only.select(F.col("event_id").alias("l_partkey"))), "l_partkey", "left_semi")
+
     def spread(self, name: str) -> DataFrame:
         """A table for work that is heavy for each row: dealt to all cores if its files are fewer."""
         rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
@@ -58,34 +63,36 @@ class Domain:
             )
         )
 
-    def events(self) -> DataFrame:
+    def events(self, only: DataFrame | None = None, hosts: bool = True) -> DataFrame:
+        """Events, or those of ``only``; without ``hosts`` no order line is read and no venue is told."""
         p = F.col("p_partkey")
-        hosts = self.table("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("host"))
         status = F.when(p % 20 == 3, "draft").when(p % 20 == 5, "cancelled").when(p % 20 == 9, "sold_out").when(p % 20 == 11, "postponed").otherwise("published")
-        return (
-            self.table("part")
-            .join(hosts, p == F.col("l_partkey"), "left")
-            .select(
-                p.alias("event_id"),
-                F.concat(F.lit("event-"), p.cast("string")).alias("slug"),
-                F.concat_ws(" ", "p_name", "p_brand").alias("title"),
-                F.lower("p_type").alias("category_slug"),
-                F.split("p_name", " ").alias("genres"),
-                (p % 10 == 0).alias("is_free"),
-                (p % 3 == 0).alias("is_verified"),
-                (p % 50 == 7).alias("is_demo"),
-                status.alias("status"),
-                F.when(p % 11 != 0, F.col("host")).alias("event_venue_id"),
-                (p % 25).cast("int").alias("event_city_id"),
-                F.when(p % 6 != 0, p % 4 == 0).alias("wheelchair"),
-            )
+        rows = self.table("part")
+        if only is not None:
+            rows = rows.join(F.broadcast(only.select(F.col("event_id").alias("p_partkey"))), "p_partkey", "left_semi")
+        if hosts:
+            rows = rows.join(self.lines(only).groupBy(F.col("l_partkey").alias("hosted")).agg(F.min("l_suppkey").alias("host")), p == F.col("hosted"), "left")
+        venue = [F.when(p % 11 != 0, F.col("host")).alias("event_venue_id")] if hosts else []
+        return rows.select(
+            p.alias("event_id"),
+            F.concat(F.lit("event-"), p.cast("string")).alias("slug"),
+            F.concat_ws(" ", "p_name", "p_brand").alias("title"),
+            F.lower("p_type").alias("category_slug"),
+            F.split("p_name", " ").alias("genres"),
+            (p % 10 == 0).alias("is_free"),
+            (p % 3 == 0).alias("is_verified"),
+            (p % 50 == 7).alias("is_demo"),
+            status.alias("status"),
+            *venue,
+            (p % 25).cast("int").alias("event_city_id"),
+            F.when(p % 6 != 0, p % 4 == 0).alias("wheelchair"),
         )
 
-    def occurrences(self) -> DataFrame:
+    def occurrences(self, only: DataFrame | None = None) -> DataFrame:
         e = F.col("event_id")
         days = F.datediff(F.col("starts_at"), F.lit("1992-01-01"))
         return (
-            self.table("lineitem")
+            self.lines(only)
             .select(F.col("l_partkey").alias("event_id"), F.col("l_shipdate").alias("starts_at"))
             .distinct()
             .select(
@@ -99,9 +106,9 @@ class Domain:
             )
         )
 
-    def offers(self) -> DataFrame:
+    def offers(self, only: DataFrame | None = None) -> DataFrame:
         return (
-            self.table("lineitem")
+            self.lines(only)
             .where("l_linenumber = 1")
             .select(
                 F.col("l_partkey").alias("event_id"),

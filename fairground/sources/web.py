@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import html_text, url_host
+from ..functions.text import html_text, slugify, url_host
+from ..operators.scores import place_quality
 
 EVENT_SCHEMA = "array<struct<name:string,startDate:string,endDate:string,location:string,url:string>>"
 
@@ -109,28 +113,81 @@ def robots_verdicts(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
 CITY_COLUMNS = "geonames_id long, name string, ascii_name string, alternate_names string, latitude double, longitude double, feature_class string, feature_code string, country_code string, cc2 string, admin1_code string, admin2_code string, admin3_code string, admin4_code string, population long, elevation string, dem string, timezone string, modified string"
 
 
-def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """Populated places of a tab-separated city file (unzipped)."""
-    rows = spark.read.schema(CITY_COLUMNS).option("sep", "\t").option("quote", "").csv(path)
-    return rows.where("feature_class = 'P'").select("geonames_id", "name", "ascii_name", F.split("alternate_names", ",").alias("alternate_names"), "latitude", "longitude", "feature_code", "country_code", "admin1_code", "population", "timezone", (F.col("feature_code") == "PPLC").alias("is_capital"))
+def parse_countries(lines: DataFrame) -> DataFrame:
+    """Countries of the lines (``value``) of a tab-separated file; lines that begin with # are comments, short ones are passed over."""
+    cells = lines.where(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 17)
+    cell = lambda i: F.trim(F.get("c", F.lit(i)))
+    languages = F.filter(F.split(cell(15), ","), lambda x: x != "")
+    return cells.select(cell(0).alias("code"), cell(1).alias("iso3"), cell(4).alias("name"), cell(7).try_cast("bigint").alias("population"), cell(6).try_cast("double").alias("area"), languages.alias("languages"), cell(16).try_cast("bigint").alias("geonames_id"))
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
-    """Countries of a tab-separated file whose comments begin with #."""
-    rows = spark.read.option("sep", "\t").option("comment", "#").csv(path)
-    return rows.select(F.col("_c0").alias("code"), F.col("_c1").alias("iso3"), F.col("_c4").alias("name"), F.try_to_number("_c7", F.lit("999999999999")).cast("long").alias("population"), F.expr("try_cast(_c6 as double)").alias("area"), F.split(F.coalesce("_c15", F.lit("")), ",").alias("languages"), F.expr("try_cast(_c16 as bigint)").alias("geonames_id"))
+    return parse_countries(spark.read.text(path))
+
+
+def unzipped_lines(archives: DataFrame) -> DataFrame:
+    """The lines (``value``) of the text files in zip archives (``content``, binary), some thousand at a time."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b.content:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        with archive.open(name) as f:
+                            rows = (line.rstrip(b"\r\n").decode() for line in f)
+                            while part := list(islice(rows, 10_000)):
+                                yield pd.DataFrame({"value": part})
+
+    return archives.select("content").mapInPandas(lines, "value string")
+
+
+def parse_cities(lines: DataFrame) -> DataFrame:
+    """Populated places of the lines (``value``) of a tab-separated city file."""
+    rows = lines.select(F.from_csv("value", F.lit(CITY_COLUMNS), {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
+    return rows.where("feature_class = 'P'").select("geonames_id", "name", "ascii_name", F.split("alternate_names", ",").alias("alternate_names"), "latitude", "longitude", "feature_code", "country_code", "admin1_code", "population", "timezone", (F.col("feature_code") == "PPLC").alias("is_capital"))
+
+
+def read_cities(spark: SparkSession, path: str) -> DataFrame:
+    """Cities of a tab-separated file, or of the files in a zip archive."""
+    if path.endswith(".zip"):
+        return parse_cities(unzipped_lines(spark.read.format("binaryFile").load(path)))
+    return parse_cities(spark.read.text(path))
 
 
 def map_feature_place(features: DataFrame) -> DataFrame:
-    """(id, name, category, website, phone) of map features (id, tags: JSON object of texts)."""
+    """Places of map features (id, type, lat, lon, center_lat, center_lon, tags: JSON object of texts).
+
+    Those without a name, a type or a location are none. Empty tags count as absent.
+    """
     tags = F.from_json("tags", "map<string,string>")
-    first = lambda *keys: F.coalesce(*[tags[k] for k in keys])
-    kind = (
-        F.when(tags["tourism"].isin("museum", "gallery"), "culture")
-        .when(tags["leisure"].isin("park", "garden", "nature_reserve"), "nature")
-        .when(tags["amenity"].isin("theatre", "cinema", "arts_centre"), "entertainment")
-        .when(tags["historic"].isNotNull(), "heritage")
-        .when(tags["leisure"].isin("sports_centre", "stadium"), "sport")
-        .otherwise("other")
+    tag = lambda k: F.nullif(F.trim(F.col("t")[k]), F.lit(""))
+    first = lambda *keys: F.coalesce(*[tag(k) for k in keys])
+    one_of = lambda k, *values: F.col("t")[k].isin(*values)
+    kind, given = lambda a, b: F.struct(F.lit(a).alias("category"), b.alias("subcategory")), lambda k: F.col("t")[k]
+    kinds = (
+        F.when(given("leisure") == "skate_park", kind("sports-outdoors", F.lit("skate-park")))
+        .when(one_of("leisure", "park", "garden", "nature_reserve"), kind("nature", given("leisure")))
+        .when(tag("natural").isNotNull() | (given("waterway") == "waterfall"), kind("nature", F.coalesce(given("natural"), given("waterway"))))
+        .when(one_of("tourism", "museum", "gallery"), kind("culture", given("tourism")))
+        .when(tag("historic").isNotNull(), kind("culture", F.concat(F.lit("historic-"), given("historic"))))
+        .when(one_of("amenity", "theatre", "cinema", "arts_centre", "library"), kind("culture", given("amenity")))
+        .when(one_of("tourism", "zoo", "aquarium", "theme_park"), kind("family", given("tourism")))
+        .when(one_of("leisure", "playground", "water_park"), kind("family", given("leisure")))
+        .when(one_of("leisure", "sports_centre", "stadium", "pitch"), kind("sports-outdoors", given("leisure")))
+        .when(given("amenity") == "marketplace", kind("food-drink", F.lit("market")))
+        .when(given("amenity") == "place_of_worship", kind("culture", F.lit("religious-site")))
+        .otherwise(kind("attraction", F.coalesce(given("tourism"), given("man_made"))))
     )
-    return features.select("id", first("name", "name:en", "official_name").alias("name"), kind.alias("category"), first("website", "contact:website", "url").alias("website"), first("phone", "contact:phone").alias("phone"))
+    street = F.nullif(F.concat_ws(" ", *[F.nullif(given(k), F.lit("")) for k in ("addr:housenumber", "addr:street", "addr:postcode", "addr:city")]), F.lit(""))
+    lat, lon, key = F.coalesce("lat", "center_lat"), F.coalesce("lon", "center_lon"), F.col("id").cast("string")
+    has = lambda *keys: first(*keys).isNotNull()
+    quality = place_quality(has("website", "contact:website", "wikipedia", "wikidata"), has("opening_hours"), has("description", "description:fr", "description:en"), has("image", "wikimedia_commons"), has("addr:street", "addr:full"))
+    rows = features.withColumn("t", tags).withColumn("name", first("name", "name:fr", "name:en", "official_name")).withColumn("kind", kinds)
+    rows = rows.where(F.col("name").isNotNull() & F.col("type").isNotNull() & F.col("id").isNotNull() & lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
+    return rows.select(
+        F.col("type").alias("source_type"), F.col("id").alias("source_id"), F.concat(F.lit("https://www.openstreetmap.org/"), "type", F.lit("/"), key).alias("source_url"), "name",
+        F.concat(slugify(F.col("name"), 100), F.lit("-"), F.col("type"), F.lit("-"), key).alias("slug"), "kind.category", "kind.subcategory",
+        first("description:fr", "description", "description:en").alias("description"), F.coalesce(first("addr:full"), street).alias("address"), first("website", "contact:website").alias("website"),
+        first("phone", "contact:phone").alias("phone"), first("image").alias("image_url"), first("opening_hours").alias("opening_hours"), first("fee").alias("fee"), first("wheelchair").alias("wheelchair"),
+        lat.alias("latitude"), lon.alias("longitude"), quality.alias("quality_score"), F.col("t").alias("tags"),
+    )

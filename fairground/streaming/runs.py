@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 
 def source(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A stream of the Parquet files of ``path`` (a file or a folder), event time ``ts`` as an instant.
@@ -24,10 +26,6 @@ def source(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs ``stream`` until its input is used up; returns what it gave.
 
@@ -122,16 +120,21 @@ def circuit_breaker(events: DataFrame) -> DataFrame:
 
 
 def breaker_batch(events: DataFrame) -> DataFrame:
-    """The same over a whole table: each user's events in one group, as in the stream's state."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        now, rows = (0, -1.0, -1.0, 0), []
-        for r in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-            now, told = breaker_step(now, r.ts.timestamp(), r.event_type == "error")
-            rows.append((r.user_id, r.event_id, told, now[3]))
-        return pd.DataFrame(rows, columns=["user_id", "event_id", "state", "opened"])
-
-    return events.where(F.col("event_type").isin("error", "purchase")).groupBy("user_id").applyInPandas(run, BREAKER_SCHEMA)
+    """The same over a whole table: a user's events come in order and only the breaker's state is held, so a user may have any number."""
+    used = events.where(F.col("event_type").isin("error", "purchase")).select("user_id", "ts", "event_id", "event_type")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, now = None, (0, -1.0, -1.0, 0)
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                if r.user_id != user:
+                    user, now = r.user_id, (0, -1.0, -1.0, 0)
+                now, told = breaker_step(now, r.ts.timestamp(), r.event_type == "error")
+                rows.append((r.user_id, r.event_id, told, now[3]))
+            yield pd.DataFrame(rows, columns=["user_id", "event_id", "state", "opened"])
+
+    return used.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, BREAKER_SCHEMA)
 
 
 def spaced_requests(events: DataFrame, seconds: int) -> DataFrame:

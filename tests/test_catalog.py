@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fairground.plans import catalog, catalog_more, catalog_work  # noqa: F401
+from fairground.plans import catalog, catalog_more, catalog_rules, catalog_work  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -37,7 +37,10 @@ def test_validators(spark):
     assert tuple(r) == ("a@b.c", None, "+41 (0)22-1", None)
 
 
-@pytest.mark.parametrize(("raw", "canonical"), [("HTTPS://Ex.com/A/?utm_source=x&b=1#top", "https://ex.com/A/?b=1"), ("http://e.com/a?ref=1", "http://e.com/a"), ("http://e.com/", "http://e.com"), ("http://e.com/a?b=1&fbclid=2&c=3", "http://e.com/a?b=1&c=3")])
+@pytest.mark.parametrize(("raw", "canonical"), [
+    ("HTTPS://Ex.com/A/?utm_source=x&b=1#top", "https://ex.com/A/?b=1"), ("http://e.com/a?ref=1", "http://e.com/a"), ("http://e.com", "http://e.com/"), ("http://e.com/a?b=1&fbclid=2&c=3", "http://e.com/a?b=1&c=3"),
+    ("https://e.com/?GBRAID=1&wbraid=2&source=3&sources=4", "https://e.com/?sources=4"), ("https://U@E.com:443/x", "https://U@e.com/x"), ("http://e.com:443/", "http://e.com:443/"), ("mailto:a@b.c", None), ("/path", None), (" ", None), (None, None),
+])
 def test_canonical_url(spark, raw, canonical):
     assert one(spark, text.canonical_url(lit(raw)))[0] == canonical
 
@@ -76,15 +79,45 @@ def test_dates(spark):
 
 
 def test_ranges():
-    wednesday = datetime(2024, 5, 15, 20, 0)
-    assert times.quick_range("now", wednesday) == (wednesday, datetime(2024, 5, 15, 22))
-    assert times.quick_range("tonight", wednesday) == (wednesday, datetime(2024, 5, 16, 6))
-    start, end = times.quick_range("weekend", wednesday)
-    assert start == datetime(2024, 5, 17, 18) and end.date() == datetime(2024, 5, 19).date()
-    saturday = datetime(2024, 5, 18, 9)
-    assert times.quick_range("weekend", saturday)[0] == saturday
+    at = datetime(2024, 5, 15, 20, 0)  # a Wednesday
+    r = times.quick_range
+    assert r("now", at) == (at, datetime(2024, 5, 15, 22)) and r("today", at) == (at, datetime(2024, 5, 16))
+    assert r("tonight", at) == (at, datetime(2024, 5, 16, 6)) and r("tonight", datetime(2024, 5, 15, 7)) == (datetime(2024, 5, 15, 18), datetime(2024, 5, 16, 6))
+    assert r("tonight", datetime(2024, 5, 15, 3)) == (datetime(2024, 5, 14, 18), datetime(2024, 5, 16, 6))
+    assert r("tomorrow", at) == (datetime(2024, 5, 16), datetime(2024, 5, 17))
+    assert [(y - x).days for x, y in (r(k, at) for k in ("week", "month", "year"))] == [7, 30, 365]
     with pytest.raises(ValueError):
-        times.quick_range("someday", saturday)
+        r("someday", at)
+
+
+@pytest.mark.parametrize(("day", "friday"), [(13, 17), (14, 17), (15, 17), (16, 17), (17, 17), (18, 24), (19, 24)])
+def test_weekend_is_that_of_the_next_friday(day, friday):
+    """From Monday to Sunday; on Saturday and Sunday it is the next week's."""
+    assert times.quick_range("weekend", datetime(2024, 5, day, 21)) == (datetime(2024, 5, friday, 18), datetime(2024, 5, friday + 2, 23, 59))
+
+
+@pytest.mark.parametrize(("error", "daily", "weekly"), [
+    ("direct_http_404", 24, 168), ("x direct_http_410 y", 24, 168), ("direct_http_4040", 0.5, 6), ("DIRECT_OFF_DOMAIN_URL", 24, 168), ("invalid peer certificate: expired", 24, 168),
+    ("failed to lookup address information", 24, 168), ("direct_timeout", 2, 24), ("direct_http_429", 2, 24), ("direct_http_503", 2, 24), ("error sending request for url", 2, 24), ("other", 0.5, 6),
+])
+def test_retry_delays(spark, error, daily, weekly):
+    r = one(spark, *[times.retry_minutes(F.lit(error), F.lit(w)) for w in (False, True, None)])
+    assert tuple(r) == (daily * 60, weekly * 60, daily * 60)
+
+
+def test_radius_by_population(spark):
+    got = one(spark, *[geo.radius_for_population(F.lit(n).cast("long")) for n in (None, 0, 49_999, 50_000, 250_000, 1_000_000, 4_999_999, 5_000_000)])
+    assert tuple(got) == (8, 8, 8, 10, 12, 15, 15, 18)
+
+
+def test_json_limits(spark):
+    from fairground.functions import documents
+
+    texts = ["{}", '{"a": [1, {"b": "x, [{"}], "c": null}', "3", "[" * 21 + "]" * 21, "[" + ",".join("1" * 10_001) + "]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.orderBy("i").select(documents.json_shape(F.col("t")).alias("s"), documents.within_limits(F.col("t")).alias("fine")).collect()
+    assert [(r.s.depth, r.s.nodes) for r in got[:5]] == [(1, 1), (3, 6), (0, 1), (21, 21), (1, 10_002)]
+    assert got[1].s.chars == 8 and [r.fine for r in got] == [True, True, True, False, False, False]
 
 
 def test_backoff(spark):
