@@ -1,10 +1,11 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Balanced k-means over a bounded sample gives the lists' centroids. A vector goes into its
-nearest list and, near a boundary, into others whose centroid is hardly farther. A graph
-over the centroids, searched in memory, finds the lists of a vector or a query; the ratio of
-distances prunes a query's lists. Long lists are split into blocks, and each block's distances
-are taken in one task; the best of each block meet in a last top-k.
+Balanced k-means over a bounded sample, in two levels, gives the lists' centroids: about as
+many as the square root of the number of vectors. A vector goes into its nearest list and, near
+a boundary, into others whose centroid is hardly farther. A graph over the centroids, searched in
+memory, finds the lists of a vector or a query; the ratio of distances prunes a query's lists.
+Long lists are split into blocks. A block is read once and its queries are streamed past it; the
+best of each block meet in a last top-k.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 #: Vectors, and numbers in them, that the centroids are fitted on, at most; every vector is indexed.
-SAMPLE, SAMPLE_VALUES = 16_384, 4_000_000
+SAMPLE, SAMPLE_VALUES = 32_768, 4_000_000
+#: Numbers that a block's vectors hold, at most.
+BLOCK_VALUES = 4_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    n_lists: int = 64
+    n_lists: int | None = None  #: if none, the square root of the number of vectors
+    per_centroid: int = 16  #: vectors of the sample for each list, at least
     copies: int = 4  #: lists that hold a vector, at most
     copy_ratio: float = 1.2  #: a further list's distance against the nearest one's
     probes: int = 24  #: lists that a query reads, at most
     probe_ratio: float = 1.5
     block_rows: int = 8_192  #: vectors of a list that one task holds
-    block_queries: int = 2_048
     links: int = 16
     seed: int = 7
 
@@ -64,6 +69,16 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np
     return c
 
 
+def centroids_of(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``balanced_centroids``; of many, some are fitted first and each of their parts is then split by itself."""
+    if k <= 64:
+        return balanced_centroids(x, k, seed)
+    top = balanced_centroids(x, round(k**0.5), seed)
+    at = np.concatenate([squared(x[i : i + 4096], top).argmin(1) for i in range(0, len(x), 4096)])
+    parts = [x[at == i] for i in range(len(top))]
+    return np.concatenate([balanced_centroids(p, max(1, round(k * len(p) / len(x))), seed + i) for i, p in enumerate(parts) if len(p)])
+
+
 class CentroidGraph:
     """Each centroid linked with its nearest ones, both ways, and with a ring through all."""
 
@@ -80,7 +95,12 @@ class CentroidGraph:
         self.links = np.array([sorted(s) + [i] * (width - len(s)) for i, s in enumerate(linked)], np.int64).reshape(k, width)
         self.entry = int(d.sum(1).argmin())
 
-    def search(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, n: int, rows: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+        """``_search``, some rows at a time."""
+        found = [self._search(x[i : i + rows], n) for i in range(0, len(x), rows)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _search(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``x`` its ``n`` nearest centroids that a best-first search finds, and their distances."""
         m, k = len(x), len(self.c)
         n = min(n, k)
@@ -114,10 +134,8 @@ class CentroidGraph:
         return ids[:, :n], dist[:, :n]
 
 
-def nearest(block: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` nearest vectors of a block for each query, exactly; ties to the smaller id."""
-    x, q = np.stack(block.vector.to_numpy()), np.stack(queries.vector.to_numpy())
-    ids, own = block.id.to_numpy(), queries.id.to_numpy()
+def nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of the vectors ``x`` for each query ``q``, exactly; ties to the smaller id."""
     repeats = len(np.unique(ids)) < len(ids)
     out = []
     for at in range(0, len(q), 64):
@@ -137,6 +155,10 @@ def nearest(block: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, dims))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """For each row that ``queries`` holds for, its ``k`` nearest other rows: query_id, rank, vec_id, score.
 
@@ -147,68 +169,76 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     it reads further lists as long as those that it has might hold too few. Extra columns are
     not read; an empty table has no rows.
     """
-    spark = vectors.sparkSession
+    spark, s = vectors.sparkSession, settings
     kind = vectors.schema[id_col].dataType.simpleString()
-    empty = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    raw = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), queries.alias("is_query")).where("id is not null and vector is not null and size(vector) > 0")
-    widths = raw.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).orderBy(F.desc("n"), "w").limit(1).collect()
+    raw = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("id is not null and vector is not null and size(vector) > 0")
+    element = raw.schema["vector"].dataType.elementType.simpleString()
+    if element not in ("float", "double"):
+        raw, element = raw.withColumn("vector", F.col("vector").cast("array<double>")), "double"
+    widths = raw.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    empty = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     if not widths:
-        return spark.createDataFrame([], empty)
-    dims, n, n_queries = widths[0]["w"], widths[0]["n"], widths[0]["q"]
+        return empty
+    dims, n = widths[0]["w"], widths[0]["n"]
     valid = raw.where(usable(F.col("vector"), dims))
-    sample = np.array([r["vector"] for r in valid.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(max(1_024, min(SAMPLE, SAMPLE_VALUES // dims))).collect()]).reshape(-1, dims)
+    chosen = valid.orderBy(F.xxhash64("id"), "id").limit(max(1_024, min(SAMPLE, SAMPLE_VALUES // dims))).select("vector").toArrow().column("vector").combine_chunks()
+    sample = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
     if not len(sample):
-        return spark.createDataFrame([], empty)
-    s = settings
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, max(1, min(s.n_lists, n // 64)), s.seed), s.links))
-
-    def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, d = graph.value.search(x, s.copies)
-        return ids, (d <= s.copy_ratio * d[:, :1]) & (ids >= 0)
+        return empty
+    n_lists = max(1, min(s.n_lists or round(n**0.5), len(sample) // s.per_centroid, n // 64))
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids_of(sample, n_lists, s.seed), s.links))
+    n_centroids, block_rows = len(graph.value.c), max(1, min(s.block_rows, BLOCK_VALUES // dims))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                ids, keep = lists_of(np.stack(b.vector.to_numpy()))
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "id": b.id.to_numpy()[r], "vector": b.vector.to_numpy()[r]})
-
-    schema = f"list int, id {kind}, vector array<double>"
-    postings = valid.select("id", "vector").mapInPandas(filed, schema)
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    n_centroids = len(graph.value.c)
-    blocks = spark.sparkContext.broadcast(np.array([-(-sizes.get(i, 0) // s.block_rows) for i in range(n_centroids)], np.int64))
-    lengths = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(n_centroids)], np.int64))
-    q_blocks = max(1, -(-n_queries * s.probes // (n_centroids * s.block_queries)))
+                ids, d = graph.value.search(matrix(b.vector, dims), s.copies)
+                keep = (d <= s.copy_ratio * d[:, :1]) & (ids >= 0)
+                yield b.assign(lists=[i[k] for i, k in zip(ids.astype(np.int32), keep)])
+
+    # Stored, so that vectors are filed once: their lists are counted, then read.
+    index = stored(valid.mapInPandas(filed, f"id {kind}, vector array<{element}>, is_query boolean, lists array<int>"), "postings")
+    lengths_of = np.zeros(n_centroids, np.int64)
+    for r in index.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect():
+        lengths_of[r["list"]] = r["n"]
+    lengths = spark.sparkContext.broadcast(lengths_of)
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x = np.stack(b.vector.to_numpy())
-            ids, d = graph.value.search(x, n_centroids if n_centroids <= s.probes else 2 * s.probes)
-            place = np.arange(ids.shape[1])
-            keep = (d <= s.probe_ratio * d[:, :1]) & (place < s.probes) & (ids >= 0)
-            found = np.cumsum(np.where(ids >= 0, lengths.value[ids], 0), 1)
-            keep |= (ids >= 0) & (found - np.where(ids >= 0, lengths.value[ids], 0) < s.copies * (k + 1))
+            ids, d = graph.value.search(matrix(b.vector, dims), n_centroids if n_centroids <= s.probes else 2 * s.probes)
+            keep = (d <= s.probe_ratio * d[:, :1]) & (np.arange(ids.shape[1]) < s.probes) & (ids >= 0)
+            length = np.where(ids >= 0, lengths.value[ids], 0)
+            keep |= (ids >= 0) & (np.cumsum(length, 1) - length < s.copies * (k + 1))
             r, c = np.nonzero(keep)
-            times = blocks.value[ids[r, c]]
+            times = -(-lengths.value[ids[r, c]] // block_rows)
             again = np.repeat(np.arange(len(r)), times)
             block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
             yield pd.DataFrame({"list": ids[r, c][again].astype(np.int32), "block": block.astype(np.int32), "id": b.id.to_numpy()[r][again], "vector": b.vector.to_numpy()[r][again]})
 
-    asked = valid.where("is_query").select("id", "vector").mapInPandas(probed, f"list int, block int, id {kind}, vector array<double>")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-    n_blocks = F.get(F.array(*[F.lit(int(v)) for v in blocks.value]), F.col("list"))
-    held = postings.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = index.where("is_query").select("id", "vector").mapInPandas(probed, f"list int, block int, id {kind}, vector array<{element}>")
+    many = F.create_map(*[F.lit(int(x)) for i in np.flatnonzero(lengths_of > block_rows) for x in (i, -(-lengths_of[i] // block_rows))]) if (lengths_of > block_rows).any() else None
+    n_blocks = F.coalesce(F.try_element_at(many, F.col("list")), F.lit(1)) if many is not None else F.lit(1)
+    held = index.select(F.explode("lists").alias("list"), "id", "vector").withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    both = held.select("list", "block", F.lit(0).alias("asks"), "id", "vector").unionByName(asked.withColumn("asks", F.lit(1)))
 
-    def joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest(left, right, k)
-
-    keys = ["list", "block", "part"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(joined, f"query_id {kind}, vec_id {kind}, score double")
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's vectors come first, then its queries, batch after batch."""
+        at, parts, block = None, [], None
+        for b in batches:
+            for key, rows in b.groupby(["list", "block", "asks"], sort=False):
+                if key[:2] != at:
+                    at, parts, block = key[:2], [], None
+                if key[2] == 0:
+                    parts.append((rows.id.to_numpy(), matrix(rows.vector, dims)))
+                elif parts:
+                    if block is None:
+                        block = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    yield nearest(*block, rows.id.to_numpy(), matrix(rows.vector, dims), k)
+
+    dealt = both.repartition("list", "block").sortWithinPartitions("list", "block", "asks")
+    found = dealt.mapInPandas(compared, f"query_id {kind}, vec_id {kind}, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

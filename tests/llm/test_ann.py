@@ -49,6 +49,19 @@ def test_recall_and_exact_scores(spark):
     assert all(abs(np.sqrt(((x[q] - x[v]) ** 2).sum()) - d) < 1e-12 for q in got for _, v, d in got[q])
 
 
+def test_lists_follow_the_table(spark):
+    """More vectors have more lists, fitted in two levels, and recall stays."""
+    rows = vectors(12_000, dims=8, seed=3)
+    got, want = run(spark, rows, 400), brute(rows, 400)
+    hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    x = np.array([v for _, v in rows])
+    c = ann.centroids_of(x, 110, 7)
+    assert 100 <= len(c) <= 120
+    sizes = np.bincount(ann.squared(x, c).argmin(1), minlength=len(c))
+    assert sizes.max() < 6 * len(x) / len(c)
+
+
 def test_few_vectors_are_searched_exactly(spark):
     for n in (1, 2, 9, 40):
         rows = vectors(n, seed=n)
@@ -58,7 +71,7 @@ def test_few_vectors_are_searched_exactly(spark):
 
 def test_hot_vector_in_blocks_and_ties(spark):
     rows = vectors(600) + [(i, [1.0] * 16) for i in range(600, 900)]
-    got = run(spark, rows, 100, block_rows=64, block_queries=2)
+    got = run(spark, rows, 100, block_rows=64)
     assert [v for _, v, _ in got[600]] == list(range(601, 611)) and all(d == 0 for *_, d in got[600])
 
 
