@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,17 +53,6 @@ def read_pgm(data: bytes | None) -> np.ndarray | None:
     return x[: w * h].reshape(h, w) if w * h and len(x) >= w * h else None
 
 
-def mosaic(vector, cell: int = 8) -> bytes | None:
-    """A vector of n x n numbers as an image of square cells, its values spread over 0 to 255."""
-    v = np.asarray([np.nan if x is None else x for x in vector], np.float64) if vector is not None else np.zeros(0)
-    n = int(len(v) ** 0.5)
-    if n < 2 or n * n != len(v) or not np.isfinite(v).all():
-        return None
-    low, high = v.min(), v.max()
-    grey = np.round((v - low) / (high - low) * 255) if high > low else np.zeros(len(v))
-    return pgm(np.kron(grey.reshape(n, n), np.ones((cell, cell))))
-
-
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Mean over squares of side 2r+1, edges repeated."""
     p = np.pad(x, r + 1, mode="edge")[:-1, :-1].astype(np.float64).cumsum(0).cumsum(1)
@@ -276,10 +266,47 @@ def find_copies(images: DataFrame, id_col: str, image: Column, settings: Setting
     )
 
 
-def mosaics(vectors: Column) -> Column:
-    """Vectors as mosaic images; null where there is no square number of finite values."""
+#: Edits that ``drawn`` can make.
+EDITS = ("crop", "turn", "light", "blot", "noise")
+
+
+def texture(vector, cells: int = 20, cell: int = 4) -> np.ndarray | None:
+    """Grey squares whose values follow from a vector's bytes: other vectors give unrelated images; None for none."""
+    if vector is None:
+        return None
+    x = np.asarray([np.nan if v is None else v for v in vector], np.float64)
+    grey = np.random.default_rng(zlib.crc32(x.tobytes())).integers(0, 256, (cells, cells))
+    return np.kron(grey, np.ones((cell, cell), np.int64))
+
+
+def edited(pixels: np.ndarray, edit: str) -> np.ndarray:
+    """An edited copy: an eighth less on each side, a quarter turn, paler, a grey corner, or with noise."""
+    h, w = pixels.shape
+    rng = np.random.default_rng(zlib.crc32(pixels.astype(np.uint8).tobytes()))
+    if edit == "crop":
+        return pixels[h // 10 : h - h // 10, w // 10 : w - w // 10]
+    if edit == "turn":
+        return np.rot90(pixels)
+    if edit == "light":
+        return pixels * 0.75 + 40
+    if edit == "blot":
+        out = pixels.copy()
+        out[: h // 3, : w // 3] = 128
+        return out
+    if edit == "noise":
+        return np.clip(pixels + rng.normal(0, 8, pixels.shape), 0, 255)
+    raise ValueError(f"no edit {edit!r}")
+
+
+def drawn(vectors: Column, edits: Column) -> Column:
+    """``texture`` images of vectors, edited where ``edits`` names one of EDITS; null for null vectors."""
+
     @F.pandas_udf("binary")
-    def draw(v: pd.Series) -> pd.Series:
-        return v.map(mosaic)
+    def draw(v: pd.Series, e: pd.Series) -> pd.Series:
+        def one(vector, edit) -> bytes | None:
+            pixels = texture(vector)
+            return None if pixels is None else pgm(edited(pixels, edit) if edit in EDITS else pixels)
+
+        return pd.Series([one(x, y) for x, y in zip(v, e)], dtype=object)
 
-    return draw(vectors)
+    return draw(vectors, edits)

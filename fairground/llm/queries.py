@@ -58,8 +58,20 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return media.find_copies(vectors, "vec_id", media.mosaics(F.col("embedding")))
+    """No table has images: each vector is drawn as a texture, and for one in ten an edited copy is made, which must be found.
+
+    A row for each image: vec_id, edit (null for the vector's own image), n_corners, class_id and copy_id
+    (smallest vec_id among linked images and among equal ones) and n_links.
+    """
+    key = F.col("vec_id")
+    dealt = F.crc32(key.cast("string").cast("binary"))
+    edit = F.when(dealt % 10 == 0, F.element_at(F.array(*map(F.lit, media.EDITS)), (F.floor(dealt / 10) % len(media.EDITS) + 1).cast("int")))
+    both = F.array_compact(F.array(F.lit(""), edit))
+    images = spread(table(spark, sf_dir, "embeddings")).select(key, "embedding", F.posexplode(both).alias("no", "edit"))
+    found = media.find_copies(images.withColumn("image_id", 2 * key + F.col("no")), "image_id", media.drawn(F.col("embedding"), F.col("edit")))
+    of = lambda c: F.floor(F.col(c) / 2).cast("long")
+    told = found.select(of("image_id").alias("vec_id"), (F.col("image_id") % 2 == 1).alias("is_edit"), of("class_id").alias("class_id"), of("copy_id").alias("copy_id"), "n_corners", "n_links")
+    return told.select("vec_id", F.when(F.col("is_edit"), edit).alias("edit"), "class_id", "copy_id", "n_corners", "n_links")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import numpy as np
 from fairground.llm import media as M
 
 rng = np.random.default_rng(4)
-PHOTOS = [M.read_pgm(M.mosaic(rng.normal(size=64))) for _ in range(12)]
+PHOTOS = [M.texture(rng.normal(size=64)) for _ in range(12)]
 
 
 def edits(x):
@@ -46,10 +46,30 @@ def test_odd_images(spark):
     assert run(spark, []) == {}
 
 
-def test_mosaic_of_odd_vectors():
-    assert M.mosaic(None) is None and M.mosaic([1.0, 2.0, 3.0]) is None and M.mosaic([1.0, None, 2.0, 3.0]) is None
-    assert M.mosaic([float("nan")] * 4) is None
-    assert M.read_pgm(M.mosaic([0.0, 1.0, 2.0, 3.0])).shape == (16, 16)
+def test_textures_of_odd_vectors():
+    assert M.texture(None) is None and M.texture([]).shape == M.texture([1.0, None, float("nan")]).shape == (80, 80)
+    assert (M.texture([1.0]) != M.texture([1.5])).any() and (M.texture([1.0]) == M.texture([1.0])).all()
+
+
+def test_large_images_and_repeated_rows(spark):
+    big = np.random.default_rng(8).integers(0, 256, (150, 150)).repeat(8, 0).repeat(8, 1)
+    images = [(1, M.pgm(big)), (1, M.pgm(big)), (2, M.pgm(big[:-80, :-64])), (3, M.pgm(PHOTOS[0]))]
+    df = spark.createDataFrame([(i, bytearray(x), 5, 6) for i, x in images], "vec_id long, image binary, class_id int, n_links int")
+    got = M.find_copies(df, "vec_id", df.image).collect()
+    assert sorted((r.vec_id, r.class_id, r.n_links) for r in got) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
+
+
+def test_query_finds_the_edits_it_makes(spark, tmp_path):
+    from fairground.llm.queries import op7_media
+
+    own = np.random.default_rng(6)
+    rows = [(i, own.normal(size=8).astype(float).tolist(), 0) for i in range(400)] + [(400, None, 0), (None, [1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op7_media(spark, str(tmp_path)).collect()
+    made = [r for r in got if r.edit]
+    assert len(got) - len(made) == len(rows) and {r.edit for r in made} == set(M.EDITS)
+    assert sum(r.class_id == r.vec_id and r.n_links == 1 for r in made) >= 0.9 * len(made)
+    assert all(r.class_id == r.vec_id for r in got) and sum(r.n_links for r in got) == sum(r.n_links for r in made) * 2
 
 
 def test_pairs_are_counted_for_themselves(spark):
@@ -63,7 +83,7 @@ def test_pairs_are_counted_for_themselves(spark):
 
 def test_strong_edits_are_found_as_by_all_pairs(spark):
     s, own = M.Settings(), np.random.default_rng(5)
-    images = [y for x in PHOTOS for y in (x, np.clip(x + own.normal(0, 15, x.shape), 0, 255), np.clip(x * 0.5 + own.normal(0, 6, x.shape), 0, 255))]
+    images = [y for x in PHOTOS for y in (x, np.clip(x + own.normal(0, 15, x.shape), 0, 255), np.clip(x * 0.5 + own.normal(0, 6, x.shape), 0, 255), M.edited(x, "crop"))]
     images = [np.asarray(x).astype(np.uint8) for x in images]
     seen = [M.describe(x, s) for x in images]
     n_links = [sum(i != j and M.agreeing(*seen[min(i, j)], *seen[max(i, j)], s) >= s.agreeing for j in range(len(seen))) for i in range(len(seen))]
