@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Windows in a block, and tokens in a block that stay free so that windows can be uneven.
-BLOCK_WINDOWS, SLACK = 32, 16
-#: Rests of a block's windows that are cut into ever smaller pieces, which level the windows.
-LEVELLERS = 16
+#: Windows in a block, and the part of a window's tokens that a block leaves free so that windows can be uneven.
+BLOCK_WINDOWS, SLACK = 32, 4
+#: Rests of a block's windows that are cut into ever smaller pieces, which level the windows, and the
+#: part of a window that such a piece has at least (but for what is left of a rest).
+LEVELLERS, LEAST = 16, 64
 
 
 def partition(sizes: list[int], k: int) -> list[list[int]]:
@@ -62,11 +63,11 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def level(pieces: list[tuple], cut: int, at_least: int = 1) -> list[tuple]:
-    """``pieces`` (doc, start, length) with the ``cut`` longest halved again and again."""
+    """``pieces`` (doc, start, length) with the ``cut`` longest halved again and again, down to ``at_least``."""
     order = sorted(range(len(pieces)), key=lambda i: -pieces[i][2])
     out = [pieces[i] for i in sorted(order[cut:])]
     for doc, start, length in (pieces[i] for i in order[:cut]):
-        while length > at_least:
+        while length > max(1, 2 * at_least - 1):
             half = (length + 1) // 2
             out.append((doc, start, half))
             start, length = start + half, length - half
@@ -82,9 +83,9 @@ def powers(n: int) -> list[int]:
 class Packer:
     """Packs (doc, length) in order; yields sequences as lists of (doc, start, length)."""
 
-    def __init__(self, capacity: int = 1024, windows: int = BLOCK_WINDOWS, slack: int = SLACK, levellers: int = LEVELLERS) -> None:
-        self.capacity, self.levellers = capacity, levellers
-        self.room = windows * capacity - slack
+    def __init__(self, capacity: int = 1024, windows: int = BLOCK_WINDOWS, levellers: int = LEVELLERS) -> None:
+        self.capacity, self.levellers, self.least = capacity, levellers, max(1, capacity // LEAST)
+        self.room = windows * capacity - capacity // SLACK
         self.block: list[tuple] = []
         self.held = 0
 
@@ -101,13 +102,13 @@ class Packer:
                 yield from self.packed()
 
     def packed(self) -> Iterator[list[tuple]]:
-        pieces = level(self.block, self.levellers)
+        pieces = level(self.block, self.levellers, self.least)
         self.block, self.held = [], 0
         for w in windows_of([p[2] for p in pieces], self.capacity):
             yield [pieces[i] for i in sorted(w)]
 
     def rest(self) -> Iterator[list[tuple]]:
-        """The last block: whole windows by differencing, what is over as powers of two."""
+        """The last block: whole windows by differencing, what is over as powers of two; pieces may be short."""
         over, kept = self.held % self.capacity, []
         sizes, tail = powers(over), []
         for doc, start, length in self.block:
