@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, workspace
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -16,15 +16,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     in the shared folder, so what is lost is read again and not computed from the start.
     Nulls and loops are ignored. Returns (node, root); roots stand for themselves too.
     """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    spark, old, mark = edges.sparkSession, None, None
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal old
+        path = workspace(spark, "edges")
+        df.write.parquet(path)
+        if old:  # the round before was only read to write this one
+            dropped(spark, old)
+        old = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "edges")
+        now = written(small.where("u <> v").distinct())
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == mark:
             break
