@@ -87,13 +87,16 @@ class CentroidGraph:
         k = len(centroids)
         d = squared(centroids, centroids)
         near = np.argsort(d, axis=1, kind="stable")[:, 1 : links + 1]
-        linked: list[set[int]] = [{(i + 1) % k, (i - 1) % k} | set(near[i].tolist()) for i in range(k)]
+        linked: list[set[int]] = [set(near[i].tolist()) for i in range(k)]
         for i in range(k):
             for j in near[i]:
                 linked[j].add(i)
-        width = max(map(len, linked))
-        self.links = np.array([sorted(s) + [i] * (width - len(s)) for i, s in enumerate(linked)], np.int64).reshape(k, width)
-        self.entry = int(d.sum(1).argmin())
+        # A centroid that is near to very many keeps the nearest of them.
+        kept = [[(i + 1) % k, (i - 1) % k, *sorted(s, key=lambda j, i=i: d[i, j])[: links * 3 // 2]] for i, s in enumerate(linked)]
+        width = max(map(len, kept))
+        self.links = np.array([s + [i] * (width - len(s)) for i, s in enumerate(kept)], np.int64).reshape(k, width)
+        #: Where a search may begin: spread over all, and few.
+        self.entries = np.unique(np.linspace(0, k - 1, max(1, round(k**0.5))).astype(np.int64))
 
     def search(self, x: np.ndarray, n: int, rows: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
         """``_search``, some rows at a time."""
@@ -106,13 +109,14 @@ class CentroidGraph:
         n = min(n, k)
         beam = min(k, max(2 * n, 16))
         rows = np.arange(m)
+        entry = self.entries[squared(x, self.c[self.entries]).argmin(1)]
         seen = np.zeros((m, k), bool)
-        seen[:, self.entry] = True
+        seen[rows, entry] = True
         ids = np.full((m, beam), -1, np.int64)
         dist = np.full((m, beam), np.inf)
         done = np.ones((m, beam), bool)
-        ids[:, 0], done[:, 0] = self.entry, False
-        dist[:, 0] = np.sqrt(((x - self.c[self.entry]) ** 2).sum(1))
+        ids[:, 0], done[:, 0] = entry, False
+        dist[:, 0] = np.sqrt(((x - self.c[entry]) ** 2).sum(1))
         xx, cc = (x * x).sum(1), (self.c * self.c).sum(1)
         while not done.all():
             open_ = np.where(done, np.inf, dist)
