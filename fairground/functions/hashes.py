@@ -16,6 +16,14 @@ def fnv1a(x: Column) -> Column:
     return F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * 16777619 % 4294967296)
 
 
+def coordinate_offset(x: Column, axis: int) -> Column:
+    """A fixed offset in degrees, from the FNV-1a hash of every second character, the first ones for latitude (axis 0)."""
+    points = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    own = F.filter(points, lambda c, i: i % 2 == axis)
+    h = F.aggregate(own, F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * 16777619 % 4294967296)
+    return (h / F.lit(4294967295.0) - 0.5) * (0.012 if axis == 0 else 0.018)
+
+
 def nfc(x: Column) -> Column:
     """Unicode NFC; texts of one-byte characters skip Python."""
 

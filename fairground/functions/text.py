@@ -112,12 +112,13 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 
 def hashtags(x: Column, most: int = 20) -> Column:
-    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"#([\p{L}\p{N}_]+)"), 1), F.lower)), 1, most)
+    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"#([\p{L}\p{N}_-]{2,40})"), 1), F.lower)), 1, most)
 
 
-def excerpt(x: Column, size: int = 140) -> Column:
-    flat = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
-    return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(size - 1))), F.lit("…")))
+def excerpt(x: Column, size: int = 180) -> Column:
+    """The text without tags, blanks joined, cut to ``size`` characters with an ellipsis."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+    return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(max(1, size - 1)))), F.lit("…")))
 
 
 #: Entities that are decoded, the ampersand last.

@@ -176,9 +176,15 @@ def discover_country(d: Domain, f: Filters) -> DataFrame:
     return described(d, page(rows.select("occurrence_id", "event_id", "starts_at"), f), f)
 
 
+def viewport_filters(f: Filters) -> Filters:
+    """``f`` as a viewport takes it: the box stands for radius, city and country."""
+    return replace(f, latitude=None, longitude=None, city_id=None, country_id=None)
+
+
 def discover_viewport(d: Domain, box: Viewport, f: Filters) -> DataFrame:
     """Early-limit page: ids and times are cut to the page before titles and names join in."""
-    rows = points(d, f, offers=False).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
+    f = viewport_filters(f)
+    rows = filtered(points(d, f, venues=True, offers=needs(f)["offers"]), f).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
     narrow = page(rows.select("occurrence_id", "event_id", "starts_at", "venue_id", "city_id", "latitude", "longitude"), f)
     return narrow.join(d.events(hosts=False).select("event_id", "slug", "title"), "event_id").join(d.venues().select("venue_id", "venue_name"), "venue_id", "left").join(d.cities().select("city_id", "city_name"), "city_id", "left")
 

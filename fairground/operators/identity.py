@@ -7,21 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_km
-from ..functions.hashes import block_ratio
+from ..functions.hashes import block_ratio, nfc
 from ..functions.text import alnum_key, bigram_dice, fold, similarity, trigrams
 from ..functions.times import minute_key
 from ..sources.shared import stored
 
 
-def fingerprint(title: Column, start: Column, place: Column) -> Column:
-    """SHA-256 of title key, minute and place key; a title without three Latin characters is hashed itself."""
-    key = alnum_key(title)
-    key = F.when(F.length(key) < 3, F.sha2(F.lower(F.trim(title)), 256)).otherwise(key)
-    return F.sha2(F.concat_ws("|", key, minute_key(start), F.coalesce(alnum_key(place), F.lit(""))), 256)
+def title_key(title: Column) -> Column:
+    """Letters and digits of any script, without accents, in lower case."""
+    return F.regexp_replace(nfc(fold(F.trim(F.coalesce(title, F.lit(""))))), r"[^\p{L}\p{N}]+", "")
+
+
+def fingerprint(title: Column, start: Column, country: Column, city: Column, source_city: Column) -> Column:
+    """SHA-256 of title key, minute and place: the event's country and city, else the source's city, else the world.
+
+    Null without a title or a start. Sites and addresses are no part of it, so unrelated sources agree.
+    """
+    key = title_key(title)
+    place = F.regexp_replace(nfc(fold(F.concat_ws("|", F.trim(country), F.trim(city)))), r"[^\p{L}\p{N}|]+", "")
+    where = F.coalesce(F.nullif(place, F.lit("")), source_city.cast("string"), F.lit("world"))
+    return F.when((key != "") & start.isNotNull(), F.sha2(F.concat(key, F.lit("|"), minute_key(start), F.lit("|"), where), 256))
+
+
+def script_safe_fingerprint(print_: Column, title: Column) -> Column:
+    """A fingerprint that holds the title itself where that has less than three Latin letters and digits."""
+    whole = F.lower(F.regexp_replace(nfc(F.trim(title)), r"\s+", " "))
+    return F.when(F.length(alnum_key(title)) >= 3, print_).otherwise(F.coalesce(F.sha2(F.concat(print_, F.lit("|"), whole), 256), print_))
 
 
 def canonical_occurrence(url: Column, start: Column, title: Column) -> Column:
-    return F.sha2(F.concat_ws("|", url, minute_key(start), alnum_key(title)), 256)
+    """SHA-256 of an http url without fragment, minute and title key; null without any of them."""
+    plain, key = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", ""), title_key(title)
+    whole = F.concat(plain, F.lit("|"), minute_key(start), F.lit("|"), key)
+    return F.when(plain.rlike(r"(?i)^https?://\S+$") & (key != "") & start.isNotNull(), F.sha2(whole, 256))
 
 
 def staging_key(record_id: Column, source: Column, source_id: Column, raw: Column) -> Column:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Viewport, grid_cell, grid_zoom, place_cell
 from ..plans.domain import Domain
-from .discovery import Filters, points
+from .discovery import Filters, filtered, needs, points, viewport_filters
 
 MAX_CELLS, MAX_POINTS, MAX_PLACES = 8_000, 12_000, 2_500
 
 
 def visible_points(d: Domain, box: Viewport, f: Filters) -> DataFrame:
     """Occurrences of the viewport; a venue that isn't public gives neither its location nor its city."""
-    rows = points(d, f, offers=False, public_venues=True).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
+    f = viewport_filters(f)
+    rows = filtered(points(d, f, offers=needs(f)["offers"], public_venues=True), f).where(~F.col("is_demo")).where(box.holds(F.col("latitude"), F.col("longitude")))
     return rows.select("occurrence_id", "slug", "category_slug", "is_free", "latitude", "longitude", (F.col("location_precision") == "city").cast("int").alias("approximate"))
 
 
@@ -63,8 +64,8 @@ def location_markers(d: Domain, box: Viewport, f: Filters, cap: int = MAX_POINTS
 
 
 def marker_tuples(markers: DataFrame) -> DataFrame:
-    """Markers as compact tuples, joined by ``|`` in a fixed order of ten fields."""
-    fields = [F.lit("cluster"), "marker_id", F.col("event_count").cast("string"), "category_slug", F.col("has_free").cast("int").cast("string"), F.col("approximate").cast("string"), F.lit(""), F.col("cell_y").cast("string"), F.col("cell_x").cast("string"), F.col("free_count").cast("string")]
+    """Grid markers as compact tuples: kind, id, longitude, latitude, category, free, approximate, slug, events, free events; joined by ``|``."""
+    fields = [F.lit("cluster"), "marker_id", *[F.format_number(c, 5) for c in ("longitude", "latitude")], "category_slug", F.col("has_free").cast("int").cast("string"), F.col("approximate").cast("string"), F.lit(""), F.col("event_count").cast("string"), F.col("free_count").cast("string")]
     return markers.select(F.concat_ws("|", *fields).alias("pin"))
 
 
@@ -73,16 +74,16 @@ def place_rows(d: Domain) -> DataFrame:
     e = d.events().groupBy(F.col("event_venue_id").alias("venue_id")).agg(F.count("*").alias("n_events"), F.min("category_slug").alias("category"), F.max("title").alias("sample_title"))
     v = d.venues().where("is_public and venue_lat is not null").join(e, "venue_id", "left")
     quality = F.least(F.lit(100), 55 + F.when(F.col("venue_capacity").isNotNull(), 10).otherwise(0) + F.coalesce("n_events", F.lit(0)) % 30)
-    return v.select(F.col("venue_id").alias("place_id"), F.col("venue_name").alias("name"), "venue_city_id", F.coalesce("category", F.lit("none")).alias("category"), F.col("venue_lat").alias("latitude"), F.col("venue_lon").alias("longitude"), quality.cast("int").alias("quality"), F.when(F.col("venue_id") % 4 == 0, "Entrée gratuite").when(F.col("venue_id") % 4 == 1, "no fee").when(F.col("venue_id") % 4 == 2, "12 EUR").alias("fee"), F.when(F.col("venue_id") % 3 == 0, "Limited").when(F.col("venue_id") % 3 == 1, "no").alias("wheelchair"))
+    return v.select(F.col("venue_id").alias("place_id"), F.col("venue_name").alias("name"), "venue_city_id", F.coalesce("category", F.lit("none")).alias("category"), F.col("venue_lat").alias("latitude"), F.col("venue_lon").alias("longitude"), quality.cast("int").alias("quality"), F.when(F.col("venue_id") % 4 == 0, " Gratuit").when(F.col("venue_id") % 4 == 1, "no").when(F.col("venue_id") % 4 == 2, "12 EUR").alias("fee"), F.when(F.col("venue_id") % 3 == 0, "Limited").when(F.col("venue_id") % 3 == 1, "no").alias("wheelchair"))
 
 
-#: A free entrance in five languages.
-FREE_FEE = r"(?i)(^|[^a-zà-ÿ])(free|gratuit|gratuite|gratis|kostenlos|no fee|no|0)([^a-zà-ÿ0-9]|$)"
+#: Fees that tell a free entrance.
+FREE_FEE = "^(0|false|free|gratuit|gratuito|kostenlos|no)$"
 ACCESSIBLE = ("yes", "limited", "designated")
 
 
 def place_filters(rows: DataFrame, free_only: bool, accessible_only: bool) -> DataFrame:
-    rows = rows.where(F.col("fee").rlike(FREE_FEE)) if free_only else rows
+    rows = rows.where(F.lower(F.trim(F.coalesce("fee", F.lit("")))).rlike(FREE_FEE)) if free_only else rows
     return rows.where(F.lower("wheelchair").isin(*ACCESSIBLE)) if accessible_only else rows
 
 

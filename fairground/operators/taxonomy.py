@@ -198,7 +198,8 @@ DEDICATED = r"(cc[\s_-]*0|creative[\s_-]+commons[\s_-]+zero|public[\s_-]+domain|
 ATTRIBUTED = r"(cc[\s_-]*by|creative[\s_-]+commons[\s_-]+(attribution|by)|creativecommons[.]org/licenses/by(-sa)?/|licen[cs]e[\s_-]+ouverte|open[\s_-]+licen[cs]e|(^|[^a-z0-9])odbl([^a-z0-9]|$))"
 
 #: Money of a country; others have none.
-CURRENCIES = {"CH": "CHF", "GB": "GBP", "US": "USD", "CA": "CAD", "AU": "AUD", "NZ": "NZD", "JP": "JPY", "PL": "PLN", "CZ": "CZK", "HU": "HUF", "SE": "SEK", "NO": "NOK", "DK": "DKK"}
+EURO = ("AD", "AT", "BE", "CY", "DE", "EE", "ES", "FI", "FR", "GR", "HR", "IE", "IT", "LT", "LU", "LV", "MC", "ME", "MT", "NL", "PT", "SI", "SK", "SM", "VA", "XK")
+CURRENCIES = {"CH": "CHF", "GB": "GBP", "US": "USD", "CA": "CAD", "AU": "AUD", "NZ": "NZD", "JP": "JPY", "PL": "PLN", "CZ": "CZK", "HU": "HUF", "SE": "SEK", "NO": "NOK", "DK": "DKK", "MX": "MXN", "KR": "KRW", "SG": "SGD", "AE": "AED", "ZA": "ZAR", "MA": "MAD"}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -186,7 +186,7 @@ def op_m07_a06_a08_w05_map_grid(d):
     return maps.grid_markers(d, BOX, YEAR, 4.7)
 
 
-@query(sql(PINS + CELLS + "select concat_ws('|', 'cluster', 'z3:' || cell_y || ':' || cell_x, event_count::varchar, category_slug, has_free::int::varchar, approximate::varchar, '', cell_y::varchar, cell_x::varchar, free_count::varchar) as pin from cells"))
+@query(sql(PINS + CELLS + "select concat_ws('|', 'cluster', 'z3:' || cell_y || ':' || cell_x, printf('%.5f', longitude), printf('%.5f', latitude), category_slug, has_free::int::varchar, approximate::varchar, '', event_count::varchar, free_count::varchar) as pin from cells"))
 def op_k08_a13_map_tuples(d):
     return maps.marker_tuples(maps.grid_markers(d, BOX, YEAR, 4.7))
 
@@ -205,7 +205,7 @@ PLACE_SQL = """++
 pe as (select event_venue_id as venue_id, count(*) as n_events, min(category_slug) as category from event group by 1),
 place as (select v.venue_id as place_id, venue_name as name, coalesce(category, 'none') as category, venue_lat as latitude, venue_lon as longitude,
   least(100, 55 + case when venue_capacity is not null then 10 else 0 end + coalesce(n_events, 0) % 30)::int as quality,
-  case venue_id % 4 when 0 then 'Entrée gratuite' when 1 then 'no fee' when 2 then '12 EUR' end as fee,
+  case venue_id % 4 when 0 then ' Gratuit' when 1 then 'no' when 2 then '12 EUR' end as fee,
   case venue_id % 3 when 0 then 'Limited' when 1 then 'no' end as wheelchair
   from venue v left join pe using (venue_id) where is_public and venue_lat is not null)
 """
@@ -216,7 +216,7 @@ def op_m09_a15_l05_place_clusters(d):
     return maps.place_clusters(d, Viewport(-180, -90, 180, 90), 2.3)
 
 
-@query(sql(PLACE_SQL + ", f as (select * from place where regexp_matches(lower(fee), '(^|[^a-zà-ÿ])(free|gratuit|gratuite|gratis|kostenlos|no fee|no|0)([^a-zà-ÿ0-9]|$)') and lower(wheelchair) in ('yes', 'limited', 'designated')) select place_id, name, quality, (select count(*) from f) as total_count, (select count(*) from f) > 15 as has_more from f order by quality desc, name, place_id limit 10 offset 5"))
+@query(sql(PLACE_SQL + ", f as (select * from place where regexp_matches(lower(trim(coalesce(fee, ''))), '^(0|false|free|gratuit|gratuito|kostenlos|no)$') and lower(wheelchair) in ('yes', 'limited', 'designated')) select place_id, name, quality, (select count(*) from f) as total_count, (select count(*) from f) > 15 as has_more from f order by quality desc, name, place_id limit 10 offset 5"))
 def op_p20_p21_l04_a24_places_page(d):
     return maps.places_page(d, Viewport(-180, -90, 180, 90), True, True, 10, 5).select("place_id", "name", "quality", "total_count", "has_more")
 
@@ -321,15 +321,17 @@ def op_f21_licence(d):
     return d.table("documents").select("doc_id", taxonomy.reusable(licence, who).alias("reusable"))
 
 
+_TAGS = r"list_transform(regexp_extract_all(x, '#([\p{L}\p{N}_-]{2,40})', 1), lambda v: lower(v))"
+
+
 @query(r"""
-with t as (select conv_id, turn, text || ' #Fête #' || role || ' #' || role || ' #n_' || conv_id as x, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from conversations)
-select conv_id, turn, array_to_string(list_slice(list_distinct_ordered, 1, 20), ',') as tags,
-  case when length(flat) <= 140 then flat else rtrim(left(flat, 139)) || '…' end as excerpt
-from (select *, list_transform(regexp_extract_all(x, '#([\p{L}\p{N}_]+)', 1), lambda v: lower(v)) as l,
-             list_filter(list_transform(regexp_extract_all(x, '#([\p{L}\p{N}_]+)', 1), lambda v: lower(v)), lambda v, i: list_position(list_transform(regexp_extract_all(x, '#([\p{L}\p{N}_]+)', 1), lambda w: lower(w)), v) = i) as list_distinct_ordered from t)""")
+with t as (select conv_id, turn, text || ' #Fête-été #' || role || ' #x #' || role || ' #n_' || conv_id as x, trim(regexp_replace(regexp_replace('<b class="x">' || text || '</b>', '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as flat from conversations)
+select conv_id, turn, array_to_string(list_slice(list_filter(l, lambda v, i: list_position(l, v) = i), 1, 20), ',') as tags, case when length(flat) <= 180 then flat else rtrim(left(flat, 179)) || '…' end as excerpt
+from (select *, """ + _TAGS + r""" as l from t)""")
 def op_f23_f26_hashtags(d):
-    tagged = F.concat("text", F.lit(" #Fête #"), "role", F.lit(" #"), "role", F.lit(" #n_"), F.col("conv_id").cast("string"))
-    return d.table("conversations").select("conv_id", "turn", F.array_join(text.hashtags(tagged), ",").alias("tags"), text.excerpt(F.col("text")).alias("excerpt"))
+    tagged = F.concat("text", F.lit(" #Fête-été #"), "role", F.lit(" #x #"), "role", F.lit(" #n_"), F.col("conv_id").cast("string"))
+    html = F.concat(F.lit('<b class="x">'), "text", F.lit("</b>"))
+    return d.table("conversations").select("conv_id", "turn", F.array_join(text.hashtags(tagged), ",").alias("tags"), text.excerpt(html).alias("excerpt"))
 
 
 _HTML = r"regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
@@ -402,15 +404,22 @@ def op_m20_m21_m22_coordinates(d):
     return rows.select("venue_id", geo.checked_pair(lat, lon, F.col("city_lat"), F.col("city_lon"), 100).alias("p"), geo.radius_for_population(F.col("population") * (1 + F.col("venue_id") % 3)).alias("radius")).select("venue_id", "p.latitude", "p.longitude", "radius")
 
 
-KEY_SQL = "regexp_replace({0}, '[^a-z0-9]+', '', 'g')"
-_TITLE_KEY = KEY_SQL.format("lower(title)")
-_VENUE_KEY = KEY_SQL.format("lower(venue_name)")
 MINUTE = "strftime(starts_at, '%Y-%m-%dT%H:%M')"
+_NFC_KEY = lambda x, keep="": f"regexp_replace(nfc_normalize({FOLD_SQL.format(x)}), '[^\\p{{L}}\\p{{N}}{keep}]+', '', 'g')"
 
 
-@query(sql(f"select occurrence_id, sha256(concat_ws('|', {_TITLE_KEY}, {MINUTE}, coalesce({_VENUE_KEY}, ''))) as fingerprint, sha256(concat_ws('|', 'https://x/' || slug, {MINUTE}, {_TITLE_KEY})) as canonical, coalesce(case when event_id % 3 = 0 then slug end, case when event_id % 3 = 1 then 'src:' || event_id end, md5(title)) as staging from point"))
+@query(sql(f"""++
+r as (select occurrence_id, event_id, starts_at, slug, city_id, case event_id % 6 when 0 then '日本 祭' when 1 then ' Été ' || title when 2 then '' else title end as t, case when event_id % 4 <> 0 then 'C ' || country_id end as cc, case when event_id % 8 <> 0 then city_name end as city from point),
+k as (select *, {_NFC_KEY('trim(t)')} as key, coalesce(nullif({_NFC_KEY("concat_ws('|', trim(cc), trim(city))", '|')}, ''), case when event_id % 16 <> 0 then city_id::varchar end, 'world') as place, case when event_id % 5 = 0 then 'ftp://x/' || slug else ' https://x/' || slug || '#top' end as url from r),
+f as (select *, case when key <> '' then sha256(key || '|' || {MINUTE} || '|' || place) end as fp from k)
+select occurrence_id, fp as fingerprint, case when length(regexp_replace({FOLD_SQL.format('t')}, '[^a-z0-9]+', '', 'g')) >= 3 or fp is null then fp else sha256(fp || '|' || lower(regexp_replace(trim(t), '\\s+', ' ', 'g'))) end as safe,
+  case when event_id % 5 <> 0 and key <> '' then sha256('https://x/' || slug || '|' || {MINUTE} || '|' || key) end as canonical, coalesce(case when event_id % 3 = 0 then slug end, case when event_id % 3 = 1 then 'src:' || event_id end, md5(t)) as staging from f"""))
 def op_r01_r02_r03_r04_m06_fingerprints(d):
-    p = discovery.points(d, offers=False)
-    third = F.col("event_id") % 3
-    staging = identity.staging_key(F.when(third == 0, F.col("slug")), F.lit("src"), F.when(third == 1, F.col("event_id").cast("string")), F.col("title"))
-    return p.select("occurrence_id", identity.fingerprint(F.col("title"), F.col("starts_at"), F.col("venue_name")).alias("fingerprint"), identity.canonical_occurrence(F.concat(F.lit("https://x/"), "slug"), F.col("starts_at"), F.col("title")).alias("canonical"), staging.alias("staging"))
+    e = F.col("event_id")
+    title = F.when(e % 6 == 0, "日本 祭").when(e % 6 == 1, F.concat(F.lit(" Été "), "title")).when(e % 6 == 2, "").otherwise(F.col("title"))
+    p = discovery.points(d, offers=False).withColumn("title", title)
+    country, city = F.when(e % 4 != 0, F.concat(F.lit("C "), F.col("country_id").cast("string"))), F.when(e % 8 != 0, F.col("city_name"))
+    rows = p.withColumn("fingerprint", identity.fingerprint(F.col("title"), F.col("starts_at"), country, city, F.when(e % 16 != 0, F.col("city_id"))))
+    url = F.when(e % 5 == 0, F.concat(F.lit("ftp://x/"), "slug")).otherwise(F.concat(F.lit(" https://x/"), "slug", F.lit("#top")))
+    staging = identity.staging_key(F.when(e % 3 == 0, F.col("slug")), F.lit("src"), F.when(e % 3 == 1, e.cast("string")), F.col("title"))
+    return rows.select("occurrence_id", "fingerprint", identity.script_safe_fingerprint(F.col("fingerprint"), F.col("title")).alias("safe"), identity.canonical_occurrence(url, F.col("starts_at"), F.col("title")).alias("canonical"), staging.alias("staging"))

@@ -18,24 +18,33 @@ from .domain import sql
 FNV_SQL = "list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::ubigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
 
 
-@query(f"select s_suppkey, {FNV_SQL.format('s_name')}::bigint as fnv, md5(s_name) as md5, sha256(s_name) as sha from supplier")
+_AXIS = "list_reduce(list_prepend(2166136261::ubigint, list_transform(list_filter(string_split(s_name, ''), lambda c, i: i % 2 = {0}), lambda c: unicode(c)::ubigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+@query(f"select s_suppkey, {FNV_SQL.format('s_name')}::bigint as fnv, md5(s_name) as md5, sha256(s_name) as sha, round(({_AXIS.format(1)} / 4294967295.0::double - 0.5) * 0.012, 12) as d_lat, round(({_AXIS.format(0)} / 4294967295.0::double - 0.5) * 0.018, 12) as d_lon from supplier")
 def op_m04_m05_m06_hashes(d):
-    return d.table("supplier").select("s_suppkey", hashes.fnv1a(F.col("s_name")).alias("fnv"), F.md5(F.col("s_name").cast("binary")).alias("md5"), F.sha2("s_name", 256).alias("sha"))
+    name = F.col("s_name")
+    return d.table("supplier").select("s_suppkey", hashes.fnv1a(name).alias("fnv"), F.md5(name.cast("binary")).alias("md5"), F.sha2("s_name", 256).alias("sha"), F.round(hashes.coordinate_offset(name, 0), 12).alias("d_lat"), F.round(hashes.coordinate_offset(name, 1), 12).alias("d_lon"))
 
 
+_LANGS = ("fr", "de", "it", "es", "pt", "nl")
+_SAY = " ".join(
+    f"when {i} then '{o}' || p_name || '{v}' || case when c is null then '{e}' else replace('{k}', '{{category}}', c) end || case when w is null then '.' else '{a}' || w || '.' end || '{m}'"
+    for i, x in enumerate(_LANGS) for o, v, e, k, a, m in [scores.SENTENCES.get(x, scores.SENTENCES["en"])]
+)
+_LANDS = ("CH", "DE", "XK", "MX", "MA", "QQ")
 
 
-@query("""
+@query(f"""
+with p as (select *, case when p_partkey % 5 <> 0 then lower(p_type) end as c, case when p_partkey % 7 <> 0 then p_brand end as w from part)
 select p_partkey, case p_partkey % 4 when 0 then 'cancelled' when 1 then 'sold_out' when 2 then 'postponed' else 'scheduled' end as status,
-  case p_brand when 'Brand#1' then 'CHF' when 'Brand#2' then 'GBP' when 'Brand#3' then 'USD' when 'Brand#4' then 'SEK' end as currency,
-  case p_partkey % 3 when 0 then '„' || p_name || '“ ist eine Veranstaltung der Kategorie ' || lower(p_type) || '.' when 1 then '« ' || p_name || ' » est un événement de type ' || lower(p_type) || '.' else '“' || p_name || '” is an event in the ' || lower(p_type) || ' category.' end as sentence
-from part""")
+  case p_partkey % 6 when 0 then 'CHF' when 1 then 'EUR' when 2 then 'EUR' when 3 then 'MXN' when 4 then 'MAD' end as currency, case p_partkey % 6 {_SAY} end as sentence from p""")
 def op_f14_f20_f22_f27_normalised(d):
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, "Cancelled!").when(k == 1, "SOLD  OUT").when(k == 2, "Reporté").otherwise("ok")
-    country = F.when(F.col("p_brand") == "Brand#1", "CH").when(F.col("p_brand") == "Brand#2", "GB").when(F.col("p_brand") == "Brand#3", "US").when(F.col("p_brand") == "Brand#4", "SE").otherwise("XX")
-    lang = F.when(F.col("p_partkey") % 3 == 0, "de").when(F.col("p_partkey") % 3 == 1, "fr").otherwise("nl")
-    return d.table("part").select("p_partkey", scores.normal_status(raw).alias("status"), scores.currency(country).alias("currency"), scores.sentence(lang, F.col("p_name"), F.lower("p_type")).alias("sentence"))
+    p = F.col("p_partkey")
+    raw = F.when(p % 4 == 0, "Cancelled!").when(p % 4 == 1, "SOLD  OUT").when(p % 4 == 2, "Reporté").otherwise("ok")
+    of = lambda names: F.element_at(F.array(*map(F.lit, names)), (p % 6 + 1).cast("int"))
+    told = scores.sentence(of(_LANGS), F.col("p_name"), F.when(p % 5 != 0, F.lower("p_type")), F.when(p % 7 != 0, F.col("p_brand")))
+    return d.table("part").select("p_partkey", scores.normal_status(raw).alias("status"), scores.currency(of(_LANDS)).alias("currency"), told.alias("sentence"))
 
 
 @query("""
@@ -110,11 +119,14 @@ def op_p03_p12_p27_predicates(d):
     return j.where(~F.col("error").eqNullSafe("error 3") & ~F.col("domain").rlike("^d[0-9]$") & F.col("status").isin("failed", "queued") & (F.col("available_at").isNull() | (F.col("available_at") <= F.lit(datetime(1998, 6, 1)).cast("timestamp_ntz")))).select("job_id")
 
 
-@query("""select page_id, host, not (host = 'localhost' or regexp_matches(host, '[.](local|internal|localhost)$') or regexp_matches(host, '^(10|127)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]') or not contains(host, '.')) as public
-from (select page_id, case page_id % 5 when 0 then '10.1.2.3' when 1 then 'box.local' when 2 then '172.20.1.1' when 3 then 'localhost' else regexp_extract(url, '://([^/]*)', 1) end as host from pages)""")
+#: Hosts, and whether they are public.
+_HOSTS = {"10.1.2.3": False, "box.local": False, "172.20.1.1": False, "172.32.1.1": True, "localhost": False, "100.64.0.1": False, "100.128.0.1": True, "192.0.2.9": False, "198.18.0.1": False, "203.0.113.7": False, "224.0.0.1": False, "8.8.8.8": True, "8.8.8.300": False, "site.onion": False, "[::1]": False, "[fe80::1]": False, "[2606:4700::1111]": True, "plain": False, "a..b": False, "A.Example.ORG": True, "x_y.org": False, "": False}
+
+
+@query(f"""with h as (select * from (values {', '.join(f"({i}, '{h}', {str(f).lower()})" for i, (h, f) in enumerate(_HOSTS.items()))}) t(i, host, public))
+select page_id, host, public from pages join h on i = page_id % {len(_HOSTS)}""")
 def op_p31_public_hosts(d):
-    k = F.col("page_id") % 5
-    host = F.when(k == 0, "10.1.2.3").when(k == 1, "box.local").when(k == 2, "172.20.1.1").when(k == 3, "localhost").otherwise(F.regexp_extract("url", "://([^/]*)", 1))
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
     return d.table("pages").select("page_id", host.alias("host"), scores.public_host(host).alias("public"))
 
 
@@ -336,7 +348,11 @@ def op_n11_n09_whitelist(d):
     return c.select("c_custkey", raw.alias("raw")).select("c_custkey", F.to_json(listed).alias("details"))
 
 
-@query(None)
+@query("""
+with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end as opens from events),
+s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+select user_id, min(ts) as start, count(*) as n from s group by user_id, session""")
 def op_t17_stream_sessions(d):
     """Sessions of users, 30 minutes apart: an extension, as the ids are otherwise given."""
-    return runs.last_batch(runs.drain(runs.user_sessions(_stream(d), delay=None), "complete"))
+    out = runs.last_batch(runs.drain(runs.user_sessions(_stream(d), delay=None), "complete"))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

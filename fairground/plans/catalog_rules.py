@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import documents
+from ..functions.geo import Viewport
 from ..operators import discovery, identity, ordering
 from ..sources import web
-from .catalog import FOLD_SQL, MINUTE, query
+from .catalog import FOLD_SQL, MINUTE, RANGE, query
 from .domain import sql
 
 _TRI = lambda table, name: f"{table} as (select name, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i::int, 3))))) as g from {name})"
@@ -169,3 +170,10 @@ def op_s09_city_archive(d):
         return texts.map(one)
 
     return web.parse_cities(web.unzipped_lines(files.select(zipped("text").alias("content")))).select("geonames_id", "name", "latitude", "population", "is_capital")
+
+
+@query(sql(f"select occurrence_id, title, venue_name, city_name from point where {RANGE} and not is_demo and latitude between -40 and 60 and longitude between -100 and 100 and list_has_any(genres, ['red', 'blue']) and (is_free or price_from is not null) and price_from <= 30000 order by starts_at, occurrence_id limit 60"))
+def op_c12_viewport_filters(d):
+    """A viewport takes all filters but radius, city and country, which the box stands for."""
+    f = discovery.Filters(genres=("red", "blue"), priced_only=True, price_max=30000, city_id=3, country_id=1, latitude=1.0, longitude=1.0, radius_km=5, limit=60)
+    return discovery.discover_viewport(d, Viewport(-100, -40, 100, 60), f).select("occurrence_id", "title", "venue_name", "city_name")

@@ -241,3 +241,43 @@ def test_breaker_batch_holds_a_users_order(spark):
         for _, ts, i, kind in (x for x in rows if x[0] == user):
             now, want[i] = runs.breaker_step(now, ts.timestamp(), kind == "error")
         assert {x.event_id: x.state for x in got.where(f"user_id = {user}").collect()} == want
+
+
+@pytest.mark.parametrize(("host", "public"), [
+    ("localhost", False), ("a.home", False), ("a.onion", False), ("10.0.0.1", False), ("127.0.0.1", False), ("172.15.0.1", True), ("172.16.0.1", False), ("172.31.9.9", False), ("172.32.0.1", True), ("100.63.0.1", True), ("100.64.0.1", False),
+    ("100.127.1.1", False), ("169.254.1.1", False), ("192.0.1.1", True), ("192.0.2.1", False), ("192.88.99.1", False), ("198.17.0.1", True), ("198.19.0.1", False), ("198.51.100.1", False), ("203.0.113.1", False), ("223.1.1.1", True), ("224.1.1.1", False),
+    ("1.2.3.256", False), ("[::1]", False), ("[fd00::1]", False), ("[fec0::1]", True), ("[2001:db8:1::]", False), ("[2606::1]", True), ("nodot", False), ("a..b", False), ("ä.de", False), ("Ok.example", True), (None, False), ("", False),
+])
+def test_public_hosts(spark, host, public):
+    from fairground.operators import scores
+
+    assert spark.range(1).select(scores.public_host(F.lit(host).cast("string"))).first()[0] is public
+
+
+def test_fingerprints(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    text = lambda x: F.lit(x).cast("string")
+    at = F.lit(datetime(2024, 5, 1, 20, 30, 59)).cast("timestamp_ntz")
+    mark = lambda t, cc, city, src: identity.fingerprint(text(t), at, text(cc), text(city), text(src))
+    r = spark.range(1).select(
+        mark(" L'Été! ", "FR", "Saint-Étienne", "9"), mark("A", None, None, "9"), mark("A", None, " ", None), mark("?!", "FR", "x", "9"), mark("日本 祭", "JP", None, "9"),
+        identity.script_safe_fingerprint(F.lit("p"), F.lit(" 日本  祭A")), identity.script_safe_fingerprint(F.lit("p"), F.lit("abc")), identity.script_safe_fingerprint(F.lit("p"), text(None)),
+        identity.canonical_occurrence(F.lit(" https://x/y#z"), at, F.lit("Été")), identity.canonical_occurrence(F.lit("ftp://x"), at, F.lit("a")), identity.canonical_occurrence(F.lit("https://x"), at, F.lit("--")),
+    ).first()
+    minute = "2024-05-01T20:30"
+    assert list(r) == [sha(f"lete|{minute}|fr|saintetienne"), sha(f"a|{minute}|9"), sha(f"a|{minute}|world"), None, sha(f"日本祭|{minute}|jp"), sha("p|日本 祭a"), "p", "p", sha(f"https://x/y|{minute}|ete"), None, None]
+
+
+def test_sentences_and_fees(spark):
+    from fairground.operators import scores
+
+    none = F.lit(None).cast("string")
+    r = spark.range(1).select(
+        scores.sentence(F.lit("it"), F.lit("T"), F.lit("arte"), F.lit("Roma")), scores.sentence(F.lit("fr"), F.lit("T"), none, none), scores.sentence(F.lit("xx"), F.lit("T"), F.lit("art"), none),
+        *[F.lower(F.trim(F.lit(x))).rlike(maps.FREE_FEE) for x in (" Gratuit ", "no", "free entry", "0", "gratuito", "")],
+    ).first()
+    assert r[0] == "“T” è un evento della categoria arte a Roma. Qui trovi le informazioni disponibili su date, orari, prezzi e prenotazioni."
+    assert r[1].startswith("« T » est un événement. Retrouvez") and r[2].startswith("“T” is an event in the art category. View")
+    assert list(r[3:]) == [True, True, False, True, True, False]
