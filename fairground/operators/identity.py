@@ -313,5 +313,8 @@ def newest_values(rows: DataFrame, key: str, asof: Column, future_days: int = 7)
 
 
 def automated_only(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Events that have sources, all of them automated: they lose the verified mark."""
-    return events.join(sources, "event_id", "left_semi").join(sources.where("not automated"), "event_id", "left_anti")
+    """Events that an automated source made and no verified, other source holds: they lose the verified mark.
+
+    ``sources``: event_id, automated, verified.
+    """
+    return events.join(sources.where("automated"), "event_id", "left_semi").join(sources.where("verified and not automated"), "event_id", "left_anti")

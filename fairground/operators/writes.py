@@ -25,10 +25,10 @@ def upsert_coalescing(target: DataFrame, new: DataFrame, keys: list[str]) -> Dat
 
 
 def upsert_where(target: DataFrame, new: DataFrame, keys: list[str], value: str, limit: int) -> DataFrame:
-    """Adds to a counter of the keys, but not beyond ``limit``."""
+    """Adds to a counter of the keys, but not beyond ``limit``; new keys are inserted as they are."""
     both = target.join(new.withColumnRenamed(value, "added"), keys, "full")
-    now, more = F.coalesce(F.col(value), F.lit(0)), F.coalesce("added", F.lit(0))
-    return both.select(*keys, F.when(now + more <= limit, now + more).otherwise(now).alias(value))
+    more = F.coalesce("added", F.lit(0))
+    return both.select(*keys, F.when(F.col(value).isNull(), more).when(F.col(value) + more <= limit, F.col(value) + more).otherwise(F.col(value)).alias(value))
 
 
 def update_from(target: DataFrame, changes: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import documents
 from ..functions.geo import Viewport
 from ..operators import discovery, identity, ordering
 from ..sources import web
+from ..streaming import runs
 from .catalog import FOLD_SQL, MINUTE, RANGE, query
 from .domain import sql
 
@@ -177,3 +178,10 @@ def op_c12_viewport_filters(d):
     """A viewport takes all filters but radius, city and country, which the box stands for."""
     f = discovery.Filters(genres=("red", "blue"), priced_only=True, price_max=30000, city_id=3, country_id=1, latitude=1.0, longitude=1.0, radius_km=5, limit=60)
     return discovery.discover_viewport(d, Viewport(-100, -40, 100, 60), f).select("occurrence_id", "title", "venue_name", "city_name")
+
+
+@query(None)
+def op_t03_weighted_quota(d):
+    """Requests of 0 to 24 units against 40 an hour; without SQL, as what is refused uses nothing up."""
+    e = d.table("events")
+    return runs.weighted_quota(e.select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_id"), (F.col("event_id") % 25).cast("int").alias("amount")), hourly=40)

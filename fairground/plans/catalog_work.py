@@ -113,10 +113,10 @@ def op_r11_t11_newest_values(d):
     return identity.newest_values(rows, "user_id", F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz"))
 
 
-@query(sql("++ s as (select l_partkey as event_id, not (l_linestatus = 'O' and l_returnflag = 'R' and l_quantity > 40) as automated from lineitem) select event_id from event where event_id in (select event_id from s) and event_id not in (select event_id from s where not automated)"))
+@query(sql("++ s as (select l_partkey as event_id, l_quantity <= 40 as automated, l_linestatus = 'O' and l_returnflag = 'R' as verified from lineitem) select event_id from event where event_id in (select event_id from s where automated) and event_id not in (select event_id from s where verified and not automated)"))
 def op_r14_j09_demotion(d):
-    sources = d.table("lineitem").select(F.col("l_partkey").alias("event_id"), (~((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40))).alias("automated"))
-    return identity.automated_only(d.events(), sources).select("event_id")
+    sources = d.table("lineitem").select(F.col("l_partkey").alias("event_id"), (F.col("l_quantity") <= 40).alias("automated"), ((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).alias("verified"))
+    return identity.automated_only(d.events(hosts=False), sources).select("event_id")
 
 
 # Campaigns and feeds ------------------------------------------------------------------------
@@ -250,37 +250,55 @@ def op_m19_c02_u05_personal(d):
 
 # Queues -------------------------------------------------------------------------------------
 
-_JOBS = f"""jobs as (select o_orderkey as job_id, case o_orderkey % 3 when 0 then 'search' when 1 then 'detail' else 'list' end as kind, (o_custkey % 60)::int as domain_id, 'd' || (o_custkey % 60) as domain, (o_custkey % 10)::int as campaign_id,
-  case o_orderkey % 7 when 0 then 'leased' when 1 then 'done' when 2 then 'failed' else 'queued' end as status, (o_orderkey % 4)::int as priority, (o_orderkey % 9)::int as attempts, (o_orderkey % 3)::int as depth, o_orderdate as available_at,
-  o_orderdate + to_days((o_orderkey % 200)::int) as lease_until, case when o_orderkey % 7 = 2 then 'error ' || (o_orderkey % 13) end as error from orders)"""
+_JOBS = f"""jobs as (select o_orderkey as job_id, case o_orderkey % 3 when 0 then 'search_result' when 1 then 'event' else 'list' end as kind, case o_orderkey % 4 when 0 then 'search' when 1 then 'persistence' else 'crawl' end as queue, 'd' || (o_custkey % 60) as domain, (o_custkey % 10)::int as campaign_id,
+  (o_custkey % 25)::int as city_id, (o_custkey % 5)::int as country_id, case o_orderkey % 7 when 0 then 'leased' when 1 then 'done' when 2 then 'failed' else 'queued' end as status, (o_orderkey % 4)::int as priority, (o_orderkey % 9)::int as attempts, 8 as max_attempts, (o_orderkey % 3)::int as depth, o_orderdate as available_at,
+  o_orderdate + to_days((o_orderkey % 200)::int) as lease_until, case when o_orderkey % 7 = 2 then 'error ' || (o_orderkey % 13) end as error from orders),
+campaigns as (select i::int as campaign_id, case when i = 4 then 'failed' when i = 7 then 'queued' when i in (5, 11) then 'cancelled' else 'running' end as campaign_status from range(12) t(i))"""
 
 
 def _jobs(d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return d.table("orders").select(
-        k.alias("job_id"), F.when(k % 3 == 0, "search").when(k % 3 == 1, "detail").otherwise("list").alias("kind"), F.concat(F.lit("d"), (c % 60).cast("string")).alias("domain"), (c % 10).cast("int").alias("campaign_id"),
-        F.when(k % 7 == 0, "leased").when(k % 7 == 1, "done").when(k % 7 == 2, "failed").otherwise("queued").alias("status"), (k % 4).cast("int").alias("priority"), (k % 9).cast("int").alias("attempts"), (k % 3).cast("int").alias("depth"),
+        k.alias("job_id"), F.when(k % 3 == 0, "search_result").when(k % 3 == 1, "event").otherwise("list").alias("kind"), F.when(k % 4 == 0, "search").when(k % 4 == 1, "persistence").otherwise("crawl").alias("queue"), F.concat(F.lit("d"), (c % 60).cast("string")).alias("domain"), (c % 10).cast("int").alias("campaign_id"),
+        (c % 25).cast("int").alias("city_id"), (c % 5).cast("int").alias("country_id"), F.when(k % 7 == 0, "leased").when(k % 7 == 1, "done").when(k % 7 == 2, "failed").otherwise("queued").alias("status"), (k % 4).cast("int").alias("priority"), (k % 9).cast("int").alias("attempts"), F.lit(8).alias("max_attempts"), (k % 3).cast("int").alias("depth"),
         F.col("o_orderdate").alias("available_at"), (F.col("o_orderdate") + F.make_dt_interval((k % 200).cast("int"))).alias("lease_until"), F.when(k % 7 == 2, F.concat(F.lit("error "), (k % 13).cast("string"))).alias("error"),
     )
 
 
-_CLAIMABLE = f"((status = 'queued' and available_at <= {NOW}) or (status = 'leased' and lease_until < {NOW}))"
+def _campaigns(d):
+    i = F.col("id")
+    status = F.when(i == 4, "failed").when(i == 7, "queued").when(i.isin(5, 11), "cancelled").otherwise("running")
+    return d.spark.range(12).select(i.cast("int").alias("campaign_id"), status.alias("campaign_status"))
 
 
-@query(f"with {_JOBS} select job_id, row_number() over (partition by domain, kind order by priority, available_at, job_id) as turn from jobs where {_CLAIMABLE} order by turn, md5(job_id::varchar), job_id limit 120")
+_CLAIMABLE = f"((status = 'queued' or (status = 'leased' and lease_until <= {NOW})) and available_at <= {NOW} and attempts < max_attempts)"
+_LIVE = f"(status = 'leased' and lease_until > {NOW})"
+_BUSY = f"((status = 'queued' and available_at <= {NOW}) or {_LIVE})"
+
+
+@query(f"with {_JOBS}, r as (select *, row_number() over (partition by country_id, kind order by priority desc, available_at, job_id) as turn from jobs where {_CLAIMABLE} and campaign_id in (select campaign_id from campaigns where campaign_status in ('queued', 'running'))) select job_id, turn from r order by turn, md5(city_id || '|' || kind || '|' || job_id), job_id limit 50")
 def op_w12_p26_fair_claim(d):
-    return queues.fair_claim(_jobs(d), ["domain", "kind"], ASOF, 120).select("job_id", "turn")
+    return queues.fair_claim(_jobs(d), _campaigns(d), ASOF, 120).select("job_id", "turn")
+
+
+_FEW = f"{_JOBS}, few as (select * replace ('D' || job_id % 400 as domain, case when status = 'leased' and job_id % 700 <> 0 then 'done' else status end as status) from jobs), circuits as (select 'd' || i as domain, timestamp '1998-06-02' - to_days((i % 3)::int) as open_until from range(300) t(i))"
 
 
-@query(f"with {_JOBS}, own as (select * replace ('c' || o_custkey as domain) from jobs join orders on o_orderkey = job_id), busy as (select domain from own where status = 'leased' and lease_until >= {NOW}), r as (select job_id, domain, priority, row_number() over (partition by domain order by priority, job_id) as turn from own where {_CLAIMABLE} and domain not in (select domain from busy)) select job_id, domain from r where turn = 1 order by priority, job_id limit 20")
+@query(f"""with {_FEW}, due as (select * from few where {_CLAIMABLE} and lower(domain) not in (select lower(domain) from few where {_LIVE}) and lower(domain) not in (select domain from circuits where open_until > {NOW}) order by available_at, job_id limit 3)
+select job_id, domain from due qualify row_number() over (order by available_at, job_id) <= (select least(3, greatest(0, 40 - count(*))) from few where {_LIVE})""")
 def op_t09_j20_one_per_domain(d):
-    by_customer = d.table("orders").select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("domain"))
-    return queues.one_per_domain(_jobs(d).drop("domain").join(by_customer, "job_id"), ASOF, 20).select("job_id", "domain")
+    """Domains with a live lease or an open circuit wait; here 40 leases may be held and three be given at once."""
+    k, i = F.col("job_id"), F.col("id")
+    few = _jobs(d).withColumn("domain", F.concat(F.lit("D"), (k % 400).cast("string"))).withColumn("status", F.when((F.col("status") == "leased") & (k % 700 != 0), "done").otherwise(F.col("status")))
+    circuits = d.spark.range(300).select(F.concat(F.lit("d"), i.cast("string")).alias("domain"), (F.lit(datetime(1998, 6, 2)).cast("timestamp_ntz") - F.make_dt_interval((i % 3).cast("int"))).alias("open_until"))
+    return queues.one_per_domain(few, circuits, ASOF, total=40, at_once=3).select("job_id", "domain")
 
 
-@query(f"with {_JOBS}, r as (select job_id, row_number() over (partition by domain order by case when kind = 'detail' then 0 else 1 end, priority, attempts, available_at, depth, job_id) as turn from jobs where status = 'queued') select job_id, turn, case when turn > 20 then least(720, 6 * floor((turn - 1) / 20.0))::int else 0 end as delay_hours from r")
+@query(f"""with {_JOBS}, r as (select *, row_number() over (partition by domain order by case kind when 'search_result' then 0 when 'event' then 1 else 2 end, depth, priority desc, available_at, job_id) as turn from jobs where status = 'queued' and available_at <= {NOW})
+select job_id, turn, greatest(available_at, {NOW} + to_hours(least(720, 6 * floor((turn - 1) / 5.0))::int)) as available_at, greatest(-32000, least(32000, case kind when 'search_result' then 900 when 'event' then 700 - least(depth, 20) * 10 else 300 - least(depth, 20) * 10 end + greatest(-99, least(priority, 99))))::int as priority
+from r where turn > 5 order by turn desc, job_id limit 10000""")
 def op_w01_t10_k04_rebalance(d):
-    return queues.rebalanced(_jobs(d), 20, 6).select("job_id", "turn", "delay_hours")
+    return queues.rebalanced(_jobs(d), ASOF, keep=5)
 
 
 @query(f"with {_JOBS} select job_id, kind, case when attempts >= 6 then 'failed' else 'queued' end as status, case when attempts < 6 then {NOW} + to_seconds(least(300, 5 * power(2, greatest(attempts - 1, 0)))::int) end as available_at from jobs where status = 'leased' and lease_until < {NOW}")
@@ -288,22 +306,25 @@ def op_t07_k06_d12_reaper(d):
     return queues.reaped(_jobs(d), ASOF, 6)
 
 
-_BACKLOG = f"with {_JOBS}, b as (select kind, count(*) filter (where status = 'queued') as queued, count(*) filter (where {_CLAIMABLE}) as due, count(*) filter (where status = 'leased' and lease_until >= {NOW}) as leased from jobs group by 1) "
-
-
-@query(_BACKLOG + "select * from b")
+@query(f"with {_JOBS} select count(*) filter (where {_BUSY} and queue = 'search') as search, count(*) filter (where {_BUSY} and queue = 'crawl') as crawl, count(*) filter (where {_BUSY} and queue = 'persistence') as persistence from jobs")
 def op_a22_backlog(d):
-    return queues.backlog(_jobs(d), ASOF)
+    return queues.backlog(_jobs(d), ASOF, ("search", "crawl", "persistence"))
 
 
-@query(_BACKLOG + "select greatest(0, floor((40000 - sum(queued) - 10 * sum(leased)) / 10.0))::int as capacity from b")
+@query(f"with {_JOBS} select greatest(0, floor((900000 - count(*) filter (where {_BUSY} and queue = 'crawl') - 10 * count(*) filter (where {_LIVE} and queue = 'search')) / 10.0))::int as capacity from jobs")
 def op_t08_admission(d):
-    return queues.admission(queues.backlog(_jobs(d), ASOF), 40000)
+    return queues.admission(_jobs(d), ASOF, 900_000)
 
 
-@query("select count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute) as recent, count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute and event_type = 'error') as errors, max(ts) as last_at, (count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute) = 0) or count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute and event_type = 'error') > 0.25 * count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute) as alert from events where ts <= timestamp '2024-01-15'")
+@query("""
+with e as (select max(ts) as last_created_at, count(*) filter (where ts >= timestamp '2024-01-15' - interval 90 minute) as events_created from events),
+j as (select case event_type when 'error' then 'failed' else 'completed' end as status, case event_type when 'signup' then 'created' else 'updated' end as action, ts - interval 1 day as finished_at from events),
+w as (select count(*) filter (where done) as completed, count(*) filter (where done and action = 'created') as created, count(*) filter (where done and action = 'updated') as updated from (select *, status = 'completed' and finished_at >= timestamp '2024-01-15' - interval 90 minute as done from j))
+select e.*, w.*, completed >= 100 and created = 0 as alert from e, w""")
 def op_a21_health(d):
-    return queues.health(d.table("events"), datetime(2024, 1, 15), 90, 0.25)
+    e, kind = d.table("events"), F.col("event_type")
+    jobs = e.select(F.when(kind == "error", "failed").otherwise("completed").alias("status"), F.when(kind == "signup", "created").otherwise("updated").alias("action"), (F.col("ts") - F.expr("interval 1 day")).alias("finished_at"))
+    return queues.health(e.select(F.col("ts").alias("created_at")), jobs, datetime(2024, 1, 15))
 
 
 @query("select time_bucket(interval 15 minute, ts) - to_minutes(15 * k) as window_start, count(*) as n, count(*) filter (where event_type = 'error') as errors from events, range(6) r(k) group by 1")
@@ -311,11 +332,12 @@ def op_t12_sliding_health(d):
     return queues.sliding_health(d.table("events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(f"""with {_JOBS}, c as (select campaign_id, count(*) as total, count(*) filter (where status = 'queued') as queued, count(*) filter (where status = 'leased') as leased, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed, arg_max(error, {{'a': available_at, 'j': job_id}}) filter (where error is not null) as last_error from (select * replace (case when campaign_id <= 3 and status in ('queued', 'leased') then 'done' when campaign_id = 4 then 'failed' else status end as status) from jobs) group by 1)
-select *, case when queued + leased > 0 then 'running' when failed = total then 'failed' when failed > 0 then 'partial' else 'completed' end as campaign_status from c""")
+@query(f"""with {_JOBS}, c as (select campaign_id, count(*) as total, count(*) filter (where status = 'queued') as queued, count(*) filter (where status = 'leased') as leased, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed, arg_max(error, {{'a': available_at, 'j': job_id}}) filter (where error is not null) as last_error from (select * replace (case when campaign_id <= 3 and status in ('queued', 'leased') then 'done' else status end as status) from jobs) group by 1)
+select campaign_id, coalesce(total, 0) as total, coalesce(queued, 0) as queued, coalesce(leased, 0) as leased, coalesce(done, 0) as done, coalesce(failed, 0) as failed, last_error,
+  case when campaign_status in ('failed', 'cancelled') then campaign_status when coalesce(queued + leased, 0) > 0 then 'running' when total > 0 then 'completed' else campaign_status end as campaign_status from campaigns left join c using (campaign_id)""")
 def op_a11_a20_a23_campaign_status(d):
-    state = F.when((F.col("campaign_id") <= 3) & F.col("status").isin("queued", "leased"), "done").when(F.col("campaign_id") == 4, "failed").otherwise(F.col("status"))
-    return queues.campaign_status(_jobs(d).withColumn("status", state))
+    state = F.when((F.col("campaign_id") <= 3) & F.col("status").isin("queued", "leased"), "done").otherwise(F.col("status"))
+    return queues.campaign_status(_campaigns(d), _jobs(d).withColumn("status", state))
 
 
 @query(f"with {_JOBS} select job_id, available_at::date::varchar as work_date from jobs qualify row_number() over (partition by available_at::date, kind, domain order by available_at, job_id) = 1")
@@ -347,9 +369,12 @@ def op_t18_k05_retention(d):
     return queues.expired(d.table("events"), datetime(2024, 1, 25), 10).select("event_id")
 
 
-@query(f"with {_JOBS} select job_id, case when lease_until > {NOW} then 'fresh' when lease_until <= {NOW} - interval 24 hour then 'reopened' else 'stale' end as cache_state from jobs")
+@query(f"""with {_JOBS}, j as (select *, case status when 'done' then 'completed' else status end as s, case when job_id % 2 = 0 then lease_until end as finished_at, available_at as updated_at from jobs),
+e as (select *, s in ('completed', 'failed', 'skipped') and coalesce(finished_at, updated_at) <= {NOW} - interval 24 hour as again from j)
+select job_id, lease_until > {NOW} as cached, case when again then 'queued' else s end as status, case when again then 0 else attempts end as attempts, case when again then {NOW} else available_at end as available_at from e""")
 def op_t15_cache_state(d):
-    return queues.cache_state(_jobs(d).withColumn("expires_at", F.col("lease_until")), ASOF).select("job_id", "cache_state")
+    j = _jobs(d).withColumns({"expires_at": F.col("lease_until"), "status": F.when(F.col("status") == "done", "completed").otherwise(F.col("status")), "finished_at": F.when(F.col("job_id") % 2 == 0, F.col("lease_until")), "updated_at": F.col("available_at")})
+    return queues.cache_state(j, ASOF).select("job_id", "cached", "status", "attempts", "available_at")
 
 
 # Writes -------------------------------------------------------------------------------------
@@ -370,7 +395,7 @@ def op_k02_upsert(d):
 
 
 @query("""with t as (select user_id, count(*) as used from events where event_type = 'view' group by 1), n as (select user_id, count(*) as added from events where event_type = 'click' group by 1)
-select user_id, case when coalesce(used, 0) + coalesce(added, 0) <= 60 then coalesce(used, 0) + coalesce(added, 0) else coalesce(used, 0) end as used from t full join n using (user_id)""")
+select user_id, case when used is null then added when used + coalesce(added, 0) <= 60 then used + coalesce(added, 0) else used end as used from t full join n using (user_id)""")
 def op_k03_conditional_upsert(d):
     n = lambda k: d.table("events").where(F.col("event_type") == k).groupBy("user_id").agg(F.count("*").alias("used"))
     return writes.upsert_where(n("view"), n("click"), ["user_id"], "used", 60)

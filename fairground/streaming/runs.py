@@ -137,6 +137,32 @@ def breaker_batch(events: DataFrame) -> DataFrame:
     return used.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, BREAKER_SCHEMA)
 
 
+def weighted_quota(requests: DataFrame, hourly: int = 60, most: int = 20) -> DataFrame:
+    """(request_id, accepted): whether a client's request still fits its hour, in order of time.
+
+    An hour's first request opens it; later ones are taken while the sum stays within ``hourly``, and those that are
+    refused use nothing up. Amounts under 0 or over ``most`` are refused. Columns: client, ts, request_id, amount.
+    Only an hour's sum is held, so a client may have any number of requests.
+    """
+    hours = requests.select("client", F.date_trunc("hour", "ts").alias("hour"), "ts", "request_id", "amount")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used = None, None
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                if (r.client, r.hour) != at:
+                    at, used = (r.client, r.hour), None
+                fine = 0 <= r.amount <= most and (used is None or used + r.amount <= hourly)
+                if fine:
+                    used = (used or 0) + r.amount
+                rows.append((r.request_id, bool(fine)))
+            yield pd.DataFrame(rows, columns=["request_id", "accepted"])
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    return hours.repartition("client", "hour").sortWithinPartitions("client", "hour", "ts", "request_id").mapInPandas(run, f"request_id {kind}, accepted boolean")
+
+
 def spaced_requests(events: DataFrame, seconds: int) -> DataFrame:
     """Slots for each user's requests, at least ``seconds`` apart: (user_id, event_id, slot_s since the epoch).
 

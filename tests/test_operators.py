@@ -82,13 +82,51 @@ def test_writes(spark):
     assert pairs(writes.upsert_where(t.select("k", "n"), new.dropDuplicates().select("k", "n"), ["k"], "n", 10), "k", "n") == [(1, 1), (2, 2), (3, 3)]
 
 
+JOBS = "job_id int, domain string, kind string, status string, priority int, available_at timestamp_ntz, lease_until timestamp_ntz, attempts int, max_attempts int, depth int, campaign_id int, city_id int, country_id int, queue string"
+
+
+def job(i, domain="a", kind="event", status="queued", priority=0, at=datetime(2024, 1, 1), lease=None, attempts=0, depth=0, campaign=1, city=1, country=1, queue="crawl"):
+    return i, domain, kind, status, priority, at, lease, attempts, 5, depth, campaign, city, country, queue
+
+
 def test_claims_and_leases(spark):
+    asof, past, future = datetime(2024, 1, 2), datetime(2024, 1, 1), datetime(2024, 1, 3)
+    rows = [job(1, priority=1), job(2, priority=5, country=2), job(3, status="leased", lease=past), job(4, "C", status="leased", lease=future), job(5, "c"), job(6, at=future), job(7, attempts=5), job(8, campaign=2), job(9, "Open", at=datetime(2023, 1, 1))]
+    jobs = spark.createDataFrame(rows, JOBS)
+    campaigns = spark.createDataFrame([(1, "running"), (2, "cancelled")], "campaign_id int, campaign_status string")
+    turns = {r.job_id: r.turn for r in queues.fair_claim(jobs, campaigns, asof, 99).collect()}
+    assert turns == {1: 1, 2: 1, 9: 2, 3: 3, 5: 4} and queues.fair_claim(jobs, campaigns, asof, 0).count() == 1
+    circuits = spark.createDataFrame([("open", future), ("a", past)], "domain string, open_until timestamp_ntz")
+    # One live lease (4): one more may be given; 9 waits for its circuit, 5 for its domain.
+    assert pairs(queues.one_per_domain(jobs, circuits, asof), "job_id") == [(1,)]
+    assert pairs(queues.one_per_domain(jobs, circuits, asof, total=1), "job_id") == []
+    assert queues.admission(jobs.withColumn("queue", F.when(F.col("job_id") == 4, "search").otherwise("crawl")), asof, 107).first().capacity == (107 - 6 - 10) // 10
+    assert tuple(queues.backlog(jobs, asof, ("crawl", "search")).first()) == (7, 0)
+
+
+def test_rebalanced_queue(spark):
     asof = datetime(2024, 1, 2)
-    rows = [(1, "a", "queued", 1, datetime(2024, 1, 1), None), (2, "a", "queued", 0, datetime(2024, 1, 1), None), (3, "b", "leased", 0, datetime(2024, 1, 1), datetime(2024, 1, 1)), (4, "c", "leased", 0, datetime(2024, 1, 1), datetime(2024, 1, 3)), (5, "c", "queued", 0, datetime(2024, 1, 1), None), (6, "d", "queued", 0, datetime(2024, 1, 5), None)]
-    jobs = spark.createDataFrame(rows, "job_id int, domain string, status string, priority int, available_at timestamp_ntz, lease_until timestamp_ntz")
-    assert pairs(queues.one_per_domain(jobs, asof, 9), "job_id") == [(2,), (3,)]
-    turns = {r.job_id: r.turn for r in queues.fair_claim(jobs, ["domain"], asof, 9).collect()}
-    assert turns == {2: 1, 1: 2, 3: 1, 5: 1}
+    rows = [job(i, kind="list", priority=i % 3, depth=30) for i in range(7)] + [job(10, kind="search_result", priority=500), job(11, "b"), job(12, at=datetime(2024, 1, 3))]
+    got = {r.job_id: (r.turn, (r.available_at - asof).total_seconds() / 3600, r.priority) for r in queues.rebalanced(spark.createDataFrame(rows, JOBS), asof, keep=3).collect()}
+    assert got == {1: (4, 6.0, 101), 4: (5, 6.0, 101), 0: (6, 6.0, 100), 3: (7, 12.0, 100), 6: (8, 12.0, 100)}
+
+
+def test_campaign_states_and_health(spark):
+    campaigns = spark.createDataFrame([(1, "running"), (2, "running"), (3, "queued"), (4, "cancelled")], "campaign_id int, campaign_status string")
+    jobs = spark.createDataFrame([job(1, campaign=1), job(2, campaign=2, status="failed"), job(3, campaign=4)], JOBS).withColumn("error", F.lit(None).cast("string"))
+    assert pairs(queues.campaign_status(campaigns, jobs), "campaign_id", "campaign_status", "total") == [(1, "running", 1), (2, "completed", 1), (3, "queued", 0), (4, "cancelled", 1)]
+    asof = datetime(2024, 1, 2)
+    done = spark.createDataFrame([("completed", "updated", datetime(2024, 1, 1, 23))] * 100 + [("completed", "created", datetime(2024, 1, 1, 22))], "status string, action string, finished_at timestamp_ntz")
+    made = spark.createDataFrame([(datetime(2024, 1, 1, 22, 30),), (datetime(2024, 1, 1, 22),)], "created_at timestamp_ntz")
+    r = queues.health(made, done, asof).first()
+    assert (r.events_created, r.completed, r.created, r.updated, r.alert) == (1, 100, 0, 100, True)
+
+
+def test_weighted_quota(spark):
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    rows = [("a", at(1, 0), 1, 20), ("a", at(1, 1), 2, 20), ("a", at(1, 2), 3, 15), ("a", at(1, 3), 4, 10), ("a", at(1, 4), 5, 5), ("a", at(1, 5), 6, 21), ("a", at(2, 0), 7, 20), ("b", at(1, 0), 8, -1), ("b", at(1, 1), 9, 0)]
+    got = runs.weighted_quota(spark.createDataFrame(rows, "client string, ts timestamp, request_id int, amount int").repartition(3), hourly=50)
+    assert pairs(got, "request_id", "accepted") == [(1, True), (2, True), (3, False), (4, True), (5, False), (6, False), (7, True), (8, False), (9, True)]
 
 
 def test_audience_is_never_told_exactly(spark):
