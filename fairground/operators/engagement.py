@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words that tell a free or an evening event.
-FREE_WORDS = r"(?i)\b(gratuit|gratuite|free|entrée libre)\b"
-TONIGHT_WORDS = r"(?i)\b(ce soir|tonight|soirée)\b"
+FREE_WORDS = r"(?i)\b(gratuit|gratuite|free|entrée libre|senza costo|gratis|bezpłatn)\b"
+TONIGHT_WORDS = r"(?i)\b(ce soir|tonight|stasera|esta noche|сегодня вечером|dziś wieczorem)\b"
 
 #: Why an event is proposed.
 REASONS = {"genres": "Tes goûts : ", "category": "Une catégorie que tu apprécies", "search": ("Inspiré par ta recherche « ", " »"), "budget": "Dans ton budget", "verified": "Événement vérifié", "none": "Populaire près de toi"}
@@ -83,10 +83,15 @@ def feed_score(age_hours: Column, likes: Column, comments: Column, saves: Column
 
 
 def briefing(posts: DataFrame) -> DataFrame:
-    """Totals of a feed and its commonest place and topic; ties go to the smaller value."""
-    top = lambda c: posts.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(f"top_{c}"))
-    totals = posts.agg(F.count("*").alias("n_posts"), F.sum("likes").alias("n_likes"), F.count_if("verified").alias("n_verified"))
-    return totals.crossJoin(F.broadcast(top("place"))).crossJoin(F.broadcast(top("topic")))
+    """Posts, free ones (by their event or text), comments, and the commonest place and tag; ties go to the smaller value.
+
+    Columns: text, event_free, comments, place, tags.
+    """
+    top = lambda rows, name: rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")).agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(name))
+    free = F.coalesce("event_free", F.lit(False)) | F.coalesce(F.col("text").rlike(FREE_WORDS), F.lit(False))
+    totals = posts.agg(F.count("*").alias("n_posts"), F.count_if(free).alias("n_free"), F.coalesce(F.sum("comments"), F.lit(0)).alias("n_comments"))
+    places, tags = top(posts.select(F.col("place").alias("v")), "top_place"), top(posts.select(F.explode("tags").alias("v")), "top_tag")
+    return totals.crossJoin(F.broadcast(places)).crossJoin(F.broadcast(tags))
 
 
 def feed_page(posts: DataFrame, before: datetime, size: int) -> DataFrame:

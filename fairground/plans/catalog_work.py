@@ -198,11 +198,13 @@ def op_m18_c01_f25_feed_rank(d):
     return rows.select("post_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "post_id").limit(100)
 
 
-@query(f"""with {_POSTS}
-select (select count(*) from posts) as n_posts, (select sum(likes)::bigint from posts) as n_likes, (select count(*) from posts where verified) as n_verified,
-  (select place from posts where place is not null group by place order by count(*) desc, place limit 1) as top_place, (select topic from posts group by topic order by count(*) desc, topic limit 1) as top_topic""")
+@query(f"""with {_POSTS}, t as (select unnest([topic, 'tag ' || post_id % 7]) as tag from posts)
+select (select count(*) from posts) as n_posts, (select count(*) from posts where post_id % 10 = 0 or post_id % 4 in (0, 1)) as n_free, (select sum(comments)::bigint from posts) as n_comments,
+  (select place from posts where place is not null group by place order by count(*) desc, place limit 1) as top_place, (select tag from t group by tag order by count(*) desc, tag limit 1) as top_tag""")
 def op_a25_a26_briefing(d):
-    return engagement.briefing(_posts(d))
+    k = F.col("post_id")
+    posts = _posts(d).withColumns({"event_free": F.when(k % 10 == 0, True), "tags": F.array("topic", F.concat(F.lit("tag "), (k % 7).cast("string")))})
+    return engagement.briefing(posts)
 
 
 @query(f'with {_POSTS} select post_id, "at" from posts where author_id = 25 and "at" < {NOW} order by "at" desc, post_id desc limit 6')
