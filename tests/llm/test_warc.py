@@ -73,3 +73,9 @@ def test_damage_is_found(spark):
     warc.write_archives(spark.createDataFrame([r for r in rows if r[1] != 2], warc.CHUNK_SCHEMA), path)
     with pytest.raises(Exception, match="out of order or damaged"):
         warc.read_archives(spark, path).collect()
+
+
+def test_payload_over_the_default_chunk(spark):
+    big = "".join(chr(97 + i % 26) + "é日"[i % 2] for i in range(900_000)) + TRAP
+    rows = [(1, "u", big), (2, "u", big), (3, "u", big[:-1]), (4, "u", "x" * (1 << 20)), (5, "u", "x" * ((1 << 20) + 1))]
+    assert run(spark, rows) == brute(rows)
