@@ -4,7 +4,8 @@ Balanced k-means over a bounded sample, in two levels, gives the lists' centroid
 many as the square root of the number of vectors. A vector goes into its nearest list and, near
 a boundary, into others whose centroid is hardly farther. A graph over the centroids, searched in
 memory, finds the lists of a vector or a query; the ratio of distances prunes a query's lists.
-Long lists are split into blocks. A block is read once and its queries are streamed past it; the
+How large that ratio is, follows from the data: some vectors' nearest are found among all rows, and
+the ratio is set so that their lists would be read. Long lists are split into blocks. A block is read once and its queries are streamed past it; the
 best of each block meet in a last top-k.
 """
 
@@ -33,8 +34,8 @@ class Settings:
     per_centroid: int = 16  #: vectors of the sample for each list, at least
     copies: int = 4  #: lists that hold a vector, at most
     copy_ratio: float = 1.2  #: a further list's distance against the nearest one's
-    probes: int = 24  #: lists that a query reads, at most
-    probe_ratio: float = 1.5
+    calibration: int = 128  #: vectors whose nearest are found among all rows, to set what a query reads
+    coverage: float = 0.985  #: part of those nearest that the ratio, and the number of lists, each must reach
     block_rows: int = 8_192  #: vectors of a list that one task holds
     links: int = 16
     seed: int = 7
@@ -159,6 +160,34 @@ def nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: i
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def true_neighbours(index: DataFrame, ids: list, x: np.ndarray, k: int, kind: str) -> DataFrame:
+    """(q, id, d, lists): the ``k`` nearest rows of ``index`` for each vector of ``x``, but those with its own id. A task keeps ``k`` rows for each."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.array(ids)
+        held: list[tuple] = []
+        d = np.zeros((len(x), 0))
+        for b in batches:
+            if not len(b):
+                continue
+            new = squared(x, matrix(b.vector, x.shape[1]))
+            new[own[:, None] == b.id.to_numpy()[None, :]] = np.inf
+            rows, d = [*held, *zip(b.id, b.lists)], np.concatenate([d, new], 1)
+            near = np.unique(np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k])
+            held, d = [rows[i] for i in near], d[:, near]
+        if held:
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            q, j = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+            fine = np.isfinite(d[q, j])
+            q, j = q[fine], j[fine]
+            if len(q):
+                yield pd.DataFrame({"q": q.astype(np.int32), "id": [held[i][0] for i in j], "d": d[q, j], "lists": [held[i][1] for i in j]})
+
+    found = index.select("id", "vector", "lists").mapInPandas(best, f"q int, id {kind}, d double, lists array<int>")
+    order = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
+    return found.withColumn("place", order).where(F.col("place") <= k)
+
+
 def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, dims))
 
@@ -185,8 +214,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         return empty
     dims, n = widths[0]["w"], widths[0]["n"]
     valid = raw.where(usable(F.col("vector"), dims))
-    chosen = valid.orderBy(F.xxhash64("id"), "id").limit(max(1_024, min(SAMPLE, SAMPLE_VALUES // dims))).select("vector").toArrow().column("vector").combine_chunks()
-    sample = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    chosen = valid.orderBy(F.xxhash64("id"), "id").limit(max(1_024, min(SAMPLE, SAMPLE_VALUES // dims))).select("id", "vector").toArrow()
+    sample = chosen.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
     if not len(sample):
         return empty
     n_lists = max(1, min(s.n_lists or round(n**0.5), len(sample) // s.per_centroid, n // 64))
@@ -207,12 +236,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
         lengths_of[r["list"]] = r["n"]
     lengths = spark.sparkContext.broadcast(lengths_of)
 
+    # What a query must read: in which of its lists, nearest first, do true neighbours stand?
+    asked_ids, asked_x = chosen.column("id").to_pylist()[: s.calibration], sample[: s.calibration]
+    order, far = graph.value.search(asked_x, n_centroids)
+    places, ratios = [0], [1.0]
+    for r in true_neighbours(index, asked_ids, asked_x, k, kind).select("q", "lists").collect():
+        at = np.flatnonzero(np.isin(order[r["q"]], r["lists"]))
+        first = int(at[0]) if len(at) else n_centroids - 1
+        places.append(first)
+        ratios.append(far[r["q"], first] / max(far[r["q"], 0], 1e-300))
+    probes = int(np.quantile(places, s.coverage, method="higher")) + 1
+    probe_ratio = float(np.quantile(ratios, s.coverage, method="higher")) * (1 + 1e-9)
+
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            ids, d = graph.value.search(matrix(b.vector, dims), n_centroids if n_centroids <= s.probes else 2 * s.probes)
-            keep = (d <= s.probe_ratio * d[:, :1]) & (np.arange(ids.shape[1]) < s.probes) & (ids >= 0)
+            ids, d = graph.value.search(matrix(b.vector, dims), min(n_centroids, 2 * probes + 8))
+            keep = (d <= probe_ratio * d[:, :1]) & (np.arange(ids.shape[1]) < probes) & (ids >= 0)
             length = np.where(ids >= 0, lengths.value[ids], 0)
             keep |= (ids >= 0) & (np.cumsum(length, 1) - length < s.copies * (k + 1))
             r, c = np.nonzero(keep)
