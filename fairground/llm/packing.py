@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import codec
+
 #: Windows in a block, and the part of a window's tokens that a block leaves free so that windows can be uneven.
 BLOCK_WINDOWS, SLACK = 32, 4
 #: Rests of a block's windows that are cut into ever smaller pieces, which level the windows, and the
@@ -155,13 +157,17 @@ def ids_of(text: str, ranks_path: str, pattern: str, tokenizer_path: str | None
     """The ids that the tokenizer of the file gives, without tokens added around the text.
 
     They are taken from the same vocabulary's ranks, which is faster, unless the text holds
-    the string of an added token.
+    the string of an added token. The pattern's backtracking runs out of stack on about a million
+    blanks in a row; the tokenizer of the file, or this library's own codec, then takes its place.
     """
-    if tokenizer_path:
-        full, added = tokenizer(tokenizer_path)
-        if any(a in text for a in added):
-            return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
-    return encoding(ranks_path, pattern).encode_to_numpy(text)
+    full, added = tokenizer(tokenizer_path) if tokenizer_path else (None, [])
+    if not any(a in text for a in added):
+        try:
+            return encoding(ranks_path, pattern).encode_to_numpy(text)
+        except ValueError:
+            if full is None:
+                return np.array(codec(ranks_path, pattern).encode(text), np.uint32)
+    return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, tokenizer_path: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -74,6 +75,15 @@ def test_pack_matches_the_tokenizer(spark):
     assert padding <= 0.1 * total
 
 
+@pytest.mark.parametrize("blanks", [" ", "\n", " \n\t", "\u00a0"])
+def test_very_long_white_space(spark, blanks):
+    text = "a" + blanks * (2_000_000 // len(blanks)) + "x"
+    with_file, own = packing.ids_of(text, RANKS, PATTERN, TOKENIZER), packing.ids_of(text, RANKS, PATTERN)
+    assert with_file.tolist() == own.tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+    got = packing.pack(frame(spark, [(1, text)]), RANKS, PATTERN, with_ids=False, tokenizer_path=TOKENIZER)
+    assert sum(r.length for r in got.select("length").collect()) == len(own) + 1
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), RANKS, PATTERN).count() == 0
 
