@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, media, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
+from . import ann, bpe, line_dedup, media, ngram_join, packing, phrases, pii, suffix_dedup, toxicity, url_filter, warc, whitening
 from .common import spread, table, workspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -89,6 +89,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as long: null beyond its range, where the operator's decimal still holds it."""
+    told = whitening.report(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+    return told.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.span_report(spread(docs), pii.fit(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
+    "op12_whitening": op12_whitening,
+    "op13_pii": op13_pii,
     "pipeline": pipeline,
 }
 
@@ -163,5 +181,38 @@ select d.page_id, d.payload_bytes, d.payload_digest,
        case when f.first is null or f.first = d.page_id then 'response' else 'revisit' end as record_type,
        case when f.first <> d.page_id then f.first end as refers_to
 from d left join f on d.payload_digest = f.payload_digest
+""",
+    "op11_phrases": f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), worded as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+grams as (
+  select lang, 1 as m, unnest(w) as phrase from worded
+  union all
+  select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+  union all
+  select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from worded
+), f as (select lang, m, phrase, count(*)::bigint as a from grams group by all having count(*) >= 10),
+inside as (
+  select lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as phrase, a from f where m = 3
+), longest as (select lang, phrase, max(a) as within from inside group by all),
+kept as (
+  select f.* from f left join longest g on f.lang = g.lang and f.phrase = g.phrase
+  where m > 1 and coalesce(100 * g.within, 0) < 50 * f.a
+), cuts as (
+  select *, unnest(range(1, m)) as k, string_split(phrase, ' ') as w from kept
+), scored as (
+  select c.lang, c.phrase, c.a, c.k, x.a as l, y.a as r, ((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a))::bigint as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase collate "binary") as rank from best
+)
+select r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score from ranked r join totals t on t.lang = r.lang where rank <= 2000
 """,
 }
