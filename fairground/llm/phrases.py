@@ -37,8 +37,8 @@ class Settings:
     min_count: int = 10  #: occurrences of a frequent phrase
     covered: int = 50  #: percent of a phrase's occurrences within one longer phrase that drop it
     top: int = 2_000  #: phrases that are reported for each language
-    block_bytes: int = 16 << 20  #: text of a block (more, if one text is longer)
-    part_entries: int = 2 << 20  #: entries that a hash partition adds up
+    block_bytes: int = 8 << 20  #: text of a block (more, if one text is longer)
+    part_entries: int = 1 << 20  #: entries that a hash partition adds up
 
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
