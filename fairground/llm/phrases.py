@@ -360,5 +360,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     score = F.expr("(1000000 * cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))")
     lowest = both.withColumn("score", score).groupBy("lang", "phrase", "n", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     rows = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # What is not among the first of its salt is not among the first of its language.
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
+    rows = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= settings.top)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     return rows.withColumn("rank", place).where(F.col("rank") <= settings.top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
