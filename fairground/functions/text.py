@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that fold() replaces one by one; those that become two letters follow.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-DOUBLES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
+
+def _plain_letters() -> dict[str, str]:
+    """Small Latin and Greek letters with marks, and the letter that Unicode builds each on."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)):
+        letter = chr(code)
+        base = unicodedata.normalize("NFD", letter)[0]
+        if letter == letter.lower() and base != letter and ("a" <= base <= "z" or "α" <= base <= "ω"):
+            out[letter] = base
+    return out
+
+
+#: Letters that Unicode doesn't build on others, and those that become two.
+UNMARKED = {"ł": "l", "đ": "d", "ø": "o", "ħ": "h", "ı": "i", "ŧ": "t", "ð": "d", "ſ": "s", "ŋ": "n", "ё": "е"}
+DOUBLES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ĳ", "ij"), ("þ", "th"), ("ŉ", "'n"))
+#: Letters that fold() replaces one by one; marks, which follow them, have no counterpart and go.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+_LETTERS = _plain_letters() | UNMARKED
+ACCENTED, PLAIN = "".join(_LETTERS) + MARKS, "".join(_LETTERS.values())
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents, for Latin and Greek letters."""
     out = F.translate(F.lower(x), ACCENTED, PLAIN)
     for a, b in DOUBLES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+def fold_sql(x: str) -> str:
+    """``fold`` in SQL."""
+    out = f"translate(lower({x}), '{ACCENTED}', '{PLAIN}')"
+    for a, b in DOUBLES:
+        out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
 def tokens(x: Column) -> Column:
     """Distinct folded words: runs of letters and digits."""
     return F.array_distinct(F.filter(F.split(fold(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
@@ -121,14 +146,74 @@ def excerpt(x: Column, size: int = 180) -> Column:
     return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(max(1, size - 1)))), F.lit("…")))
 
 
-#: Entities that are decoded, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Named entities and what they stand for, in the order in which they are decoded.
+ENTITIES = (("&nbsp;|&#160;", " "), ("&amp;", "&"), ("&quot;|&#34;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"))
+#: What counts as a blank: ASCII ones, and Unicode's separators.
+BLANK = r"[\s\x{00A0}\x{FEFF}\p{Z}]"
+
+
+def decoded(x: Column) -> Column:
+    """Named entities, then decimal and hexadecimal ones, as characters; numbers that are none stay."""
+    out = x
+    for pattern, value in ENTITIES:
+        out = F.regexp_replace(out, f"(?i){pattern}", value)
+    number = lambda e: F.regexp_extract(e, "(?i)([0-9a-f]+);$", 1)
+    code = lambda e: F.when(F.startswith(F.lower(e), F.lit("&#x")), F.conv(number(e), 16, 10)).otherwise(number(e)).cast("long")
+    sound = lambda e: (code(e) <= 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF)
+    letter = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
+    found = F.filter(F.array_distinct(F.regexp_extract_all(out, F.lit("(?i)&#(?:[0-9]{1,10}|x[0-9a-f]{1,8});"), 0)), sound)
+    return F.when(F.contains(out, F.lit("&#")), F.aggregate(found, out, lambda text, e: F.replace(text, e, letter(e)))).otherwise(out)
+
+
+def html_text(x: Column, size: int | None = None) -> Column:
+    """Visible text: entities are decoded, then scripts, styles and tags go, and blanks are joined."""
+    out = F.regexp_replace(decoded(x), r"[\x00-\x1f\x7f]", " ")
+    out = F.regexp_replace(out, r"(?is)<script\b[^>]*>.*?</script>", " ")
+    out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style>", " ")
+    out = F.regexp_replace(out, r"<[^>]+>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, f"{BLANK}+", " "), "^ | $", "")
+    return out if size is None else F.left(out, F.lit(size))
+
+
+def normal_text(x: Column) -> Column:
+    """Visible text in lower case without accents; all but ASCII letters and digits are blanks."""
+    plain = F.translate(F.lower(html_text(x, 6000)), ACCENTED, PLAIN)
+    return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def normal_key(x: Column) -> Column:
+    """``normal_text`` of what is visible text already."""
+    return F.btrim(F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+
+
+def url_joined(href: Column, base: Column) -> Column:
+    """The http or https url that ``href`` names on the page ``base``; null if there is none.
+
+    Scheme and host are in lower case, a port that the scheme has anyway goes, ``.`` and ``..``
+    are resolved, blanks are escaped, and an empty path is a slash.
+    """
+    link = F.btrim(href, F.lit(" \t\n\r\f"))
+    scheme, host = F.lower(F.regexp_extract(base, ABSOLUTE, 1)), F.regexp_extract(base, ABSOLUTE, 2)
+    path, query = F.regexp_extract(base, ABSOLUTE, 3), F.regexp_extract(base, r"^[^#?]*(\?[^#]*)?", 1)
+    origin = F.concat(scheme, F.lit("://"), host)
+    folder = F.concat(F.regexp_extract(path, "^(.*/)?", 0), F.when(F.contains(path, F.lit("/")), "").otherwise("/"))
+    whole = (
+        F.when(link.rlike("(?i)^https?://[^/?#]"), link)
+        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+        .when(F.startswith(link, F.lit("#")) | (link == ""), F.concat(origin, path, query, link))
+        .otherwise(F.concat(origin, folder, link))
+    )
+    own = lambda i: F.regexp_extract(whole, r"(?is)^(https?)://([^/?#]+)([^?#]*)(.*)$", i)
+    place = F.concat(F.regexp_extract(own(2), "^(.*@)?", 0), F.lower(F.regexp_replace(own(2), "^.*@", "")))
+    place = F.regexp_replace(place, F.when(F.lower(own(1)) == "http", ":80$").otherwise(":443$"), F.lit(""))
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    names = F.split(F.regexp_replace(own(3), "^/", ""), "/")
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    dot = F.element_at(names, -1).isin(".", "..")
+    clear = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dot & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when((scheme != "") & (own(1) != ""), F.replace(F.concat(F.lower(own(1)), F.lit("://"), place, clear, own(4)), F.lit(" "), F.lit("%20")))
 
 
-def html_text(x: Column) -> Column:
-    """Visible text: scripts, styles and tags go, common entities are decoded, blanks are joined."""
-    out = F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))

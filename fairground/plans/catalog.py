@@ -225,7 +225,7 @@ def _rules_sql(rules, column: str) -> str:
     return "list_filter([" + ", ".join(f"case when regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}') then '{n}' end" for n, p in rules) + "], lambda x: x is not null)"
 
 
-FOLD_SQL = "replace(replace(replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+FOLD_SQL = text.fold_sql("{0}")
 
 
 @query(f"select doc_id, array_to_string({_rules_sql(taxonomy.GENRES, 'lower(text)')}, ',') as genres from documents")
@@ -334,14 +334,16 @@ def op_f23_f26_hashtags(d):
     return d.table("conversations").select("conv_id", "turn", F.array_join(text.hashtags(tagged), ",").alias("tags"), text.excerpt(html).alias("excerpt"))
 
 
-_HTML = r"regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-for _a, _b in text.ENTITIES:
-    _HTML = f"replace({_HTML}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+_HTML = "html || ' caf&#233; &#x41; &#X1F3B5; &amp;#66;'"
+for _a, _b in (*text.ENTITIES, ("&#233;", "é"), ("&#66;", "B"), ("&#x41;", "A"), ("&#x1F3B5;", "🎵"), (r"[\x00-\x1f\x7f]", " "), (r"<script\b[^>]*>(?s:.*?)</script>", " "), (r"<style\b[^>]*>(?s:.*?)</style>", " "), ("<[^>]+>", " "), (r"[\s\x{00A0}\x{FEFF}\p{Z}]+", " ")):
+    _HTML = f"regexp_replace({_HTML}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}', 'gi')"
 
 
-@query(f"select page_id, trim(regexp_replace({_HTML}, '\\s+', ' ', 'g')) as visible from pages")
+@query(f"select page_id, trim({_HTML}) as visible from pages")
 def op_f24_html_text(d):
-    return d.table("pages").select("page_id", text.html_text(F.col("html")).alias("visible"))
+    """The pages with a few numeric entities after them."""
+    longer = F.concat("html", F.lit(" caf&#233; &#x41; &#X1F3B5; &amp;#66;"))
+    return d.table("pages").select("page_id", text.html_text(longer).alias("visible"))
 
 
 @query("""

@@ -52,7 +52,37 @@ def test_similarities(spark):
 
 def test_tags_excerpts_html(spark):
     r = one(spark, text.hashtags(lit("#Été and #b_1 #b_1 ##xy-z #q"), 3), text.excerpt(lit("<p>a</p>  b\n" * 60), 20), text.html_text(lit("<p>a&amp;lt; <script>x</script><b>b</b>&nbsp;c</p>")))
-    assert r[0] == ["été", "b_1", "xy-z"] and len(r[1]) <= 20 and r[1].endswith("…") and r[2] == "a&lt; b c"
+    assert r[0] == ["été", "b_1", "xy-z"] and len(r[1]) <= 20 and r[1].endswith("…") and r[2] == "a b c"
+
+
+@pytest.mark.parametrize(
+    "raw,plain",
+    [("Łódź", "lodz"), ("Brașov", "brasov"), ("Plzeň", "plzen"), ("Győr", "gyor"), ("Rīga", "riga"), ("Þingvellir", "thingvellir"), ("İstanbul", "istanbul"), ("Đà Nẵng", "da nang"), ("Αθήνα", "αθηνα"), ("Straße Ærø Œuvre", "strasse aero oeuvre"), ("Орёл", "орел"), ("e\u0301te\u0301", "ete"), ("plain", "plain"), (None, None)],
+)
+def test_folding(spark, raw, plain):
+    assert one(spark, text.fold(lit(raw).cast("string")))[0] == plain
+
+
+@pytest.mark.parametrize(
+    "raw,plain",
+    [
+        ("caf&#233; &#x1F3B5;&#X41;", "café 🎵A"), ("&amp;#233;&amp;lt;", "é<"), ("&#39;&apos;&quot;&#34;", "''\"\""), ("&#1114112;&#xD800;&#99999999999;", "&#1114112;&#xD800;&#99999999999;"),
+        ("&nbsp;a&#160;\u00a0 b\u2003c&#10;&#9;d ", "a b c d"), ("&lt;b&gt;x&lt;/b&gt;", "x"), ("<STYLE>p</STYLE><p\n>t</p >", "t"), ("", ""), (None, None),
+    ],
+)
+def test_entities(spark, raw, plain):
+    assert one(spark, text.html_text(lit(raw).cast("string")))[0] == plain
+
+
+@pytest.mark.parametrize(
+    "href,url",
+    [
+        ("b", "https://e.org/a/b"), ("/b?q#f", "https://e.org/b?q#f"), ("../x/./y", "https://e.org/x/y"), ("..", "https://e.org/"), ("../../..", "https://e.org/"), ("//H.com", "https://h.com/"), ("HTTP://H.com:80/A b", "http://h.com/A%20b"), ("?z=1", "https://e.org/a/i?z=1"),
+        ("#top", "https://e.org/a/i?p=2#top"), ("", "https://e.org/a/i?p=2"), ("mailto:a@b.c", None), ("javascript:x()", None), ("x/", "https://e.org/a/x/"), ("x/..", "https://e.org/a/"), ("x/.", "https://e.org/a/x/"),
+    ],
+)
+def test_urls_on_a_page(spark, href, url):
+    assert one(spark, text.url_joined(lit(href), lit("https://E.org:443/a/i?p=2#s").cast("string")))[0] == url
 
 
 def test_distance_and_jitter(spark):
