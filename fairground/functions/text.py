@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which stands in the plan once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _plain_letters() -> dict[str, str]:
     """Small Latin and Greek letters with marks, and the letter that Unicode builds each on."""
     out = {}
@@ -159,10 +165,14 @@ def decoded(x: Column) -> Column:
         out = F.regexp_replace(out, f"(?i){pattern}", value)
     number = lambda e: F.regexp_extract(e, "(?i)([0-9a-f]+);$", 1)
     code = lambda e: F.when(F.startswith(F.lower(e), F.lit("&#x")), F.conv(number(e), 16, 10)).otherwise(number(e)).cast("long")
-    sound = lambda e: (code(e) <= 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF)
-    letter = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
-    found = F.filter(F.array_distinct(F.regexp_extract_all(out, F.lit("(?i)&#(?:[0-9]{1,10}|x[0-9a-f]{1,8});"), 0)), sound)
-    return F.when(F.contains(out, F.lit("&#")), F.aggregate(found, out, lambda text, e: F.replace(text, e, letter(e)))).otherwise(out)
+    letter = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+
+    def numbers(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#(?:[0-9]{1,10}|x[0-9a-f]{1,8});"), 0))
+        pairs = F.filter(F.transform(found, lambda e: F.struct(e.alias("e"), code(e).alias("c"))), lambda p: (p["c"] <= 0x10FFFF) & ~p["c"].between(0xD800, 0xDFFF))
+        return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["e"], letter(p["c"])))
+
+    return let(out, numbers)
 
 
 def html_text(x: Column, size: int | None = None) -> Column:
@@ -192,28 +202,32 @@ def url_joined(href: Column, base: Column) -> Column:
     Scheme and host are in lower case, a port that the scheme has anyway goes, ``.`` and ``..``
     are resolved, blanks are escaped, and an empty path is a slash.
     """
-    link = F.btrim(href, F.lit(" \t\n\r\f"))
     scheme, host = F.lower(F.regexp_extract(base, ABSOLUTE, 1)), F.regexp_extract(base, ABSOLUTE, 2)
     path, query = F.regexp_extract(base, ABSOLUTE, 3), F.regexp_extract(base, r"^[^#?]*(\?[^#]*)?", 1)
     origin = F.concat(scheme, F.lit("://"), host)
     folder = F.concat(F.regexp_extract(path, "^(.*/)?", 0), F.when(F.contains(path, F.lit("/")), "").otherwise("/"))
-    whole = (
-        F.when(link.rlike("(?i)^https?://[^/?#]"), link)
-        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
-        .when(F.startswith(link, F.lit("#")) | (link == ""), F.concat(origin, path, query, link))
-        .otherwise(F.concat(origin, folder, link))
-    )
-    own = lambda i: F.regexp_extract(whole, r"(?is)^(https?)://([^/?#]+)([^?#]*)(.*)$", i)
-    place = F.concat(F.regexp_extract(own(2), "^(.*@)?", 0), F.lower(F.regexp_replace(own(2), "^.*@", "")))
-    place = F.regexp_replace(place, F.when(F.lower(own(1)) == "http", ":80$").otherwise(":443$"), F.lit(""))
     step = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
-    names = F.split(F.regexp_replace(own(3), "^/", ""), "/")
-    kept = F.aggregate(names, F.array().cast("array<string>"), step)
-    dot = F.element_at(names, -1).isin(".", "..")
-    clear = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dot & (F.size(kept) > 0), "/").otherwise(""))
-    return F.when((scheme != "") & (own(1) != ""), F.replace(F.concat(F.lower(own(1)), F.lit("://"), place, clear, own(4)), F.lit(" "), F.lit("%20")))
+
+    def whole(link: Column) -> Column:
+        return (
+            F.when(link.rlike("(?i)^https?://[^/?#]"), link)
+            .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
+            .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+            .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+            .when(F.startswith(link, F.lit("#")) | (link == ""), F.concat(origin, path, query, link))
+            .otherwise(F.concat(origin, folder, link))
+        )
+
+    def tidy(url: Column) -> Column:
+        own = lambda i: F.regexp_extract(url, r"(?is)^(https?)://([^/?#]+)([^?#]*)(.*)$", i)
+        place = F.concat(F.regexp_extract(own(2), "^(.*@)?", 0), F.lower(F.regexp_replace(own(2), "^.*@", "")))
+        place = F.regexp_replace(place, F.when(F.lower(own(1)) == "http", ":80$").otherwise(":443$"), F.lit(""))
+        names = F.split(F.regexp_replace(own(3), "^/", ""), "/")
+        dot = F.element_at(names, -1).isin(".", "..")
+        clear = let(F.aggregate(names, F.array().cast("array<string>"), step), lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dot & (F.size(kept) > 0), "/").otherwise("")))
+        return F.when((scheme != "") & (own(1) != ""), F.replace(F.concat(F.lower(own(1)), F.lit("://"), place, clear, own(4)), F.lit(" "), F.lit("%20")))
+
+    return let(let(F.btrim(href, F.lit(" \t\n\r\f")), whole), tidy)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, text, times
 from ..operators import discovery, engagement, identity, queues, writes
-from ..sources import web
+from ..sources import cards, web
 from .catalog import ASOF, km, query
 from .domain import sql
 
@@ -419,9 +419,41 @@ def op_s13_s04_s06_links(d):
     return web.links(d.table("pages"))
 
 
-@query("""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) as heading, trim(regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1)) as lang from pages""")
-def op_s12_s17_page_card(d):
-    return web.page_card(d.table("pages")).select("page_id", "title", "heading", "lang")
+#: What the made-up cards of the next query say in six languages: date label, month names of May to July, label of hours, of prices, of the venue.
+_CARDS = (
+    ("Date", ("mai", "juin", "juillet"), "Horaires", "Tarif", "Lieu"), ("Datum", ("Mai", "Juni", "Juli"), "Uhrzeit", "Preis", "Ort"), ("Data", ("maggio", "giugno", "luglio"), "Orario", "Prezzo", "Luogo"),
+    ("Fecha", ("mayo", "junio", "julio"), "Horario", "Precio", "Lugar"), ("Дата", ("May", "June", "July"), "Hours", "Price", "Venue"), ("Päivämäärä", ("may", "june", "july"), "Time", "Prices", "Location"),
+)
+_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract({0}, '{1}', 1), '&amp;', '&', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""
+with p as (select *, make_date(2026, (5 + page_id % 3)::int, (page_id % 28 + 1)::int) as day, page_id % 24 as h, page_id % 5 = 0 as untimed from pages where page_id % 7 <> 0)
+select page_id, left({_VISIBLE.format("html", "(?is)<h1>(.*?)</h1>")}, 500) as title, case when untimed then strftime(day, '%Y-%m-%d') else strftime(day + to_hours(h), '%Y-%m-%dT%H:%M:%S') end as start_date,
+  case when not untimed and page_id % 2 = 0 then strftime(day + to_hours((h + 5) % 24) + to_minutes(30) + case when (h + 5) % 24 < h then to_days(1) else to_days(0) end, '%Y-%m-%dT%H:%M:%S') end as end_date, untimed as all_day, case when page_id % 3 = 0 then 'Hall ' || page_id || ' & Co' end as venue_name,
+  case when page_id % 4 = 1 then 8.5::double when page_id % 4 = 2 then (page_id % 90)::double end as price_min, case when page_id % 4 = 1 then 12::double when page_id % 4 = 2 then (page_id % 90)::double end as price_max,
+  page_id % 4 = 3 as is_free, 'https://c.example/' || page_id as source_url, case when page_id % 2 = 1 then 'https' || lower(regexp_extract(url, '://[^/?#]*', 0)) || '/buy/' || page_id end as ticket_url, regexp_extract(html, '<html lang="(..)', 1) as language, 'slow dance' as genre
+from p""")
+def op_s12_event_cards(d):
+    """The event of each page: its own heading, and a card in one of six languages that is written into its article; in one of seven the date has no month."""
+    p = F.col("page_id")
+    key, of = p.cast("string"), lambda *values: F.element_at(F.array(*map(F.lit, values)), (p % len(values) + 1).cast("int"))
+    labels = [of(*[c[i] for c in _CARDS]) for i in (0, 2, 3, 4)]
+    months = F.element_at(F.array(*[F.array(*map(F.lit, c[1])) for c in _CARDS]), (p % 6 + 1).cast("int"))
+    month = F.element_at(months, (p % 3 + 1).cast("int"))
+    day = F.concat((p % 28 + 1).cast("string"), F.lit(". "), F.when(p % 7 == 0, "soon").otherwise(month), F.lit(" 2026"))
+    bold = lambda label, value: F.concat(F.lit("<p><strong> "), label, F.lit("</strong>&nbsp;: "), value, F.lit("</p>"))
+    listed = lambda label, value: F.concat(F.lit("<dl><dt>"), label, F.lit("</dt>\n<dd>"), value, F.lit("</dd></dl>"))
+    hours = F.concat((p % 24).cast("string"), F.lit("h"), F.when(p % 2 == 0, F.concat(F.lit("00 - "), ((p + 5) % 24 % 24).cast("string"), F.lit(".30"))).otherwise(""))
+    price = F.when(p % 4 == 1, "12.- / 8,50 EUR").when(p % 4 == 2, F.concat((p % 90).cast("string"), F.lit(" chf"))).when(p % 4 == 3, "Entr&#233;e gratuite").otherwise("free entry for members")
+    card = F.concat(
+        F.when(p % 2 == 0, bold(labels[0], day)).otherwise(listed(labels[0], day)), F.when(p % 5 != 0, bold(labels[1], hours)).otherwise(""), listed(labels[2], price),
+        F.when(p % 3 == 0, bold(labels[3], F.concat(F.lit("Hall "), key, F.lit(" &amp; Co")))).otherwise(""), F.when(p % 2 == 1, F.concat(F.lit("<a href='/x/../buy/"), key, F.lit("'>Buy <b>tickets</b></a>"))).otherwise(""),
+    )
+    html = F.replace(F.replace(F.col("html"), F.lit("</article>"), F.concat(card, F.lit("</article>"))), F.lit("<article>"), F.lit("<article class='event genre-slow-dance'>"))
+    html = F.concat(html, F.lit("<link rel='canonical' href='https://c.example/"), key, F.lit("'>"))
+    found = cards.event_cards(d.spread("pages").select(p, F.regexp_replace("url", "^http:", "https:").alias("url"), html.alias("html")))
+    return found.select("page_id", "title", "start_date", "end_date", "all_day", "venue_name", "price_min", "price_max", "is_free", "source_url", "ticket_url", "language", F.element_at("genres", 1).alias("genre"))
 
 
 @query("""select event_id, json_extract_string(props, '$.k')::bigint as k, (json_extract_string(props, '$.k')::bigint + 1)::varchar as next_k, len(json_keys(props)) as n_keys, json_keys(props)[1] as key from events""")

@@ -25,12 +25,6 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("position", "href"))
 
 
-def page_card(pages: DataFrame) -> DataFrame:
-    """Title, first heading, language and length of the visible text of each page."""
-    one = lambda pattern: F.trim(F.regexp_extract("html", pattern, 1))
-    return pages.select("page_id", one(r"(?is)<title[^>]*>(.*?)</title>").alias("title"), one(r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"), one(r'(?i)<html[^>]*lang="([^"]*)"').alias("lang"), F.length(html_text(F.col("html"))).alias("text_chars"))
-
-
 def _walk(node) -> Iterator[dict]:
     if isinstance(node, dict):
         yield node
