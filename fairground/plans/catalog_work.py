@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, text, times
 from ..operators import discovery, engagement, identity, queues, writes
-from ..sources import cards, web
+from ..sources import cards, jsonld, web
 from .catalog import ASOF, km, query
 from .domain import sql
 
@@ -510,13 +510,34 @@ def op_s15_n13_n14_map_features(d):
     return web.map_feature_place(rows).select("source_id", "name", "slug", "category", "subcategory", "website", "address", "quality_score", "latitude")
 
 
-@query(sql(f"++ r as (select page_id, 'https://e/' || page_id as url, page_id % 3 = 0 as has from pages) select page_id, 'E' || page_id as name, '1997-05-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as \"startDate\", case when page_id % 2 = 0 then 'Hall' end as location from r where has"))
+@query("""
+with p as (select *, 'https' || lower(regexp_extract(url, '://[^/?#]*', 0)) as host from pages),
+e as (select *, unnest([0, 1]) as position from p where page_id % 5 <> 0)
+select page_id, position, case when position = 0 then 'id-' || page_id end as external_id, case when position = 0 then 'Fête n° ' || page_id || ' & co' else 'Part of ' || page_id end as title,
+  case when position = 0 then '1997-05-' || lpad((page_id % 28 + 1)::varchar, 2, '0') else '1997-06-01T20:00' end as start_date, position = 0 as all_day, case when position = 0 and page_id % 2 = 0 then 'Hall' when position = 0 then 'Place' end as venue_name,
+  case when position = 0 and page_id % 2 = 0 then '5 Main St, 1200, Town' when position = 0 then 'by the lake' end as address, case when position = 0 and page_id % 2 = 0 then 46.5::double end as latitude,
+  case when position = 0 then (page_id % 50)::double end as price_min, case when position = 0 then 1500.5::double end as price_max, case when position = 0 then 'CHF' end as currency, case when position = 0 then host || '/t?n=' || page_id end as ticket_url,
+  position = 0 and page_id % 50 = 0 as is_free, case when position = 0 then host || '/e/' || page_id else 'https' || regexp_extract(url, ':.*$', 0) end as source_url, case when position = 0 then 'Ana+DJ Bo*' else '' end as performers,
+  case when position = 0 and page_id % 3 = 0 then '16+' when position = 0 then '6-12' end as age_restriction, position = 0 as wheelchair
+from e""")
 def op_s10_s11_json_ld(d):
-    p = F.col("page_id").cast("string")
-    event = F.concat(F.lit('{"@type":"MusicEvent","name":"E'), p, F.lit('","startDate":"1997-05-'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.when(F.col("page_id") % 2 == 0, F.lit('","location":{"@type":"Place","name":"Hall"}}')).otherwise(F.lit('"}')))
-    block = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebPage","mainEntity":'), event, F.lit("}]}</script>"))).otherwise(F.lit('<script type="application/ld+json">{broken</script>'))
-    pages = d.table("pages").select("page_id", F.concat("html", block).alias("html"))
-    return pages.select("page_id", F.explode(web.json_ld_events(F.col("html"))).alias("e")).select("page_id", "e.name", "e.startDate", "e.location")
+    """An event in a graph with a part nested in it, in a block between two broken ones or beside other documents; one page in five has none that can be read."""
+    p = F.col("page_id")
+    key = p.cast("string")
+    place = F.when(p % 2 == 0, F.lit('[{"@type":"Place","name":"Hall","address":{"streetAddress":"5 Main St","postalCode":"1200","addressLocality":"Town"},"geo":{"latitude":"46,5","longitude":6}}]')).otherwise(F.lit('{"name":["","Place"],"address":"by the lake"}'))
+    age = F.when(p % 3 == 0, F.lit('{"suggestedMinAge":16}')).otherwise(F.lit('{"suggestedMinAge":{"value":6},"suggestedMaxAge":"12"}'))
+    event = F.concat(
+        F.lit('{"@type":["Thing","http://schema.org/MusicEvent"],"name":"F&ecirc;te n&#176; '), key, F.lit(' &amp; co","identifier":{"value":"id-'), key, F.lit('"},"url":"../e/'), key, F.lit('#x","startDate":"1997-05-'), F.lpad((p % 28 + 1).cast("string"), 2, "0"),
+        F.lit('","location":'), place, F.lit(',"offers":[{"price":'), (p % 50).cast("string"), F.lit(',"priceCurrency":"chf","url":"/t?utm_source=z&n='), key, F.lit('"},{"offers":{"highPrice":"1\'500.50 CHF"}}],"performer":[{"name":"Ana"},"DJ Bo"],"headliner":{"name":"dj b&#111;"},"audience":'), age,
+        F.lit(',"accessibilityFeature":["Wheelchair access"],"subEvent":{"@type":"event","headline":"Part of '), key, F.lit('","startDate":"1997-06-01T20:00"}}'),
+    )
+    event = F.replace(event, F.lit("&ecirc;"), F.lit("&#234;"))
+    block = lambda body: F.concat(F.lit("<script defer type='application/ld+json; charset=utf-8'>"), body, F.lit("</script>"))
+    graph = F.concat(F.lit('{"@graph":[{"@type":"WebPage","mainEntity":'), event, F.lit("}]}"))
+    found = F.when(p % 5 == 0, block(F.concat(F.lit('{"broken":'), F.lit("oops}")))).when(p % 5 == 1, block(F.concat(F.lit("<!--"), graph, F.lit(";-->")))).when(p % 5 == 2, block(F.concat(F.lit('{"a":1}'), graph, graph))).otherwise(F.concat(block(F.lit("[1,")), block(F.concat(F.lit("["), event, F.lit(",3]")))))
+    rows = jsonld.event_candidates(d.spread("pages").select(p, F.regexp_replace("url", "^https?:", "https:").alias("url"), F.concat("html", F.replace(found, F.lit("../e/"), F.lit("/x/../e/"))).alias("html")))
+    shown = F.array_join(F.transform("performers", lambda x: F.concat(x["name"], F.when(x["is_headliner"], "*").otherwise(""))), "+")
+    return rows.select("page_id", "position", "external_id", "title", "start_date", "all_day", "venue_name", "address", "latitude", "price_min", "price_max", "currency", "ticket_url", "is_free", "source_url", shown.alias("performers"), "age_restriction", F.coalesce("accessibility.wheelchair", F.lit(False)).alias("wheelchair"))
 
 
 @query(sql("select 'all' as k, round(avg(n), 4) as mean_events, max(n) as most, count(*) as cities from (select city_id, count(occurrence_id) as n from city left join point using (city_id) group by 1)"))

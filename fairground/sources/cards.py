@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, html_text, let, normal_text, url_joined
+from ..functions.text import BLANK, html_text, let, normal_key, normal_text, url_joined
 
 #: Labels before a card's values, by language.
 DATE_LABELS = ("Date", "Datum", "Data", "Fecha", "Dato", "Päivämäärä", "Dátum", "Tarih", "Tanggal", "Ngày", "Дата", "التاريخ", "תאריך", "Ημερομηνία", "日付", "날짜", "日期")
@@ -33,19 +33,25 @@ def first_of(*values: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in the text of a tag, however it is quoted; empty if there is none."""
+    """An attribute's text in the text of a tag, however it is quoted; empty if there is none."""
     part = lambda t, i: F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", i)
-    return html_text(let(tag, lambda t: F.concat(part(t, 1), part(t, 2), part(t, 3))), 2000)
+    return let(tag, lambda t: F.concat(part(t, 1), part(t, 2), part(t, 3)))
 
 
 def first_tag(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """Visible text of the first such tag."""
+    """What stands in the first such tag."""
     of_class = rf"""(?=[^>]*\bclass\s*=\s*["'][^"']*\b{css_class}\b[^"']*["'])""" if css_class else ""
-    return html_text(F.regexp_extract(html, rf"(?is)<{tag}\b{of_class}[^>]*>(.*?)</{tag}>", 1), 500)
+    return F.regexp_extract(html, rf"(?is)<{tag}\b{of_class}[^>]*>(.*?)</{tag}>", 1)
+
+
+def cleaned(**raw: Column) -> Column:
+    """struct of the visible text of each; the expression that cleans stands in the plan once."""
+    texts = F.transform(F.array(*raw.values()), lambda t: html_text(t))
+    return let(texts, lambda t: F.struct(*[F.get(t, F.lit(i)).alias(k) for i, k in enumerate(raw)]))
 
 
 def word_date(value: Column) -> Column:
-    """The date of a text such as "samedi 12 juillet 2026" or "July 12th 2026"; null if there is none, or none on the calendar.
+    """The date of a visible text such as "samedi 12 juillet 2026" or "July 12th 2026"; null if there is none, or none on the calendar.
 
     A date with its day first goes before one with its month first; years are 2000 to 2100. Dates
     of digits alone are none: their separators are blanks once the text is normalised.
@@ -60,7 +66,7 @@ def word_date(value: Column) -> Column:
         at = F.try_make_timestamp(year, F.try_element_at(number, part(month)), part(day).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
         return F.when(text.rlike(pattern), F.struct(F.when(year.between(2000, 2100), at).alias("at")))
 
-    return let(normal_text(value), lambda text: F.coalesce(*[date(text, *form) for form in forms]))["at"]
+    return let(normal_key(value), lambda text: F.coalesce(*[date(text, *form) for form in forms]))["at"]
 
 
 def clocks(value: Column) -> Column:
@@ -96,7 +102,7 @@ def value_of(found: Column, labels: tuple[str, ...]) -> Column:
     """The value behind the first of ``labels`` that has one, bold before listed; empty if there is none."""
     at = lambda names, values, label: F.get(found[values], F.nullif(F.array_position(found[names], label), F.lit(0)).cast("int") - 1)
     every = [v for label in labels for v in (at("l1", "v1", label.lower()), F.nullif(at("l2", "v2", label.lower()), F.lit("")))]
-    return html_text(F.coalesce(*every, F.lit("")), 240)
+    return F.coalesce(*every, F.lit(""))
 
 
 def meta(metas: Column, key: str, value: str) -> Column:
@@ -112,29 +118,34 @@ def event_cards(pages: DataFrame) -> DataFrame:
     it, is on the next day. Pages with null html have no event.
     """
     known = [F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in CONTEXT]
-    tag = r"(?i)<meta\b[^>]*>"
     read = pages.select("page_id", "url", "html", *known).withColumn("article", F.coalesce(first_of(F.regexp_extract("html", r"(?is)<article\b.*?</article>", 0)), F.col("html")))
-    read = read.withColumn("metas", F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda m: F.struct(normal_text(attribute(m, "property")).alias("property"), normal_text(attribute(m, "name")).alias("name"), attribute(m, "content").alias("content"))))
-    read = read.withColumn("found", labelled(F.col("article")))
-    told = read.select(
-        "*",
-        first_of(first_tag(F.col("article"), "h1", "entry-title"), first_tag(F.col("article"), "h1"), meta(F.col("metas"), "property", "og title")).alias("title"),
-        word_date(value_of(F.col("found"), DATE_LABELS)).alias("day"),
-    ).where("title is not null and day is not null")
-    told = told.select(
-        "*",
-        clocks(value_of(F.col("found"), HOUR_LABELS)).alias("times"),
-        value_of(F.col("found"), PRICE_LABELS).alias("tariffs"),
-        F.regexp_extract("article", r"(?i)<article\b[^>]*>", 0).alias("opening"),
-    ).withColumn("amounts", amounts(F.col("tariffs"))).withColumn("said", normal_text(F.col("tariffs")))
+    article, found = F.col("article"), F.col("found")
+    opening, lang = F.regexp_extract(article, r"(?i)<article\b[^>]*>", 0), F.regexp_extract("html", r"(?i)<html\b[^>]*>", 0)
+    canonical = F.regexp_extract("html", r"""(?i)<link\b[^>]*\brel\s*=\s*["']canonical["'][^>]*>""", 0)
+    lazy, image = (F.regexp_extract(article, rf"""(?i)<img\b[^>]*{p}\s*=\s*["'][^"']+["'][^>]*>""", 0) for p in ("(?:data-src|src)", r"\bsrc"))
+    read = read.withColumn("found", labelled(article)).withColumn("opening", opening)
+    read = read.withColumn(
+        "c",
+        cleaned(
+            entry=first_tag(article, "h1", "entry-title"), heading=first_tag(article, "h1"), date=value_of(found, DATE_LABELS), hours=value_of(found, HOUR_LABELS), tariffs=value_of(found, PRICE_LABELS), venue=value_of(found, VENUE_LABELS),
+            organizer=value_of(found, ORGANIZER_LABELS), css=attribute(F.col("opening"), "class"), lang=attribute(lang, "lang"), canonical=attribute(canonical, "href"), lazy=attribute(lazy, "data-src"), image=attribute(image, "src"),
+        ),
+    )
+    tag = lambda m: cleaned(property=attribute(m, "property"), name=attribute(m, "name"), content=attribute(m, "content"))
+    metas = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)<meta\b[^>]*>"), 0), tag)
+    read = read.withColumn("metas", F.transform(metas, lambda m: F.struct(normal_key(m["property"]).alias("property"), normal_key(m["name"]).alias("name"), m["content"].alias("content"))))
+    c, page_meta = F.col("c"), lambda *keys: [meta(F.col("metas"), k, v) for k, v in keys]
+    title = first_of(F.left(c["entry"], F.lit(500)), F.left(c["heading"], F.lit(500)), *page_meta(("property", "og title")))
+    # Exploded and not filtered: a filter would be pushed down, with all that it is made of, and evaluate that twice.
+    head = F.filter(F.array(F.struct(title.alias("title"), word_date(c["date"]).alias("day"))), lambda h: h["title"].isNotNull() & h["day"].isNotNull())
+    told = read.select("*", F.explode(head).alias("head")).select("*", "head.title", "head.day")
+    told = told.select("*", clocks(c["hours"]).alias("times"), amounts(F.left(c["tariffs"], F.lit(240))).alias("amounts"), normal_key(c["tariffs"]).alias("said"))
     first, second = F.get("times", F.lit(0)), F.get("times", F.lit(1))
     over = (second["hour"] < first["hour"]) | ((second["hour"] == first["hour"]) & (second["minute"] <= first["minute"]))
-    genres = F.transform(F.regexp_extract_all(attribute(F.col("opening"), "class"), F.lit(r"(?i)(?:^|\s)genre-([a-z0-9-]+)"), 1), lambda g: F.replace(g, F.lit("-"), F.lit(" ")))
-    image = lambda name, pattern: attribute(F.regexp_extract("article", pattern, 0), name)
+    genres = F.transform(F.regexp_extract_all(c["css"], F.lit(r"(?i)(?:^|\s)genre-([a-z0-9-]+)"), 1), lambda g: F.replace(g, F.lit("-"), F.lit(" ")))
     anchor = F.lit(r"(?is)<a\b([^>]*)>(.*?)</a>")
     anchors = F.arrays_zip(F.regexp_extract_all("article", anchor, 0).alias("whole"), F.regexp_extract_all("article", anchor, 2).alias("label"))
-    tickets = F.transform(F.filter(anchors, lambda a: normal_text(a["label"]).rlike(TICKETS)), lambda a: url_joined(attribute(a["whole"], "href"), F.col("url")))
-    page_meta = lambda *keys: [meta(F.col("metas"), k, v) for k, v in keys]
+    tickets = F.transform(F.filter(anchors, lambda a: normal_text(a["label"]).rlike(TICKETS)), lambda a: url_joined(html_text(attribute(a["whole"], "href")), F.col("url")))
     return told.select(
         "page_id",
         first_of(F.regexp_extract("opening", r"""(?i)\bid\s*=\s*["']post-(\d+)["']""", 1)).alias("external_id"),
@@ -145,17 +156,17 @@ def event_cards(pages: DataFrame) -> DataFrame:
         "timezone",
         F.when(first.isNotNull(), "exact").otherwise("date").alias("time_precision"),
         first.isNull().alias("all_day"),
-        first_of(value_of(F.col("found"), VENUE_LABELS)).alias("venue_name"),
+        first_of(F.left(c["venue"], F.lit(240))).alias("venue_name"),
         "city", "country_code",
-        first_of(value_of(F.col("found"), ORGANIZER_LABELS)).alias("organizer_name"),
-        first_of(F.left(attribute(F.regexp_extract("html", r"(?i)<html\b[^>]*>", 0), "lang"), F.lit(2))).alias("language"),
+        first_of(F.left(c["organizer"], F.lit(240))).alias("organizer_name"),
+        first_of(F.left(c["lang"], F.lit(2))).alias("language"),
         "category",
         F.filter(genres, lambda g: ~g.isin("music", "event", "evenement")).alias("genres"),
         F.array_min("amounts").alias("price_min"),
         F.array_max("amounts").alias("price_max"),
         F.when(F.col("country_code") == "CH", "CHF").alias("currency"),
         F.get(F.filter(tickets, lambda u: u.isNotNull()), F.lit(0)).alias("ticket_url"),
-        first_of(*page_meta(("property", "og image"), ("name", "twitter image")), image("data-src", r"""(?i)<img\b[^>]*(?:data-src|src)\s*=\s*["'][^"']+["'][^>]*>"""), image("src", r"""(?i)<img\b[^>]*\bsrc\s*=\s*["'][^"']+["'][^>]*>""")).alias("image_url"),
+        first_of(*page_meta(("property", "og image"), ("name", "twitter image")), c["lazy"], c["image"]).alias("image_url"),
         (F.col("said").rlike(FREE) & ~F.col("said").rlike(FOR_SOME)).alias("is_free"),
-        first_of(*page_meta(("property", "og url")), attribute(F.regexp_extract("html", r"""(?i)<link\b[^>]*\brel\s*=\s*["']canonical["'][^>]*>""", 0), "href"), F.col("url")).alias("source_url"),
+        first_of(*page_meta(("property", "og url")), c["canonical"], F.col("url")).alias("source_url"),
     )

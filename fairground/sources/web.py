@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
@@ -13,11 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import html_text, slugify, url_host
+from ..functions.text import slugify, url_host
 from ..operators.scores import place_quality
 
-EVENT_SCHEMA = "array<struct<name:string,startDate:string,endDate:string,location:string,url:string>>"
-
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, position, href) of each page's anchors, in order."""
@@ -25,42 +22,6 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("position", "href"))
 
 
-def _walk(node) -> Iterator[dict]:
-    if isinstance(node, dict):
-        yield node
-        for v in node.values():
-            yield from _walk(v)
-    elif isinstance(node, list):
-        for v in node:
-            yield from _walk(v)
-
-
-def json_ld_events(html: Column) -> Column:
-    """Events in a page's JSON-LD blocks, wherever they are nested; broken blocks are passed over."""
-    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
-
-    @F.pandas_udf(EVENT_SCHEMA)
-    def events(found: pd.Series) -> pd.Series:
-        def of(texts) -> list[dict]:
-            out = []
-            for text in texts if texts is not None else ():
-                try:
-                    document = json.loads(text)
-                except ValueError:
-                    continue
-                for n in _walk(document):
-                    kinds = n.get("@type")
-                    if any(str(k).endswith("Event") for k in (kinds if isinstance(kinds, list) else [kinds])):
-                        place = n.get("location")
-                        place = place.get("name") if isinstance(place, dict) else place
-                        out.append({k: None if v is None else str(v) for k, v in (("name", n.get("name")), ("startDate", n.get("startDate")), ("endDate", n.get("endDate")), ("location", place), ("url", n.get("url")))})
-            return out
-
-        return found.map(of)
-
-    return events(blocks)
-
-
 SEARCH_SCHEMA = "struct<results: array<struct<url: string, title: string, score: double>>>"
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fairground.sources import cards
+from fairground.sources import cards, jsonld
 
 PAGE = "page_id int, url string, html string, city string, country_code string, timezone string"
 
@@ -77,3 +77,53 @@ def test_fallbacks(spark):
     html = "<link href='https://c.org/x' rel='canonical'><article><h1>T</h1><strong>Datum</strong>: 1 mai 2026<strong>Date</strong>: 2 mai 2026<strong>Price</strong>: Free entry for members, else 12.- or 8,50 EUR<img src=\"b.png\"></article>"
     r = read(spark, html)[0]
     assert (r.start_date, r.source_url, r.image_url, r.is_free, r.price_min, r.price_max, r.external_id, r.genres, r.ticket_url) == ("2026-05-02", "https://c.org/x", "b.png", False, 8.5, 12.0, None, [], None)
+
+
+def events(spark, *blocks, url="https://site.ch/a/b?x=1"):
+    html = "".join(f'<SCRIPT type="application/ld+json">{b}</SCRIPT>' for b in blocks)
+    return [r.asDict(recursive=True) for r in jsonld.event_candidates(spark.createDataFrame([(1, url, html, "Genève", "CH", "Europe/Zurich")], PAGE)).orderBy("position").collect()]
+
+
+EVENT = """{"@context":"https://schema.org","@type":"MusicEvent","@id":"https://site.ch/e/9#it","name":"  Nuit &amp; <b>Jour</b> ","description":["","D&#233;tails"],"startDate":"2026-07-12T22:00:00+02:00","endDate":"2026-07-13","eventSchedule":{"scheduleTimezone":"Europe/Paris"},
+"location":["ignored",{"@id":"https://v.ch/#place","name":"Salle","sameAs":null,"wheelchairAccessible":{"@value":true},"amenityFeature":[{"name":"Hearing loop","value":true},{"name":"Quiet space"}],"accessibilitySummary":"Rampe","address":{"streetAddress":"1 rue","postalCode":"1200","addressLocality":"Genf","addressRegion":"GE","addressCountry":{"name":"CH"}},"geo":{"latitude":46.2,"longitude":"6,15 E"}}],
+"organizer":{"name":"Asso","url":"/org?utm_medium=x"},"eventStatus":"https://schema.org/EventScheduled","inLanguage":"fr","category":["Hip hop",{"name":"Jazz"}],"performer":[{"@type":"https://schema.org/MusicGroup","name":"Élan","image":{"url":"e.png"}},{"name":"elan","@type":"Person"},"Solo",{"x":1}],
+"headliner":"solo","typicalAgeRange":"18+","offers":{"@type":"AggregateOffer","lowPrice":"10","highPrice":"1'200,50","priceCurrency":"chf ","offers":[{"price":-5,"url":"tickets"},{"price":0.5}]},"image":[{"contentUrl":"/i.jpg"},"https://c.org/j.jpg#f"],"accessibilityFeature":["sign language","none"],"accessibilitySummary":"Rampe"}"""
+
+
+def test_full_json_ld(spark):
+    (r,) = events(spark, EVENT)
+    assert r == {
+        "page_id": 1, "position": 0, "external_id": "https://site.ch/e/9#it", "title": "Nuit & Jour", "description": "Détails", "start_date": "2026-07-12T22:00:00+02:00", "end_date": "2026-07-13", "timezone": "Europe/Paris", "time_precision": "exact", "all_day": False,
+        "venue_name": "Salle", "venue_url": "https://v.ch/", "address": "1 rue, 1200, Genf", "postal_code": "1200", "city": "Genf", "region": "GE", "country_code": "CH", "latitude": 46.2, "longitude": 6.15, "organizer_name": "Asso", "organizer_url": "https://site.ch/org",
+        "status": "https://schema.org/EventScheduled", "language": "fr", "category": "Hip hop", "genres": ["Hip hop", "Jazz"],
+        "performers": [{"name": "Élan", "type": "MusicGroup", "image_url": "https://site.ch/a/e.png", "is_headliner": False}, {"name": "Solo", "type": None, "image_url": None, "is_headliner": True}],
+        "age_restriction": "18+", "accessibility": {"wheelchair": True, "hearingLoop": True, "signLanguage": True, "quietSpace": False, "notes": "Rampe"}, "price_min": 0.5, "price_max": 1200.5, "currency": "CHF", "ticket_url": "https://site.ch/a/tickets",
+        "image_urls": ["https://site.ch/i.jpg", "https://c.org/j.jpg"], "is_free": False, "source_url": "https://site.ch/e/9",
+    }
+
+
+def test_small_json_ld(spark):
+    (r,) = events(spark, '{"@type":"Event","headline":"T","startDate":"2026-01-02","location":"Salle","offers":{"price":"0"}}')
+    assert (r["title"], r["venue_name"], r["city"], r["timezone"], r["all_day"], r["is_free"], r["performers"], r["accessibility"], r["source_url"], r["address"]) == ("T", "Salle", "Genève", "Europe/Zurich", True, True, [], None, "https://site.ch/a/b?x=1", None)
+
+
+@pytest.mark.parametrize(
+    "block,titles",
+    [
+        ('[{"@type":"Event","name":"A"},{"@type":"Event","name":"a!"},{"@type":"Event","name":"A","startDate":"2026-01-01"}]', ["A", "A"]), ('{"@graph":[{"x":[{"@type":["Thing","DanceEVENT"],"name":"A","subEvent":{"@type":"Event","name":"B"}}]}]}', ["A", "B"]),
+        ('<!-- {"@type":"Event","name":"A"}; -->', ["A"]), ('{"@type":"Event","name":"A"}{"@type":"Event","name":"B"} tail', ["A", "B"]), ('{oops {"@type":"Event","name":"A"}', ["A"]), ('{"@type":"Event","name":NaN}', []), ("", []), ('{"@type":"Event"}', []), ('{"@type":"Place","name":"A"}', []),
+        ('{"@type":"Event","name":"<br>"}', []), ("[" * 3000, []),
+    ],
+)
+def test_blocks(spark, block, titles):
+    assert [r["title"] for r in events(spark, block)] == titles
+
+
+@pytest.mark.parametrize("audience,age", [('{"suggestedMinAge":16}', "16+"), ('{"suggestedMaxAge":"12"}', "<=12"), ('[{"suggestedMinAge":9,"suggestedMaxAge":3},{"suggestedMinAge":6.25,"suggestedMaxAge":12}]', "6.3-12"), ('{"suggestedMinAge":7,"suggestedMaxAge":7}', "7"), ('{"suggestedMinAge":200}', None), ('{"typicalAgeRange":"all"}', "all")])
+def test_ages(spark, audience, age):
+    assert events(spark, f'{{"@type":"Event","name":"A","audience":{audience}}}')[0]["age_restriction"] == age
+
+
+def test_pages_without_json_ld(spark):
+    pages = spark.createDataFrame([(1, "https://e.org/", None, None, None, None), (2, "https://e.org/", "<p>none</p>", None, None, None)], PAGE)
+    assert jsonld.event_candidates(pages).count() == 0 and jsonld.event_candidates(pages.where("1 = 0")).count() == 0

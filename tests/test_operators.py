@@ -149,12 +149,6 @@ def test_robots(spark):
     assert pairs(web.robots_verdicts(urls.where("domain = 'a'"), rules, "other"), "url_id", "allowed") == [(1, False), (2, True), (3, True)]
 
 
-def test_json_ld_in_html(spark):
-    html = '<script type="application/ld+json">{"@graph":[{"x":[{"@type":["Thing","MusicEvent"],"name":"A","location":{"name":"L"}}]}]}</script><script type="application/ld+json">{oops</script><script type="application/ld+json">[{"@type":"Event","name":"B","startDate":"2024-01-01","location":"M"},{"@type":"Place"}]</script>'
-    got = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(web.json_ld_events(F.col("h")).alias("e")).collect()
-    assert [(e.name, e.startDate, e.location) for e in got[0].e] == [("A", None, "L"), ("B", "2024-01-01", "M")] and not got[1].e
-
-
 def test_tab_separated_files(spark, tmp_path):
     fields = lambda *v: "\t".join(map(str, v))
     city = fields(1, "Genève", "Geneve", "Genf,Ginevra", 46.2, 6.15, "P", "PPLA", "CH", "", "GE", "", "", "", 200000, "", 375, "Europe/Zurich", "2024-01-01")
