@@ -213,9 +213,42 @@ def op_t12_stream_sliding(d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _whole_stream(d):
+    """The stream and an end that its watermark reaches, so that all rows come out."""
+    return runs.with_end(_stream(d), f"{d.sf_dir}/events.parquet")
+
+
 @query(None)
 def op_t06_stream_breaker(d):
-    return runs.drain(runs.circuit_breaker(_stream(d)), "append")
+    return runs.drain(runs.circuit_breaker(_whole_stream(d)), "append").where("user_id >= 0")
+
+
+@query(None)
+def op_t03_stream_quota(d):
+    """At most 60 of a client's points an hour; an event costs as much as its id says."""
+    asked = _whole_stream(d).select("ts", F.when(F.col("user_id") >= 0, F.col("user_id") % 20).otherwise(-1).alias("client"), F.col("event_id").alias("request_id"), (F.col("event_id") % 30).alias("amount"))
+    return runs.drain(runs.stream_quota(asked), "append").where("client >= 0").select("request_id", "accepted")
+
+
+@query("""
+with recursive e as (
+  select user_id as job_id, event_type = 'purchase' as done, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('purchase', 'error', 'view') and user_id is not null
+), run(job_id, n, attempts, until, told, attempts_told, at_ms) as (
+  select distinct job_id, 0::bigint, 0, -1::bigint, null::varchar, 0, null::bigint from e
+  union all
+  select e.job_id, e.n, case when e.done and r.until >= e.us // 1000 then 0 when e.done or r.until >= e.us // 1000 then r.attempts else r.attempts + 1 end,
+    case when e.done and r.until >= e.us // 1000 then -1 when e.done or r.until >= e.us // 1000 then r.until else e.us // 1000 + 86400000 end, case when e.done and r.until >= e.us // 1000 then 'done' end, r.attempts, e.us // 1000
+  from run r join e on e.job_id = r.job_id and e.n = r.n + 1
+), held as (select job_id, attempts, until, min(n) as n from run where until >= 0 group by 1, 2, 3), ended as (select job_id, max(n) as n from e group by 1)
+select job_id, attempts_told as attempts, told as outcome, at_ms, null::bigint as available_ms from run where told = 'done'
+union all
+select h.job_id, h.attempts, 'requeued', h.until, h.until + 1000 * least(300, 5 * pow(2, h.attempts - 1))::bigint from held h
+where not exists (select 1 from run r where r.job_id = h.job_id and r.told = 'done' and r.n > h.n and r.at_ms <= h.until)""")
+def op_t07_stream_leases(d):
+    """Each user is a job: views and errors take its lease for a day, purchases end it."""
+    kinds = _whole_stream(d).where(F.col("event_type").isin("purchase", "error", "view"))
+    events = kinds.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "done").otherwise("lease").alias("kind"))
+    return runs.drain(runs.leases(events, 86_400), "append")
 
 
 @query(None)

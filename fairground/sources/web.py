@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import slugify, url_host
+from ..functions.text import let, slugify, url_host
 from ..operators.scores import place_quality
 
 
@@ -36,32 +36,73 @@ def ranked_domains(responses: DataFrame, most: int = 10) -> DataFrame:
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "domain", "url")
 
 
-def robots_rules(files: DataFrame) -> DataFrame:
-    """(domain, agent, allow, path) of robots files (domain, body).
+def robots_octets(x: Column) -> Column:
+    """A robots path with other than ASCII characters percent-encoded, unreserved ones decoded, and hex digits in capitals."""
+    escaped = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    encoded = F.aggregate(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[^\x00-\x7f]"), 0)), x, lambda t, c: F.replace(t, c, escaped(c)))
+
+    def plain(text: Column) -> Column:
+        letter = lambda e: F.decode(F.unhex(F.substr(e, F.lit(2))), "ISO-8859-1")
+        # One pass over the pieces, so that what a code stands for is not read as the start of another.
+        pieces = F.regexp_extract_all(text, F.lit("(?s)%[0-9a-fA-F]{2}|[^%]+|%"), 0)
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^%[0-9a-fA-F]{2}$"), F.when(letter(p).rlike("^[A-Za-z0-9._~-]$"), letter(p)).otherwise(F.upper(p))).otherwise(p)), "")
+
+    return let(encoded, plain)
+
 
-    An agent line opens a group; agents in a row share the rules that follow.
+def robots_groups(files: DataFrame) -> DataFrame:
+    """(domain, group, n, field, value) of the lines of robots files (domain, body) that belong to a group of agents.
+
+    An agent line opens a group, or joins it if no rule or delay came between. What comes before
+    the first group, unknown fields and agents without a name are passed over.
     """
-    lines = files.select("domain", F.posexplode(F.split("body", r"\r?\n")).alias("n", "line"))
-    clean = lines.select("domain", "n", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))
-    parts = clean.select("domain", "n", F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace("line", "^[^:]*:?", "")).alias("value")).where("field in ('user-agent', 'allow', 'disallow')")
+    lines = files.select("domain", F.posexplode(F.split(F.regexp_replace("body", "^\ufeff", ""), r"\r?\n")).alias("n", "line"))
+    clean = lines.select("domain", "n", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).where(F.contains("line", F.lit(":")))
+    parts = clean.select("domain", "n", F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    parts = parts.where("field in ('allow', 'disallow', 'crawl-delay') or field = 'user-agent' and value <> ''")
     in_order = Window.partitionBy("domain").orderBy("n")
     opens = (F.col("field") == "user-agent") & ~F.coalesce(F.lag("field").over(in_order) == "user-agent", F.lit(False))
-    grouped = parts.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(in_order))
-    agents = grouped.where("field = 'user-agent'").select("domain", "group", F.lower("value").alias("agent"))
-    rules = grouped.where("field <> 'user-agent' and value <> ''").select("domain", "group", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"))
-    return agents.join(rules, ["domain", "group"]).select("domain", "agent", "allow", "path")
+    return parts.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(in_order)).where("group > 0")
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """(domain, group, agent, allow, path) of robots files (domain, body); agents without rules have one row with null ``path``."""
+    lines = robots_groups(files)
+    agents = lines.where("field = 'user-agent'").select("domain", "group", F.lower("value").alias("agent")).distinct()
+    rules = lines.where("field in ('allow', 'disallow') and value <> ''").select("domain", "group", (F.col("field") == "allow").alias("allow"), robots_octets(F.col("value")).alias("path"))
+    return agents.join(rules, ["domain", "group"], "left").select("domain", "group", "agent", "allow", "path")
+
+
+def robots_delays(files: DataFrame) -> DataFrame:
+    """(domain, agent, delay_s): the last crawl delay of an agent's groups that is from 0 to a day."""
+    lines = robots_groups(files)
+    agents = lines.where("field = 'user-agent'").select("domain", "group", F.lower("value").alias("agent")).distinct()
+    number = F.regexp_extract("value", r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0).try_cast("double")
+    delays = lines.where("field = 'crawl-delay'").withColumn("s", number).where("s between 0 and 86400").groupBy("domain", "group").agg(F.max_by("s", "n").alias("s"))
+    return agents.join(delays, ["domain", "group"]).groupBy("domain", "agent").agg(F.max_by("s", "group").alias("delay_s"))
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """(domain, url) of the sitemaps that robots files name, each once."""
+    found = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*([^#\r\n]*[^#\s])"), 1)
+    return files.select("domain", F.explode(found).alias("url")).distinct()
 
 
 def robots_verdicts(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """``urls`` (url_id, domain, path) with ``allowed``: the most specific agent's longest rule wins, allow on ties."""
-    fits = rules.where((F.col("agent") == "*") | F.startswith(F.lit(agent.lower()), F.col("agent"))).withColumn("weight", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")))
+    """``urls`` (url_id, domain, path) with ``allowed``: of all groups with the longest name that stands in ``agent``, the most specific rule wins, allow on ties.
+
+    A rule's specificity is its octets without wildcards. Where no group fits, all is allowed.
+    """
+    fits = rules.where((F.col("agent") == "*") | F.contains(F.lit(agent.lower()), F.col("agent"))).withColumn("weight", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")))
     best_agent = fits.groupBy("domain").agg(F.max("weight").alias("weight"))
-    own = fits.join(best_agent, ["domain", "weight"]).select("domain", "allow", F.col("path").alias("rule"))
+    own = fits.join(best_agent, ["domain", "weight"]).where("path is not null").select("domain", "allow", F.col("path").alias("rule"))
     # A rule's * stands for anything, $ at its end for the end of the path.
-    quoted = F.regexp_replace("rule", r"([.\\+?^{}()|\[\]])", r"\\$1")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\$"))
-    hits = urls.join(own, "domain").where(F.regexp(F.col("path"), pattern))
-    strongest = hits.groupBy("url_id").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("allow"))
+    body = F.regexp_replace("rule", r"\$$", "")
+    quoted = F.regexp_replace(F.regexp_replace(body, r"([.\\+?^${}()|\[\]])", r"\\$1"), r"\*", ".*")
+    pattern = F.concat(F.lit("(?s)^"), quoted, F.when(F.endswith("rule", F.lit("$")), r"\z").otherwise(""))
+    octets = F.length(F.regexp_replace(F.regexp_replace(body, r"\*", ""), "%[0-9a-fA-F]{2}", "x"))
+    hits = urls.withColumn("target", robots_octets(F.col("path"))).join(own.withColumn("pattern", pattern).withColumn("octets", octets), "domain").where(F.regexp(F.col("target"), F.col("pattern")))
+    strongest = hits.groupBy("url_id").agg(F.max_by("allow", F.struct("octets", "allow")).alias("allow"))
     return urls.join(strongest, "url_id", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
 

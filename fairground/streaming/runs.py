@@ -6,13 +6,15 @@ with its checkpoint and results in the shared folder, and returns the result as
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import shared_dir
 
@@ -78,6 +80,7 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None
 
 
 FAILURES, GAP_S, OPEN_S = 3, 15 * 60, 2 * 3600
+FRESH = (0, -1.0, -1.0, 0)
 
 
 def breaker_step(state: tuple[int, float, float, int], at: float, failed: bool) -> tuple[tuple[int, float, float, int], str]:
@@ -102,21 +105,175 @@ def breaker_step(state: tuple[int, float, float, int], at: float, failed: bool)
 BREAKER_SCHEMA = "user_id long, event_id long, state string, opened int"
 
 
-def circuit_breaker(events: DataFrame) -> DataFrame:
-    """The breaker's state after each failure (error) or success (purchase) of each user, in order of time within a batch."""
+class InOrder(StatefulProcessor):
+    """Takes a key's events (``ts``, ``id``, ``kind``, ``amount``) in order of time and id, also if they come late.
+
+    They wait until the watermark has passed them; a timer for each time takes them. Subclasses
+    say what an event does (``event``), and what a time does that has none (``alarm``); both get
+    the key's numbers, may set further timers, and return (numbers or None to forget them, rows).
+    A timer that is set for a time that the watermark has passed comes with the next batch, after
+    the events that wait: so an event first tells what has run out before it.
+    """
+
+    numbers: str  #: the numbers that a key has, as a schema
+    rows: str  #: what comes out, after the key, as names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", self.numbers)
+        self.waiting = handle.getMapState("waiting", "at long", "events array<struct<us: bigint, id: bigint, kind: string, amount: double>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = defaultdict(list)
+        for frame in rows:
+            for us, number, kind, amount in zip((frame.ts - pd.Timestamp(0, tz=frame.ts.dt.tz)) // pd.Timedelta(microseconds=1), frame.id, frame.kind, frame.amount):
+                new[int(us) // 1000].append((int(us), int(number), kind, float(amount)))
+        for at, events in new.items():
+            known = self.waiting.getValue((at,))
+            self.waiting.updateValue((at,), ([*map(tuple, known[0]), *events] if known else events,))
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        state, out = tuple(self.now.get()) if self.now.exists() else None, []
+        found = self.waiting.getValue((due,))
+        for event in sorted(map(tuple, found[0])) if found else ():
+            state, told = self.event(state, event)
+            out += told
+        if found:
+            self.waiting.removeKey((due,))
+        else:
+            state, out = self.alarm(state, due)
+        if state is None:
+            self.now.clear()
+        else:
+            self.now.update(state)
+        if out:
+            names = self.rows.split(", ")
+            frame = pd.DataFrame([(*key, *r) for r in out], columns=names)
+            yield frame.astype({c: "Int64" for c in names if c.endswith("_id")})
+
+    def close(self) -> None:
+        pass
+
+
+class Breaker(InOrder):
+    """A circuit breaker that a timer turns half-open when its two hours are over. What a fresh one would tell as well is forgotten; so is one
+    that was opened before, ``forget_s`` after its last event."""
+
+    numbers, rows = "count int, last double, until double, opened int, seen long, told int", "user_id, event_id, state, opened, at_ms"
+
+    def __init__(self, forget_s: int) -> None:
+        self.forget_s = forget_s
+
+    def event(self, state, event):
+        us, number, kind, _ = event
+        out = self.over(state, us / 1e6) if state else []
+        now, told = breaker_step(state[:4] if state else FRESH, us / 1e6, kind == "error")
+        for at in ([math.ceil(now[2] * 1000)] if now[2] * 1e6 > us else []) + [us // 1000 + GAP_S * 1000 + 1000] + ([us // 1000 + self.forget_s * 1000] if now[3] else []):
+            self.handle.registerTimer(at)
+        return (*now, us // 1000, 0 if now[2] * 1e6 > us else 1), [*out, (number, told, now[3], us // 1000)]
+
+    def over(self, state, at: float) -> list[tuple]:
+        """The row of an open breaker whose time is over at ``at``, unless it was told."""
+        return [(None, "half_open", state[3], math.ceil(state[2] * 1000))] if not state[5] and 0 <= state[2] <= at else []
+
+    def alarm(self, state, due):
+        if state is None:
+            return None, []
+        idle, out = due - state[4], self.over(state, due / 1000)
+        forgotten = idle >= self.forget_s * 1000 or state[2] < 0 and not state[3] and idle > GAP_S * 1000
+        return None if forgotten else (*state[:5], 1 if out else state[5]), out
+
+
+class Quota(InOrder):
+    """An hour's sum of a client, dropped when the hour ends."""
+
+    numbers, rows = "used double", "client, hour, request_id, accepted"
+
+    def __init__(self, hourly: float, most: float) -> None:
+        self.hourly, self.most = hourly, most
+
+    def event(self, state, event):
+        us, number, _, amount = event
+        fine = 0 <= amount <= self.most and (state is None or state[0] + amount <= self.hourly)
+        self.handle.registerTimer((us // 3_600_000_000 + 1) * 3_600_000)
+        return ((state[0] if state else 0.0) + amount,) if fine else state, [(number, bool(fine))]
+
+    def alarm(self, state, due):
+        return None, []
+
+
+class Lease(InOrder):
+    """A job's lease: ``lease`` events take it for ``lease_s``, ``done`` ones end it; a timer gives it back when it runs out."""
+
+    numbers, rows = "attempts int, until long, told int", "job_id, attempts, outcome, at_ms, available_ms"
+
+    def __init__(self, lease_s: int) -> None:
+        self.lease_s = lease_s
+
+    def event(self, state, event):
+        us, _, kind, _ = event
+        at = us // 1000
+        if state and state[1] >= at:
+            return (None, [(state[0], "done", at, None)]) if kind == "done" else (state, [])
+        state, out = self.alarm(state, at)
+        if kind == "done":
+            return state, out
+        self.handle.registerTimer(at + self.lease_s * 1000 + 1)
+        return ((state[0] if state else 0) + 1, at + self.lease_s * 1000, 0), out
+
+    def alarm(self, state, due):
+        if state is None or state[2] or due <= state[1]:
+            return state, []
+        return (*state[:2], 1), [(state[0], "requeued", state[1], state[1] + 1000 * min(300, 5 * 2 ** (state[0] - 1)))]
+
+
+def _in_order(events: DataFrame, keys: list[str], processor: InOrder, schema: str, delay: str) -> DataFrame:
+    # Set for the session: this kind of state is kept by this provider alone.
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def circuit_breaker(events: DataFrame, delay: str = "1 hour", forget_days: int = 3_650) -> DataFrame:
+    """The breaker's state after each failure (error) or success (purchase) of each user, and, with a null ``event_id``,
+    when it turns half-open (``at_ms``: milliseconds since the epoch).
+
+    Rows come once the watermark, ``delay`` behind the newest event, has passed them; later ones are dropped.
+    """
+    used = events.where(F.col("event_type").isin("error", "purchase") & F.col("user_id").isNotNull()).select("user_id", "ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.lit(0.0).alias("amount"))
+    return _in_order(used, ["user_id"], Breaker(forget_days * 86_400), f"{BREAKER_SCHEMA}, at_ms long", delay)
+
+
+def stream_quota(requests: DataFrame, hourly: int = 60, most: int = 20, delay: str = "1 hour") -> DataFrame:
+    """``weighted_quota`` as a stream (client and request_id: whole numbers): (client, hour, request_id, accepted); an hour's sum is dropped when it ends."""
+    used = requests.where("client is not null").select("client", F.unix_millis(F.date_trunc("hour", "ts")).alias("hour"), "ts", F.col("request_id").alias("id"), F.lit("").alias("kind"), F.col("amount").cast("double").alias("amount"))
+    return _in_order(used, ["client", "hour"], Quota(hourly, most), "client long, hour long, request_id long, accepted boolean", delay)
+
+
+def leases(events: DataFrame, lease_s: int, delay: str = "1 hour") -> DataFrame:
+    """What becomes of leases (job_id, ts, id, kind: lease or done): job_id, attempts, outcome (done or requeued), at_ms, available_ms.
+
+    A lease that nothing ends runs out without any event, and its job can be had again after
+    min(300, 5 x 2^(attempts - 1)) seconds. A lease on a job that is held changes nothing, nor
+    does an end that comes too late. A job that is done is forgotten.
+    """
+    used = events.where("job_id is not null").select("job_id", "ts", "id", "kind", F.lit(0.0).alias("amount"))
+    return _in_order(used, ["job_id"], Lease(lease_s), "job_id long, attempts int, outcome string, at_ms long, available_ms long", delay)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, -1.0, -1.0, 0)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        rows = []
-        for r in frame.itertuples(index=False):
-            now, told = breaker_step(now, r.ts.timestamp(), r.event_type == "error")
-            rows.append((key[0], r.event_id, told, now[3]))
-        state.update(now)
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "state", "opened"])
 
-    used = events.where(F.col("event_type").isin("error", "purchase"))
-    return used.groupBy("user_id").applyInPandasWithState(step, BREAKER_SCHEMA, "count int, last double, until double, opened int", "append", GroupStateTimeout.NoTimeout)
+def with_end(events: DataFrame, path: str, wait: str = "30 days") -> DataFrame:
+    """``events`` and two rows of a user -1 that come ``wait`` after the newest row of the table at ``path``, and again ``wait`` later,
+    one a batch: a drained stream's watermark passes all events, then the timers that they set."""
+    spark = events.sparkSession
+    end = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
+    last = spark.read.parquet(path).select(F.max("ts").cast("timestamp").alias("ts"))
+    own = {"user_id": -1, "event_id": -1, "event_type": "purchase"}
+    for times in (1, 2):
+        later = F.col("ts") + times * F.expr(f"interval {wait}")
+        last.select(*[(later if f.name == "ts" else F.lit(own.get(f.name)).cast(f.dataType)).alias(f.name) for f in events.schema]).write.mode("append").parquet(end)
+    return events.unionByName(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(end))
 
 
 def breaker_batch(events: DataFrame) -> DataFrame:
@@ -124,12 +281,12 @@ def breaker_batch(events: DataFrame) -> DataFrame:
     used = events.where(F.col("event_type").isin("error", "purchase")).select("user_id", "ts", "event_id", "event_type")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, now = None, (0, -1.0, -1.0, 0)
+        user, now = None, FRESH
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 if r.user_id != user:
-                    user, now = r.user_id, (0, -1.0, -1.0, 0)
+                    user, now = r.user_id, FRESH
                 now, told = breaker_step(now, r.ts.timestamp(), r.event_type == "error")
                 rows.append((r.user_id, r.event_id, told, now[3]))
             yield pd.DataFrame(rows, columns=["user_id", "event_id", "state", "opened"])

@@ -149,6 +149,27 @@ def test_robots(spark):
     assert pairs(web.robots_verdicts(urls.where("domain = 'a'"), rules, "other"), "url_id", "allowed") == [(1, False), (2, True), (3, True)]
 
 
+@pytest.mark.parametrize(
+    "body,path,allowed",
+    [
+        ("User-agent: fair\nCrawl-delay: 5\nUser-agent: b\nDisallow: /", "/x", True), ("User-agent: fair\nUser-agent: b\nCrawl-delay: 5\nDisallow: /", "/x", False), ("User-agent: fair\nSitemap: https://s/\nUser-agent: b\nDisallow: /", "/x", False), ("User-agent: fair\nDisallow:\nUser-agent: *\nDisallow: /", "/x", True),
+        ("User-agent: airbot\nDisallow: /", "/x", False), ("User-agent: fairbot/2\nDisallow: /", "/x", True), ("User-agent: *\nDisallow: /caf\u00e9", "/caf%c3%a9/1", False), ("User-agent: *\nDisallow: /%7euser", "/~user", False), ("User-agent: *\nDisallow: /a%2fb", "/a/b", True), ("User-agent: *\nDisallow: /a%2fb", "/a%2Fb", False),
+        ("User-agent: *\nDisallow: /%2541", "/%2541x", False), ("User-agent: *\nDisallow: /a*****\nAllow: /ab", "/abc", True), ("User-agent: *\nDisallow: /%c3%a9\nAllow: /\u00e9*", "/%C3%A9", True), ("User-agent: *\nDisallow: /x$\nAllow: /x", "/x", True), ("\ufeffUser-agent: *\nDisallow: /*.php$", "/a.php?x", True),
+        ("User-agent: *\nDisallow: /*.php$", "/a/b.php", False), ("Disallow: /\nUser-agent: *", "/x", True), ("User-agent: *\nDisallow: /a\nUser-agent: z\nDisallow: /c\nUser-agent: *\nDisallow: /b", "/b", False), ("User-agent: \nDisallow: /", "/x", True), ("User-agent: *\nDisallow: /a.c", "/abc", True),
+    ],
+)
+def test_robots_rules(spark, body, path, allowed):
+    files = spark.createDataFrame([("d", body)], "domain string, body string")
+    urls = spark.createDataFrame([(1, "d", path)], "url_id int, domain string, path string")
+    assert web.robots_verdicts(urls, web.robots_rules(files), "Fairbot").first().allowed is allowed
+
+
+def test_robots_delays_and_sitemaps(spark):
+    files = spark.createDataFrame([("d", "Sitemap: https://s/1 # first\nUser-agent: A\nUser-agent: b\ncrawl-delay: 2.5s\nCrawl-Delay: 1e9\nUser-agent: c\nCrawl-delay: -1\n sitemap:https://s/2\nSitemap: https://s/1")], "domain string, body string")
+    assert pairs(web.robots_delays(files), "agent", "delay_s") == [("a", 2.5), ("b", 2.5)]
+    assert pairs(web.robots_sitemaps(files), "url") == [("https://s/1",), ("https://s/2",)]
+
+
 def test_tab_separated_files(spark, tmp_path):
     fields = lambda *v: "\t".join(map(str, v))
     city = fields(1, "Genève", "Geneve", "Genf,Ginevra", 46.2, 6.15, "P", "PPLA", "CH", "", "GE", "", "", "", 200000, "", 375, "Europe/Zurich", "2024-01-01")
@@ -176,16 +197,83 @@ def _events(spark, n=400):
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
-    e = _events(spark)
+    failing = spark.createDataFrame([(1000 + i, datetime(2024, 1, 1, 5, 5 * i), 99, "error") for i in range(3)], _events(spark).schema)
+    e = _events(spark).union(failing)
     for i in range(3):  # files in order of time: several batches of one stream
-        e.where((F.col("event_id") >= 140 * i) & (F.col("event_id") < 140 * (i + 1))).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+        e.where((F.col("event_id") >= 140 * i) & (F.col("event_id") < (140 * (i + 1) if i < 2 else 2000))).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
     stream = lambda: runs.source(spark, f"{tmp_path}/in", e)
-    assert pairs(runs.drain(runs.circuit_breaker(stream()), "append"), "event_id", "state", "opened") == pairs(runs.breaker_batch(e), "event_id", "state", "opened")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    told = runs.drain(runs.circuit_breaker(runs.with_end(stream(), f"{tmp_path}/events.parquet"), delay="2 days"), "append").where("user_id >= 0")
+    assert pairs(told.where("event_id is not null"), "event_id", "state", "opened") == pairs(runs.breaker_batch(e), "event_id", "state", "opened")
+    assert [tuple(r) for r in told.where("event_id is null").select("user_id", "state", "opened", "at_ms").collect()] == [(99, "half_open", 1, 1704092400000)]
     assert pairs(runs.latest(runs.drain(runs.signed_counter(stream(), "user_id"), "complete"), ["user_id"]), "user_id", "net") == pairs(runs.signed_counter(e, "user_id"), "user_id", "net")
     first = runs.drain(runs.distinct_deliveries(stream()), "append")
     assert first.count() == e.select("user_id", "event_type", F.to_date("ts")).distinct().count()
 
 
+class Handle:
+    """Stands for a key's state: values, maps and timers in memory."""
+
+    def __init__(self):
+        self.timers, self.value, self.map = set(), None, {}
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def _told(processor, events):
+    """What a processor gives for (us, id, kind, amount), all timers run in order."""
+    processor.handle, state, waiting, out = Handle(), None, {}, []
+    for e in events:
+        waiting.setdefault(e[0] // 1000, []).append(e)
+        processor.handle.registerTimer(e[0] // 1000)
+    while processor.handle.timers:
+        due = min(processor.handle.timers)
+        processor.handle.timers.discard(due)
+        if due in waiting:
+            for e in sorted(waiting.pop(due)):
+                state, rows = processor.event(state, e)
+                out += rows
+        else:
+            state, rows = processor.alarm(state, due)
+            out += rows
+    return out, state
+
+
+MINUTE = 60_000_000
+
+
+def test_breaker_turns_half_open_without_an_event():
+    failures = [(i * MINUTE, i, "error", 0.0) for i in (0, 5, 10)]
+    out, state = _told(runs.Breaker(86_400), failures)
+    assert out == [(0, "closed", 0, 0), (5, "closed", 0, 300_000), (10, "open", 1, 600_000), (None, "half_open", 1, 7_800_000)] and state is None
+    again, _ = _told(runs.Breaker(86_400), [*failures, (131 * MINUTE, 11, "error", 0.0)])
+    assert [(r[0], r[1]) for r in again[3:]] == [(None, "half_open"), (11, "open"), (None, "half_open")]
+    late, _ = _told(runs.Breaker(86_400), [*failures, (11 * MINUTE, 12, "purchase", 0.0), (130 * MINUTE, 13, "purchase", 0.0)])
+    assert [(r[0], r[1]) for r in late[3:]] == [(12, "open"), (None, "half_open"), (13, "closed")]
+    closed, state = _told(runs.Breaker(86_400), [(0, 1, "error", 0.0), (MINUTE, 2, "purchase", 0.0)])
+    assert [r[1] for r in closed] == ["closed", "closed"] and state is None
+
+
+def test_quota_is_dropped_with_its_hour():
+    out, state = _told(runs.Quota(60, 20), [(i * MINUTE, i, "", a) for i, a in enumerate((20, 20, 21, -1, 15, 6, 5))])
+    assert [r[1] for r in out] == [True, True, False, False, True, False, True] and state is None
+
+
+def test_lease_runs_out_without_an_event():
+    out, _ = _told(runs.Lease(60), [(0, 1, "lease", 0.0), (30 * 1_000_000, 2, "lease", 0.0), (120 * 1_000_000, 3, "lease", 0.0), (130 * 1_000_000, 4, "done", 0.0), (140 * 1_000_000, 5, "done", 0.0)])
+    assert out == [(1, "requeued", 60_000, 65_000), (2, "done", 130_000, None)]
+
+
+def test_stream_quota_equals_the_batch(spark, tmp_path):
+    e = _events(spark)
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["op_t03_stream_quota"](spark, str(tmp_path))
+    asked = e.select("ts", (F.col("user_id") % 20).alias("client"), F.col("event_id").alias("request_id"), (F.col("event_id") % 30).alias("amount"))
+    want = pairs(runs.weighted_quota(asked), "request_id", "accepted")
+    assert pairs(got, "request_id", "accepted") == want and {w[1] for w in want} == {True, False}
+
+
 def test_stream_sessions_include_the_last(spark, tmp_path):
     e = _events(spark)
     for i in (1, 0, 2):  # the first file comes late: sessions of an earlier batch are joined
