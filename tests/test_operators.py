@@ -205,7 +205,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     told = runs.drain(runs.circuit_breaker(runs.with_end(stream(), f"{tmp_path}/events.parquet"), delay="2 days"), "append").where("user_id >= 0")
     assert pairs(told.where("event_id is not null"), "event_id", "state", "opened") == pairs(runs.breaker_batch(e), "event_id", "state", "opened")
-    assert [tuple(r) for r in told.where("event_id is null").select("user_id", "state", "opened", "at_ms").collect()] == [(99, "half_open", 1, 1704092400000)]
+    assert [tuple(r) for r in told.where("event_id is null").select("user_id", "state", "opened", "at_ms").collect()] == [(99, "half_open", 1, 1704093000000)]
     assert pairs(runs.latest(runs.drain(runs.signed_counter(stream(), "user_id"), "complete"), ["user_id"]), "user_id", "net") == pairs(runs.signed_counter(e, "user_id"), "user_id", "net")
     first = runs.drain(runs.distinct_deliveries(stream()), "append")
     assert first.count() == e.select("user_id", "event_type", F.to_date("ts")).distinct().count()
