@@ -25,13 +25,14 @@ def coordinate_offset(x: Column, axis: int) -> Column:
 
 
 def nfc(x: Column) -> Column:
-    """Unicode NFC; texts of one-byte characters skip Python."""
+    """Unicode NFC. Texts of one-byte characters are in it as they are: Python, which sees every row, is sent a null for them."""
 
     @F.pandas_udf("string")
     def normal(v: pd.Series) -> pd.Series:
         return v.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return F.when(F.length(x) == F.octet_length(x), x).otherwise(normal(x))
+    plain = F.length(x) == F.octet_length(x)
+    return F.when(plain, x).otherwise(normal(F.when(~plain, x)))
 
 
 def block_ratio(a: Column, b: Column) -> Column:
