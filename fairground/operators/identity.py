@@ -223,6 +223,22 @@ def merge_into(canonical: DataFrame, children: DataFrame, key: str, unique: list
     return others.unionByName(merged)
 
 
+def similar_letters(names: DataFrame, least: float) -> DataFrame:
+    """(name, name_2): pairs of distinct ``name``, the smaller first and each with itself, with characters enough in common for a ratio of ``least``.
+
+    A ratio needs as many equal characters, whatever their order; that is told without Python.
+    """
+    letters = F.transform(F.array_sort(F.split("name", "")), lambda c: c)
+    counted = names.withColumn("size", F.length("name")).withColumn("letters", F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda x: x == c)).cast("string"))))
+    tokens = counted.select("name", "size", F.explode("letters").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("m"))
+    needed = F.ceil(least / (2 - least) * F.col("size") - 1e-9)
+    rare = tokens.join(seen, "token").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("m", "token"))).where(F.col("place") <= F.col("size") - needed + 1).select("name", "token")
+    met = rare.join(rare.withColumnRenamed("name", "name_2"), "token").where("name <= name_2").select("name", "name_2").distinct()
+    both = met.join(counted, "name").join(counted.select(F.col("name").alias("name_2"), F.col("letters").alias("letters_2"), F.col("size").alias("size_2")), "name_2")
+    return both.where(2 * F.size(F.array_intersect("letters", "letters_2")) >= (least - 1e-9) * (F.col("size") + F.col("size_2"))).select("name", "name_2")
+
+
 def ratio_duplicates(rows: DataFrame, hours: int = 4, least: float = 0.92, minutes: int = 15) -> DataFrame:
     """(id, kept): each record and the record that it is merged into, itself if it stays.
 
@@ -236,17 +252,8 @@ def ratio_duplicates(rows: DataFrame, hours: int = 4, least: float = 0.92, minut
     keyed = rows.withColumn("same", F.first("id").over(first))
     own = keyed.where("same = id").select("id", F.lower("title").alias("name"), F.lower(F.coalesce("venue", F.lit(""))).alias("place"), "at")
     names = own.select("name").distinct()
-    # A ratio needs as many equal characters, whatever their order; that is told without Python.
-    letters = F.transform(F.array_sort(F.split("name", "")), lambda c: c)
-    counted = names.withColumn("size", F.length("name")).withColumn("letters", F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda x: x == c)).cast("string"))))
     floor = (least - 0.45) / 0.55
-    tokens = counted.select("name", "size", F.explode("letters").alias("token"))
-    seen = tokens.groupBy("token").agg(F.count("*").alias("m"))
-    needed = F.ceil(floor / (2 - floor) * F.col("size") - 1e-9)
-    rare = tokens.join(seen, "token").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("m", "token"))).where(F.col("place") <= F.col("size") - needed + 1).select("name", "token")
-    met = rare.join(rare.withColumnRenamed("name", "name_2"), "token").where("name <= name_2").select("name", "name_2").distinct()
-    both = met.join(counted, "name").join(counted.select(F.col("name").alias("name_2"), F.col("letters").alias("letters_2"), F.col("size").alias("size_2")), "name_2")
-    likely = both.where(2 * F.size(F.array_intersect("letters", "letters_2")) >= (floor - 1e-9) * (F.col("size") + F.col("size_2"))).select("name", "name_2")
+    likely = similar_letters(names, floor)
     either = likely.unionByName(likely.where("name < name_2").select(F.col("name_2").alias("name"), F.col("name").alias("name_2")))
     scored = either.withColumn("titles", block_ratio(F.col("name_2"), F.col("name"))).where(F.col("titles") >= floor - 1e-6)
     left = own.join(scored, "name").drop("name").withColumnRenamed("name_2", "name")

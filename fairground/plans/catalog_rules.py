@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..functions.geo import Viewport
-from ..operators import discovery, identity, ordering
+from ..operators import discovery, identity, merging, ordering
 from ..sources import web
 from ..streaming import runs
 from .catalog import FOLD_SQL, MINUTE, RANGE, query
@@ -112,6 +112,63 @@ def op_r08_ratio_duplicates(d):
     return identity.ratio_duplicates(rows.withColumnRenamed("slug", "key"))
 
 
+def _in_turn(d):
+    p, o = discovery.points(d, offers=False), F.col("occurrence_id")
+    key = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("slug-"), (F.col("event_id") % 500).cast("string")))
+    return p.select(o.alias("id"), key.alias("key"), "title", F.when(o % 5 != 0, F.col("venue_name")).alias("venue"), (F.col("starts_at") + F.make_dt_interval(mins=(o % 40).cast("int"))).alias("at"), (o * 37 % 101).cast("double").alias("quality"))
+
+
+@query(None)
+def op_r07_merge_in_turn(d):
+    """Records by time, each beside what was merged so far, with those to be looked at; without SQL, as each outcome rests on those before."""
+    return merging.settled(_in_turn(d))
+
+
+@query(None)
+def op_r08_merge_in_turn(d):
+    """The same by longest matching blocks and without review; without SQL for the same reason."""
+    return merging.settled(_in_turn(d), "blocks").select("id", "entry", "verdict")
+
+
+_LINKS = {c: (a, b) for c, a, b in (("venue_url", 3, 1), ("ticket_url", 5, 2), ("image_url", 7, 4))}
+_STATUS = "case when o_orderkey % 11 = 3 then 'cancelled' when o_orderkey % 13 = 5 then 'postponed' when o_orderkey % 4 > 0 then 'scheduled' end"
+
+
+def _joined(p, o):
+    """What the primary record and another one come to, as a DuckDB struct."""
+    agree = f"({p}.c is null or {o}.c is null or {p}.c = {o}.c)"
+    longest = lambda f: f"'{f}': case when {p}.{f} is null or length({o}.{f}) > length({p}.{f}) then coalesce({o}.{f}, {p}.{f}) else {p}.{f} end"
+    bound = lambda f, g: f"'{f}': case when {agree} then {g}({p}.{f}, {o}.{f}) else {p}.{f} end"
+    both = f"list_concat({p}.g, {o}.g)"
+    return ", ".join([
+        f"{{'q': {p}.q, 'title': {p}.title, 'starts_at': {p}.starts_at", longest("description"), longest("venue"), *[f"'{c}': coalesce({p}.{c}, {o}.{c})" for c in _LINKS],
+        bound("lo", "least"), bound("hi", "greatest"), f"'c': coalesce({p}.c, {o}.c)", f"'st': case when {o}.st <> 'scheduled' then {o}.st else {p}.st end", f"'free': {p}.free or {o}.free",
+        f"'g': list_filter({both}, lambda x, i: list_position({both}, x) = i)[:8]}}",
+    ])
+
+
+@query(f"""
+with r as (select o_custkey as entry, o_orderkey as turn, {{'q': (o_orderkey * 37 % 23)::double, 'title': o_orderpriority || ' ' || o_orderkey, 'starts_at': o_orderdate, 'description': case when o_orderkey % 3 > 0 then o_orderpriority || ' ' || o_orderkey % 10 end, 'venue': case when o_orderkey % 7 > 1 then repeat('v', (o_orderkey % 5 + 1)::int) || o_orderkey % 9 end,
+  {", ".join(f"'{c}': case when o_orderkey % {a} = {b} then 'https://x.org/' || o_orderkey end" for c, (a, b) in _LINKS.items())},
+  'lo': case when o_orderkey % 5 <> 2 then o_totalprice end, 'hi': case when o_orderkey % 6 <> 1 then o_totalprice * 2 end, 'c': case o_orderkey % 4 when 0 then 'CHF' when 1 then 'EUR' end, 'st': coalesce({_STATUS}, 'scheduled'), 'free': o_orderkey % 17 = 0,
+  'g': list_distinct([o_orderstatus, o_orderpriority, 'g' || o_orderkey % 12]).list_sort()}} as x from orders),
+m as (select entry, count(*) as n_records, list_reduce(list(x order by turn), lambda s, r: case when r.q > s.q then {_joined("r", "s")} else {_joined("s", "r")} end) as x from r group by entry)
+select entry, n_records, x.q as quality, x.title, x.starts_at, x.description, x.venue, {", ".join(f"x.{c}" for c in _LINKS)}, x.lo as price_min, x.hi as price_max, x.c as currency, x.st as status, x.free as is_free, array_to_string(x.g, ',') as genres from m""")
+def op_r09_rich_merge(d):
+    """A customer's orders as records of one event, by their ids."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    digit = lambda n: (k % n).cast("string")
+    given = {
+        "entry": F.col("o_custkey"), "turn": k, "quality": (k * 37 % 23).cast("double"), "title": F.concat_ws(" ", "o_orderpriority", k.cast("string")), "starts_at": F.col("o_orderdate"), "description": F.when(k % 3 > 0, F.concat_ws(" ", "o_orderpriority", digit(10))),
+        "venue": F.when(k % 7 > 1, F.concat(F.repeat(F.lit("v"), (k % 5 + 1).cast("int")), digit(9))), **{c: F.when(k % a == b, F.concat(F.lit("https://x.org/"), k.cast("string"))) for c, (a, b) in _LINKS.items()},
+        "price_min": F.when(k % 5 != 2, F.col("o_totalprice")), "price_max": F.when(k % 6 != 1, F.col("o_totalprice") * 2), "currency": F.when(k % 4 == 0, "CHF").when(k % 4 == 1, "EUR"), "status": F.expr(_STATUS), "is_free": k % 17 == 0,
+        "genres": F.array_sort(F.array_distinct(F.array("o_orderstatus", "o_orderpriority", F.concat(F.lit("g"), digit(12))))), "warnings": F.array().cast("array<string>"), "performers": none.cast("array<struct<name:string,type:string,image_url:string,is_headliner:boolean>>"),
+    }
+    rest = {c: none.cast("string") for c in (*merging.LONGEST, *merging.FIRST, "access_notes") if c not in given} | {c: F.lit(False) for c in ("wheelchair", "hearing_loop")}
+    out = merging.merged_fields(d.table("orders").select(*[v.alias(c) for c, v in (given | rest).items()]))
+    return out.select("entry", "n_records", "quality", "title", "starts_at", "description", "venue", *_LINKS, "price_min", "price_max", "currency", "status", "is_free", F.array_join("genres", ",").alias("genres"))
+
+
 _DELTA = "case when event_type in ('signup', 'purchase') then 1 when event_type = 'error' then -1 else 0 end"
 
 
