@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..functions.geo import Viewport
-from ..operators import discovery, identity, merging, ordering
+from ..functions.text import fold_sql
+from ..operators import discovery, fulltext, identity, merging, ordering, rekeying
 from ..sources import web
+from ..sources.shared import stored
 from ..streaming import runs
 from .catalog import FOLD_SQL, MINUTE, RANGE, query
 from .domain import sql
@@ -169,6 +171,59 @@ def op_r09_rich_merge(d):
     return out.select("entry", "n_records", "quality", "title", "starts_at", "description", "venue", *_LINKS, "price_min", "price_max", "currency", "status", "is_free", F.array_join("genres", ",").alias("genres"))
 
 
+_WORDS = lambda x: f"list_distinct(list_filter(string_split_regex({fold_sql(f'coalesce({x}, {chr(39) * 2})')}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"""
+with e as (select p_partkey as event_id, p_name || ' ' || p_brand as title, p_type as short, text as body, p_name as genres from part left join documents on doc_id = p_partkey),
+t as (select event_id, {_WORDS("title")} as a, {_WORDS("short || ' ' || genres")} as b, {_WORDS("body")} as c from e),
+w as (select event_id, a, b, c, list_distinct(list_concat(list_concat(a, b), c)) as every from t),
+q as (select p_partkey as query_id, {_WORDS("split_part(p_name, ' ', 2) || ' ' || p_type || ' ' || coalesce(split_part(text, ' ', 3), '') || '  ' || p_type")} as words from part left join documents on doc_id = p_partkey where p_partkey % 20 = 0)
+select query_id, event_id, len(words) as n_words, case when list_has_any(words, a) then 'A' when list_has_any(words, b) then 'B' else 'C' end as strongest from q, w where len(words) > 0 and list_has_all(every, words)""")
+def op_p09_full_text(d):
+    """Parts as events whose descriptions are the documents; each twentieth part asks for words of its name, type and text."""
+    p, text = F.col("p_partkey"), d.table("documents").select(F.col("doc_id").alias("p_partkey"), "text")
+    rows = d.table("part").join(text, "p_partkey", "left")
+    events = rows.select(p.alias("event_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("short_description"), F.col("text").alias("description"), F.split("p_name", " ").alias("genres"))
+    asked = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), "p_type", F.split_part("text", F.lit(" "), F.lit(3)), F.lit(""), "p_type")
+    index = stored(fulltext.postings(events), "postings")
+    return fulltext.matches(index, rows.where(p % 20 == 0).select(p.alias("query_id"), asked.alias("text")))
+
+
+@query(sql("""++
+c as (select event_id as duplicate, case event_id % 10 when 2 then event_id - 1 when 3 then event_id - 1 else event_id - 4 end as event_id from event where event_id % 10 in (2, 3, 7)),
+root as (select duplicate, duplicate // 10 * 10 + 1 as event_id from c where duplicate % 10 <> 7 union all select duplicate, duplicate // 10 * 10 + 1 from c where duplicate % 10 = 7),
+l as (select l_partkey as event_id, l_suppkey % 40 as who, l_shipdate as starts_at, l_orderkey * 10 + l_linenumber as id, l_quantity as n, l_returnflag as flag from lineitem),
+one as (select event_id, who, min(id) as id, bool_or(flag = 'R') as head, arg_min(case when n > 20 then n end, id) filter (where n > 20) as low from l group by 1, 2),
+act as (select coalesce(r.event_id, o.event_id) as e, who, case when r.event_id is null then 0 else 1 end as moved, o.event_id as source, head, low, id from one o left join root r on r.duplicate = o.event_id),
+ev as (select event_id, title, is_free, case when event_id % 3 <> 1 then event_id % 7 end as city, repeat('d', (event_id % 4)::int) || event_id as about, event_id % 90 as quality, genres from event),
+em as (select coalesce(r.event_id, v.event_id) as e, case when r.event_id is null then 0 else 1 end as moved, v.* from ev v left join root r on r.duplicate = v.event_id)
+select 'performers' as name, e as event_id, who::varchar as key, coalesce(arg_min(bool_or_head, {'m': 0}), false)::varchar || '|' || coalesce(arg_max(lowest, {'m': 0})::varchar, '') || '|' || min(first_id)::varchar as value
+from (select e, who, bool_or(head) as bool_or_head, arg_max(low::int, {'m': moved, 's': source, 'i': id}) filter (where low is not null) as lowest, arg_min(id, {'m': moved, 's': source, 'i': id}) as first_id from act group by e, who) group by e, who
+union all select 'events', e, '', arg_min(title, {'m': moved, 's': event_id}) || '|' || bool_or(is_free)::varchar || '|' || coalesce(arg_min(city, {'m': moved, 's': event_id}) filter (where city is not null)::varchar, '') || '|' || arg_min(about, {'l': -length(about), 'm': moved, 's': event_id}) || '|' || max(quality)::varchar || '|' || array_to_string(list_sort(list_distinct(flatten(list(genres)))), ',') from em group by e
+union all select 'offers', coalesce(r.event_id, l.event_id), '', count(*)::varchar from l left join root r on r.duplicate = l.event_id group by coalesce(r.event_id, l.event_id)"""))
+def op_r10_merge_everywhere(d):
+    """Chains of duplicates (7 to 3 to 2 to 1 in each ten), and what becomes of events, performers and offers."""
+    e, k = F.col("event_id"), F.col("event_id") % 10
+    known = d.events(hosts=False)
+    canonical = known.where(k.isin(2, 3, 7)).select(e.alias("duplicate"), F.when(k == 7, e - 4).otherwise(e - 1).alias("event_id"))
+    events = known.select(
+        "event_id", "title", "is_free", F.when(e % 3 != 1, e % 7).alias("city_id"), F.concat(F.repeat(F.lit("d"), (e % 4).cast("int")), e.cast("string")).alias("description"), (e % 90).alias("quality"), "genres",
+    )
+    lines = d.table("lineitem").select(F.col("l_partkey").alias("event_id"), (F.col("l_suppkey") % 40).alias("performer_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("n"), F.col("l_returnflag").alias("flag"))
+    low = F.when(F.col("n") > 20, F.col("n").cast("int"))
+    acts = lines.groupBy("event_id", "performer_id").agg(F.min("id").alias("id"), F.bool_or(F.col("flag") == "R").alias("is_headliner"), F.min_by(low, F.when(low.isNotNull(), F.col("id"))).alias("low"))
+    rules = {**rekeying.RULES, "performers": rekeying.Rule(("performer_id",), {"is_headliner": "any", "low": "last"}, "id")}
+    out = rekeying.merge_everywhere(canonical, {"events": events, "performers": acts, "offers": lines.select("event_id")}, rules)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    value = lambda *cs: F.concat_ws("|", *[text(c) for c in cs])
+    return (
+        out["performers"].select(F.lit("performers").alias("name"), "event_id", text("performer_id").alias("key"), value("is_headliner", "low", "id").alias("value"))
+        .unionByName(out["events"].withColumn("genres", F.array_join(F.array_sort("genres"), ",")).select(F.lit("events").alias("name"), "event_id", F.lit("").alias("key"), value("title", "is_free", "city_id", "description", "quality", "genres").alias("value")))
+        .unionByName(out["offers"].groupBy("event_id").agg(F.count("*").cast("string").alias("value")).select(F.lit("offers").alias("name"), "event_id", F.lit("").alias("key"), "value"))
+    )
+
+
 _DELTA = "case when event_type in ('signup', 'purchase') then 1 when event_type = 'error' then -1 else 0 end"
 
 
