@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, hashes, text, times
 from ..operators import discovery, ingest, lanes, scores, taxonomy
-from ..streaming import runs
+from ..streaming import invalidation, runs
 from .catalog import RANGE, YEAR, query
 from .catalog_work import _JOBS, NOW, _jobs
 from .domain import sql
@@ -339,6 +339,32 @@ def op_t16_stale_translations(d):
     return ingest.stale_translations(told, before, after, ["title", "venue"])
 
 
+@query("""
+with link as (select 'venue' as kind, p_partkey % 1500 as id, p_partkey as event_id from part union all select 'organizer', p_partkey % 300, p_partkey from part where p_partkey % 4 > 0 union all select 'performer', p_partkey % 400, p_partkey from part),
+c as (select case event_type when 'purchase' then 'venue' when 'view' then 'organizer' when 'click' then 'performer' when 'error' then 'offer' else 'event' end as kind, case when event_type in ('signup', 'error') then event_id else user_id end as id, ts,
+  case event_type when 'purchase' then event_id % 3 > 0 when 'view' then event_id % 7 = 0 when 'click' then event_id % 5 = 0 when 'signup' then event_id % 2 = 0 else true end as touches from events),
+m as (select event_id, max(ts) as ts from (select id as event_id, ts from c where touches and kind in ('event', 'offer') union all select event_id, ts from c join link using (kind, id) where touches) group by 1),
+t as (select p_partkey as event_id, lang as language, case (p_partkey + length(lang)) % 3 when 0 then 'machine' when 1 then 'reviewed' else 'original' end as s, timestamp '2024-01-01' + to_days((p_partkey % 31)::int) as made from part, (values ('de'), ('rm-ch')) v(lang))
+select t.event_id, language, case when s <> 'original' and ts >= made then 'stale' else s end as translation_status from t left join m using (event_id)""")
+def op_t16_stream_invalidation(d):
+    """The event stream as changes of events, offers, venues, organizers and performers, beside the translations of all parts."""
+    e, p, kind = F.col("event_id"), F.col("p_partkey"), F.col("event_type")
+    told = F.when(kind == "purchase", "venue").when(kind == "view", "organizer").when(kind == "click", "performer").when(kind == "error", "offer").otherwise("event")
+    touches = F.when(kind == "purchase", e % 3 > 0).when(kind == "view", e % 7 == 0).when(kind == "click", e % 5 == 0).otherwise(e % 2 == 0)
+    field = F.when(told == "event", "title").when(told == "performer", "bio").otherwise("description")
+    changes = _stream(d).select(
+        told.alias("kind"), F.when(kind.isin("signup", "error"), e).otherwise(F.col("user_id")).alias("id"), "ts",
+        F.create_map(field, F.lit("old"), F.lit("rank"), F.lit("1")).alias("before"), F.create_map(field, F.when(touches, "new").otherwise("old"), F.lit("rank"), F.lit("2")).alias("after"),
+    )
+    parts = d.table("part")
+    linked = invalidation.links(parts.select(p.alias("event_id"), (p % 1500).alias("venue_id"), F.when(p % 4 > 0, p % 300).alias("organizer_id")), parts.select(p.alias("event_id"), (p % 400).alias("performer_id")))
+    language = F.explode(F.array(F.lit("de"), F.lit("rm-ch")))
+    state = (p + F.length("language")) % 3
+    made = (F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval((p % 31).cast("int"))).cast("timestamp")
+    translations = parts.select("p_partkey", language.alias("language")).select(p.alias("event_id"), "language", F.when(state == 0, "machine").when(state == 1, "reviewed").otherwise("original").alias("translation_status"), made.alias("updated_at"))
+    return invalidation.with_marks(translations, invalidation.follow(changes, linked, translations)).drop("updated_at")
+
+
 @query(sql("select occurrence_id, title, starts_at from point where status in ('published', 'cancelled', 'postponed', 'sold_out') and starts_at between timestamp '1997-02-07 18:00:00' and timestamp '1997-02-09 23:59:00' order by starts_at, occurrence_id limit 50"))
 def op_d07_l01_l02_quick_range(d):
     start, end = times.quick_range("weekend", datetime(1997, 2, 5, 9))
