@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_km
 from ..functions.hashes import block_ratio, nfc
-from ..functions.text import alnum_key, bigram_dice, fold, similarity, trigrams
+from ..functions.text import alnum_key, bigram_dice, fold, let, similarity, trigrams
 from ..functions.times import minute_key
 from ..sources.shared import stored
 
@@ -23,10 +23,9 @@ def fingerprint(title: Column, start: Column, country: Column, city: Column, sou
 
     Null without a title or a start. Sites and addresses are no part of it, so unrelated sources agree.
     """
-    key = title_key(title)
     place = F.regexp_replace(nfc(fold(F.concat_ws("|", F.trim(country), F.trim(city)))), r"[^\p{L}\p{N}|]+", "")
-    where = F.coalesce(F.nullif(place, F.lit("")), source_city.cast("string"), F.lit("world"))
-    return F.when((key != "") & start.isNotNull(), F.sha2(F.concat(key, F.lit("|"), minute_key(start), F.lit("|"), where), 256))
+    where = F.coalesce(let(place, lambda x: F.nullif(x, F.lit(""))), source_city.cast("string"), F.lit("world"))
+    return let(title_key(title), lambda key: F.when((key != "") & start.isNotNull(), F.sha2(F.concat(key, F.lit("|"), minute_key(start), F.lit("|"), where), 256)))
 
 
 def script_safe_fingerprint(print_: Column, title: Column) -> Column:
@@ -37,9 +36,9 @@ def script_safe_fingerprint(print_: Column, title: Column) -> Column:
 
 def canonical_occurrence(url: Column, start: Column, title: Column) -> Column:
     """SHA-256 of an http url without fragment, minute and title key; null without any of them."""
-    plain, key = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", ""), title_key(title)
-    whole = F.concat(plain, F.lit("|"), minute_key(start), F.lit("|"), key)
-    return F.when(plain.rlike(r"(?i)^https?://\S+$") & (key != "") & start.isNotNull(), F.sha2(whole, 256))
+    plain = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", "")
+    given = plain.rlike(r"(?i)^https?://\S+$") & start.isNotNull()
+    return let(title_key(title), lambda key: F.when(given & (key != ""), F.sha2(F.concat(plain, F.lit("|"), minute_key(start), F.lit("|"), key), 256)))
 
 
 def staging_key(record_id: Column, source: Column, source_id: Column, raw: Column) -> Column:

@@ -1,4 +1,5 @@
 import difflib
+import unicodedata
 import math
 from datetime import datetime
 
@@ -167,4 +168,10 @@ def test_hashes(spark):
     got = df.select(hashes.fnv1a(F.col("w")), hashes.nfc(F.col("w")), hashes.block_ratio(F.col("w"), F.col("v"))).collect()
     assert [r[0] for r in got] == [fnv(w) for w in words]
     assert [r[2] for r in got] == [round(difflib.SequenceMatcher(None, w, "foo bar", autojunk=False).ratio(), 6) for w in words]
-    assert one(spark, hashes.nfc(F.lit("é")))[0] == "é"
+    assert one(spark, hashes.nfc(F.lit("e\u0301")))[0] == "\u00e9"
+
+
+def test_nfc_is_that_of_unicode(spark):
+    texts = ["", "plain", "e\u0301", "\u212b", "\u1112\u1161\u11ab", "q\u0307\u0323", "\ufb01", "\u0958", "\u65e5\u672c\U0001f600", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(hashes.nfc(F.col("t"))).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
