@@ -1,6 +1,6 @@
 import difflib
-import unicodedata
 import math
+import unicodedata
 from datetime import datetime
 
 import pytest
