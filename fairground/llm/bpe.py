@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import ahocorasick
@@ -26,6 +27,9 @@ REMEMBERED = 200_000
 
 NEVER = 1 << 60
 
+#: Bytes up to which a piece is worked on in lists, which are faster, and characters up to which it is remembered.
+SHORT = 1 << 10
+
 
 class Memory:
     """A bounded memo: what was used in the last two generations stays."""
@@ -107,46 +111,51 @@ class BpeCodec:
             self.pairs.put((left, right), found)
         return found
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """The ids of one piece. A piece that is itself a token is that token."""
+    def encode_piece(self, data: bytes) -> Sequence[int]:
+        """The ids of one piece. A piece that is itself a token is that token.
+
+        Of all matches only the end of the longest from each place is held: 8 bytes for each
+        byte of a long piece, and 4 for each id.
+        """
         if (token := self.ranks.get(data)) is not None:
             return [token]
-        matches = list(self.automaton.iter(data.decode("latin-1")))
-        n = len(data)
-        longest, known, out, left, at = [0] * n, self.pairs.new.get, [], None, 0
-        for end, size in matches:  # in order of their ends: the longest comes last
+        n, rank, known = len(data), self.ranks, self.pairs.new.get
+        longest, ids = ([0] * n, []) if n <= SHORT else (array("Q", bytes(8 * n)), array("I"))
+        for end, size in self.automaton.iter(data.decode("latin-1")):  # in order of their ends: the longest comes last
             longest[end + 1 - size] = end + 1
+        first, left, at = data[: longest[0]], None, 0
         while at < n:
             token = data[at : longest[at]]
             if left is not None and not ((fits := known((left, token))) or fits is None and self.compatible(left, token)):
-                return self.stepped_back(data, matches)
-            out.append(token)
+                return self.stepped_back(data, longest)
+            if (found := rank.get(token)) is None:
+                return self.stepped_back(data, longest)
+            ids.append(found)
             left, at = token, longest[at]
-        if self.edge(out[0], 1) is None:
-            return self.stepped_back(data, matches)
-        rank = self.ranks
-        return [rank[t] for t in out]
+        return ids if self.edge(first, 1) is not None else self.stepped_back(data, longest)
+
+    def shorter(self, data: bytes, at: int, end: int) -> int:
+        """The end of the next shorter token from ``at``, or ``at`` if there is none."""
+        return next((e for e in range(end - 1, at, -1) if data[at:e] in self.ranks), at)
 
-    def stepped_back(self, data: bytes, matches: list[tuple[int, int]]) -> list[int]:
-        """``encode_piece`` where the longest matches don't all fit."""
+    def stepped_back(self, data: bytes, longest: Sequence[int]) -> Sequence[int]:
+        """``encode_piece`` where the longest matches don't all fit; shorter ones are looked up where they are tried."""
         n = len(data)
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for end, size in matches:
-            ends[end + 1 - size].append(end + 1)
-        # Matches are reported by their ends, so the longest is the last of each list.
-        places, tries, lost = [0], [len(ends[0]) - 1], set()
+        # Where tokens begin, and the end that is tried from each place.
+        places, tries = array("Q", [0]), array("Q", [longest[0]])
+        lost: set[tuple[int, int]] = set()
         left = None
         while (at := places[-1]) < n:
-            options, i = ends[at], tries[-1]
-            while i >= 0:
-                token = data[at : options[i]]
-                if (at, options[i]) not in lost and self.edge(token, 1) is not None and (left is None or self.compatible(left, token)):
+            end = tries[-1]
+            while end > at:
+                token = data[at:end]
+                if (at, end) not in lost and self.edge(token, 1) is not None and (left is None or self.compatible(left, token)):
                     break
-                i -= 1
-            if i >= 0:
-                tries[-1] = i
-                places.append(options[i])
-                tries.append(len(ends[options[i]]) - 1 if options[i] < n else -1)
+                end = self.shorter(data, at, end)
+            if end > at:
+                tries[-1] = end
+                places.append(end)
+                tries.append(longest[end] if end < n else 0)
                 left = token
                 continue
             if len(places) == 1:
@@ -154,9 +163,9 @@ class BpeCodec:
             lost.add((places[-2], at))  # no token goes on from this one
             places.pop()
             tries.pop()
-            tries[-1] -= 1
+            tries[-1] = self.shorter(data, places[-1], tries[-1])
             left = data[places[-2] : places[-1]] if len(places) > 1 else None
-        return [self.ranks[data[a:b]] for a, b in zip(places, places[1:])]
+        return array("I", (self.ranks[data[a:b]] for a, b in zip(places, islice(places, 1, None))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -169,7 +178,8 @@ class BpeCodec:
         if (found := self.pieces.get(piece)) is None:
             ids = self.encode_piece(piece.encode())
             found = " ".join(map(str, ids)), self.decode(ids)
-            self.pieces.put(piece, found)
+            if len(piece) <= SHORT:
+                self.pieces.put(piece, found)
         return found
 
     def runs(self, text: str, run: int) -> Iterator[list[str]]:
@@ -233,7 +243,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     One row for each row, repeated ones included; null text is empty: no ids, the digests
     of nothing. An id may be null. Columns other than the two named are not read. A text is
-    worked on in runs of pieces, so only its digests grow with it.
+    worked on in runs of pieces; a piece is held whole, at some tens of bytes for each of its own.
     """
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

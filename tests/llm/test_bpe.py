@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import pytest
 import tiktoken
@@ -41,6 +42,28 @@ def test_long_piece_in_linear_time():
     assert codec.encode(text) == reference.encode_ordinary(text)
 
 
+def test_long_piece_in_bounded_memory():
+    own = bpe.BpeCodec(ranks, PATTERN)
+    for text in ("=" * 2_000_000, "ab" * 500_000 + "\u00e9" * 200_000):
+        tracemalloc.start()
+        n, _, decoded = own.digest(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 1 and decoded == hashlib.sha256(text.encode()).hexdigest()
+        assert peak < 50 * len(text.encode())
+    assert not any(len(p) > bpe.SHORT for p in own.pieces.new)
+
+
+def test_step_back_in_long_pieces():
+    text = "=" * 40_001 + "ab" * 3_000 + "a" * 3_001
+    assert codec.encode(text) == reference.encode_ordinary(text)
+    data = text[:40_001].encode()
+    longest = [0] * len(data)
+    for end, size in codec.automaton.iter(data.decode("latin-1")):
+        longest[end + 1 - size] = end + 1
+    assert list(codec.stepped_back(data, longest)) == list(codec.encode_piece(data))
+
+
 def test_memory_is_bounded():
     m = bpe.Memory(3)
     for i in range(20):
