@@ -55,6 +55,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: Characters from which on a text is split piece by piece.
 LONG = 1 << 20
+#: Ids that are written out at a time.
+WRITTEN = 1 << 16
 
 
 class BpeCodec:
@@ -177,7 +179,7 @@ class BpeCodec:
         """A piece's ids as decimals joined by blanks, and the bytes that they decode to."""
         if (found := self.pieces.get(piece)) is None:
             ids = self.encode_piece(piece.encode())
-            found = " ".join(map(str, ids)), self.decode(ids)
+            found = " ".join(" ".join(map(str, ids[i : i + WRITTEN])) for i in range(0, len(ids), WRITTEN)), self.decode(ids)
             if len(piece) <= SHORT:
                 self.pieces.put(piece, found)
         return found
