@@ -125,34 +125,52 @@ class BpeCodec:
         longest, ids = ([0] * n, []) if n <= SHORT else (array("Q", bytes(8 * n)), array("I"))
         for end, size in self.automaton.iter(data.decode("latin-1")):  # in order of their ends: the longest comes last
             longest[end + 1 - size] = end + 1
-        first, left, at = data[: longest[0]], None, 0
+        if not (at := longest[0]):
+            raise ValueError("the rank table lacks bytes, so this piece has no ids")
+        left = data[:at]
+        ids.append(rank[left])
         while at < n:
             token = data[at : longest[at]]
-            if left is not None and not ((fits := known((left, token))) or fits is None and self.compatible(left, token)):
-                return self.stepped_back(data, longest)
-            if (found := rank.get(token)) is None:
-                return self.stepped_back(data, longest)
-            ids.append(found)
+            if not ((fits := known((left, token))) or fits is None and self.compatible(left, token)):
+                return self.stepped_back(data, longest, ids)
+            ids.append(rank[token])
             left, at = token, longest[at]
-        return ids if self.edge(first, 1) is not None else self.stepped_back(data, longest)
+        return ids if self.edge(left, 1) is not None else self.stepped_back(data, longest, ids)
 
     def shorter(self, data: bytes, at: int, end: int) -> int:
         """The end of the next shorter token from ``at``, or ``at`` if there is none."""
-        return next((e for e in range(end - 1, at, -1) if data[at:e] in self.ranks), at)
+        ranks = self.ranks
+        for e in range(end - 1, at, -1):
+            if data[at:e] in ranks:
+                return e
+        return at
 
-    def stepped_back(self, data: bytes, longest: Sequence[int]) -> Sequence[int]:
-        """``encode_piece`` where the longest matches don't all fit; shorter ones are looked up where they are tried."""
-        n = len(data)
+    def stepped_back(self, data: bytes, longest: Sequence[int], begun: Sequence[int] = ()) -> Sequence[int]:
+        """``encode_piece`` where the longest matches don't all fit; shorter ones are looked up where they are tried.
+
+        ``begun`` are the ids of the longest matches up to where the next one doesn't fit.
+        """
+        n, known = len(data), self.pairs.new.get
         # Where tokens begin, and the end that is tried from each place.
-        places, tries = array("Q", [0]), array("Q", [longest[0]])
+        places, size = array("Q", [0]), self.bytes_of
+        if begun and self.edge(size[begun[0]], 1) is not None:
+            for i in begun:
+                places.append(places[-1] + len(size[i]))
+        at = places[-1]
+        tries = places[1:]
+        tries.append(longest[at] if at < n else 0)
         lost: set[tuple[int, int]] = set()
-        left = None
+        left = data[places[-2] : at] if at else None
         while (at := places[-1]) < n:
             end = tries[-1]
             while end > at:
                 token = data[at:end]
-                if (at, end) not in lost and self.edge(token, 1) is not None and (left is None or self.compatible(left, token)):
-                    break
+                if (at, end) not in lost:
+                    if left is None:
+                        if self.edge(token, 1) is not None:
+                            break
+                    elif (fits := known((left, token))) or fits is None and self.compatible(left, token):
+                        break
                 end = self.shorter(data, at, end)
             if end > at:
                 tries[-1] = end
