@@ -8,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import documents
+from ..functions import documents, surface
 from ..functions.geo import Viewport
 from ..functions.text import fold_sql
 from ..operators import discovery, fulltext, identity, merging, ordering, rekeying
@@ -298,3 +298,25 @@ def op_t03_weighted_quota(d):
     """Requests of 0 to 24 units against 40 an hour; without SQL, as what is refused uses nothing up."""
     e = d.table("events")
     return runs.weighted_quota(e.select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("request_id"), (F.col("event_id") % 25).cast("int").alias("amount")), hourly=40)
+
+
+@query(sql(f"""++
+r as (select n_nationkey as city, timestamp '1997-01-01' + to_days(n_nationkey) as since from nation)
+select r.city, p.occurrence_id, {FOLD_SQL.format('p.title')} as title, substr(trim(regexp_replace({FOLD_SQL.format('p.title')}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 20) as slug
+from r join point p on p.city_id = r.city and p.starts_at between r.since and r.since + interval 40 day and p.status in ('published', 'cancelled', 'postponed', 'sold_out')"""))
+def op_sql_event_lists(d):
+    """The list of each city from its own day on: a table function beside the cities, which becomes a join."""
+    surface.register(d.spark, discovery.points(d, offers=False))
+    d.table("nation").createOrReplaceTempView("listed_cities")
+    return d.spark.sql("""
+        select r.city, e.occurrence_id, folded(e.title) as title, slug(e.title, 20) as slug
+        from (select n_nationkey as city, timestamp_ntz '1997-01-01 00:00:00' + make_dt_interval(n_nationkey) as since from listed_cities) r,
+             lateral events_between(r.since, r.since + interval '40' day, r.city) e""")
+
+
+@query("""select event_id, '$.k' as path, json_extract_string(props, '$.k') as value from events""")
+def op_sql_json_leaves(d):
+    """Values of all documents of the event stream, one row each."""
+    surface.register(d.spark, discovery.points(d, offers=False))
+    d.table("events").createOrReplaceTempView("streamed_events")
+    return d.spark.sql("select s.event_id, j.path, j.value from streamed_events s, lateral json_leaves(s.props) j")
