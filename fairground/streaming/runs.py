@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,6 +79,7 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None
 
 
 FAILURES, GAP_S, OPEN_S = 3, 15 * 60, 2 * 3600
+NEVER = 2**63 - 1  # a time that no watermark passes
 FRESH = (0, -1.0, -1.0, 0)
 
 
@@ -105,55 +105,98 @@ def breaker_step(state: tuple[int, float, float, int], at: float, failed: bool)
 BREAKER_SCHEMA = "user_id long, event_id long, state string, opened int"
 
 
+class Alarms:
+    """The times at which a key wants to be woken, in memory while its events are taken."""
+
+    def __init__(self) -> None:
+        self.times: list[int] = []
+
+    def registerTimer(self, at: int) -> None:
+        if at not in self.times:
+            self.times.append(at)
+
+    def next(self, limit: int) -> int | None:
+        """Takes out the earliest time up to ``limit``."""
+        at = min(self.times, default=None)
+        if at is None or at > limit:
+            return None
+        self.times.remove(at)
+        return at
+
+
 class InOrder(StatefulProcessor):
-    """Takes a key's events (``ts``, ``id``, ``kind``, ``amount``) in order of time and id, also if they come late.
+    """Takes a key's events (``us``, ``id``, ``kind``, ``amount``) in order of time and id, also if they come late.
 
-    They wait until the watermark has passed them; a timer for each time takes them. Subclasses
-    say what an event does (``event``), and what a time does that has none (``alarm``); both get
-    the key's numbers, may set further timers, and return (numbers or None to forget them, rows).
-    A timer that is set for a time that the watermark has passed comes with the next batch, after
-    the events that wait: so an event first tells what has run out before it.
+    They wait until the watermark has passed them. A key has one timer, for the first of its events and alarms; when it comes,
+    all that the watermark has passed is taken in one go, so that a key costs a few calls to the state, however many events it has.
+    Subclasses say what an event does (``event``), and what a time does that has none (``alarm``); both get
+    the key's numbers and return (numbers or None to forget them, rows). An event sets its key's alarms anew by ``handle``; one
+    at a time that has an event doesn't ring, so an event first tells what has run out before it.
     """
 
     numbers: str  #: the numbers that a key has, as a schema
     rows: str  #: what comes out, after the key, as names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.now = handle.getValueState("now", self.numbers)
-        self.waiting = handle.getMapState("waiting", "at long", "events array<struct<us: bigint, id: bigint, kind: string, amount: double>>")
+        self.store, self.handle = handle, Alarms()
+        self.kept = handle.getValueState("kept", f"timer long, alarms array<long>, numbers struct<{self.numbers}>")
+        self.waiting = handle.getListState("waiting", "us long, id long, kind string, amount double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = defaultdict(list)
+        first = None
         for frame in rows:
-            for us, number, kind, amount in zip((frame.ts - pd.Timestamp(0, tz=frame.ts.dt.tz)) // pd.Timedelta(microseconds=1), frame.id, frame.kind, frame.amount):
-                new[int(us) // 1000].append((int(us), int(number), kind, float(amount)))
-        for at, events in new.items():
-            known = self.waiting.getValue((at,))
-            self.waiting.updateValue((at,), ([*map(tuple, known[0]), *events] if known else events,))
-            self.handle.registerTimer(at)
+            events = list(zip(frame.us.tolist(), frame.id.tolist(), frame.kind.tolist(), frame.amount.tolist()))
+            self.waiting.appendList(events)
+            earliest = min(e[0] for e in events) // 1000
+            first = earliest if first is None else min(first, earliest)
+        kept = self.kept.get()
+        if first is not None and (kept is None or first < kept[0]):
+            self.store.registerTimer(first)
+            self.kept.update((first, *(kept[1:] if kept else ([], None))))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        state, out = tuple(self.now.get()) if self.now.exists() else None, []
-        found = self.waiting.getValue((due,))
-        for event in sorted(map(tuple, found[0])) if found else ():
-            state, told = self.event(state, event)
-            out += told
-        if found:
-            self.waiting.removeKey((due,))
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        kept = self.kept.get()
+        if kept is None or kept[0] > limit:  # a timer from before an earlier event came
+            return
+        due, later = [], []
+        for e in map(tuple, self.waiting.get()):
+            (due if e[0] // 1000 <= limit else later).append(e)
+        self.handle.times = list(kept[1])
+        state, out = self.taken(tuple(kept[2]) if kept[2] is not None else None, sorted(due), limit)
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        coming = min([e[0] // 1000 for e in later] + self.handle.times, default=None)
+        if coming is None and state is None:
+            self.kept.clear()
         else:
-            state, out = self.alarm(state, due)
-        if state is None:
-            self.now.clear()
-        else:
-            self.now.update(state)
+            if coming is not None:
+                self.store.registerTimer(coming)
+            self.kept.update((NEVER if coming is None else coming, self.handle.times, state))
         if out:
             names = self.rows.split(", ")
             frame = pd.DataFrame([(*key, *r) for r in out], columns=names)
             yield frame.astype({c: "Int64" for c in names if c.endswith("_id")})
 
+    def taken(self, state, events: list[tuple], limit: int) -> tuple:
+        """The numbers and rows after ``events`` (in order) and the alarms between them and up to ``limit``."""
+        out = []
+        for event in events:
+            at = event[0] // 1000
+            while (alarm := self.handle.next(at - 1)) is not None:
+                state, told = self.alarm(state, alarm)
+                out += told
+            self.handle.times = []
+            state, told = self.event(state, event)
+            out += told
+        while (alarm := self.handle.next(limit)) is not None:
+            state, told = self.alarm(state, alarm)
+            out += told
+        return state, out
+
     def close(self) -> None:
         pass
 
@@ -217,7 +260,10 @@ class Lease(InOrder):
         us, _, kind, _ = event
         at = us // 1000
         if state and state[1] >= at:
-            return (None, [(state[0], "done", at, None)]) if kind == "done" else (state, [])
+            if kind == "done":
+                return None, [(state[0], "done", at, None)]
+            self.handle.registerTimer(state[1] + 1)
+            return state, []
         state, out = self.alarm(state, at)
         if kind == "done":
             return state, out
@@ -233,7 +279,7 @@ class Lease(InOrder):
 def _in_order(events: DataFrame, keys: list[str], processor: InOrder, schema: str, delay: str) -> DataFrame:
     # Set for the session: this kind of state is kept by this provider alone.
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def circuit_breaker(events: DataFrame, delay: str = "1 hour", forget_days: int = 3_650) -> DataFrame:

@@ -1,4 +1,5 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -265,6 +266,45 @@ def test_lease_runs_out_without_an_event():
     assert out == [(1, "requeued", 60_000, 65_000), (2, "done", 130_000, None)]
 
 
+class Store(Handle):
+    """A key's state with one value and one list, in memory; counts the timers that are set."""
+
+    def __init__(self):
+        super().__init__()
+        self.kept, self.rows, self.set = None, [], 0
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.kept, update=lambda v: setattr(self, "kept", v), clear=lambda: setattr(self, "kept", None))
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(get=lambda: iter(list(self.rows)), appendList=self.rows.extend, put=lambda v: setattr(self, "rows", list(v)), clear=lambda: setattr(self, "rows", []))
+
+    def getMapState(self, name, key, value):
+        held = self.map
+        return SimpleNamespace(getValue=lambda k: held.get(k), updateValue=held.__setitem__, removeKey=held.pop)
+
+    def registerTimer(self, at):
+        self.set += 1
+        super().registerTimer(at)
+
+
+def test_a_key_costs_few_timers_however_many_events_it_has():
+    store, processor, out = Store(), runs.Lease(60), []
+    processor.init(store)
+    events = [(i * 40 * 1_000_000, i, "lease", 0.0) for i in range(500)]
+    for part in (events[300:], events[:300]):  # the earlier ones come late
+        frame = pd.DataFrame(part, columns=["us", "id", "kind", "amount"]).assign(ts=lambda f: pd.to_datetime(f.us, unit="us", utc=True))
+        list(processor.handleInputRows((7,), iter([frame]), None))
+    for watermark in (10_000_000, 10_000_000 + 40_000, 40_000_000):
+        while store.timers and min(store.timers) < watermark:
+            due = min(store.timers)
+            store.timers.discard(due)
+            given = processor.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: due))
+            out += [tuple(r) for f in given for r in f[["attempts", "outcome", "at_ms"]].itertuples(index=False)]
+    assert out == [(i + 1, "requeued", 80_000 * i + 60_000) for i in range(250)]
+    assert store.set < 20 and not store.rows
+
+
 def test_stream_quota_equals_the_batch(spark, tmp_path):
     e = _events(spark)
     e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
