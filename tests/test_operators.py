@@ -334,3 +334,13 @@ def test_spacing_equals_the_sequential_rule(spark):
         slot = max(at, last.get(r.user_id, at - 900) + 900)
         last[r.user_id] = slot
         assert got[r.event_id] == slot
+
+
+def test_pairs_are_scored_from_bigrams_told_once_for_each_row(spark):
+    texts = ["", "a", "ab", "aaaa", "Aa aa!", "Jazz night", "jazz-night 2", "日本 祭 jazz", "Été nuit", None]
+    rows = spark.createDataFrame([(i, t, texts[-1 - i % 7], 60 * i) for i, t in enumerate(texts[:-1])], "id long, title string, venue string, s long")
+    two = lambda r: r.crossJoin(r.select(*[F.col(c).alias(f"{c}_2") for c in r.columns])).withColumn("gap_s", F.abs(F.col("s") - F.col("s_2")))
+    plain, told = identity.duplicate_score(two(rows)), identity.duplicate_score(two(identity.with_bigrams(rows)))
+    assert pairs(told, "id", "id_2", "score", "verdict") == pairs(plain, "id", "id_2", "score", "verdict") and plain.count() == 81
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert "title_grams_2" in plan and "aggregate(" not in plan  # nothing is counted again for a pair
