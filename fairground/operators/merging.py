@@ -21,25 +21,75 @@ HOURS = 4
 SETTLED = "id long, entry long, met long, score double, verdict string"
 
 
-def dice(a: str, b: str) -> float:
+@lru_cache(100_000)
+def _grams(text: str) -> frozenset:
+    """The bigrams of a text, each with its number among equal ones."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(text) - 1):
+        g = text[i : i + 2]
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return frozenset(out)
+
+
+def dice(a: str, b: str, least: float = 0.0) -> float:
     """Dice coefficient of the bigrams of two texts; without bigrams 1 for equal texts, else 0."""
-    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+    x, y = _grams(a), _grams(b)
     if not x or not y:
         return float(a == b)
-    return 2 * sum((x & y).values()) / (x.total() + y.total())
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def blocks(a: str, b: str, least: float = 0.0) -> float:
+    """Twice the matching blocks over both lengths; 0 where bounds tell that it is under ``least``."""
+    m = SequenceMatcher(None, a, b)
+    if least and (m.real_quick_ratio() < least or m.quick_ratio() < least):
+        return 0.0
+    return m.ratio()
+
+
+class Alike:
+    """For each title those met so far that are similar to ``least``, compared once for each two.
+
+    Titles that are no longer live go once they are most of those held, so what is held grows with the live ones.
+    """
+
+    def __init__(self, alike: Callable[..., float], least: float, most: int = 2_000) -> None:
+        self.alike, self.least, self.most = alike, least, most
+        self.known: list[str] = []
+        self.held: set[str] = set()
+        self.near: dict[str, tuple[int, dict[str, float]]] = {}
 
+    def add(self, title: str, live: dict) -> None:
+        if title not in self.held:
+            if len(self.known) > max(self.most, 4 * len(live)):
+                self.known = [t for t in live if t != title]
+                self.held, self.near = set(self.known), {}
+            self.known.append(title)
+            self.held.add(title)
 
-def blocks(a: str, b: str) -> float:
-    """Twice the matching blocks over both lengths."""
-    return SequenceMatcher(None, a, b).ratio()
+    def of(self, name: str) -> dict[str, float]:
+        """The known titles similar to ``name`` and their similarity, compared with those that are new since."""
+        done, found = self.near.get(name, (0, {}))
+        if done < len(self.known):
+            for title in self.known[done:]:
+                value = self.alike(title, name, self.least)
+                if value >= self.least:
+                    found[title] = value
+            self.near[name] = (len(self.known), found)
+        return found
 
 
 def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], float], review: bool) -> Iterator[pd.DataFrame]:
     """Decides rows that come by root, time and id; an entry is given up once no later row can meet it.
 
-    Only entries of the last four hours are held, by title, with what later rows are compared with.
+    Only entries of the last four hours are held, by title, with what later rows are compared with. A row meets the entries of
+    similar titles alone, and of those only what could still reach a verdict and the best so far.
     """
-    alike, width = lru_cache(200_000)(alike), HOURS * 3600.0
+    width, least = HOURS * 3600.0, 0.78 if review else 0.92
+    # Without review a verdict takes titles of (0.92 - 0.45) / 0.55; a margin keeps rounding out of it.
+    titles_of, alike = Alike(alike, 0.7 if review else 0.85), lru_cache(200_000)(alike)
     root, live, exact, last, made = None, {}, {}, [], 0
     for frame in frames:
         out = []
@@ -54,17 +104,14 @@ def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], fl
             best, score = exact.get(same) if r.key is not None else None, None
             verdict = "same" if best else "new"
             if not best:
-                for title, entries in live.items():
-                    titles = alike(title, r.name)
-                    if titles < 0.7:
-                        continue
-                    for e in entries:
+                for title, titles in titles_of.of(r.name).items():
+                    for e in live.get(title, ()):
                         gap = abs(e["at"] - r.at)
                         if gap > width:
                             continue
                         dates = max(0.0, 1 - gap / width)
                         if not review or (e["venue"] and r.venue):
-                            if score is not None and 0.55 * titles + 0.25 * dates + 0.2 < score:
+                            if 0.55 * titles + 0.25 * dates + 0.2 < max(least, score or 0.0):
                                 continue
                             value = 0.55 * titles + 0.25 * dates + 0.2 * alike(e["place"], r.place)
                         else:
@@ -85,6 +132,7 @@ def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], fl
                     if e["name"] != title:
                         live[title] = [x for x in live[title] if x is not e]
                         live.setdefault(e["name"], []).append(e)
+                        titles_of.add(e["name"], live)
                 elif review:
                     e.update(venue=longer[0], place=longer[1])
                 e["latest"] = r.at
@@ -92,6 +140,7 @@ def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], fl
                 made += 1
                 e = {"entry": r.id, "made": made, "name": r.name, "at": r.at, "latest": r.at, "quality": r.quality, "venue": r.venue, "place": r.place}
                 live.setdefault(r.name, []).append(e)
+                titles_of.add(r.name, live)
             if r.key is not None:
                 exact.setdefault(same, e)
             out.append((r.id, e["entry"], met, None if verdict in ("new", "same") else int(score * 1000 + 0.5) / 1000, verdict))

@@ -1,6 +1,7 @@
 """Merging in turn against the same rules record by record in plain Python."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -154,3 +155,31 @@ def test_fields_equal_a_fold_in_plain_python(spark, seed):
         w = want[r.entry]
         assert {c: r[c] for c in w if c not in ("turn", "performers")} == {c: w[c] for c in w if c not in ("turn", "performers")}
         assert [tuple(p) for p in r.performers or []] == w["performers"]
+
+
+def test_titles_are_compared_once_for_each_two_and_forgotten_titles_go():
+    asked = []
+    like = merging.Alike(lambda a, b, least: asked.append((a, b)) or merging.dice(a, b), 0.7, most=6)
+    live = {t: [] for t in ("jazz night", "jazz nights", "opera")}
+    for t in live:
+        like.add(t, live)
+    for _ in range(50):
+        assert set(like.of("jazz night")) == {"jazz night", "jazz nights"} and set(like.of("opera")) == {"opera"}
+    assert len(asked) == 6
+    for i in range(40):
+        live = {f"title {i}": [], "opera": []}
+        like.add(f"title {i}", live)
+        like.of("opera")
+    assert len(like.known) <= 9 and "opera" in like.of("opera")
+
+
+@pytest.mark.parametrize("ratio", [merging.dice, merging.blocks])
+def test_bounds_leave_similarities_as_they_are(ratio):
+    texts = ["", "a", "aa", "aaaa", "jazz night", "jazz nights", "night jazz", "opera"]
+    for a in texts:
+        for b in texts:
+            whole = ratio(a, b)
+            assert ratio(a, b, 0.8) == whole or ratio(a, b, 0.8) == 0.0 and whole < 0.8
+            if ratio is merging.dice:
+                x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+                assert whole == (2 * sum((x & y).values()) / (x.total() + y.total()) if x and y else float(a == b))
