@@ -32,6 +32,17 @@ def test_matches_equal_a_scan(spark):
         assert one == {(q, i, k) for q, i, _, k in (tuple(r) for r in fulltext.matches(index, spark.createDataFrame([(0, text)], "query_id long, text string")).collect())}
 
 
+def test_queries_of_the_same_words_are_answered_once(spark, tmp_path):
+    index = fulltext.postings(spark.createDataFrame([(i, "common word", None, None, None) for i in range(500)], EVENT))
+    index.write.parquet(str(tmp_path / "index"))
+    queries = spark.createDataFrame([(i, ["common word", "Word common"][i % 2]) for i in range(500)], "query_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    found = fulltext.matches(spark.read.parquet(str(tmp_path / "index")), queries)
+    assert found.agg({"event_id": "sum", "n_words": "max"}).count() == 1 and found.count() == 250_000
+    assert written() - before < 1_000_000
+
+
 def test_words_are_folded_and_counted(spark):
     got = fulltext.postings(spark.createDataFrame([(1, "Brașov, brasov!", None, None, None), (2, None, None, None, None)], EVENT)).collect()
     assert [tuple(r) for r in got] == [("brasov", 1, "A", 2)]
