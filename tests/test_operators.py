@@ -55,6 +55,32 @@ def test_duplicate_candidates_equal_all_pairs(spark):
     assert {"review", "merge", "distinct"} == {r[3] for r in got} and any(r[:2] == (90, 91) for r in got)
 
 
+def test_venues_and_names_of_copies_are_matched_once(spark):
+    asked = spark.createDataFrame([(i, 1, ["Grand Hall", "grand hall x"][i % 2]) for i in range(60)] + [(100, 2, "Grand Hall"), (101, None, "Grand Hall"), (102, 1, None)], "id int, city_id int, name string")
+    venues = spark.createDataFrame([(i, 1, "Grand Hall") for i in range(7, 67)] + [(3, 1, "Other")], "venue_id int, venue_city_id int, venue_name string")
+    found = identity.match_venues(asked, venues, 0.6)
+    assert {(r.id, r.venue_id) for r in found.collect()} == {(i, 7) for i in range(60)}
+    assert most_rows(found) <= 200
+
+
+def most_rows(df):
+    """The most rows that a step of the plan, which has run, put out."""
+    text = df._jdf.queryExecution().executedPlan()
+    found, open_ = 0, [text]
+    while open_:
+        node = open_.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            open_.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            found = max(found, metric.get().value())
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_greedy_keeps_the_better_and_chains_apart(spark):
     rows = [("CH", "x", 1, 10.0, 46.0, 6.0), ("CH", "x", 2, 9.0, 46.04, 6.0), ("CH", "x", 3, 8.0, 46.08, 6.0), ("CH", "y", 4, 1.0, 46.0, 6.0)]
     df = spark.createDataFrame(rows, "country string, key string, id int, quality double, lat double, lon double")
