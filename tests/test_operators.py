@@ -370,3 +370,15 @@ def test_pairs_are_scored_from_bigrams_told_once_for_each_row(spark):
     assert pairs(told, "id", "id_2", "score", "verdict") == pairs(plain, "id", "id_2", "score", "verdict") and plain.count() == 81
     plan = told._jdf.queryExecution().analyzed().toString()
     assert "title_grams_2" in plan and "aggregate(" not in plan  # nothing is counted again for a pair
+
+
+def test_copies_of_records_are_resolved_once(spark):
+    at = datetime(2024, 1, 1, 8)
+    columns = "title string, `at` timestamp_ntz, city_id int, venue_id int"
+    asked = spark.createDataFrame([(i, "s", "x", f"none {i}", "Jazz Night", at, None, i % 2) for i in range(60)] + [(60, "s", "y", "none", "Jazz Night", at, None, 0)], "id int, source string, external_id string, fingerprint string, " + columns)
+    known = spark.createDataFrame([(100 + i, 7 + i, "print", "Jazz Night", at, None, i % 2) for i in range(60)], "id int, event_id int, fingerprint string, " + columns)
+    records = spark.createDataFrame([("s", "y", 7 + i, datetime(2023, 1, 1 + i % 2)) for i in range(60)], "source string, external_id string, event_id int, seen timestamp_ntz")
+    found = identity.resolve_events(asked, known, records)
+    assert set(pairs(found, "id", "event_id", "matched_by")) == {(i, 7 + i % 2, "title") for i in range(60)} | {(60, 8, "id")}
+    found.collect()
+    assert most_rows(found) <= 500
