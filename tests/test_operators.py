@@ -55,6 +55,21 @@ def test_duplicate_candidates_equal_all_pairs(spark):
     assert {"review", "merge", "distinct"} == {r[3] for r in got} and any(r[:2] == (90, 91) for r in got)
 
 
+def test_copies_are_paired_with_their_representative_only(spark):
+    at = datetime(2024, 1, 1, 8)
+    rows = [(i, ["Jazz Night", "jazz night!"][i % 2], "Hall", at) for i in range(40)] + [(100 + i, "Jazz nights", "Hall", at) for i in range(40)] + [(200, "Jazz Night", None, at), (201, "Jazz Night", None, at), (300, None, "Hall", at), (301, None, "Hall", at)]
+    df = spark.createDataFrame(rows, "id int, title string, venue string, `at` timestamp_ntz")
+    every = {(r[0], r[1]): tuple(r) for r in pairs(identity.duplicate_score(identity.duplicate_candidates(df)), "id", "id_2", "score", "verdict")}
+    got = pairs(identity.duplicate_score(identity.duplicate_classes(df)), "id", "id_2", "score", "verdict", "copy")
+    assert len(got) == 39 + 39 + 1 + 3 and all(every[r[:2]] == r[:4] for r in got)
+    # Every pair follows from its representatives.
+    head = {r[1]: r[0] for r in got if r[4]}
+    between = {r[:2]: r[2:4] for r in got if not r[4]}
+    for (a, b), row in every.items():
+        x, y = head.get(a, a), head.get(b, b)
+        assert row[2:] == ((1.0, "merge") if x == y else between[min(x, y), max(x, y)])
+
+
 def test_venues_and_names_of_copies_are_matched_once(spark):
     asked = spark.createDataFrame([(i, 1, ["Grand Hall", "grand hall x"][i % 2]) for i in range(60)] + [(100, 2, "Grand Hall"), (101, None, "Grand Hall"), (102, 1, None)], "id int, city_id int, name string")
     venues = spark.createDataFrame([(i, 1, "Grand Hall") for i in range(7, 67)] + [(3, 1, "Other")], "venue_id int, venue_city_id int, venue_name string")
