@@ -397,3 +397,11 @@ def test_copies_of_records_are_resolved_once(spark):
     assert set(pairs(found, "id", "event_id", "matched_by")) == {(i, 7 + i % 2, "title") for i in range(60)} | {(60, 8, "id")}
     found.collect()
     assert most_rows(found) <= 500
+
+
+def test_copies_join_the_first_of_their_class(spark):
+    at = datetime(2024, 1, 1, 8)
+    rows = spark.createDataFrame([(i, f"k{i}", "Jazz Night", "Hall", at) for i in range(60)] + [(60 + i, f"l{i}", "Rock day", None, None) for i in range(2)], "id int, key string, title string, venue string, `at` timestamp_ntz")
+    found = identity.ratio_duplicates(rows)
+    assert {r.id: r.kept for r in found.collect()} == {i: 0 for i in range(60)} | {60: 60, 61: 61}
+    assert most_rows(found) <= 500
