@@ -40,7 +40,7 @@ def test_queries_of_the_same_words_are_answered_once(spark, tmp_path):
     before = written()
     found = fulltext.matches(spark.read.parquet(str(tmp_path / "index")), queries)
     assert found.agg({"event_id": "sum", "n_words": "max"}).count() == 1 and found.count() == 250_000
-    assert written() - before < 1_000_000
+    assert written() - before < 80_000
 
 
 def test_words_are_folded_and_counted(spark):
