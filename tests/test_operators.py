@@ -36,6 +36,19 @@ def test_nearby_pairs_at_bucket_edges(spark):
     assert pairs(got, "id", "id_2", "gap_s") == [(1, 2, 900), (2, 3, 1)]
 
 
+def test_pairs_of_ids_equal_pairs_of_rows_and_are_dealt_out(spark):
+    t = lambda m, s=0: datetime(2024, 1, 1, 10 + m // 60, m % 60, s)
+    edges = [(1, "a", t(14, 59)), (2, "a", t(29, 59)), (3, "a", t(30)), (4, "b", t(15)), (5, "a", None), (None, "a", t(30)), (6, None, t(30)), (7, None, t(30)), (3, "a", t(30)), (0, "a", t(31))]
+    rows = spark.createDataFrame([*edges, *[(1000 + i * 7 % 60, "c", t(40 + i % 3 * 14)) for i in range(60)]], "id int, k string, `at` timestamp_ntz")
+    expected = pairs(identity.nearby_pairs(rows, rows, ["k"], 15).where("id < id_2"), "id", "id_2", "gap_s")
+    for most in (1, 3, 256):
+        assert pairs(identity.nearby_id_pairs(rows, ["k"], 15, most), "id", "id_2", "gap_s") == expected
+    hot = spark.range(3000).select("id", F.lit("a").alias("k"), F.lit(t(0)).cast("timestamp_ntz").alias("at"))
+    own = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    made = own(identity.nearby_id_pairs(hot, ["k"], 15))
+    assert sum(made) == 3000 * 2999 // 2 and max(made) < 0.6 * sum(made)
+
+
 def test_duplicate_verdicts(spark):
     rows = [("Jazz Night", "Jazz night!", "Hall", "hall", 0), ("Jazz Night", "Jazz night", None, "hall", 60), ("Jazz Night", "Rock Day", "Hall", "Club", 0), ("Jazz Night", "Jazz night", "Hall", "Hall", 3600)]
     got = identity.duplicate_score(spark.createDataFrame(rows, "title string, title_2 string, venue string, venue_2 string, gap_s long")).select("verdict").collect()
