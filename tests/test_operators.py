@@ -70,6 +70,12 @@ def test_pairs_of_ids_equal_pairs_of_rows_and_are_dealt_out(spark):
     assert sum(made) == 3000 * 2999 // 2 and max(made) < 0.6 * sum(made)
 
 
+def test_fingerprints_tell_titles_and_places_before_occurrences_are_joined(spark):
+    found = catalog.QUERIES["op_r01_r02_r03_r04_m06_fingerprints"](spark, "/root/testdata/sf0.001")
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "Normalizer" not in above and "Normalizer" in below and "sha2" in above
+
+
 def test_duplicate_verdicts(spark):
     rows = [("Jazz Night", "Jazz night!", "Hall", "hall", 0), ("Jazz Night", "Jazz night", None, "hall", 60), ("Jazz Night", "Rock Day", "Hall", "Club", 0), ("Jazz Night", "Jazz night", "Hall", "Hall", 3600)]
     got = identity.duplicate_score(spark.createDataFrame(rows, "title string, title_2 string, venue string, venue_2 string, gap_s long")).select("verdict").collect()
