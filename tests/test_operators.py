@@ -1,14 +1,15 @@
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fairground.functions import text
-from fairground.operators import engagement, identity, queues, scores, taxonomy, writes
+from fairground.operators import engagement, identity, merging, pairing, queues, scores, taxonomy, writes
 from fairground.plans import catalog, catalog_more  # noqa: F401  (registers its queries)
 from fairground.sources import web
 from fairground.streaming import runs
@@ -427,6 +428,36 @@ def test_pairs_are_scored_from_bigrams_told_once_for_each_row(spark):
     assert "title_grams_2" in plan and "aggregate(" not in plan  # nothing is counted again for a pair
 
 
+def test_pairs_scored_in_lists_equal_pairs_of_rows(spark):
+    texts = ["", "a", "ab", "aaaa", "Aa aa!", "Jazz night", "jazz-night 2", "日本 祭 jazz", "Été nuit", None]
+    t = lambda i: datetime(2024, 1, 1, 10) + timedelta(seconds=i * 37 % 4000)
+    rows = [(i * 7 % 90, texts[i % 10], texts[i * 3 % 7 - 1], None if i % 13 == 0 else t(i), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame([*rows, (None, "a", "a", t(1), "a"), (200, "a", "a", t(1), None), (5, "a", "a", t(2), "a")], "id int, title string, venue string, `at` timestamp_ntz, k string")
+    told = identity.with_bigrams(df)
+    columns = ("id", "id_2", "score", "verdict")
+    expected = pairs(identity.duplicate_score(identity.nearby_pairs(told, told, ["k"], 15).where("id < id_2")), *columns)
+    assert pairs(identity.duplicate_score(identity.alike_pairs(df, ["k"], 15)), *columns) == expected and len(expected) > 300
+    keyed = df.select("k", "id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("second"), *[text.alnum_key(F.col(c)).alias(c) for c in ("title", "venue")])
+    for most in (1, 3):  # lists of several parts, and of several shares
+        assert pairs(identity.duplicate_score(pairing.similar_pairs(keyed, ["k"], 15, None, most)), *columns) == expected
+
+
+def test_duplicate_pairs_compare_no_two_rows_by_lists_of_bigrams(spark):
+    found = catalog.QUERIES["op_r07_f11_duplicate_pairs"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "MapInArrow" in plan
+
+
+def test_a_matrix_of_texts_holds_a_bounded_number(spark):
+    texts = ["", "a", "aa", "aaaa", "aabaa", "jazz night", "jazz nights", "night jazz", *[f"title {i}" for i in range(30)]]
+    held = pairing.Matrix(most=12, step=3)
+    for low in (0, 4, 2, 20, 26, 0):
+        own = texts[low : low + 10]
+        n = held.numbers(pa.array([*own, None]))
+        assert [[held.flat[a * held.width + b] for b in n[:-1]] for a in n[:-1]] == [[merging.dice(a, b) if a != b else 1.0 for b in own] for a in own]
+        assert n[-1] == 0 and np.isnan(held.flat[n]).all() and len(held.codes) <= 12
+
+
 def test_copies_of_records_are_resolved_once(spark):
     at = datetime(2024, 1, 1, 8)
     columns = "title string, `at` timestamp_ntz, city_id int, venue_id int"
