@@ -442,6 +442,18 @@ def test_pairs_scored_in_lists_equal_pairs_of_rows(spark):
         assert pairs(identity.duplicate_score(pairing.similar_pairs(keyed, ["k"], 15, None, most)), *columns) == expected
 
 
+def test_candidates_of_many_similar_titles_shuffle_neither_pairs_nor_rows_for_each(spark):
+    rows = spark.createDataFrame([(i, f"A long night of jazz {i % 60}", f"Hall {i % 7}", datetime(2024, 1, 1 + i % 10, 8, i % 40)) for i in range(3000)], "id int, title string, venue string, `at` timestamp_ntz")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large tables are not broadcast
+    try:
+        before = written()
+        assert identity.duplicate_candidates(rows).agg(F.count("*"), F.sum("titles")).first()[0] == 448_500
+        assert written() - before < 1_500_000  # 7,407,954 when a row stood once for each similar title
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_duplicate_pairs_compare_no_two_rows_by_lists_of_bigrams(spark):
     found = catalog.QUERIES["op_r07_f11_duplicate_pairs"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
