@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions.text import normal_key
 from ..sources.shared import stored
 from . import identity
 from .graph import linked
+from .pairing import Matrix, numbered_letters
 
 HOURS = 4
 SETTLED = "id long, entry long, met long, score double, verdict string"
@@ -70,17 +72,43 @@ class Alike:
             self.held.add(title)
 
     def of(self, name: str) -> dict[str, float]:
-        """The known titles similar to ``name`` and their similarity, compared with those that are new since."""
+        """The known titles similar to ``name`` and their similarity, the most similar first, compared with those that are new since."""
         done, found = self.near.get(name, (0, {}))
         if done < len(self.known):
             for title in self.known[done:]:
                 value = self.alike(title, name, self.least)
                 if value >= self.least:
                     found[title] = value
+            found = dict(sorted(found.items(), key=lambda f: -f[1]))
             self.near[name] = (len(self.known), found)
         return found
 
 
+def block_ratios(sizes: np.ndarray, sizes_2: np.ndarray, shared: np.ndarray, texts: list[str], texts_2: list[str], least: float = 0.85) -> np.ndarray:
+    """``blocks`` of texts whose equal letters, ``shared``, allow for ``least``; 0 for others."""
+    total = sizes[:, None] + sizes_2[None, :]
+    out = np.zeros(total.shape)
+    for i, j in zip(*np.nonzero(2 * shared >= (least - 1e-9) * total)):
+        out[i, j] = 1.0 if texts[i] == texts_2[j] else SequenceMatcher(None, texts[i], texts_2[j]).ratio()
+    return out
+
+
+@lru_cache(2)
+def matrix_of(alike: Callable[..., float]) -> Matrix:
+    """The similarities that this process holds; they serve all tasks that it runs."""
+    return Matrix() if alike is dice else Matrix(numbered_letters, block_ratios)
+
+
+def held_first(alike: Callable[..., float], matrix: Matrix) -> Callable[..., float]:
+    """``alike`` of two titles, looked up if ``matrix`` holds both; of blocks what could reach 0.85, others may be 0."""
+
+    def look(a: str, b: str, least: float = 0.0) -> float:
+        x, y = matrix.codes.get(a), matrix.codes.get(b)
+        return alike(a, b, least) if x is None or y is None else matrix.table.item(x, y)
+
+    return look
+
+
 def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], float], review: bool) -> Iterator[pd.DataFrame]:
     """Decides rows that come by root, time and id; an entry is given up once no later row can meet it.
 
@@ -89,10 +117,13 @@ def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], fl
     """
     width, least = HOURS * 3600.0, 0.78 if review else 0.92
     # Without review a verdict takes titles of (0.92 - 0.45) / 0.55; a margin keeps rounding out of it.
-    titles_of, alike = Alike(alike, 0.7 if review else 0.85), lru_cache(200_000)(alike)
+    matrix = matrix_of(alike)
+    titles_of, alike = Alike(held_first(alike, matrix), 0.7 if review else 0.85), lru_cache(200_000)(alike)
     root, live, exact, last, made = None, {}, {}, [], 0
     for frame in frames:
         out = []
+        names = frame["name"].unique().tolist()  # compared in bulk, as far as the matrix can hold them
+        matrix.add(names[: matrix.most])
         for r in frame.itertuples(index=False):
             if r.root != root:
                 root, live, exact, last = r.root, {}, {}, []
@@ -105,6 +136,8 @@ def taken_in_turn(frames: Iterator[pd.DataFrame], alike: Callable[[str, str], fl
             verdict = "same" if best else "new"
             if not best:
                 for title, titles in titles_of.of(r.name).items():
+                    if 0.55 * titles + 0.45 + 1e-9 < max(least, score or 0.0):
+                        break  # no further title can reach the best so far, with any time and venue
                     for e in live.get(title, ()):
                         gap = abs(e["at"] - r.at)
                         if gap > width:
@@ -160,8 +193,8 @@ def settled(records: DataFrame, ratio: str = "dice") -> DataFrame:
 
     Columns: id (unique), key, title, venue, at, quality; null titles and venues are empty texts, a null quality is 0, a null key is that
     of no other; rows without a time or id are left out. Titles without Latin letters and digits are alike by bigrams. Records that can't meet are told apart first: texts
-    and four-hour slots are nodes, similar texts in neighbouring slots are linked, and each component is
-    sorted and streamed past the decisions, which hold the events of the last four hours.
+    that are similar, directly or by others, are a group, a group's records without a gap of four hours a chain, chains of one key and minute are
+    linked, and each component is sorted and streamed past the decisions, which hold the events of the last four hours. No link between two records is a row.
     """
     review = {"dice": True, "blocks": False}[ratio]
     text = normal_key if review else (lambda c: F.lower(c))
@@ -170,21 +203,27 @@ def settled(records: DataFrame, ratio: str = "dice") -> DataFrame:
         F.coalesce("venue", F.lit("")).alias("venue"), text(F.coalesce("venue", F.lit(""))).alias("place"),
         (F.unix_micros(F.col("at").cast("timestamp")) / F.lit(1e6)).alias("at"), F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("quality"),
     )
-    slot, node = F.floor(F.col("at") / (3600 * HOURS)), F.xxhash64("name", "slot")  # equal hashes only join two components
-    rows = stored(rows.withColumn("slot", slot).withColumn("node", node), "records")  # read three times
-    places = rows.groupBy("name", "slot").agg(F.first("node").alias("node"))
+    rows = stored(rows, "records")  # read for the texts, too
+    names = rows.select(F.col("name").alias("key")).distinct()
     if review:
-        close = identity.similar_titles(places.select(F.col("name").alias("key")), 0.7).select(F.col("key").alias("name"), F.col("key_2").alias("name_2"))
+        close = identity.similar_titles(names, 0.7)
     else:
-        half = identity.similar_letters(places.select("name").distinct(), (0.92 - 0.45) / 0.55).select("name", "name_2")
-        close = half.unionByName(half.select(F.col("name_2").alias("name"), F.col("name").alias("name_2"))).distinct()
-    other = places.select(F.col("name").alias("name_2"), F.col("node").alias("v"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    near = places.join(close, "name").join(other, ["name_2", "slot"]).select(F.col("node").alias("u"), "v")
-    # One key and minute is one event, whatever the titles: each text is linked to the first one.
+        close = identity.similar_letters(names.withColumnRenamed("key", "name"), (0.92 - 0.45) / 0.55).withColumnsRenamed({"name": "key", "name_2": "key_2"})
+    known = identity.grouped(close).withColumnRenamed("key", "name")
+    rows = rows.join(known, "name", "left").withColumn("group", F.coalesce("root", F.xxhash64("name"))).drop("root").withColumn("slot", F.floor(F.col("at") / (3600 * HOURS)))
+    rows = stored(rows, "grouped")
+    # A group's slots are a chain as long as records of two neighbours may meet: told from a row for each slot, whatever it holds.
+    spans = rows.groupBy("group", "slot").agg(F.min("at").alias("from"), F.max("at").alias("to"))
+    before = Window.partitionBy("group").orderBy("slot")
+    apart = (F.col("slot") - F.lag("slot").over(before) > 1) | (F.col("from") - F.lag("to").over(before) > 3600 * HOURS + 1)
+    chains = spans.withColumn("begun", F.when(F.coalesce(apart, F.lit(True)), F.col("slot")))
+    chains = chains.withColumn("begun", F.last("begun", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = stored(rows.join(chains.select("group", "slot", F.xxhash64("group", "begun").alias("node")), ["group", "slot"]).drop("group", "slot"), "chained")
+    # One key and minute is one event, whatever the titles: each chain is linked to the first one.
     spots = rows.where("key is not null").groupBy("key", F.floor(F.col("at") / 60).alias("minute"), "node").agg(F.lit(1).alias("one"))
     first = spots.groupBy("key", "minute").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
     same = spots.join(first, ["key", "minute"]).select(F.col("node").alias("u"), "v")
-    roots = linked(near.unionByName(same))
+    roots = linked(same)
     ready = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("root", "at", "id", "key", "name", "venue", "place", "quality")
     alike = dice if review else blocks
     return ready.repartition("root").sortWithinPartitions("root", "at", "id").mapInPandas(lambda frames: taken_in_turn(frames, alike, review), SETTLED)

@@ -183,3 +183,19 @@ def test_bounds_leave_similarities_as_they_are(ratio):
             if ratio is merging.dice:
                 x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
                 assert whole == (2 * sum((x & y).values()) / (x.total() + y.total()) if x and y else float(a == b))
+
+
+def test_similar_titles_of_one_slot_are_not_linked_two_by_two(spark, monkeypatch):
+    links, linked = [], merging.linked
+    monkeypatch.setattr(merging, "linked", lambda edges: links.append(edges.count()) or linked(edges))
+    rows = [(i, f"k{i % 290}" if i % 3 == 0 else None, f"jazz night at the lake {i % 60}", "blue hall", START + timedelta(hours=5 * (i // 60), minutes=i % 50), 1.0) for i in range(600)]
+    got = merging.settled(spark.createDataFrame(rows, RECORD)).collect()
+    assert {r.id: (r.entry, r.verdict) for r in got} == {i: (e, v) for i, (e, _, _, v) in in_turn(rows, merging.dice, True).items()}
+    assert sum(links) <= 600  # 61,200 when similar titles of a slot were linked
+
+
+def test_chains_end_where_nothing_can_meet(spark):
+    # 3 h 59 min apart, over the slots' borders, is one chain; a gap of more than four hours ends it.
+    rows = [(i, None, "jazz night", "hall", START + timedelta(minutes=m), float(i)) for i, m in enumerate([0, 239, 478, 719, 959, 960])]
+    got = {r.id: (r.entry, r.verdict, r.met) for r in merging.settled(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {i: (e, v, m) for i, (e, m, _, v) in in_turn(rows, merging.dice, True).items()}
