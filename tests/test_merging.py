@@ -199,3 +199,16 @@ def test_chains_end_where_nothing_can_meet(spark):
     rows = [(i, None, "jazz night", "hall", START + timedelta(minutes=m), float(i)) for i, m in enumerate([0, 239, 478, 719, 959, 960])]
     got = {r.id: (r.entry, r.verdict, r.met) for r in merging.settled(spark.createDataFrame(rows, RECORD)).collect()}
     assert got == {i: (e, v, m) for i, (e, m, _, v) in in_turn(rows, merging.dice, True).items()}
+
+
+def test_blocks_of_many_titles_are_told_where_letters_allow_them(monkeypatch):
+    asked, plain = [], merging.SequenceMatcher
+    monkeypatch.setattr(merging, "SequenceMatcher", lambda *a: asked.append(a) or plain(*a))
+    texts = ["", "a", "aa", *[f"{a} {b} {i}" for a in ("jazz", "rock") for b in ("night", "nights") for i in range(20)], "x" * 300, "x" * 299 + "y"]
+    matrix = merging.Matrix(merging.numbered_letters, merging.block_ratios)
+    matrix.add(texts)
+    n, look = len(asked), merging.held_first(merging.blocks, matrix)
+    for a in texts:
+        for b in texts:
+            assert look(a, b, 0.85) == merging.blocks(a, b, 0.85) or max(look(a, b, 0.85), merging.blocks(a, b, 0.85)) < 0.85
+    assert n < len(texts) ** 2 / 2 and look("a", "not held", 0.85) == merging.blocks("a", "not held", 0.85)
