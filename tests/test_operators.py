@@ -488,3 +488,14 @@ def test_copies_join_the_first_of_their_class(spark):
     found = identity.ratio_duplicates(rows)
     assert {r.id: r.kept for r in found.collect()} == {i: 0 for i in range(60)} | {60: 60, 61: 61}
     assert most_rows(found) <= 500
+
+
+def test_best_earlier_records_are_told_without_a_row_for_each_pair(spark):
+    start = datetime(2024, 1, 1, 8)
+    rows = spark.createDataFrame([(i, f"k{i}", f"A long night of jazz {i * 7 % 50}", f"Hall {i % 9}", start + timedelta(minutes=i * 11 % 400)) for i in range(400)], "id int, key string, title string, venue string, `at` timestamp_ntz")
+    found = identity.ratio_duplicates(rows)
+    assert len({r.kept for r in found.collect()}) < 400 and most_rows(found) <= 4000  # 67,080 when a pair was a row
+    own = rows.select("id", F.lower("title").alias("name"), F.lower("venue").alias("place"), F.unix_timestamp(F.col("at").cast("timestamp")).alias("second"), F.lit(1).alias("block"))
+    for most in (3, 40):  # lists of several parts and shares tell the same in the end
+        best = lambda most: pairs(pairing.best_earlier_rows(own, ["block"], 240, 0.92, most).groupBy("id").agg(F.max(F.struct("score", -F.col("id_2"), "gap_s")).alias("best")), "id", "best")  # noqa: B023, E731
+        assert best(most) == best(1024)
